@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import url_redirects
+from . import bpe, url_redirects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,5 +30,14 @@ def op1_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_redirects.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES: dict[str, Query] = {"op1_url_redirects": op1_url_redirects}
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = F.array_join("ids", " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_url_redirects": op1_url_redirects,
+    "op6_bpe": op6_bpe,
+}
 ORACLE_SQL: dict[str, str] = {}
