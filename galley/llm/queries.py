@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, url_redirects
+from . import bpe, toxicity, url_redirects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,8 +36,15 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_redirects": op1_url_redirects,
     "op6_bpe": op6_bpe,
+    "op7_toxicity": op7_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
