@@ -21,8 +21,8 @@ from .shared import cut
 #: Fixed parameters of the model and its training.
 BITS = 20
 SAMPLE_ROWS = 24_000
-SHARDS, ROUNDS = 8, 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.5, 1e-3
+SHARDS, ROUNDS = 4, 6
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 1e-3
 THRESHOLD = 0.3
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -80,14 +80,14 @@ def _shard_step(shared):
     return run
 
 
-def train(examples: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
+def train(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """``examples(text, label, order)`` -> buckets and weights other than zero.
 
-    The ``sample_rows`` examples with the least ``order`` are used (a hash, so a uniform sample); null texts count as
-    empty, null labels are left out.  Without examples there are no weights.
+    The caller bounds the examples (see ``fit``); ``order`` is a hash, by which a shard goes through its rows.  Null
+    texts count as empty, null labels are left out.  Without examples there are no weights.
     """
     spark = examples.sparkSession
-    sample = examples.where("label is not null").orderBy("order").limit(sample_rows)
+    sample = examples.where("label is not null")
     shard = (F.abs(F.xxhash64("order")) % SHARDS).cast("int").alias("shard")
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,9 +103,10 @@ def train(examples: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarr
 
         deltas = data.groupBy("shard").applyInPandas(_shard_step(shared), "bucket int, dz double, dn double")
         # a shard that has not met a coordinate leaves it as it was: the mean is over all that met it
-        mean = deltas.groupBy("bucket").agg(F.avg("dz").alias("dz"), F.avg("dn").alias("dn")).toPandas()
-        z[mean["bucket"]] += mean["dz"]
-        n[mean["bucket"]] += mean["dn"]
+        mean = deltas.groupBy("bucket").agg(F.avg("dz").alias("dz"), F.avg("dn").alias("dn")).toArrow()
+        at = mean["bucket"].to_numpy()
+        z[at] += mean["dz"].to_numpy()
+        n[at] += mean["dn"].to_numpy()
         shared.unpersist()
     w = weights_of(z, n)
     at = np.flatnonzero(w)
@@ -148,4 +149,4 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
     """
     order = F.xxhash64("doc_id")
     sample = labels.select("doc_id", F.col("toxic").alias("label")).where(~held_out() & F.col("label").isNotNull()).orderBy(order, "doc_id").limit(sample_rows)
-    return train(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label", order.alias("order")), sample_rows)
+    return train(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label", order.alias("order")))
