@@ -71,11 +71,12 @@ def _train_shard(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarra
 def _shard_step(shared):
     """One shard's pass over its rows from the shared state: the change of every coordinate that it met."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z, n = (a.astype(np.float64) for a in shared.value)
-        pdf = pdf.sort_values("order", kind="stable")
-        at = _train_shard(list(zip(pdf["idx"], pdf["label"], strict=True)), z, n)
-        return pd.DataFrame({"bucket": at, "dz": z[at] - shared.value[0][at], "dn": n[at] - shared.value[1][at]})
+        rows = pd.concat([pd.DataFrame({"order": pd.Series(dtype="int64"), "label": pd.Series(dtype="int32"), "idx": []}), *batches])
+        rows = rows.sort_values("order", kind="stable")
+        at = _train_shard(list(zip(rows["idx"], rows["label"], strict=True)), z, n)
+        yield pd.DataFrame({"bucket": at, "dz": z[at] - shared.value[0][at], "dn": n[at] - shared.value[1][at]})
 
     return run
 
@@ -88,20 +89,20 @@ def train(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """
     spark = examples.sparkSession
     sample = examples.where("label is not null")
-    shard = (F.abs(F.xxhash64("order")) % SHARDS).cast("int").alias("shard")
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
         for pdf in batches:
-            yield pd.DataFrame({"shard": pdf["shard"], "order": pdf["order"], "label": pdf["label"], "idx": [features(t, hashes) for t in pdf["text"]]})
+            yield pd.DataFrame({"order": pdf["order"], "label": pdf["label"], "idx": [features(t, hashes) for t in pdf["text"]]})
 
-    data = cut(sample.select(shard, "order", F.col("label").cast("int").alias("label"), "text").repartition(SHARDS, "shard").mapInPandas(featurise, "shard int, order long, label int, idx array<int>"))
+    # a shard is a partition of these rows, which stay where they were written: no round shuffles them
+    data = cut(sample.select("order", F.col("label").cast("int").alias("label"), "text").repartition(SHARDS).mapInPandas(featurise, "order long, label int, idx array<int>"))
     size = 1 << BITS
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((z.astype(np.float32), n.astype(np.float32)))
 
-        deltas = data.groupBy("shard").applyInPandas(_shard_step(shared), "bucket int, dz double, dn double")
+        deltas = data.mapInPandas(_shard_step(shared), "bucket int, dz double, dn double")
         # a shard that has not met a coordinate leaves it as it was: the mean is over all that met it
         mean = deltas.groupBy("bucket").agg(F.avg("dz").alias("dz"), F.avg("dn").alias("dn")).toArrow()
         at = mean["bucket"].to_numpy()
