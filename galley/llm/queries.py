@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, toxicity, url_redirects
+from . import bpe, decontaminate, toxicity, url_redirects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,9 +42,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_redirects": op1_url_redirects,
     "op6_bpe": op6_bpe,
     "op7_toxicity": op7_toxicity,
+    "op9_decontaminate": op9_decontaminate,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op9_decontaminate": decontaminate.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
