@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Training runs on the executors over a bounded, documented sample of labelled rows: in every round each shard goes on
-from the shared state with per-coordinate rates, and the shards' states are averaged by a grouped aggregation.  The L1
+from the shared state with per-coordinate rates, and the shards' states, of bounded size, are averaged.  The L1
 term leaves few weights other than zero; these (at most ``2 ** BITS`` by construction) are what scoring broadcasts.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 #: Fixed parameters of the model and its training.
-BITS = 20
+BITS = 19
 SAMPLE_ROWS = 24_000
 SHARDS, ROUNDS = 4, 6
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 1e-3
@@ -65,7 +65,7 @@ def _train_shard(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarra
         z[idx] = zi + g - (root - np.sqrt(ni)) / ALPHA * w
         n[idx] = ni + g * g
         touched[idx] = True
-    return np.flatnonzero(touched)
+    return touched
 
 
 def _shard_step(shared):
@@ -75,8 +75,8 @@ def _shard_step(shared):
         z, n = (a.astype(np.float64) for a in shared.value)
         rows = pd.concat([pd.DataFrame({"order": pd.Series(dtype="int64"), "label": pd.Series(dtype="int32"), "idx": []}), *batches])
         rows = rows.sort_values("order", kind="stable")
-        at = _train_shard(list(zip(rows["idx"], rows["label"], strict=True)), z, n)
-        yield pd.DataFrame({"bucket": at, "dz": z[at] - shared.value[0][at], "dn": n[at] - shared.value[1][at]})
+        met = _train_shard(list(zip(rows["idx"], rows["label"], strict=True)), z, n)
+        yield pd.DataFrame({"met": [met.tobytes()], "dz": [(z - shared.value[0]).astype(np.float32).tobytes()], "dn": [(n - shared.value[1]).astype(np.float32).tobytes()]})
 
     return run
 
@@ -102,12 +102,14 @@ def train(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((z.astype(np.float32), n.astype(np.float32)))
 
-        deltas = data.mapInPandas(_shard_step(shared), "bucket int, dz double, dn double")
-        # a shard that has not met a coordinate leaves it as it was: the mean is over all that met it
-        mean = deltas.groupBy("bucket").agg(F.avg("dz").alias("dz"), F.avg("dn").alias("dn")).toArrow()
-        at = mean["bucket"].to_numpy()
-        z[at] += mean["dz"].to_numpy()
-        n[at] += mean["dn"].to_numpy()
+        # one row of 9 bytes a coordinate from each shard: bounded by SHARDS and BITS, whatever the corpus
+        states = data.mapInPandas(_shard_step(shared), "met binary, dz binary, dn binary").toArrow()
+        met = sum(np.frombuffer(m.as_py(), bool).astype(np.float64) for m in states["met"])
+        dz = sum(np.frombuffer(m.as_py(), np.float32).astype(np.float64) for m in states["dz"])
+        dn = sum(np.frombuffer(m.as_py(), np.float32).astype(np.float64) for m in states["dn"])
+        # a shard that has not met a coordinate has nothing to say on it: the mean is over those that have
+        z += dz / np.maximum(met, 1)
+        n += dn / np.maximum(met, 1)
         shared.unpersist()
     w = weights_of(z, n)
     at = np.flatnonzero(w)
