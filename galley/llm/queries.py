@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, toxicity, url_redirects
+from . import bpe, decontaminate, line_chunks, toxicity, url_redirects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op1_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_redirects.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     ids = F.array_join("ids", " ")
@@ -50,10 +54,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_url_redirects": op1_url_redirects,
+    "op4_line_chunks": op4_line_chunks,
     "op6_bpe": op6_bpe,
     "op7_toxicity": op7_toxicity,
     "op9_decontaminate": op9_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_line_chunks": line_chunks.ORACLE_SQL,
     "op9_decontaminate": decontaminate.ORACLE_SQL,
 }
