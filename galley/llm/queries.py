@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_chunks, toxicity, url_redirects
+from . import bpe, decontaminate, line_chunks, runlength_dedup, toxicity, url_redirects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,12 +52,19 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_runlength_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = runlength_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    n_removed = F.col("n_bytes") - F.octet_length("kept")
+    return cleaned.select("doc_id", "n_bytes", n_removed.cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_redirects": op1_url_redirects,
     "op4_line_chunks": op4_line_chunks,
     "op6_bpe": op6_bpe,
     "op7_toxicity": op7_toxicity,
     "op9_decontaminate": op9_decontaminate,
+    "op10_runlength_dedup": op10_runlength_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_line_chunks": line_chunks.ORACLE_SQL,
