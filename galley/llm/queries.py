@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_chunks, runlength_dedup, toxicity, url_redirects
+from . import bpe, decontaminate, line_chunks, pii, runlength_dedup, toxicity, url_redirects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,12 @@ def op1_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_redirects.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.expr(f"filter(base, s -> s.kind = {i})")).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
 def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -60,6 +66,7 @@ def op10_runlength_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_url_redirects": op1_url_redirects,
+    "op3_pii": op3_pii,
     "op4_line_chunks": op4_line_chunks,
     "op6_bpe": op6_bpe,
     "op7_toxicity": op7_toxicity,
