@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_chunks, pii, runlength_dedup, toxicity, url_redirects
+from . import bpe, decontaminate, line_chunks, ngram_join, pii, runlength_dedup, toxicity, url_redirects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op1_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_redirects.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [F.size(F.expr(f"filter(base, s -> s.kind = {i})")).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
@@ -66,6 +70,7 @@ def op10_runlength_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_url_redirects": op1_url_redirects,
+    "op2_ngram_join": op2_ngram_join,
     "op3_pii": op3_pii,
     "op4_line_chunks": op4_line_chunks,
     "op6_bpe": op6_bpe,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op10_runlength_dedup": op10_runlength_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": ngram_join.ORACLE_SQL,
     "op4_line_chunks": line_chunks.ORACLE_SQL,
     "op9_decontaminate": decontaminate.ORACLE_SQL,
 }
