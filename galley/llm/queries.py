@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_chunks, ngram_join, pii, runlength_dedup, toxicity, url_redirects
+from . import bpe, decontaminate, line_chunks, ngram_join, pii, quality_crf, runlength_dedup, toxicity, url_redirects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,11 @@ def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_crf.judge(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     ids = F.array_join("ids", " ")
@@ -73,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_pii": op3_pii,
     "op4_line_chunks": op4_line_chunks,
+    "op5_quality_crf": op5_quality_crf,
     "op6_bpe": op6_bpe,
     "op7_toxicity": op7_toxicity,
     "op9_decontaminate": op9_decontaminate,
