@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_chunks, ngram_join, pii, quality_crf, runlength_dedup, toxicity, url_redirects
+from . import bpe, decontaminate, language_id, line_chunks, ngram_join, pii, quality_crf, runlength_dedup, toxicity, url_redirects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = language_id.text_model(docs.select("text", "lang"))
+    found = language_id.identify(language_id.document_records(docs).union(language_id.page_records(pages)), model)
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("id"))
+    return found.select(of("document").alias("doc_id"), of("page").alias("page_id"), "lang", "confidence", "text_lang")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("items", ","), 256)
@@ -81,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality_crf": op5_quality_crf,
     "op6_bpe": op6_bpe,
     "op7_toxicity": op7_toxicity,
+    "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate,
     "op10_runlength_dedup": op10_runlength_dedup,
 }
