@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 #: One in so many rolling hashes closes a chunk; chunks of fewer lines than MIN_LINES are never removed.
 DIVISOR, MIN_LINES = 4, 2
 
@@ -36,13 +38,14 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     The first occurrence is the one of the least (doc_id, place in the document); repeats within a document count as
     well.  A text that loses everything becomes empty; a null text stays null.  Rows that share a doc_id count as one
-    document, and a null doc_id as an id of its own.  Columns with clashing names are replaced; an empty table stays empty.
+    document, and a null doc_id as an id of its own.  Other columns by the names used here (id, lost, left and the added ones) are dropped; an empty table stays empty.
     """
     added = ("n_lines", "n_removed_lines", "n_removed_chunks")
-    docs = docs.drop(*added)
+    docs = docs.drop(*added, "id", "lost", "left")
     keyed = docs.select("doc_id", "text")
     hashed = F.filter(F.transform(chunks_of(F.col("text")), lambda c, i: F.struct(i.alias("at"), F.size(c).alias("n"), F.xxhash64(_text(c)).alias("hash"))), lambda s: s["n"] >= MIN_LINES)
-    seen = keyed.select("doc_id", F.explode(hashed).alias("c")).select("doc_id", "c.at", "c.hash")
+    # hashes and places only, a few bytes a chunk: read twice below, so kept instead of hashing every text again
+    seen = cut(keyed.select("doc_id", F.explode(hashed).alias("c")).select("doc_id", "c.at", "c.hash"))
     repeated = seen.groupBy("hash").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "at")).alias("first")).where("times > 1").drop("times")
     marked = seen.join(repeated, "hash").select("doc_id", "at", "hash", F.struct("doc_id", "at").eqNullSafe(F.col("first")).alias("is_first"))
     per_doc = marked.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("at", "hash", "is_first")).alias("marks"))
@@ -53,15 +56,16 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     firsts = parts.where("is_first").groupBy("hash").agg(F.min("part").alias("kept_part"))
     gone = parts.where("not is_first").join(firsts, "hash").where("part = kept_part")
     lost = gone.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("at").alias("lost"))
-    out = docs.join(lost.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id").withColumn("chunks", chunks_of(F.col("text")))
-    lost = F.coalesce("lost", F.array().cast("array<int>"))
-    gone_lines = F.flatten(F.transform(lost, lambda i: F.get("chunks", i)))
-    left = F.flatten(F.filter("chunks", lambda c, i: ~F.array_contains(lost, i)))
+    out = docs.join(lost.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id")
+    # chunks are made again only for documents that lose some
+    chunks, touched = chunks_of(F.col("text")), F.col("lost").isNotNull()
+    left = F.flatten(F.filter(chunks, lambda c, i: ~F.array_contains("lost", i)))
+    out = out.withColumn("left", F.when(touched, left)).withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long"))
     return out.select(
-        *[F.when(F.size(lost) > 0, _text(left)).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.size(F.flatten("chunks")).cast("long").alias("n_lines"),
-        F.size(gone_lines).cast("long").alias("n_removed_lines"),
-        F.size(lost).cast("long").alias("n_removed_chunks"),
+        *[F.when(touched, _text(F.col("left"))).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        "n_lines",
+        F.when(touched, F.col("n_lines") - F.size("left")).otherwise(0).cast("long").alias("n_removed_lines"),
+        F.when(touched, F.size("lost")).otherwise(0).cast("long").alias("n_removed_chunks"),
     )
 
 
