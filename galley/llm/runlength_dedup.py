@@ -25,7 +25,7 @@ from .shared import cut
 LENGTH = 400
 #: Bytes of a k-mer; texts are hashed, and segments indexed, in groups of about so many bytes.
 KMER = 32
-GROUP_BYTES, INDEX_BYTES = 4_000_000, 6_000_000
+GROUP_BYTES, INDEX_BYTES = 1_000_000, 2_000_000
 C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 #: Bytes that UTF-8 never has: one parts the segments of an index, the others end it.
 SEPARATOR, TAIL = b"\xff", b"\xfe" * 8
@@ -205,27 +205,44 @@ def _find_segments(length: int):
 
 
 def _index(length: int):
-    """Rows come sorted by key; whole keys are gathered up to INDEX_BYTES, then indexed together."""
+    """Rows come sorted by key; whole keys are gathered up to INDEX_BYTES, then indexed together.
 
-    def emit(parts: list, copies: list) -> pa.RecordBatch:
-        spans = repeated_windows(parts, copies, length)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([hashlib.md5(p).digest() for p in parts], pa.binary()), pa.array([[{"a": x, "b": y} for x, y in s] for s in spans], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["part_md5", "ranges"]
-        )
+    A key of one segment that has copies needs no index: all of it repeats.
+    """
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, copies, size, last_key = [], [], 0, None
+    def emit(parts: list[bytes], spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([hashlib.md5(p).digest() for p in parts], pa.binary()), pa.array([[{"a": x, "b": y} for x, y in s] for s in spans], kind)], ["part_md5", "ranges"])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, int]]]:
+        group, last = [], None
         for batch in batches:
-            for key, part, n in zip(batch["key"].to_pylist(), batch["part"].to_pylist(), batch["n"].to_pylist(), strict=True):
-                if size >= INDEX_BYTES and key != last_key:
-                    yield emit(parts, copies)
-                    parts, copies, size = [], [], 0
-                parts.append(part)
-                copies.append(n)
-                size += len(part) + 1
-                last_key = key
-        if parts:
-            yield emit(parts, copies)
+            for key, part, n in zip(batch["key"].to_pylist(), batch["part"], batch["n"].to_pylist(), strict=True):
+                if group and key != last:
+                    yield group
+                    group = []
+                group.append((part.as_py(), n))
+                last = key
+        if group:
+            yield group
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, whole = [], 0, []
+        for group in keys(batches):
+            if len(group) == 1 and group[0][1] > 1:
+                whole.append(group[0][0])
+            else:
+                held += group
+                size += sum(len(p) + 1 for p, _ in group)
+            if size >= INDEX_BYTES:
+                yield emit([p for p, _ in held], repeated_windows([p for p, _ in held], [n for _, n in held], length))
+                held, size = [], 0
+            if len(whole) >= 2000:
+                yield emit(whole, [[(0, len(p))] for p in whole])
+                whole = []
+        if held:
+            yield emit([p for p, _ in held], repeated_windows([p for p, _ in held], [n for _, n in held], length))
+        yield emit(whole, [[(0, len(p))] for p in whole])
 
     return run
 
