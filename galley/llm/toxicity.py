@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import cut
@@ -116,27 +116,30 @@ def train(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), w[at].astype(np.float32)
 
 
-def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs(key, text)`` -> ``key, score, predicted``; nothing but the text enters the score.
+def scorer(spark: SparkSession, weights: tuple[np.ndarray, np.ndarray]):
+    """A function of a text column: the probability of label 1.  Nothing but the text enters it.
 
     A null or empty text has the bias only; without any weights every score is 0.
     """
-    spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         at, w = shared.value
         dense = np.zeros(1 << BITS, np.float32)
         dense[at] = w
         hashes = _Hashes()
-        for pdf in batches:
-            raw = np.array([dense[features(t, hashes)].sum(dtype=np.float64) for t in pdf["text"]]) if len(at) else np.full(len(pdf), -np.inf)
-            yield pd.DataFrame({"key": pdf["key"], "score": 1 / (1 + np.exp(-np.clip(raw, -700, 700))) * np.isfinite(raw)})
+        for texts in batches:
+            raw = np.array([dense[features(t, hashes)].sum(dtype=np.float64) for t in texts])
+            yield pd.Series(1 / (1 + np.exp(-np.clip(raw, -700, 700))) if len(at) else np.zeros(len(texts)))
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
-    out = rows.mapInPandas(run, f"key {kind}, score double")
-    return out.select(F.col("key").alias(key), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return score_of
+
+
+def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs(key, text)`` -> ``key, score, predicted``."""
+    out = docs.select(F.col(key).alias(key), scorer(docs.sparkSession, weights)(F.col(text)).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def held_out(key: str = "doc_id"):
