@@ -152,16 +152,21 @@ def _brute_force(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _links(nodes, a, b)
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Large buckets: rows of one block against those of another (or the same) block."""
-    for table in _grouped(batches, ["path", "x", "y"], 1):
-        for part in _split(table, ["path", "x", "y"]):
-            nodes, emb = part["node"].to_numpy(), _matrix(part["embedding"])
-            agree = np.zeros((len(nodes), len(nodes)), np.int16)
-            for c in range(COORDINATES):
-                agree += emb[:, c][:, None] == emb[:, c][None, :]
-            a, b = np.nonzero(np.triu(agree >= AGREE * COORDINATES, 1))
-            yield _links(nodes, a, b)
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Large buckets: a block of probes against all rows of the bucket; links to other components than their own."""
+    for table in _grouped(batches, ["path", "y"], 1):
+        for part in _split(table, ["path", "y"]):
+            nodes, comp, emb = part["node"].to_numpy(), part["component"].to_numpy(), _matrix(part["embedding"])
+            probes = np.flatnonzero(part["probe"].to_numpy(zero_copy_only=False))
+            found = []
+            for a in range(0, len(nodes), 4096):
+                agree = np.zeros((len(probes), min(4096, len(nodes) - a)), np.int16)
+                for c in range(COORDINATES):
+                    agree += emb[probes, c][:, None] == emb[a : a + 4096, c][None, :]
+                i, j = np.nonzero((agree >= AGREE * COORDINATES) & (comp[probes][:, None] != comp[a : a + 4096][None, :]))
+                found.append(np.stack([nodes[probes[i]], comp[a + j]]))
+            src, dst = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
 
 def _split(table: pa.Table, keys: list[str]) -> Iterator[pa.Table]:
@@ -268,11 +273,14 @@ def candidate_links(sets: DataFrame, runs: int) -> DataFrame:
     links = cut(links.union(led))
     groups = connected_components(links)
     placed = large.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("path").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("path")
-    n, block = _in_blocks(F.col("n"), F.col("node"))
-    blocks = large.join(mixed, "path").select("path", "node", n.alias("blocks"), block.alias("block"))
-    spread = blocks.select("path", "node", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("x"), F.greatest("block", k).alias("y")))).alias("p")).select("path", "node", "p.x", "p.y")
-    rest = spread.join(sets, "node").select("path", "x", "y", "node", "embedding").repartition("path", "x", "y").sortWithinPartitions("path", "x", "y").mapInArrow(_block_pairs, near)
+    shares = placed.groupBy("path", "component").agg(F.count("*").alias("k"))
+    majors = shares.groupBy("path").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.sum("k").alias("n"), F.max("k").alias("k")).where("k < n")
+    # the sets outside a bucket's largest component probe all of it; pairs inside that component are linked already
+    n, block = _in_blocks(F.col("n") - F.col("k"), F.col("node"))
+    mixed = placed.drop("n").join(majors, "path").select("path", "node", "component", (F.col("component") != F.col("major")).alias("other"), n.alias("blocks"), block.alias("block"))
+    spread = mixed.select("path", "node", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(y.alias("y"), (F.col("other") & (F.col("block") == y)).alias("probe")))).alias("p"))
+    probes = spread.select("path", "node", "component", "p.y", "p.probe").join(sets, "node").select("path", "y", "probe", "node", "component", "embedding")
+    rest = probes.repartition("path", "y").sortWithinPartitions("path", "y").mapInArrow(_probe, near)
     return cut(links.union(rest))
 
 
