@@ -93,7 +93,7 @@ def safe_area_bbox(spark, d):
 
 
 @query(
-    f"SELECT asset_id, k AS piece_type, CASE WHEN k IS NOT NULL THEN 1080.0 END AS canvas_w, CASE k WHEN '1:1' THEN 1080.0 WHEN 'ST' THEN 1920.0 END AS canvas_h FROM (SELECT *, {KIND} AS k FROM fx_assets)",
+    f"SELECT asset_id, k AS piece_type, CASE WHEN k IS NOT NULL THEN 1080.0E0 END AS canvas_w, CASE k WHEN '1:1' THEN 1080.0E0 WHEN 'ST' THEN 1920.0E0 END AS canvas_h FROM (SELECT *, {KIND} AS k FROM fx_assets)",
     "fx_assets",
 )
 def apply_layout_rules(spark, d):
