@@ -94,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op10_runlength_dedup": op10_runlength_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_redirects": url_redirects.oracle_sql(URL_RULES),
     "op2_ngram_join": ngram_join.ORACLE_SQL,
     "op4_line_chunks": line_chunks.ORACLE_SQL,
     "op9_decontaminate": decontaminate.ORACLE_SQL,

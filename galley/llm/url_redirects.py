@@ -89,3 +89,32 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: D
     decided = ruled.select("url", "rule", "rule_verdict", "alias_group").join(blocked, "alias_group", "left")
     verdict = F.coalesce("rule_verdict", F.when(F.coalesce("any_blocked", F.lit(False)), "block").otherwise("allow"))
     return pages.join(decided, "url", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "alias_group")
+
+
+def oracle_sql(rules: list[tuple[str, str, str]]) -> str:
+    """DuckDB SQL with the rows of ``judge_urls`` over ``pages`` for these rules."""
+    values = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
+    host = "translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = "regexp_extract(rest, '^[^/?#]*([^?#]*)', 1)"
+    rest = "CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END"
+    return rf"""
+WITH RECURSIVE rules(verdict, rh, rp) AS (VALUES {values}),
+pg AS (SELECT page_id, url, html, {host} AS host FROM (SELECT *, {rest} AS rest FROM pages)),
+tags AS (SELECT url, host, unnest(list_concat(
+    list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical\b')), lambda t: regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?i)http-equiv\s*=\s*["'']?refresh\b')), lambda t: regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))) AS t FROM pg WHERE host <> ''),
+links AS (SELECT DISTINCT url AS src, CASE WHEN contains(t, '://') THEN t WHEN t[:2] = '//' THEN split_part(url, '://', 1) || ':' || t WHEN t[:1] = '/' THEN split_part(url, '://', 1) || '://' || host || t END AS dst FROM tags WHERE t <> ''),
+urls AS (SELECT url FROM pg WHERE host <> '' UNION SELECT src FROM links WHERE dst IS NOT NULL UNION SELECT dst FROM links WHERE dst IS NOT NULL),
+parts AS (SELECT url, {host} AS host, {path} AS path FROM (SELECT url, {rest} AS rest FROM urls)),
+keyed AS (SELECT url, host, path, CASE WHEN host <> '' THEN regexp_replace(host, '^(?:www|m)\.', '') || regexp_replace(regexp_replace(path, '\.html?$', ''), '/+$', '') || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS key
+  FROM (SELECT *, array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^{TRACKING}(=|$)')), '&') AS q FROM parts)),
+ruled AS (SELECT url, rh || rp AS rule, verdict, row_number() OVER (PARTITION BY url ORDER BY length(rh || rp) DESC, rh || rp) AS n FROM parts JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
+named AS (SELECT k.url, k.key, r.rule, r.verdict FROM keyed k LEFT JOIN ruled r ON r.url = k.url AND n = 1),
+edges AS (SELECT DISTINCT a.key AS a, b.key AS b FROM links JOIN keyed a ON a.url = src JOIN keyed b ON b.url = dst WHERE a.key <> b.key),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(a, b) AS (SELECT DISTINCT key, key FROM named WHERE key IS NOT NULL UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b),
+groups AS (SELECT a AS key, min(b) AS g FROM reach GROUP BY a),
+decided AS (SELECT url, rule, verdict, g, bool_or(coalesce(verdict = 'block', false)) OVER (PARTITION BY g) AS any_blocked FROM named LEFT JOIN groups USING (key))
+SELECT page_id, x.host, x.path, d.rule, coalesce(d.verdict, CASE WHEN d.any_blocked THEN 'block' ELSE 'allow' END) AS verdict, d.g AS alias_group
+FROM (SELECT page_id, url, {host} AS host, {path} AS path FROM (SELECT page_id, url, {rest} AS rest FROM pages)) x LEFT JOIN decided d ON d.url = x.url
+"""
