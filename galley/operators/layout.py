@@ -12,25 +12,37 @@ def confidence_metrics(words: DataFrame) -> DataFrame:
     return words.groupBy("asset_id").agg(F.avg("confidence").alias("avg_confidence"), F.min("confidence").alias("min_confidence"))
 
 
-def largest_gap_split(rows: DataFrame, keys: tuple[str, ...], value: str, span: str, share: float = 0.20) -> DataFrame:
-    """``keys, split``: the middle of the largest gap between sorted values of a group.
+def largest_gaps(keys: tuple[str, ...], value: str, span: str) -> Column:
+    """A value of a sorted group with its successor, its place, the group's size and span, as a window expression."""
+    group = W.partitionBy(*keys)
+    order = group.orderBy(value)
+    return F.struct(
+        F.col(value).cast("double").alias("v"),
+        F.lead(F.col(value).cast("double")).over(order).alias("next"),
+        F.row_number().over(order).alias("i"),
+        F.count("*").over(group).alias("n"),
+        F.col(span).cast("double").alias("span"),
+    )
+
+
+def _split_of(gaps: Column, keys: tuple[str, ...], share: float) -> Column:
+    """The middle of the largest gap; null without a split.
 
-    There is a split only for six or more values, if the gap is at least ``share`` of the group's ``span`` and leaves
-    two values on both sides; of equal gaps the first counts.
+    There is a split only for six or more values, if the gap is at least ``share`` of the group's span and leaves two
+    values on both sides; of equal gaps the first counts.
     """
-    order = W.partitionBy(*keys).orderBy("v")
-    placed = rows.select(*keys, F.col(value).cast("double").alias("v"), F.col(span).cast("double").alias("span"))
-    gaps = placed.select(*keys, "v", "span", F.row_number().over(order).alias("i"), F.lead("v").over(order).alias("next"), F.count("*").over(W.partitionBy(*keys)).alias("n"))
-    best = gaps.where("next is not null").groupBy(*keys).agg(F.max_by(F.struct("v", "next", "span", "i", "n"), F.struct(F.col("next") - F.col("v"), -F.col("i"))).alias("b"))
-    enough = (F.col("b.n") >= 6) & (F.col("b.i") >= 2) & (F.col("b.n") - F.col("b.i") >= 2) & (F.col("b.span") > 1e-6)
-    wide = (F.col("b.next") - F.col("b.v")) / F.nullif(F.col("b.span"), F.lit(0.0)) >= share
-    return best.select(*keys, F.when(enough & wide, (F.col("b.v") + F.col("b.next")) / 2.0).alias("split"))
+    best = F.max(F.when(gaps["next"].isNotNull(), F.struct((gaps["next"] - gaps["v"]).alias("gap"), (-gaps["i"]).alias("i"), gaps.alias("g")))).over(W.partitionBy(*keys))
+    g = best["g"]
+    enough = (g["n"] >= 6) & (g["i"] >= 2) & (g["n"] - g["i"] >= 2) & (g["span"] > 1e-6)
+    wide = best["gap"] / F.nullif(g["span"], F.lit(0.0)) >= share
+    return F.when(enough & wide, (g["v"] + g["next"]) / 2.0)
 
 
 def macro_zones(lines: DataFrame, keys: tuple[str, ...] = ("asset_id",), x_share: float = 0.20, y_share: float = 0.22, prefix: str = "Z_") -> DataFrame:
     """Boxes with ``zone``: T or B and L or R by the splits of their centres; A where an axis has none, ALL for both.
 
-    The spans are those of the group's common box.
+    The spans are those of the group's common box.  All steps are windows over one partitioning: no join, so what
+    made the boxes runs once.
     """
     group = W.partitionBy(*keys)
     placed = lines.withColumns(
@@ -41,13 +53,13 @@ def macro_zones(lines: DataFrame, keys: tuple[str, ...] = ("asset_id",), x_share
             "span_y": F.max(F.col("y") + F.col("h")).over(group) - F.min("y").over(group),
         }
     )
-    x = largest_gap_split(placed, keys, "cx", "span_x", x_share).withColumnRenamed("split", "sx")
-    y = largest_gap_split(placed, keys, "cy", "span_y", y_share).withColumnRenamed("split", "sy")
+    gaps = placed.withColumns({"gap_x": largest_gaps(keys, "cx", "span_x"), "gap_y": largest_gaps(keys, "cy", "span_y")})
+    split = gaps.withColumns({"sx": _split_of(F.col("gap_x"), keys, x_share), "sy": _split_of(F.col("gap_y"), keys, y_share)})
     v = F.when(F.col("sy").isNull(), "A").when(F.col("cy") < F.col("sy"), "T").otherwise("B")
     h = F.when(F.col("sx").isNull(), "A").when(F.col("cx") < F.col("sx"), "L").otherwise("R")
     none = F.col("sx").isNull() & F.col("sy").isNull()
     zone = F.when(none, f"{prefix}ALL").otherwise(F.concat(F.lit(prefix), v, h))
-    return placed.join(x, list(keys), "left").join(y, list(keys), "left").withColumn("zone", zone).drop("sx", "sy", "span_x", "span_y")
+    return split.withColumn("zone", zone).drop("gap_x", "gap_y", "sx", "sy", "span_x", "span_y")
 
 
 def line_of_words(words: DataFrame, share: float = 0.6) -> DataFrame:

@@ -1,0 +1 @@
+"""End-to-end jobs composed of the operators."""

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.geometry import Box, iou, overlap_ratio
-from .operators import assets, batch, catalog, colors, fields, layout, regions
+from .operators import assets, batch, catalog, colors, fields, grouping, layout, regions
+from .plans import compliance
 from .sources.fixtures import duck, fixture
+from .streaming import status
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -523,3 +525,41 @@ def filter_batch(spark, d):
 @query(CARDS + " SELECT item_id, score_general FROM cards ORDER BY CASE WHEN state = 'listo' THEN score_general END DESC NULLS LAST, item_id", "fx_items")
 def sort_batch(spark, d):
     return batch.sort_batch(fixture(spark, d, "fx_items"), "score_alto").select("item_id", "score_general")
+
+
+# --- order-dependent grouping, streams' batch forms, whole results ------------------------------------------------
+
+
+@query()
+def group_lines(spark, d):
+    return grouping.group_lines(fixture(spark, d, "fx_words")).withColumn("words", F.array_join(F.col("words").cast("array<string>"), ","))
+
+
+@query()
+def build_layout(spark, d):
+    return grouping.build_layout(fixture(spark, d, "fx_words")).withColumn("words", F.array_join(F.col("words").cast("array<string>"), ","))
+
+
+@query(
+    FOUND.replace("SELECT unnest(", "SELECT date_trunc('hour', ts) AS hour, unnest(").replace("SELECT key, count(*) AS n FROM f WHERE key IS NOT NULL GROUP BY key", "SELECT hour, key, count(*) AS n FROM f WHERE key IS NOT NULL GROUP BY hour, key")
+    + " SELECT CAST(epoch(hour) AS BIGINT) AS hour, key, n FROM counted",
+    "fx_items",
+)
+def stream_findings(spark, d):
+    return status.findings_per_hour(fixture(spark, d, "fx_items"), None).select(F.unix_timestamp("hour").alias("hour"), "key", "n")
+
+
+@query(
+    """, last AS (SELECT batch_id, item_id, arg_max(state, (ts, state)) AS state FROM fx_items GROUP BY 1, 2)
+    SELECT batch_id, count(*) AS total, count(*) FILTER (WHERE state = 'pendiente') AS pendientes, count(*) FILTER (WHERE state IN ('subiendo', 'analizando')) AS en_proceso, count(*) FILTER (WHERE state = 'listo') AS completadas, count(*) FILTER (WHERE state = 'error') AS con_error FROM last GROUP BY 1""",
+    "fx_items",
+)
+def stream_batch_status(spark, d):
+    return status.status_summary(status.latest_states(fixture(spark, d, "fx_items")))
+
+
+@query()
+def piece_results(spark, d):
+    blocks = fixture(spark, d, "fx_blocks")
+    color = blocks.groupBy("asset_id").agg(F.min("main_color").alias("main_color"), F.lit(0.7).alias("color_confidence"))
+    return compliance.piece_results(fixture(spark, d, "fx_assets"), blocks, color, fixture(spark, d, "fx_catalog"))
