@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, stored
 
 LENGTH = 400
 #: Bytes of a k-mer; texts are hashed, and segments indexed, in groups of about so many bytes.
@@ -193,56 +193,44 @@ def _batches(lengths: np.ndarray, most: int) -> list[tuple[int, int]]:
 
 
 def _find_segments(length: int):
+    """Segments of each text, with 64 bits of their digest: with the key, which depends on the same bytes, their identity."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in _batches(pc.binary_length(batch["bytes"]).to_numpy(zero_copy_only=False).astype(np.int64), GROUP_BYTES):
                 part = batch.slice(a, b - a)
-                row, key, first, last, weight = segments(part["bytes"].to_pylist(), length)
+                texts = part["bytes"].to_pylist()
+                row, key, first, last, weight = segments(texts, length)
+                views = [memoryview(t) for t in texts]
+                digests = b"".join(hashlib.md5(views[r][x : y + length]).digest()[:8] for r, x, y in zip(row.tolist(), first.tolist(), last.tolist(), strict=True))
                 rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part["doc_id"].take(rows), part["digest"].take(rows), pa.array(key), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(weight)], ["doc_id", "digest", "key", "first", "last", "weight"])
+                columns = [part["doc_id"].take(rows), part["digest"].take(rows), pa.array(key), pa.array(np.frombuffer(digests, np.int64)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(weight, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "key", "part", "first", "last", "weight"])
 
     return run
 
 
 def _index(length: int):
-    """Rows come sorted by key; whole keys are gathered up to INDEX_BYTES, then indexed together.
-
-    A key of one segment that has copies needs no index: all of it repeats.
-    """
+    """Rows come sorted by key and segment; whole keys are gathered up to INDEX_BYTES, then indexed together."""
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
-    def emit(parts: list[bytes], spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([hashlib.md5(p).digest() for p in parts], pa.binary()), pa.array([[{"a": x, "b": y} for x, y in s] for s in spans], kind)], ["part_md5", "ranges"])
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, int]]]:
-        group, last = [], None
-        for batch in batches:
-            for key, part, n in zip(batch["key"].to_pylist(), batch["part"], batch["n"].to_pylist(), strict=True):
-                if group and key != last:
-                    yield group
-                    group = []
-                group.append((part.as_py(), n))
-                last = key
-        if group:
-            yield group
+    def emit(held: list[tuple]) -> pa.RecordBatch:
+        spans = repeated_windows([r[3] for r in held], [r[2] for r in held], length)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.int64()), pa.array([[{"a": x, "b": y} for x, y in s] for s in spans], kind)], ["key", "part", "ranges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, whole = [], 0, []
-        for group in keys(batches):
-            if len(group) == 1 and group[0][1] > 1:
-                whole.append(group[0][0])
-            else:
-                held += group
-                size += sum(len(p) + 1 for p, _ in group)
-            if size >= INDEX_BYTES:
-                yield emit([p for p, _ in held], repeated_windows([p for p, _ in held], [n for _, n in held], length))
-                held, size = [], 0
-            if len(whole) >= 2000:
-                yield emit(whole, [[(0, len(p))] for p in whole])
-                whole = []
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*(batch[c].to_pylist() for c in ("key", "part", "n", "bytes")), strict=True):
+                if size >= INDEX_BYTES and row[0] != held[-1][0]:
+                    yield emit(held)
+                    held, size = [], 0
+                if held and row[:2] == held[-1][:2]:  # of a repeated row
+                    continue
+                held.append(row)
+                size += len(row[3]) + 1
         if held:
-            yield emit([p for p, _ in held], repeated_windows([p for p, _ in held], [n for _, n in held], length))
-        yield emit(whole, [[(0, len(p))] for p in whole])
+            yield emit(held)
 
     return run
 
@@ -276,16 +264,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = docs.select(F.col("doc_id").alias("doc_id"), data.alias("bytes"), F.xxhash64("doc_id", data).alias("digest"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = cut(docs.select("doc_id", "digest", "bytes").mapInArrow(_find_segments(length), f"doc_id {id_type}, digest long, key long, first int, last int, weight long"))
+    found = stored(docs.select("doc_id", "digest", "bytes").mapInArrow(_find_segments(length), f"doc_id {id_type}, digest long, key long, part long, first int, last int, weight int"))
     again = found.groupBy("key").agg(F.sum("weight").alias("times")).where("times > 1").select("key")
-    wanted = found.join(again, "key").groupBy(F.col("doc_id").alias("id"), F.col("digest").alias("dig")).agg(F.collect_set(F.struct("key", "first", "last")).alias("segments"))
+    repeated = stored(found.join(again, "key").drop("weight"))
+    # one occurrence of each distinct segment stands for all; a key of one copied segment needs no text: all of it repeats
+    one = repeated.groupBy("key", "part").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "digest", "first", "last")).alias("at"))
+    keys = one.groupBy("key").agg(((F.count("*") == 1) & (F.max("n") > 1)).alias("whole"))
+    one = cut(one.join(keys, "key"))
+    whole = one.where("whole").select("key", "part", F.array(F.struct(F.lit(0).alias("a"), (F.col("at.last") - F.col("at.first") + length).alias("b"))).alias("ranges"))
+    wanted = one.where("not whole").groupBy(F.col("at.doc_id").alias("id"), F.col("at.digest").alias("dig")).agg(F.collect_list(F.struct("key", "part", "n", "at.first", "at.last")).alias("segments"))
     same = F.col("digest").eqNullSafe(F.col("dig")) & F.col("doc_id").eqNullSafe(F.col("id"))
-    cut_up = docs.join(wanted.hint("shuffle_hash"), same, "left").where("segments is not null")
-    s = F.col("s")
-    parts = cut_up.select("doc_id", "digest", "bytes", F.explode("segments").alias("s")).select("doc_id", "digest", s["key"].alias("key"), s["first"].alias("first"), F.expr(f"substring(bytes, s.first + 1, s.last - s.first + {length})").alias("part"))
-    distinct = parts.groupBy("key", "part").agg(F.count("*").alias("n"))
-    marks = cut(distinct.repartition("key").sortWithinPartitions("key").mapInArrow(_index(length), "part_md5 binary, ranges array<struct<a:int,b:int>>").where("size(ranges) > 0"))
-    met = parts.select("doc_id", "digest", "first", F.unhex(F.md5("part")).alias("part_md5")).join(marks, "part_md5")
+    cut_up = docs.join(wanted.hint("shuffle_hash"), same, "left").where("segments is not null").select("bytes", F.explode("segments").alias("s"))
+    texts = cut_up.select("s.key", "s.part", "s.n", F.expr(f"substring(bytes, s.first + 1, s.last - s.first + {length})").alias("bytes"))
+    indexed = texts.repartition("key").sortWithinPartitions("key", "part").mapInArrow(_index(length), "key long, part long, ranges array<struct<a:int,b:int>>").where("size(ranges) > 0")
+    marks = cut(indexed.union(whole))
+    met = repeated.join(marks, ["key", "part"])
     moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))
     ranges = met.groupBy(F.col("doc_id").alias("id"), F.col("digest").alias("dig")).agg(F.flatten(F.collect_list(moved)).alias("ranges"))
     joined = docs.join(ranges.hint("shuffle_hash"), same, "left").select("doc_id", "bytes", "ranges")
