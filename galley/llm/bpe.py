@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pieces whose codes a worker keeps between groups; beyond it starts anew, so its memory is bounded.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 250_000
 #: Texts are coded in groups of about this many characters, which bounds the relations of one recursive query.
-GROUP_CHARS = 3_000_000
+GROUP_CHARS = 1_000_000
 #: Vocabularies above this size are refused: the ranks are sent to every worker.
 MAX_VOCABULARY = 1_000_000
 #: Longer pieces (in bytes) take the query that contracts all occurrences of the least pair in one round.
@@ -90,7 +90,7 @@ class Coder:
         self.ranks = dict(ranks)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.codes: dict[str, tuple[bytes, bytes]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         given = pa.table({"token": [t.hex() for t, _ in ranks], "id": pa.array([r for _, r in ranks], pa.int32())})
         self.db.register("given", given)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
@@ -201,7 +201,7 @@ def decode(tokens: DataFrame, ranks_path: str, key: str = "doc_id", ids: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         db.register("vocabulary", pa.table({"token": [t.hex() for t, _ in shared.value], "id": pa.array([r for _, r in shared.value], pa.int32())}))
         for batch in batches:
             for a in range(0, len(batch), 500):
