@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, lower_ascii
+from .shared import bound, cut, lower_ascii
 
 #: Words of an item's window.
 WINDOW = 10
@@ -60,9 +60,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     met = places.join(_small(keys, n_windows), "word").select("doc_id", "pos", F.explode("windows").alias("w")).where("pos >= w.offset")
     candidates = met.groupBy("doc_id").agg(F.collect_set(F.struct((F.col("pos") - F.col("w.offset")).alias("start"), F.col("w.words").alias("words"), F.col("w.items").alias("items"))).alias("candidates"))
     candidates = candidates.withColumnRenamed("doc_id", "id").hint("shuffle_hash")
-    joined = docs.join(candidates, F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", words_of(F.col("text")).alias("all"), "candidates")
-    exact = F.filter("candidates", lambda c: F.slice("all", c["start"] + 1, F.size(c["words"])) == c["words"])
-    hit = joined.select("doc_id", F.size("all").cast("long").alias("n_words"), F.coalesce(exact, F.array().cast(joined.schema["candidates"].dataType)).alias("hits"))
+    joined = docs.join(candidates, F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    none = F.array().cast(candidates.schema["candidates"].dataType)
+    exact = lambda all_: F.filter("candidates", lambda c: F.slice(all_, c["start"] + 1, F.size(c["words"])) == c["words"])
+    checked = bound(words_of(F.col("text")), lambda all_: F.struct(F.size(all_).cast("long").alias("n"), F.coalesce(exact(all_), none).alias("hits")))
+    hit = joined.select("doc_id", checked.alias("checked")).select("doc_id", F.col("checked.n").alias("n_words"), F.col("checked.hits").alias("hits"))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + F.size(h["words"]) - 1))))
     return hit.select(
         "doc_id",
