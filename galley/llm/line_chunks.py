@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import bound, cut
 
 #: One in so many rolling hashes closes a chunk; chunks of fewer lines than MIN_LINES are never removed.
 DIVISOR, MIN_LINES = 4, 2
@@ -20,12 +20,16 @@ DIVISOR, MIN_LINES = 4, 2
 def chunks_of(text: Column) -> Column:
     """The chunks of a text, each an array of its lines; null and empty texts have one chunk with one empty line."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    hashes = F.transform(lines, lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("long"))
-    rolled = F.zip_with(hashes, F.concat(F.array(F.lit(0).cast("long")), F.slice(hashes, 1, F.size(hashes) - 1)), lambda h, before: (h * 31 + before) % DIVISOR)
-    ends = F.filter(F.transform(rolled, lambda r, i: F.when(r == 0, i + 1)), lambda e: e.isNotNull())
-    ends = F.array_distinct(F.array_append(ends, F.size(lines)))
-    starts = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
-    return F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a))
+    hashes = lambda ls: F.transform(ls, lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("long"))
+    rolled = lambda hs: F.zip_with(hs, F.concat(F.array(F.lit(0).cast("long")), F.slice(hs, 1, F.size(hs) - 1)), lambda h, before: (h * 31 + before) % DIVISOR)
+    closed = lambda hs: F.filter(F.transform(rolled(hs), lambda r, i: F.when(r == 0, i + 1)), lambda e: e.isNotNull())
+    starts = lambda ends: F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
+
+    def cut_at(ls: Column) -> Column:
+        ends = F.array_distinct(F.array_append(bound(hashes(ls), closed), F.size(ls)))
+        return bound(ends, lambda es: F.zip_with(starts(es), es, lambda a, b: F.slice(ls, a + 1, b - a)))
+
+    return bound(lines, cut_at)
 
 
 def _text(chunk: Column) -> Column:
@@ -50,9 +54,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     marked = seen.join(repeated, "hash").select("doc_id", "at", "hash", F.struct("doc_id", "at").eqNullSafe(F.col("first")).alias("is_first"))
     per_doc = marked.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("at", "hash", "is_first")).alias("marks"))
     met = keyed.join(per_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")), "left").where("marks is not null")
-    parts = met.select("doc_id", chunks_of(F.col("text")).alias("chunks"), "marks").select(
-        "doc_id", F.explode(F.transform("marks", lambda m: F.struct(m["at"].alias("at"), m["hash"].alias("hash"), m["is_first"].alias("is_first"), _text(F.get("chunks", m["at"])).alias("part")))).alias("m")
-    ).select("doc_id", "m.*")
+    marked_parts = lambda chunks: F.transform("marks", lambda m: F.struct(m["at"].alias("at"), m["hash"].alias("hash"), m["is_first"].alias("is_first"), _text(F.get(chunks, m["at"])).alias("part")))
+    parts = met.select("doc_id", F.explode(bound(chunks_of(F.col("text")), marked_parts)).alias("m")).select("doc_id", "m.*")
     firsts = parts.where("is_first").groupBy("hash").agg(F.min("part").alias("kept_part"))
     gone = parts.where("not is_first").join(firsts, "hash").where("part = kept_part")
     lost = gone.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("at").alias("lost"))
