@@ -11,6 +11,7 @@ from .functions import text as T
 from .functions.geometry import Box, iou, overlap_ratio
 from .operators import assets, batch, catalog, colors, fields, grouping, layout, regions
 from .plans import compliance
+from .sources import ingest
 from .sources.fixtures import duck, fixture
 from .streaming import status
 
@@ -563,3 +564,43 @@ def piece_results(spark, d):
     blocks = fixture(spark, d, "fx_blocks")
     color = blocks.groupBy("asset_id").agg(F.min("main_color").alias("main_color"), F.lit(0.7).alias("color_confidence"))
     return compliance.piece_results(fixture(spark, d, "fx_assets"), blocks, color, fixture(spark, d, "fx_catalog"))
+
+
+# --- sources ------------------------------------------------------------------------------------------------------
+
+SHEET = ("Campaña", " Marca", "DESCRIPCIÓN", "sku", "Precio CMR", "precio-regular", "Precio antes")
+
+
+def _grid(spark, d):
+    """The catalog as an untyped sheet: the header on row 0, repeated rows of cells below."""
+    rows = fixture(spark, d, "fx_catalog").select((F.col("row_index") + 1).alias("row_index"), F.array(*catalog.FIELDS).alias("cells"))
+    return rows.union(spark.createDataFrame([(0, list(SHEET))], "row_index long, cells array<string>"))
+
+
+@query("SELECT min(n) AS header_row FROM (SELECT 0::BIGINT AS n FROM fx_catalog)", "fx_catalog")
+def find_header_row(spark, d):
+    return ingest.find_header_row(_grid(spark, d))
+
+
+@query(f"SELECT row_index + 1 AS row_index, {', '.join(f'trim({f}) AS {f}' for f in catalog.FIELDS)} FROM fx_catalog", "fx_catalog")
+def map_headers(spark, d):
+    return ingest.map_headers(_grid(spark, d), max_rows=2**31 - 1)
+
+
+@query(
+    """, n AS (SELECT event_id, asset_id, class_name, x + w AS x1, y + h AS y1, x AS x2, y AS y2 FROM fx_detections),
+    b AS (SELECT asset_id, class_name, least(x1, x2) AS x, least(y1, y2) AS y, abs(x1 - x2) AS w, abs(y1 - y2) AS h FROM n)
+    SELECT asset_id, x, y, w, h FROM b""",
+    "fx_detections",
+)
+def ingest_detections(spark, d):
+    x, y, w, h = (F.col(c) for c in "xywh")
+    raw = fixture(spark, d, "fx_detections").select("asset_id", "class_name", (x + w).alias("x1"), (y + h).alias("y1"), x.alias("x2"), y.alias("y2"), "confidence")
+    return ingest.ingest_detections(raw).select("asset_id", *"xywh")
+
+
+@query("SELECT asset_id, word_index, text, x, y, w, h FROM fx_words WHERE trim(text) <> ''", "fx_words")
+def ingest_ocr_words(spark, d):
+    box = F.array(*[F.col(c).cast("double") for c in "xywh"])
+    words = fixture(spark, d, "fx_words").groupBy("asset_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "text", box.alias("box"), "confidence"))), lambda s: F.struct(s["text"].alias("text"), s["box"].alias("box"), s["confidence"].alias("confidence")))).alias("words"))
+    return ingest.ingest_words(words).select("asset_id", "word_index", "text", *"xywh")
