@@ -124,10 +124,10 @@ def text_role(text: Column) -> Column:
     )
 
 
-def ocr_score(average: Column, least: Column, length: Column, ratio: Column) -> Column:
-    """Weighted quality of recognised text, 0 to 1 with four digits; null without text."""
+def ocr_score(average: Column, least: Column, length: Column, ratio: Column, digits: int = 4) -> Column:
+    """Weighted quality of recognised text, 0 to 1 with so many digits; null without text."""
     raw = 0.55 * average + 0.20 * least + 0.15 * F.least(length / F.lit(120.0), F.lit(1.0)) + 0.10 * (F.lit(1.0) - ratio)
-    return F.when(length > 0, F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 4))
+    return F.when(length > 0, F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), digits))
 
 
 def merge_page_text(a: Column, b: Column) -> Column:

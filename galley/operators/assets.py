@@ -102,3 +102,16 @@ def text_inside_safe_area(words: DataFrame, areas: DataFrame) -> DataFrame:
     box = words.where("w > 0 and h > 0").groupBy("asset_id").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max(F.col("x") + F.col("w")).alias("x2"), F.max(F.col("y") + F.col("h")).alias("y2"))
     inside = (F.col("x1") >= F.col("safe_x")) & (F.col("y1") >= F.col("safe_y")) & (F.col("x2") <= F.col("safe_x") + F.col("safe_width")) & (F.col("y2") <= F.col("safe_y") + F.col("safe_height"))
     return areas.join(box, "asset_id", "left").select("asset_id", F.coalesce(inside, F.lit(True)).alias("text_inside_safe_area"))
+
+
+def layout_score(checks: DataFrame) -> DataFrame:
+    """``asset_id, layout_score`` of five checks of equal weight; what concerns a logo counts only where one was found."""
+    found = F.col("logo_detected")
+    rules = (
+        ~found | F.col("logo_inside_safe_area"),
+        ~found | F.col("logo_position_valid"),
+        ~found | F.col("logo_size_valid"),
+        ~found | ~F.col("container_detected") | F.col("container_size_valid"),
+        F.col("text_inside_safe_area"),
+    )
+    return checks.select("asset_id", (sum(r.cast("int") for r in rules) * 20).alias("layout_score"))

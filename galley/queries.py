@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import repair as R
 from .functions import text as T
 from .functions.geometry import Box, iou, overlap_ratio
 from .operators import assets, batch, catalog, colors, fields, grouping, layout, regions
@@ -27,7 +28,7 @@ def query(sql: str | None = None, *fixtures: str, name: str | None = None):
         key = name or f.__name__
         QUERIES[key] = f
         if sql:
-            ORACLE_SQL[key] = f"{duck(*fixtures)}{sql if sql.lstrip().startswith(',') else chr(10) + sql}"
+            ORACLE_SQL[key] = f"{duck(*fixtures)}{sql if sql.lstrip().startswith(',') else chr(10) + sql}" if fixtures else sql
         return f
 
     return add
@@ -604,3 +605,97 @@ def ingest_ocr_words(spark, d):
     box = F.array(*[F.col(c).cast("double") for c in "xywh"])
     words = fixture(spark, d, "fx_words").groupBy("asset_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "text", box.alias("box"), "confidence"))), lambda s: F.struct(s["text"].alias("text"), s["box"].alias("box"), s["confidence"].alias("confidence")))).alias("words"))
     return ingest.ingest_words(words).select("asset_id", "word_index", "text", *"xywh")
+
+
+# --- text repair --------------------------------------------------------------------------------------------------
+
+LINES = ", ls AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, trim(unnest(l)) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
+TERMS = ("THE", "AND", "Onhe", "der", "Über")
+
+
+def _lines(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t")).select("doc_id", (F.col("i") + 1).cast("long").alias("i"), F.trim("t").alias("t"))
+
+
+@query(LINES.replace(", ls AS", "WITH ls AS") + " SELECT doc_id, i, t AS text FROM ls")
+def split_lines(spark, d):
+    return _lines(spark, d).withColumnRenamed("t", "text")
+
+
+@query(
+    LINES.replace(", ls AS", "WITH ls AS")
+    + r""", w AS (SELECT *, regexp_extract_all(t, '[A-Za-zÁÉÍÓÚÜÑáéíóúüñ0-9'']+') AS ws, length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS nl, length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS nu FROM ls)
+    SELECT doc_id, i, CASE WHEN t = '' THEN 'BLANK' WHEN regexp_matches(t, '^\s*[A-Z]\)\s*.+?\s*$') THEN 'ANSWER_OPTION'
+      WHEN contains(t, '?') OR contains(t, '¿') OR regexp_matches(lower(strip_accents(t)), '\b(que|cual|cuales|como|donde|cuando|por\s+que|quien|quienes)\b') THEN 'QUESTION'
+      WHEN len(ws) <= 4 AND CASE WHEN nl > 0 THEN nu / CAST(nl AS DOUBLE) ELSE 0.0 END >= 0.75 AND NOT regexp_matches(t, '[?!.,;:]$')
+        AND lower(strip_accents(coalesce(ws[1], ''))) NOT IN ('a', 'al', 'con', 'de', 'del', 'el', 'en', 'la', 'las', 'los', 'o', 'para', 'por', 'sin', 'u', 'un', 'una', 'y') THEN 'TITLE' ELSE 'NORMAL_TEXT' END AS kind FROM w"""
+)
+def classify_line(spark, d):
+    return _lines(spark, d).select("doc_id", "i", R.line_kind(F.col("t")).alias("kind"))
+
+
+@query("SELECT asset_id, word_index, text AS fixed FROM fx_words", "fx_words")
+def fix_mojibake(spark, d):
+    broken = F.replace(F.replace(F.replace("text", F.lit("é"), F.lit("Ã©")), F.lit("ñ"), F.lit("Ã±")), F.lit("ó"), F.lit("Ã³"))
+    return fixture(spark, d, "fx_words").select("asset_id", "word_index", R.fix_mojibake(broken).alias("fixed"))
+
+
+@query(
+    r""", t AS (SELECT asset_id, page_index, list_transform(regexp_extract_all(embedded_text, '[A-Za-zÁÉÍÓÚÜÑáéíóúüñ0-9'']+'), lambda x: lower(x)) AS a, list_transform(regexp_extract_all(coalesce(ocr_text, ''), '[A-Za-zÁÉÍÓÚÜÑáéíóúüñ0-9'']+'), lambda x: lower(x)) AS b,
+      regexp_matches(embedded_text || coalesce(ocr_text, ''), '[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]') AS worded FROM fx_pages)
+    SELECT asset_id, page_index, CASE WHEN worded THEN len(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i: coalesce(a[i], '') <> coalesce(b[i], ''))) / CAST(greatest(len(a), len(b), 1) AS DOUBLE) ELSE 0.0 END AS ratio FROM t""",
+    "fx_pages",
+)
+def correction_ratio(spark, d):
+    return fixture(spark, d, "fx_pages").select("asset_id", "page_index", R.correction_ratio(F.col("embedded_text"), F.col("ocr_text")).alias("ratio"))
+
+
+@query(
+    r"SELECT asset_id, page_index, length(regexp_replace(embedded_text, '[^\p{L}\p{N}]', '', 'g')) AS characters, len(list_filter(regexp_split_to_array(embedded_text, '\s+'), lambda w: regexp_matches(w, '\p{L}'))) AS words FROM fx_pages",
+    "fx_pages",
+)
+def text_variant_score(spark, d):
+    s = R.variant_score(F.col("embedded_text"))
+    return fixture(spark, d, "fx_pages").select("asset_id", "page_index", s["characters"].cast("long").alias("characters"), s["words"].cast("long").alias("words"))
+
+
+@query(
+    r"SELECT asset_id, page_index, array_to_string(list_filter(['THE', 'AND', 'Onhe', 'der', 'Über'], lambda t: regexp_matches(upper(embedded_text), '(^|[^\p{L}\p{N}_])' || upper(t) || '($|[^\p{L}\p{N}_])')), ',') AS terms FROM fx_pages",
+    "fx_pages",
+)
+def present_terms(spark, d):
+    return fixture(spark, d, "fx_pages").select("asset_id", "page_index", F.array_join(R.present_terms(F.col("embedded_text"), TERMS), ",").alias("terms"))
+
+
+@query(
+    "SELECT asset_id, string_agg(hex, ',' ORDER BY first) AS hexes FROM (SELECT asset_id, printf('#%02X%02X%02X', r, g, b) AS hex, min(pos) AS first FROM fx_pixels GROUP BY ALL) GROUP BY asset_id",
+    "fx_pixels",
+)
+def split_hex_list(spark, d):
+    h = F.lower(T.hex_of_rgb(F.col("r"), F.col("g"), F.col("b")))
+    lists = fixture(spark, d, "fx_pixels").groupBy("asset_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", h.alias("h")))), lambda s: s["h"]), ", #junk ").alias("list"))
+    return lists.select("asset_id", F.array_join(R.split_hex_list(F.col("list")), ",").alias("hexes"))
+
+
+@query(
+    """SELECT item_id AS asset_id, 20 * (CAST(NOT f OR a AS INT) + CAST(NOT f OR b AS INT) + CAST(NOT f OR c AS INT) + CAST(NOT f OR NOT e OR c AS INT) + CAST(a AS INT)) AS layout_score
+      FROM (SELECT item_id, item_id % 3 <> 0 AS f, item_id % 5 <> 0 AS a, item_id % 7 <> 0 AS b, item_id % 2 = 0 AS c, item_id % 11 <> 0 AS e FROM fx_items)""",
+    "fx_items",
+)
+def layout_score(spark, d):
+    i = F.col("item_id")
+    flags = {"logo_detected": i % 3 != 0, "logo_inside_safe_area": i % 5 != 0, "logo_position_valid": i % 7 != 0, "logo_size_valid": i % 2 == 0, "container_detected": i % 11 != 0, "container_size_valid": i % 2 == 0, "text_inside_safe_area": i % 5 != 0}
+    return assets.layout_score(fixture(spark, d, "fx_items").select(i.alias("asset_id"), *[c.alias(n) for n, c in flags.items()]))
+
+
+@query(
+    """, m AS (SELECT asset_id, avg(confidence) AS a, min(confidence) AS b, sum(length(text)) AS n FROM fx_words GROUP BY 1)
+    SELECT asset_id, round(least(1.0, 0.55::DOUBLE * a + 0.20::DOUBLE * b + 0.15::DOUBLE * least(n / 120.0, 1.0) + 0.10::DOUBLE * (1.0 - 0.25)), 9) AS score FROM m""",
+    "fx_words",
+)
+def ocr_score(spark, d):
+    words = fixture(spark, d, "fx_words")
+    m = layout.confidence_metrics(words).join(words.groupBy("asset_id").agg(F.sum(F.length("text")).alias("n")), "asset_id")
+    score = T.ocr_score(F.col("avg_confidence"), F.col("min_confidence"), F.col("n"), F.lit(0.25), digits=9)
+    return m.select("asset_id", score.alias("score"))
