@@ -251,7 +251,7 @@ def candidate_links(sets: DataFrame, runs: int) -> DataFrame:
     frontier = sets.select("node", F.explode(F.flatten(F.transform(roots, lambda r: _children(r, F.col("embedding"))))).alias("path"))
     leaves, large = None, None
     for level in range(LEVELS):
-        frontier = cut(frontier.distinct())
+        frontier = cut(frontier)  # a set reaches a path once: its parent and the sampled coordinate are part of it
         counts = frontier.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         met = frontier.join(counts, "path")
         small, large = met.where(F.col("n") <= BRUTE).select("path", "node"), met.where(F.col("n") > BRUTE)

@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Pointers of a round of connected components are broadcast up to this number of nodes.
+BROADCAST_NODES = 150_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,24 +56,26 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round every node hooks onto its least neighbour, pointers are shortened twice and the edges are
     contracted to the roots; the number of nodes that still have edges at least halves, so the rounds are
     logarithmic in the longest path.  All steps are joins and aggregations with partial sums, so a node with
-    very many edges is no bottleneck.  Null ends and loops are ignored; an empty input gives an empty result.
+    very many edges is no bottleneck.  Pointers are broadcast once they are counted and few, else joined by a
+    shuffle.  Null ends and loops are ignored; an empty input gives an empty result.
     """
     both = edges.select("src", "dst").where("src <> dst")
     e = cut(both.union(both.select("dst", "src")).distinct())
     labels: DataFrame | None = None
     while not e.isEmpty():
-        parent = e.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("root"))
+        parent = cut(e.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("root")))
+        few = parent.count() <= BROADCAST_NODES
+        sent = F.broadcast if few else (lambda df: df)
         for _ in range(2):
             up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            parent = parent.join(up, "root").select("node", F.col("above").alias("root"))
+            parent = parent.join(sent(up), "root").select("node", F.col("above").alias("root"))
         parent = cut(parent)
         if labels is None:
             labels = parent.select("node", F.col("root").alias("component"))
         else:
             step = parent.select(F.col("node").alias("component"), "root")
-            labels = labels.join(step, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-        labels = cut(labels)
+            labels = cut(labels.join(sent(step), "component", "left").select("node", F.coalesce("root", "component").alias("component")))
         src = parent.select(F.col("node").alias("src"), F.col("root").alias("a"))
         dst = parent.select(F.col("node").alias("dst"), F.col("root").alias("b"))
-        e = cut(e.join(src, "src").join(dst, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+        e = cut(e.join(sent(src), "src").join(sent(dst), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
     return labels if labels is not None else e.select(F.col("src").alias("node"), F.col("dst").alias("component"))
