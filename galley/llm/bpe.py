@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pieces whose codes a worker keeps between groups; beyond it starts anew, so its memory is bounded.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 700_000
 #: Texts are coded in groups of about this many characters, which bounds the relations of one recursive query.
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 3_000_000
 #: Vocabularies above this size are refused: the ranks are sent to every worker.
 MAX_VOCABULARY = 1_000_000
 #: Longer pieces (in bytes) take the query that contracts all occurrences of the least pair in one round.
@@ -90,7 +90,7 @@ class Coder:
         self.ranks = dict(ranks)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.codes: dict[str, tuple[bytes, bytes]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         given = pa.table({"token": [t.hex() for t, _ in ranks], "id": pa.array([r for _, r in ranks], pa.int32())})
         self.db.register("given", given)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
@@ -158,11 +158,12 @@ class _Key:
         return self.shared.value
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
     """``docs(key, text)`` -> ``key, ids array<int>, decoded binary``, one row per input row.
 
     Every match of ``pattern`` is coded by itself, without special tokens; null texts count as empty and have no ids.
-    Whole texts are coded, however long; repeated rows each get their own row.
+    Whole texts are coded, however long; repeated rows each get their own row.  ``keep`` leaves the session and the codes
+    met so far with the worker for its next task; without it a worker's memory is free again for what runs after.
     """
     spark = docs.sparkSession
     shared = _Key(spark.sparkContext.broadcast(load_ranks(spark, ranks_path)), ranks_path)
@@ -176,7 +177,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "do
                 yield batch.slice(a, b - a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder((shared, pattern))
+        coder = _coder((shared, pattern)) if keep else Coder(shared.value, pattern)
         for batch in batches:
             for part in groups(batch):
                 got = coder.round_trip(part["text"].to_pylist())
@@ -184,6 +185,10 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "do
                 values = np.frombuffer(b"".join([i for i, _ in got]), np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
                 yield pa.RecordBatch.from_arrays([part["key"], ids, pa.array([d for _, d in got], pa.binary())], ["key", "ids", "decoded"])
+        if not keep:
+            coder.db.close()
+            coder.codes = {}
+            pa.default_memory_pool().release_unused()
 
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(run, f"key {kind}, ids array<int>, decoded binary").withColumnRenamed("key", key)

@@ -92,7 +92,7 @@ def train(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
-        for pdf in batches:
+        for pdf in (whole.iloc[a : a + 500] for whole in batches for a in range(0, len(whole), 500)):
             yield pd.DataFrame({"order": pdf["order"], "label": pdf["label"], "idx": [features(t, hashes) for t in pdf["text"]]})
 
     # a shard is a partition of these rows, which stay where they were written: no round shuffles them
