@@ -187,7 +187,8 @@ def block_rollup(micros: DataFrame) -> DataFrame:
     text = F.array_join(F.transform("p", lambda m: m["text"]), "\n")
     rest = F.slice("p", F.lit(2), F.size("p"))
     conf = F.aggregate(rest, F.get("p", F.lit(0))["confidence"], lambda s, m: (s + m["confidence"]) / 2.0)
-    return out.select("asset_id", "block", text_role(text).alias("role"), text.alias("text"), "x", "y", "w", "h", F.bround(conf, 4).alias("confidence"), F.flatten(F.transform("p", lambda m: m["words"])).alias("words"))
+    out = out.select("asset_id", "block", text.alias("text"), "x", "y", "w", "h", F.bround(conf, 4).alias("confidence"), F.flatten(F.transform("p", lambda m: m["words"])).alias("words"))
+    return out.withColumn("role", text_role(F.col("text")))
 
 
 def build_layout(words: DataFrame) -> DataFrame:
