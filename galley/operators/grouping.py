@@ -1,11 +1,13 @@
 """Words into lines, micro-blocks and blocks.
 
 Placing a word depends on the lines that earlier words have made, so this is one grouped pass over each piece; a piece
-has at most some hundreds of words, and pieces are independent.  Roles and zones stay column expressions.
+must fit in one task, and pieces are independent.  Roles and zones stay column expressions.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,12 +100,17 @@ def _badges(line: _Frame) -> list[_Frame]:
 
 def _lines(pdf: pd.DataFrame) -> pd.DataFrame:
     words = sorted(pdf.itertuples(index=False), key=lambda t: (t.y + t.h / 2, t.x + t.w / 2, t.word_index))
+    # a line that ends above this and all later words takes no more of them
+    above = list(accumulate((word.y for word in reversed(words)), min))[::-1]
     lines: list[_Frame] = []
-    for word in words:
-        fits = [(score, -i) for i, line in enumerate(lines) if (score := _fit(line, word)) is not None]
+    still_open: list[int] = []
+    for word, top in zip(words, above, strict=True):
+        still_open = [i for i in still_open if lines[i].y2 > top]
+        fits = [(score, -i) for i in still_open if (score := _fit(lines[i], word)) is not None]
         if fits:
             lines[-max(fits)[1]].add(word)
         else:
+            still_open.append(len(lines))
             lines.append(_Frame([word]))
     parts = [part for line in lines for column in _columns(line) for part in _badges(column)]
     rows = []

@@ -602,9 +602,13 @@ def ingest_detections(spark, d):
 
 @query("SELECT asset_id, word_index, text, x, y, w, h FROM fx_words WHERE trim(text) <> ''", "fx_words")
 def ingest_ocr_words(spark, d):
-    box = F.array(*[F.col(c).cast("double") for c in "xywh"])
-    words = fixture(spark, d, "fx_words").groupBy("asset_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "text", box.alias("box"), "confidence"))), lambda s: F.struct(s["text"].alias("text"), s["box"].alias("box"), s["confidence"].alias("confidence")))).alias("words"))
-    return ingest.ingest_words(words).select("asset_id", "word_index", "text", *"xywh")
+    # ingest holds coordinates within a limit, so a piece arrives as pages of whole rows of words
+    rows = 300
+    page = F.floor(F.col("word_index") / (8 * rows)).cast("int")
+    box = F.array(F.col("x"), F.col("y") - page * rows * 30, F.col("w"), F.col("h")).cast("array<double>")
+    words = fixture(spark, d, "fx_words").groupBy(F.struct("asset_id", page.alias("page")).alias("asset_id")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "text", box.alias("box"), "confidence"))), lambda s: F.struct(s["text"].alias("text"), s["box"].alias("box"), s["confidence"].alias("confidence")))).alias("words"))
+    page = F.col("asset_id.page")
+    return ingest.ingest_words(words).select("asset_id.asset_id", (F.col("word_index") + page * 8 * rows).alias("word_index"), "text", "x", (F.col("y") + page * rows * 30).alias("y"), "w", "h")
 
 
 # --- text repair --------------------------------------------------------------------------------------------------
