@@ -159,7 +159,7 @@ SELECT event_id, user_id AS asset_id, event_id AS ord,
   CAST((event_id * 37) % 900 AS INT) AS x, CAST((event_id * 53) % 450 AS INT) AS y,
   CAST(20 + (event_id * 11) % 200 AS INT) AS w, CAST(20 + (event_id * 7) % 120 AS INT) AS h,
   (50 + event_id % 50) / 100.0E0 AS confidence
-FROM events WHERE event_id % 20 < 3
+FROM events
 """,
         r"""
 SELECT event_id, user_id AS asset_id, event_id AS ord,
@@ -168,7 +168,7 @@ SELECT event_id, user_id AS asset_id, event_id AS ord,
   CAST((event_id * 37) % 900 AS INT) AS x, CAST((event_id * 53) % 450 AS INT) AS y,
   CAST(20 + (event_id * 11) % 200 AS INT) AS w, CAST(20 + (event_id * 7) % 120 AS INT) AS h,
   (50 + event_id % 50) / 100.0E0 AS confidence
-FROM events WHERE event_id % 20 < 3
+FROM events
 """,
     ),
     "fx_items": (

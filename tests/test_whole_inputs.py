@@ -63,3 +63,10 @@ def test_a_tall_word_still_meets_lines_far_above_its_centre():
     parts = [p for line in lines for c in G._columns(line) for p in G._badges(c)]
     want = sorted([m.word_index for m in sorted(p.members, key=lambda m: m.x)] for p in parts)
     assert sorted(G._lines(pdf)["words"]) == want
+
+
+def test_every_event_is_a_detection(spark, tmp_path):
+    rows = [(i, i % 3, "view") for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(r.event_id for r in fixture(spark, str(tmp_path), "fx_detections").collect()) == list(range(60))
+    assert sorted(twin(tmp_path, "events", "fx_detections", "SELECT event_id FROM fx_detections")) == [(i,) for i in range(60)]
