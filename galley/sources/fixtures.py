@@ -137,15 +137,15 @@ SELECT asset_id, CAST(pos AS INT) AS word_index, word AS text,
         ('documents',),
         r"""
 SELECT CAST(floor(doc_id / 4.0E0) AS BIGINT) AS asset_id, CAST(doc_id % 4 AS INT) AS page_index,
-  CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 3 = 0 THEN substr(text, 1, 20) ELSE substr(text, 1, 200) END AS embedded_text,
-  CASE WHEN doc_id % 5 = 0 THEN NULL ELSE substr(text, 1, 60) END AS ocr_text,
+  CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS embedded_text,
+  CASE WHEN doc_id % 5 = 0 THEN NULL ELSE replace(text, 'er', 'cr') END AS ocr_text,
   (doc_id % 50) / 100.0E0 + 0.5E0 AS ocr_avg
 FROM documents
 """,
         r"""
 SELECT CAST(floor(doc_id / 4.0E0) AS BIGINT) AS asset_id, CAST(doc_id % 4 AS INT) AS page_index,
-  CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 3 = 0 THEN substr(text, 1, 20) ELSE substr(text, 1, 200) END AS embedded_text,
-  CASE WHEN doc_id % 5 = 0 THEN NULL ELSE substr(text, 1, 60) END AS ocr_text,
+  CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS embedded_text,
+  CASE WHEN doc_id % 5 = 0 THEN NULL ELSE replace(text, 'er', 'cr') END AS ocr_text,
   (doc_id % 50) / 100.0E0 + 0.5E0 AS ocr_avg
 FROM documents
 """,

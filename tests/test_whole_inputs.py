@@ -70,3 +70,12 @@ def test_every_event_is_a_detection(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     assert sorted(r.event_id for r in fixture(spark, str(tmp_path), "fx_detections").collect()) == list(range(60))
     assert sorted(twin(tmp_path, "events", "fx_detections", "SELECT event_id FROM fx_detections")) == [(i,) for i in range(60)]
+
+
+def test_pages_have_whole_texts(spark, tables):
+    d, texts = tables
+    query = "SELECT asset_id * 4 + page_index AS id, embedded_text, ocr_text FROM"
+    want = [(i, "" if i % 7 == 0 else t, None if i % 5 == 0 or t is None else t.replace("er", "cr")) for i, t in enumerate(texts)]
+    got = spark.sql(f"{query} {{pages}}", pages=fixture(spark, d, "fx_pages")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sorted(twin(d, "documents", "fx_pages", f"{query} fx_pages")) == sorted(want)
