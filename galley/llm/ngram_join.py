@@ -30,20 +30,31 @@ COORDINATES, SAMPLED, LEVELS, BRUTE = 64, 2.0, 3, 64
 TARGET_RECALL = 0.999
 #: Rows of a block where large groups are compared in blocks.
 BLOCK = 512
-#: Embeddings that agree on less than this share are no candidates: three standard deviations below PERCENT.
-AGREE = PERCENT / 100 - 3 * math.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / COORDINATES)
+#: Embeddings that agree on less than this share are no candidates: four and a half standard deviations below PERCENT.
+AGREE = PERCENT / 100 - 4.5 * math.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / COORDINATES)
 
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 _rng = np.random.default_rng(20)
 FACTORS = _rng.integers(1, 2**63, (COORDINATES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def recall_of(runs: int) -> float:
+    """Probability that a pair at the threshold becomes a candidate on the deepest level: over the coordinates that its
+    embeddings, the same in all runs, agree on, it passes AGREE and meets in one of the runs."""
+    total = 0.0
+    for k in range(math.ceil(AGREE * COORDINATES), COORDINATES + 1):
+        met = 1.0
+        for _ in range(LEVELS):
+            met = 1 - math.exp(-SAMPLED * k / COORDINATES * met)
+        total += math.comb(COORDINATES, k) * (PERCENT / 100) ** k * (1 - PERCENT / 100) ** (COORDINATES - k) * (1 - (1 - met) ** runs)
+    return total
+
+
 def runs_needed(recall: float = TARGET_RECALL) -> int:
-    """Runs after which a pair at the threshold has met with this probability, on the deepest level."""
-    met = 1.0
-    for _ in range(LEVELS):
-        met = 1 - math.exp(-SAMPLED * PERCENT / 100 * met)
-    return math.ceil(math.log(1 - recall) / math.log(1 - met))
+    """Least number of runs of this recall; no number of runs makes up for what AGREE drops."""
+    if recall_of(10**6) < recall:
+        raise ValueError(f"AGREE does not allow a recall of {recall}")
+    return next(runs for runs in range(1, 10**6) if recall_of(runs) >= recall)
 
 
 class _Hashes(dict):

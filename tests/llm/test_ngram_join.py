@@ -71,3 +71,15 @@ def test_exact_links_by_matrix():
 
 def test_empty_table(spark):
     assert J.near_duplicates(table(spark, [])).count() == 0
+
+
+def test_recall_counts_the_agreement_floor():
+    """Drawn pairs at the threshold: embeddings agree by chance, then runs meet by chance."""
+    assert J.recall_of(J.runs_needed()) >= J.TARGET_RECALL > J.recall_of(J.runs_needed() - 1)
+    rng = np.random.default_rng(5)
+    agree = rng.binomial(J.COORDINATES, J.PERCENT / 100, 400_000)
+    met = np.ones(len(agree))
+    for _ in range(J.LEVELS):
+        met = 1 - np.exp(-J.SAMPLED * agree / J.COORDINATES * met)
+    found = (agree >= J.AGREE * J.COORDINATES) * (1 - (1 - met) ** J.runs_needed())
+    assert found.mean() >= J.TARGET_RECALL
