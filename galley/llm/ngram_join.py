@@ -30,6 +30,8 @@ COORDINATES, SAMPLED, LEVELS, BRUTE = 64, 2.0, 3, 64
 TARGET_RECALL = 0.999
 #: Rows of a block where large groups are compared in blocks.
 BLOCK = 512
+#: Rows of a block of a large bucket that a block of probes is compared with.
+BUCKET_BLOCK = 4096
 #: Embeddings that agree on less than this share are no candidates: four and a half standard deviations below PERCENT.
 AGREE = PERCENT / 100 - 4.5 * math.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / COORDINATES)
 
@@ -164,19 +166,17 @@ def _brute_force(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Large buckets: a block of probes against all rows of the bucket; links to other components than their own."""
-    for table in _grouped(batches, ["path", "y"], 1):
-        for part in _split(table, ["path", "y"]):
+    """Large buckets: a block of probes against a block of rows; links to other components than their own."""
+    for table in _grouped(batches, ["path", "x", "y"], 1):
+        for part in _split(table, ["path", "x", "y"]):
             nodes, comp, emb = part["node"].to_numpy(), part["component"].to_numpy(), _matrix(part["embedding"])
-            probes = np.flatnonzero(part["probe"].to_numpy(zero_copy_only=False))
-            found = []
-            for a in range(0, len(nodes), 4096):
-                agree = np.zeros((len(probes), min(4096, len(nodes) - a)), np.int16)
-                for c in range(COORDINATES):
-                    agree += emb[probes, c][:, None] == emb[a : a + 4096, c][None, :]
-                i, j = np.nonzero((agree >= AGREE * COORDINATES) & (comp[probes][:, None] != comp[a : a + 4096][None, :]))
-                found.append(np.stack([nodes[probes[i]], comp[a + j]]))
-            src, dst = np.unique(np.concatenate(found, axis=1), axis=1)
+            probe = part["probe"].to_numpy(zero_copy_only=False)
+            probes, rows = np.flatnonzero(probe), np.flatnonzero(~probe)
+            agree = np.zeros((len(probes), len(rows)), np.int16)
+            for c in range(COORDINATES):
+                agree += emb[probes, c][:, None] == emb[rows, c][None, :]
+            i, j = np.nonzero((agree >= AGREE * COORDINATES) & (comp[probes][:, None] != comp[rows][None, :]))
+            src, dst = np.unique(np.stack([nodes[probes[i]], comp[rows[j]]]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
 
@@ -250,12 +250,23 @@ def _children(path: Column, embedding: Column) -> Column:
     return F.transform(F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), sampled), lambda i: F.xxhash64(path, i, value(i)))
 
 
-def _in_blocks(count: Column, node: Column) -> tuple[Column, Column]:
+def _in_blocks(count: Column, node: Column, size: int | None = None) -> tuple[Column, Column]:
     """Number of blocks of a group, and a row's block in it."""
-    n = F.ceil(count / BLOCK).cast("int")
+    n = F.ceil(count / (size or BLOCK)).cast("int")
     return n, F.pmod(F.xxhash64(node), n).cast("int")
 
 
+def _probe_blocks(mixed: DataFrame) -> DataFrame:
+    """``mixed(path, node, component, other, n, k)`` -> ``path, x, y, probe, node, component``: block x of the bucket's n
+    rows meets block y of the n - k others, once as rows and once as probes."""
+    (rows, x), (probes, y) = _in_blocks(F.col("n"), F.col("node"), BUCKET_BLOCK), _in_blocks(F.col("n") - F.col("k"), F.col("node"))
+    upto = lambda count: F.sequence(F.lit(0), count - 1)
+    as_row = F.transform(upto(probes), lambda i: F.struct(x.alias("x"), i.alias("y"), F.lit(False).alias("probe")))
+    as_probe = F.transform(upto(rows), lambda i: F.struct(i.alias("x"), y.alias("y"), F.lit(True).alias("probe")))
+    both = F.when(F.col("other"), F.concat(as_row, as_probe)).otherwise(as_row)
+    return mixed.select("path", "node", "component", F.explode(both).alias("p")).select("path", "p.*", "node", "component")
+
+
 def candidate_links(sets: DataFrame, runs: int) -> DataFrame:
     """``sets(node, embedding)`` -> links ``(src, dst)`` that join all candidates of a group."""
     roots = F.array(*[F.lit(r).cast("long") for r in range(1, runs + 1)])
@@ -287,11 +298,9 @@ def candidate_links(sets: DataFrame, runs: int) -> DataFrame:
     shares = placed.groupBy("path", "component").agg(F.count("*").alias("k"))
     majors = shares.groupBy("path").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.sum("k").alias("n"), F.max("k").alias("k")).where("k < n")
     # the sets outside a bucket's largest component probe all of it; pairs inside that component are linked already
-    n, block = _in_blocks(F.col("n") - F.col("k"), F.col("node"))
-    mixed = placed.drop("n").join(majors, "path").select("path", "node", "component", (F.col("component") != F.col("major")).alias("other"), n.alias("blocks"), block.alias("block"))
-    spread = mixed.select("path", "node", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(y.alias("y"), (F.col("other") & (F.col("block") == y)).alias("probe")))).alias("p"))
-    probes = spread.select("path", "node", "component", "p.y", "p.probe").join(sets, "node").select("path", "y", "probe", "node", "component", "embedding")
-    rest = probes.repartition("path", "y").sortWithinPartitions("path", "y").mapInArrow(_probe, near)
+    mixed = placed.drop("n").join(majors, "path").select("path", "node", "component", (F.col("component") != F.col("major")).alias("other"), "n", "k")
+    probes = _probe_blocks(mixed).join(sets, "node").select("path", "x", "y", "probe", "node", "component", "embedding")
+    rest = probes.repartition("path", "x", "y").sortWithinPartitions("path", "x", "y").mapInArrow(_probe, near)
     return cut(links.union(rest))
 
 

@@ -83,3 +83,15 @@ def test_recall_counts_the_agreement_floor():
         met = 1 - np.exp(-J.SAMPLED * agree / J.COORDINATES * met)
     found = (agree >= J.AGREE * J.COORDINATES) * (1 - (1 - met) ** J.runs_needed())
     assert found.mean() >= J.TARGET_RECALL
+
+
+def test_both_sides_of_a_large_bucket_are_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 10)
+    monkeypatch.setattr(J, "BUCKET_BLOCK", 40)
+    mixed = spark.createDataFrame([(7, i, i, i % 3 == 0, 600, 400) for i in range(600)], "path long, node long, component long, other boolean, n long, k long")
+    tasks = {}
+    for r in J._probe_blocks(mixed).collect():
+        tasks.setdefault((r.x, r.y), ([], []))[r.probe].append(r.node)
+    assert max(len(rows) + len(probes) for rows, probes in tasks.values()) < 120
+    met = [(p, n) for rows, probes in tasks.values() for p in probes for n in rows]
+    assert len(met) == len(set(met)) == 200 * 600
