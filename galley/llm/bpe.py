@@ -23,13 +23,14 @@ CACHE_PIECES = 700_000
 GROUP_CHARS = 3_000_000
 #: Vocabularies above this size are refused: the ranks are sent to every worker.
 MAX_VOCABULARY = 1_000_000
-#: Longer pieces (in bytes) take the query that contracts all occurrences of the least pair in one round.
+#: Longer pieces (in bytes) take the query that contracts all occurrences of the least pair in one round, which gives
+#: the same tokens for regular vocabularies (see ``Coder.regular``); for others no piece takes it.
 LONG_PIECE = 120
 
 #: Rows are tokens: the byte position where they start, where the next one starts, and their id.  ``rank << 32 | pos``
 #: orders pairs by rank, then from the left; the second token of the contracted pair is dropped.  A piece that has no
 #: pair left makes no further rows, so its last step is its result.
-FIXPOINT = """
+STEPS = """
 WITH RECURSIVE state(step, piece, pos, next, id) AS (
     SELECT 0, piece, pos, pos + 1, id FROM start
   UNION ALL (
@@ -43,11 +44,12 @@ WITH RECURSIVE state(step, piece, pos, next, id) AS (
       CASE WHEN s.pos = (b.place & 4294967295) THEN (b.place >> 32)::INT ELSE s.id END
     FROM state s JOIN best b ON s.piece = b.piece WHERE s.pos <> b.mid)
 )
-SELECT piece, pos, id FROM state QUALIFY step = max(step) OVER (PARTITION BY piece)
 """
+FIXPOINT = STEPS + "SELECT piece, pos, id FROM state QUALIFY step = max(step) OVER (PARTITION BY piece)"
 
 #: The same, but a round contracts every occurrence of the piece's least rank; where occurrences overlap (``aaa``),
-#: every second one from the left.  A pair that a merge makes ranks after that merge, so the result is the same.
+#: every second one from the left.  In a regular vocabulary a pair that a merge makes ranks after that merge, so the
+#: leftmost least pair stays one of these occurrences until all are contracted, and the result is the same.
 FIXPOINT_LONG = """
 WITH RECURSIVE state(step, piece, pos, id) AS (
     SELECT 0, piece, pos, id FROM start
@@ -82,11 +84,11 @@ def load_ranks(spark: SparkSession, path: str) -> list[tuple[bytes, int]]:
 class Coder:
     """A DuckDB session with the vocabulary and the merge table, and the codes of the pieces met so far."""
 
-    def __init__(self, ranks: list[tuple[bytes, int]], pattern: str):
+    def __init__(self, ranks: list[tuple[bytes, int]], pattern: str, long_piece: float = LONG_PIECE):
         import duckdb
         import regex
 
-        self.split = regex.compile(pattern).findall
+        self.split, self.long_piece = regex.compile(pattern).findall, long_piece
         self.ranks = dict(ranks)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.codes: dict[str, tuple[bytes, bytes]] = {}
@@ -100,25 +102,43 @@ class Coder:
             SELECT a.id AS l, b.id AS r, c.id AS made FROM cuts c JOIN vocabulary a ON a.token = left(c.token, c.width) JOIN vocabulary b ON b.token = substr(c.token, c.width + 1)"""
         )
 
+    def regular(self) -> bool:
+        """Whether every token's own bytes contract to that token, by merges that rank before it.
+
+        Then a pair that a merge makes always ranks after that merge: its bytes, between token ends, would have become
+        one token before.  So one round may contract every occurrence of the least pair.
+        """
+        tokens = [t for t in self.ranks if len(t) > 1]
+        piece = np.repeat(np.arange(len(tokens), dtype=np.int32), [len(t) for t in tokens])
+        raw = np.frombuffer(b"".join(tokens), np.uint8)
+        self.db.register("start", pa.table({"piece": piece, "pos": np.arange(len(raw), dtype=np.int32), "id": self.byte_ids[raw]}))
+        most = self.db.sql(STEPS + "SELECT piece, max(id) AS id FROM state GROUP BY piece ORDER BY piece").to_arrow_table()["id"].to_pylist()
+        ends = self.db.execute(f"SELECT count(*) FROM ({FIXPOINT})").fetchone()[0]
+        return ends == len(tokens) and most == [self.ranks[t] for t in tokens]
+
     def learn(self, pieces: list[str]) -> None:
-        """Code new pieces by the recursive query; a piece that is a token by itself needs no contraction."""
+        """Code new pieces by the recursive query; a piece that is a token by itself needs no contraction.
+
+        What is decoded are always the ids: the bytes come from the vocabulary, not from the piece.
+        """
         whole, short, long = [], [], []
         for p in pieces:
             raw = p.encode("utf-8", "surrogatepass")
-            (whole if raw in self.ranks else short if len(raw) <= LONG_PIECE else long).append((p, raw))
-        for p, raw in whole:
-            self.codes[p] = (np.int32(self.ranks[raw]).tobytes(), raw)
-        for query, todo in ((FIXPOINT, short), (FIXPOINT_LONG, long)):
-            if todo:
-                raws = [raw for _, raw in todo]
-                joined = np.frombuffer(b"".join(raws), np.uint8)
-                piece = np.repeat(np.arange(len(raws), dtype=np.int32), [len(r) for r in raws])
-                self.db.register("start", pa.table({"piece": piece, "pos": np.arange(len(joined), dtype=np.int32), "id": self.byte_ids[joined]}))
-                got = self.db.execute(COLLECT.format(query)).to_arrow_table()
-                ids = got["ids"].combine_chunks()
-                flat, at = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-                for i, (k, text) in enumerate(zip(got["piece"].to_pylist(), got["bytes"].to_pylist(), strict=True)):
-                    self.codes[todo[k][0]] = (flat[4 * at[i] : 4 * at[i + 1]], bytes.fromhex(text))
+            (whole if raw in self.ranks else short if len(raw) <= self.long_piece else long).append((p, raw))
+        for query, todo in (("SELECT * FROM start", whole), (FIXPOINT, short), (FIXPOINT_LONG, long)):
+            if not todo:
+                continue
+            raws = [raw for _, raw in todo]
+            if todo is whole:
+                piece, ids = np.arange(len(raws), dtype=np.int32), np.array([self.ranks[raw] for raw in raws], np.int32)
+            else:
+                piece, ids = np.repeat(np.arange(len(raws), dtype=np.int32), [len(r) for r in raws]), self.byte_ids[np.frombuffer(b"".join(raws), np.uint8)]
+            self.db.register("start", pa.table({"piece": piece, "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
+            got = self.db.sql(COLLECT.format(query)).to_arrow_table()
+            lists = got["ids"].combine_chunks()
+            flat, at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            for i, (k, text) in enumerate(zip(got["piece"].to_pylist(), got["bytes"].to_pylist(), strict=True)):
+                self.codes[todo[k][0]] = (flat[4 * at[i] : 4 * at[i + 1]], bytes.fromhex(text))
 
     def round_trip(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text the int32 ids, and the bytes that they decode to."""
@@ -137,8 +157,18 @@ class Coder:
 
 @functools.lru_cache(maxsize=1)
 def _coder(key: tuple) -> Coder:
-    shared, pattern = key
-    return Coder(shared.value, pattern)
+    shared, pattern, long_piece = key
+    return Coder(shared.value, pattern, long_piece)
+
+
+@functools.lru_cache(maxsize=4)
+def _regular(ranks: tuple[tuple[bytes, int], ...]) -> bool:
+    """Checked once for a vocabulary, in the driver: its size is bounded by MAX_VOCABULARY, whatever the corpus."""
+    coder = Coder(list(ranks), "")
+    try:
+        return coder.regular()
+    finally:
+        coder.db.close()
 
 
 class _Key:
@@ -166,7 +196,9 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "do
     met so far with the worker for its next task; without it a worker's memory is free again for what runs after.
     """
     spark = docs.sparkSession
-    shared = _Key(spark.sparkContext.broadcast(load_ranks(spark, ranks_path)), ranks_path)
+    ranks = load_ranks(spark, ranks_path)
+    shared = _Key(spark.sparkContext.broadcast(ranks), ranks_path)
+    long_piece = LONG_PIECE if _regular(tuple(ranks)) else float("inf")
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -177,7 +209,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "do
                 yield batch.slice(a, b - a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder((shared, pattern)) if keep else Coder(shared.value, pattern)
+        coder = _coder((shared, pattern, long_piece)) if keep else Coder(shared.value, pattern, long_piece)
         for batch in batches:
             for part in groups(batch):
                 got = coder.round_trip(part["text"].to_pylist())

@@ -1,5 +1,6 @@
 import base64
 
+import numpy as np
 import public_tokenizers as P
 import tiktoken
 
@@ -32,3 +33,32 @@ def test_decode_by_ordered_aggregation(spark):
 
 def test_empty_table(spark):
     assert bpe.encode_decode(spark.createDataFrame([], "doc_id long, text string"), PATH, P.PATTERN).count() == 0
+
+
+def ranks_of_file():
+    return [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, open(PATH, "rb"))]
+
+
+def test_what_is_decoded_are_the_ids():
+    coder = bpe.Coder(ranks_of_file(), P.PATTERN)
+    coder.db.execute(f"UPDATE vocabulary SET token = '{b' WORLD'.hex()}' WHERE token = '{b' world'.hex()}'")
+    coder.db.execute(f"UPDATE vocabulary SET token = '{b'+'.hex()}' WHERE token = '{b'x'.hex()}'")
+    (ids, decoded), (_, other) = coder.round_trip(["Hello world", "x7Qz" * 3])
+    assert ids == np.array(library().encode_ordinary("Hello world"), np.int32).tobytes()
+    assert decoded == b"Hello WORLD" and b"+" in other
+
+
+def test_an_irregular_vocabulary_contracts_one_pair_a_round():
+    """``aba`` ranks before ``ab``, of which it is made."""
+    ranks = [(bytes([b]), b) for b in range(256)] + [(b"ba", 400), (b"ab", 300), (b"aba", 299)]
+    text = "ab" * 100
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=dict(ranks), special_tokens={})
+    assert not bpe._regular(tuple(ranks)) and bpe._regular(tuple(ranks_of_file()))
+    ids, decoded = bpe.Coder(ranks, P.PATTERN, float("inf")).round_trip([text])[0]
+    assert ids == np.array(enc.encode_ordinary(text), np.int32).tobytes() and decoded == text.encode()
+
+
+def test_null_keys_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, None)], "doc_id long, text string")
+    rows = bpe.encode_decode(docs, PATH, P.PATTERN).collect()
+    assert [(r.doc_id, bytes(r.decoded)) for r in sorted(rows, key=lambda r: r.doc_id or 0)] == [(None, b"a b"), (None, b"a b"), (3, b"")]
