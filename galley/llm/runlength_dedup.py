@@ -3,8 +3,10 @@
 Every window of ``length`` bytes is assigned, by content alone, to the least hash among its k-mers; consecutive windows
 with the same least hash form a segment.  Equal windows have equal keys wherever they stand, so the corpus can be dealt
 out by key and no repeat is lost between tasks.  Segments whose key occurs once, and once only in themselves, cannot
-repeat and are left out before any text moves.  Equal segments are merged.  Each task then indexes its segments: suffix
-order, Burrows-Wheeler transform, its runs, and samples at the run ends.  Only at these is a longest common extension
+repeat and are left out before any text moves.  Equal segments, by key and 128-bit digest, are merged.  A key whose
+distinct segments are too many for one index (a header that stands in many surroundings) is dealt out again by the
+minimisers of longer k-mers, up to the whole window, so no task ever indexes more than a bounded text.  Each task then
+indexes its segments: suffix order, Burrows-Wheeler transform, its runs, and samples at the run ends.  Only at these is a longest common extension
 computed; streaming from sample to sample gives the matching statistics of all other positions, as these fall by one a
 byte in between.  Windows whose statistic reaches ``length`` start somewhere else too.
 """
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 from .shared import cut, stored
 
 LENGTH = 400
-#: Bytes of a k-mer; texts are hashed, and segments indexed, in groups of about so many bytes.
-KMER = 32
+#: Bytes of a k-mer, and of the longer ones by which overfull keys are dealt out again before whole windows are.
+KMER, LONGER = 32, (128, 256, 384)
+#: Texts are hashed, and segments indexed, in groups of about so many bytes; a key of more distinct text is overfull.
 GROUP_BYTES, INDEX_BYTES = 1_000_000, 2_000_000
+BYTE_CODES = np.random.default_rng(10).integers(1, 2**63, 256, dtype=np.uint64)
 C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 #: Bytes that UTF-8 never has: one parts the segments of an index, the others end it.
 SEPARATOR, TAIL = b"\xff", b"\xfe" * 8
@@ -36,9 +40,17 @@ def _words(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) - 7,), "<u8", data.data, strides=(1,))
 
 
-def _kmer_hashes(data: np.ndarray) -> np.ndarray:
-    v, n = _words(data), len(data) - KMER + 1
-    h = v[:n] * C[0] + v[8 : 8 + n] * C[1] + v[16 : 16 + n] * C[2] + v[24 : 24 + n] * C[3]
+def _kmer_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    n = len(data) - k + 1
+    if k == KMER:
+        v = _words(data)
+        h = v[:n] * C[0] + v[8 : 8 + n] * C[1] + v[16 : 16 + n] * C[2] + v[24 : 24 + n] * C[3]
+    else:  # differences of prefix sums of a polynomial, brought to the same power
+        base = C[0] | np.uint64(1)
+        power, back = np.full(len(data), base), np.full(n, np.uint64(pow(int(base), -1, 2**64)))
+        power[:1] = back[:1] = 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_CODES[data] * np.multiply.accumulate(power), dtype=np.uint64)])
+        h = (sums[k:] - sums[:n]) * np.multiply.accumulate(back)
     h ^= h >> np.uint64(29)
     h *= C[4]
     h ^= h >> np.uint64(32)
@@ -57,7 +69,7 @@ def _sliding(h: np.ndarray, width: int, best=np.minimum, fill=np.uint64(2**64 -
     return best(back[:m], ahead[width - 1 : width - 1 + m])
 
 
-def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(texts: list[bytes], length: int = LENGTH, k: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each text: ``(text number, key, first window, last window, weight)`` of its segments.
 
     weight is 2 if the key's k-mer stands at two places of the segment, which may then repeat within itself, else 1.
@@ -67,8 +79,8 @@ def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.n
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none, none, none
-    width = length - KMER + 1
-    h = _kmer_hashes(data)
+    width = length - k + 1
+    h = _kmer_hashes(data, k)
     least = _sliding(h, width)
     ends = np.cumsum(sizes)
     text_of = np.repeat(np.arange(len(texts)), np.maximum(sizes - length + 1, 0))
@@ -85,11 +97,10 @@ def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.n
     places = np.flatnonzero(_sliding(padded, width, np.maximum, np.uint64(0)) == h)
     twice = places[1:][(h[places[1:]] == h[places[:-1]]) & (places[1:] - places[:-1] <= width)]
     lo, hi = at[first], at[last] + width - 1
-    k = np.searchsorted(twice, lo, "right")
-    k = np.minimum(k, max(len(twice) - 1, 0))
+    near = np.minimum(np.searchsorted(twice, lo, "right"), max(len(twice) - 1, 0))
     weight = np.ones(len(first), np.int64)
     if len(twice):
-        weight[(twice[k] > lo) & (twice[k] <= hi)] = 2
+        weight[(twice[near] > lo) & (twice[near] <= hi)] = 2
     return text_of[first], key[first].view(np.int64), at[first] - begins[text_of[first]], at[last] - begins[text_of[last]], weight
 
 
@@ -192,20 +203,22 @@ def _batches(lengths: np.ndarray, most: int) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip([0, *edges], [*edges, len(lengths)], strict=True) if b > a]
 
 
-def _find_segments(length: int):
-    """Segments of each text, with 64 bits of their digest: with the key, which depends on the same bytes, their identity."""
+def _find_segments(length: int, k: int):
+    """Segments of each text and their digests: with the key, which depends on the same bytes, their identity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in _batches(pc.binary_length(batch["bytes"]).to_numpy(zero_copy_only=False).astype(np.int64), GROUP_BYTES):
                 part = batch.slice(a, b - a)
                 texts = part["bytes"].to_pylist()
-                row, key, first, last, weight = segments(texts, length)
+                row, key, first, last, weight = segments(texts, length, k)
                 views = [memoryview(t) for t in texts]
-                digests = b"".join(hashlib.md5(views[r][x : y + length]).digest()[:8] for r, x, y in zip(row.tolist(), first.tolist(), last.tolist(), strict=True))
+                digests = b"".join(hashlib.md5(views[r][x : y + length]).digest() for r, x, y in zip(row.tolist(), first.tolist(), last.tolist(), strict=True))
+                offsets = pa.py_buffer(np.arange(0, 16 * len(row) + 1, 16, dtype=np.int32))
                 rows = pa.array(row)
-                columns = [part["doc_id"].take(rows), part["digest"].take(rows), pa.array(key), pa.array(np.frombuffer(digests, np.int64)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(weight, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "key", "part", "first", "last", "weight"])
+                columns = [part["id"].take(rows), part["part_id"].take(rows), pa.array(key), pa.Array.from_buffers(pa.binary(), len(row), [None, offsets, pa.py_buffer(digests)])]
+                columns += [pa.array(x, pa.int32()) for x in (first, last, weight)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "part_id", "key", "part", "first", "last", "weight"])
 
     return run
 
@@ -216,7 +229,7 @@ def _index(length: int):
 
     def emit(held: list[tuple]) -> pa.RecordBatch:
         spans = repeated_windows([r[3] for r in held], [r[2] for r in held], length)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.int64()), pa.array([[{"a": x, "b": y} for x, y in s] for s in spans], kind)], ["key", "part", "ranges"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.binary()), pa.array([[{"a": x, "b": y} for x, y in s] for s in spans], kind)], ["key", "part", "ranges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -254,32 +267,57 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(d) for d in part["bytes"].to_pylist()], pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_ranges(units: DataFrame, length: int = LENGTH, overfull: int = INDEX_BYTES, kmers: tuple[int, ...] = (KMER, *LONGER)) -> DataFrame:
+    """``units(id, part_id, bytes)``, the ids together a key -> ``id, part_id, ranges array<struct<a,b>>``: the bytes
+    under windows that start elsewhere too, be it in the same unit; possibly several rows for a unit.
+    """
+    k = min([*kmers, length][0], length)
+    types = [units.schema[c].dataType.simpleString() for c in ("id", "part_id")]
+    found = stored(units.mapInArrow(_find_segments(length, k), f"id {types[0]}, part_id {types[1]}, key long, part binary, first int, last int, weight int"))
+    again = found.groupBy("key").agg(F.sum("weight").alias("times")).where("times > 1").select("key")
+    repeated = stored(found.join(again, "key").drop("weight"))
+    # one occurrence of each distinct segment stands for all; a key of one copied segment needs no text: all of it repeats
+    one = repeated.groupBy("key", "part").agg(F.count("*").alias("n"), F.min(F.struct("id", "part_id", "first", "last")).alias("at"))
+    size = F.col("at.last") - F.col("at.first") + length
+    keys = one.groupBy("key").agg(((F.count("*") == 1) & (F.max("n") > 1)).alias("whole"), (F.sum(size) > overfull).alias("hot"))
+    # whole windows as k-mers: one key is one window, so of an overfull key everything repeats
+    one = stored(one.join(keys, "key").withColumn("whole", F.col("whole") | (F.col("hot") & F.lit(k == length))))
+    everything = F.array(F.struct(F.lit(0).alias("a"), size.alias("b")))
+    whole = one.where("whole").select("key", "part", everything.alias("ranges"))
+    wanted = one.where("not whole").groupBy(F.col("at.id").alias("wanted_id"), F.col("at.part_id").alias("wanted_part")).agg(F.collect_list(F.struct("key", "part", "n", "hot", "at.first", "at.last")).alias("segments"))
+    same = F.col("part_id").eqNullSafe(F.col("wanted_part")) & F.col("id").eqNullSafe(F.col("wanted_id"))
+    cut_up = units.join(wanted.hint("shuffle_hash"), same, "left").where("segments is not null").select("bytes", F.explode("segments").alias("s"))
+    texts = cut_up.select("s.key", "s.part", "s.n", "s.hot", F.expr(f"substring(bytes, s.first + 1, s.last - s.first + {length})").alias("bytes"))
+    crowded = not one.where("hot and not whole").isEmpty()
+    if crowded:
+        texts = stored(texts)
+    indexed = texts.where("not hot").select("key", "part", "n", "bytes").repartition("key").sortWithinPartitions("key", "part").mapInArrow(_index(length), "key long, part binary, ranges array<struct<a:int,b:int>>").where("size(ranges) > 0")
+    marks = indexed.union(whole)
+    if crowded:
+        # repeated rows of a unit give a segment's text more than once
+        hot = texts.where("hot").dropDuplicates(["key", "part"])
+        copied = hot.where("n > 1").select("key", "part", F.array(F.struct(F.lit(0).alias("a"), F.octet_length("bytes").alias("b"))).alias("ranges"))
+        deeper = repeated_ranges(hot.select(F.col("key").alias("id"), F.col("part").alias("part_id"), "bytes"), length, overfull, kmers[1:])
+        marks = marks.union(copied).union(deeper.select("id", "part_id", "ranges"))
+    met = repeated.join(cut(marks), ["key", "part"])
+    moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))
+    return met.select("id", "part_id", moved.alias("ranges"))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, overfull: int = INDEX_BYTES) -> DataFrame:
     """``docs(doc_id, text)`` -> ``doc_id, n_bytes, removed array<struct<start,end>>, kept binary``, a row per document.
 
     A byte is removed if a string of ``length`` bytes over it also starts anywhere else, be it in the same document.
-    Strings never cross documents and are judged on the input.  Null counts as empty; repeated rows are copies of one
-    another, so what is long enough in them goes; an empty table gives an empty result.
+    Strings never cross documents and are judged on the input.  Null counts as empty; repeated rows (null ids, or one id
+    for several texts, included) are copies of one another, so what is long enough in them goes; an empty table gives an
+    empty result; other columns are not looked at.  Keys of more than ``overfull`` bytes of distinct text are dealt out
+    again.
     """
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = docs.select(F.col("doc_id").alias("doc_id"), data.alias("bytes"), F.xxhash64("doc_id", data).alias("digest"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = stored(docs.select("doc_id", "digest", "bytes").mapInArrow(_find_segments(length), f"doc_id {id_type}, digest long, key long, part long, first int, last int, weight int"))
-    again = found.groupBy("key").agg(F.sum("weight").alias("times")).where("times > 1").select("key")
-    repeated = stored(found.join(again, "key").drop("weight"))
-    # one occurrence of each distinct segment stands for all; a key of one copied segment needs no text: all of it repeats
-    one = repeated.groupBy("key", "part").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "digest", "first", "last")).alias("at"))
-    keys = one.groupBy("key").agg(((F.count("*") == 1) & (F.max("n") > 1)).alias("whole"))
-    one = cut(one.join(keys, "key"))
-    whole = one.where("whole").select("key", "part", F.array(F.struct(F.lit(0).alias("a"), (F.col("at.last") - F.col("at.first") + length).alias("b"))).alias("ranges"))
-    wanted = one.where("not whole").groupBy(F.col("at.doc_id").alias("id"), F.col("at.digest").alias("dig")).agg(F.collect_list(F.struct("key", "part", "n", "at.first", "at.last")).alias("segments"))
-    same = F.col("digest").eqNullSafe(F.col("dig")) & F.col("doc_id").eqNullSafe(F.col("id"))
-    cut_up = docs.join(wanted.hint("shuffle_hash"), same, "left").where("segments is not null").select("bytes", F.explode("segments").alias("s"))
-    texts = cut_up.select("s.key", "s.part", "s.n", F.expr(f"substring(bytes, s.first + 1, s.last - s.first + {length})").alias("bytes"))
-    indexed = texts.repartition("key").sortWithinPartitions("key", "part").mapInArrow(_index(length), "key long, part long, ranges array<struct<a:int,b:int>>").where("size(ranges) > 0")
-    marks = cut(indexed.union(whole))
-    met = repeated.join(marks, ["key", "part"])
-    moved = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))
-    ranges = met.groupBy(F.col("doc_id").alias("id"), F.col("digest").alias("dig")).agg(F.flatten(F.collect_list(moved)).alias("ranges"))
+    marked = repeated_ranges(docs.select(F.col("doc_id").alias("id"), F.col("digest").alias("part_id"), "bytes"), length, overfull)
+    ranges = marked.groupBy("id", "part_id").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    same = F.col("digest").eqNullSafe(F.col("part_id")) & F.col("doc_id").eqNullSafe(F.col("id"))
     joined = docs.join(ranges.hint("shuffle_hash"), same, "left").select("doc_id", "bytes", "ranges")
     return joined.mapInArrow(_cut_out, f"doc_id {id_type}, n_bytes long, removed array<struct<start:int,end:int>>, kept binary")

@@ -8,12 +8,12 @@ from galley.llm import runlength_dedup as R
 
 def brute(texts, length):
     data = [(t or "").encode() for t in texts]
-    times = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    times = Counter(hash(d[i : i + length]) for d in data for i in range(len(d) - length + 1))
     out = []
     for d in data:
         gone = np.zeros(len(d), bool)
         for i in range(len(d) - length + 1):
-            if times[d[i : i + length]] > 1:
+            if times[hash(d[i : i + length])] > 1:
                 gone[i : i + length] = True
         spans = int(np.diff(np.concatenate([[0], gone]).astype(int)).clip(0).sum())
         out.append((len(d), int(gone.sum()), spans, bytes(np.frombuffer(d, np.uint8)[~gone])))
@@ -45,5 +45,25 @@ def test_against_brute_force(spark):
     assert [(r.doc_id, (r.n_bytes, r.n_bytes - len(r.kept), len(r.removed), bytes(r.kept))) for r in rows] == want
 
 
+def test_a_header_in_many_surroundings_is_dealt_out_again(spark):
+    """Thousands of contexts share one 32-byte string; keys of more than 100 kB take several levels, up to whole windows."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    header = "=" * 40 + " " + " ".join(word() for _ in range(48))
+    around = [" ".join(word() for _ in range(25)) for _ in range(40)]
+    texts = [" ".join(word() for _ in range(60)) + " " + header + " " + " ".join(word() for _ in range(60)) for _ in range(2500)]
+    texts += [f"{rng.choice(around)} {header} {rng.choice(around)}" for _ in range(300)] + ["z" * n for n in range(398, 900, 7)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = sorted(R.remove_repeats(docs, overfull=20_000).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_bytes, r.n_bytes - len(r.kept), len(r.removed), bytes(r.kept)) for r in rows] == brute(texts, R.LENGTH)
+
+
+def test_null_ids_and_one_id_for_several_texts(spark):
+    long = " ".join(map(str, range(300)))
+    docs = spark.createDataFrame([(None, long), (None, long), (None, "short"), (1, "x" + long), (1, "other"), (1, None)], "doc_id long, text string")
+    rows = R.remove_repeats(docs).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, len(r.kept)) for r in rows) == [(0, 5, 5), (0, len(long), 0), (0, len(long), 0), (1, 0, 0), (1, 5, 5), (1, len(long) + 1, 1)]
+
+
 def test_empty_table(spark):
     assert R.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
