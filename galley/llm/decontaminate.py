@@ -1,9 +1,9 @@
 """Benchmark decontamination by a prefix-filtered set join, in DataFrame operations only.
 
-A benchmark item is cut into windows of consecutive words.  Exact containment of a window needs every one of its
-words, so the necessary prefix, with the words ordered by rarity in the corpus, is the one rarest word.  Words of the
-documents are joined to these prefix words; the word's place in the window fixes where the window would start, which
-bounds it by the document's length; what is left is verified word by word.
+A benchmark item is cut into windows of consecutive words.  The shingles of a window are its pairs of neighbouring
+words, in the order of their rarity in the corpus; containment needs every one of them, so the rarest is the necessary
+prefix.  Shingles of the documents are joined to these; the shingle's place in the window fixes where the window would
+start, which bounds it by the document's length; what is left is verified word by word.
 """
 
 from __future__ import annotations
@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bound, cut, lower_ascii
+from .shared import bound, lower_ascii, stored
 
 #: Words of an item's window.
 WINDOW = 10
-#: Up to this many benchmark words or windows are broadcast; more are joined by a shuffle.
+#: Up to this many benchmark shingles or windows are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Everything but digits, lower-case letters and characters beyond ASCII parts words (capitals are lowered before).
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -34,31 +34,41 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return cuts.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def shingles(words: Column, singles: bool) -> Column:
+    """``(pos, token)`` of every pair of neighbouring words, as a hash that the exact check follows; the last word, and
+    with ``singles`` every word, also stands alone."""
+    hashed = lambda ws: F.transform(ws, lambda w, i: F.struct(i.alias("pos"), F.xxhash64(w, F.get(ws, i + 1)).alias("token")))
+    alone = lambda ws: F.transform(ws, lambda w, i: F.struct(i.alias("pos"), F.xxhash64(w).alias("token")))
+    return bound(words, lambda ws: F.concat(hashed(ws), alone(ws)) if singles else hashed(ws))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs(doc_id, text)``, ``benchmark(item_id, text)`` -> ``doc_id, n_words, n_hit, items, spans``, a row per document.
 
     spans are the (start, length) of occurring windows in words; n_hit counts the words inside any of them; items are
     the ids, as strings in order, of items with occurring windows.  Null and empty texts have no words.  A null item_id
-    counts for hits but is not listed.  Repeated rows each get their row; an empty benchmark hits nothing.
+    counts for hits but is not listed.  Repeated rows each get their row; an empty benchmark hits nothing; other columns
+    are not looked at.  Shingles of up to ``broadcast_rows`` are broadcast; beyond, the corpus' counts are added up
+    before they move, and only the rarest shingle of each window is joined by a shuffle.
     """
     docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-    windows = cut(item_windows(benchmark, window))
+    windows = stored(item_windows(benchmark, window))
     n_windows = windows.count()
-    vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    words = docs.select(F.explode(words_of(F.col("text"))).alias("word"))
-    counts = words.join(_small(vocabulary, n_windows * window), "word").groupBy("word").agg(F.count("*").alias("n"))
-    # a word that no document has keeps its windows from occurring at all: those drop out of this join
-    placed = windows.select("words", "items", F.posexplode("words").alias("offset", "word"))
-    rarest = placed.join(counts, "word", "left").groupBy("words").agg(F.first("items").alias("items"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "word")).alias("least"))
-    prefix = cut(rarest.where("least.n > 0").select(F.col("least.word").alias("word"), F.struct(F.col("least.offset").alias("offset"), "words", "items").alias("window")))
-    keys = prefix.groupBy("word").agg(F.collect_list("window").alias("windows"))
-    places = docs.select("doc_id", F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
-    met = places.join(_small(keys, n_windows), "word").select("doc_id", "pos", F.explode("windows").alias("w")).where("pos >= w.offset")
-    candidates = met.groupBy("doc_id").agg(F.collect_set(F.struct((F.col("pos") - F.col("w.offset")).alias("start"), F.col("w.words").alias("words"), F.col("w.items").alias("items"))).alias("candidates"))
+    singles = not windows.where("size(words) = 1").isEmpty()
+    inner = F.slice(shingles(F.col("words"), False), F.lit(1), F.greatest(F.size("words") - 1, F.lit(1)))
+    placed = windows.select("words", "items", F.explode(inner).alias("s")).select("words", "items", F.col("s.pos").alias("offset"), "s.token")
+    vocabulary = placed.select("token").distinct()
+    tokens = docs.select(F.explode(shingles(words_of(F.col("text")), singles)).alias("s")).select("s.token")
+    if n_windows * window <= broadcast_rows:
+        counts = tokens.join(F.broadcast(vocabulary), "token").groupBy("token").agg(F.count("*").alias("n"))
+    else:
+        counts = tokens.groupBy("token").agg(F.count("*").alias("n")).join(vocabulary, "token")
+    # a shingle that no document has keeps its windows from occurring at all: those drop out
+    rarest = placed.join(counts, "token", "left").groupBy("words").agg(F.first("items").alias("items"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "token")).alias("least"))
+    prefix = stored(rarest.where("least.n > 0").select("least.token", "least.offset", "words", "items"))
+    places = docs.select("doc_id", F.explode(shingles(words_of(F.col("text")), singles)).alias("s")).select("doc_id", "s.pos", "s.token")
+    met = places.join(F.broadcast(prefix) if n_windows <= broadcast_rows else prefix, "token").where("pos >= offset")
+    candidates = met.groupBy("doc_id").agg(F.collect_set(F.struct((F.col("pos") - F.col("offset")).alias("start"), "words", "items")).alias("candidates"))
     candidates = candidates.withColumnRenamed("doc_id", "id").hint("shuffle_hash")
     joined = docs.join(candidates, F.col("doc_id").eqNullSafe(F.col("id")), "left")
     none = F.array().cast(candidates.schema["candidates"].dataType)

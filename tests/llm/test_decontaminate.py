@@ -30,10 +30,10 @@ def brute(docs, items, window=D.WINDOW):
     return out
 
 
-def run(spark, docs, items):
+def run(spark, docs, items, **how):
     d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(docs)], "doc_id long, text string, words string")
     b = spark.createDataFrame(items, "item_id long, text string")
-    return {r.doc_id: (r.n_words, r.n_hit, r.items) for r in D.contamination(d, b).collect()}
+    return {r.doc_id: (r.n_words, r.n_hit, r.items) for r in D.contamination(d, b, **how).collect()}
 
 
 def test_against_brute_force(spark):
@@ -47,6 +47,11 @@ def test_against_brute_force(spark):
     got = run(spark, docs, items)
     want = brute(docs, items)
     assert [got[i] for i in range(len(docs))] == want
+    shuffled = run(spark, docs, items, broadcast_rows=0)
+    assert [shuffled[i] for i in range(len(docs))] == want
+    long_only = [x for x in items if len(words(x[1])) > 1]
+    got = run(spark, docs, long_only)
+    assert [got[i] for i in range(len(docs))] == brute(docs, long_only)
 
 
 def test_nothing_to_find(spark):
