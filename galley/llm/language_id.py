@@ -1,7 +1,7 @@
 """Language identification by fusing text, markup, address and host evidence in Bayes' rule.
 
-Byte trigrams counted over all documents of declared language give text likelihoods.  From the text posteriors of all
-records, grouped aggregations estimate how likely each language is to carry a declared tag or an address suffix, and
+Byte trigrams counted over all labelled documents give text likelihoods; a labelled document is judged by the counts of
+the other folds only, and its label is no evidence on itself.  From the text posteriors of all records, grouped aggregations estimate how likely each language is to carry a declared tag or an address suffix, and
 what a host prefers: host counts are smoothed by their domain's, these by their suffix's, these by the whole corpus.
 """
 
@@ -21,6 +21,8 @@ from .url_redirects import host_path
 BUCKETS, MAX_LANGUAGES, TEXT_WEIGHT = 1 << 14, 200, 60
 #: Pseudo-counts: of a trigram, of a tag or suffix given a language, of a parent's preference in a host's.
 TRIGRAM_PRIOR, VALUE_PRIOR, PARENT_WEIGHT = 0.5, 1.0, 5.0
+#: Labelled documents are dealt into so many folds by a hash of their id.
+FOLDS = 2
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -35,12 +37,19 @@ def page_records(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     tag = F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)", 1)
     rows = host_path(pages.select("page_id", "url", "html"))
-    return rows.select(F.lit("page").alias("kind"), F.col("page_id").cast("long").alias("id"), visible_text(html).alias("text"), F.nullif(lower_ascii(tag), F.lit("")).alias("declared"), "host", "path")
+    return rows.select(F.lit("page").alias("kind"), F.col("page_id").cast("string").alias("id"), visible_text(html).alias("text"), F.nullif(lower_ascii(tag), F.lit("")).alias("declared"), "host", "path", F.lit(None).cast("int").alias("fold"))
+
+
+def fold_of(key: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % FOLDS, F.lit(0)).cast("int")
 
 
 def document_records(docs: DataFrame) -> DataFrame:
-    """``documents(doc_id, text, lang, source)`` as records: the source stands for the host, there is no address."""
-    return docs.select(F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("declared"), F.coalesce("source", F.lit("")).alias("host"), F.lit("").alias("path"))
+    """``documents(doc_id, text, source)`` as records: the source stands for the host, there is no address and no markup.
+
+    The ``lang`` of a document is the label that the text model learns from, so it is not taken as declared.
+    """
+    return docs.select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("declared"), F.coalesce("source", F.lit("")).alias("host"), F.lit("").alias("path"), fold_of().alias("fold"))
 
 
 def _trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,29 +70,33 @@ def _trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """``labelled(text, lang)`` -> languages and log likelihoods of buckets, from counts over all rows.
+    """``labelled(text, lang[, fold])`` -> languages and log likelihoods of buckets, from counts over all rows: one set
+    for each fold, without the rows of that fold, and last one of all rows.
 
-    Null languages are left out; more than MAX_LANGUAGES are refused, so the model's size is bounded.
+    Null languages are left out; rows without a fold count in every set.  More than MAX_LANGUAGES are refused, so the
+    model's size is bounded.
     """
-    rows = labelled.where("lang is not null")
+    rows = labelled.where("lang is not null").select("text", "lang", *(["fold"] if "fold" in labelled.columns else [F.lit(None).cast("int").alias("fold")]))
     languages = sorted(r.lang for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     place = {lang: i for i, lang in enumerate(languages)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(place), BUCKETS), np.int64)
+        total = np.zeros((FOLDS + 1, len(place), BUCKETS), np.int64)
         for pdf in batches:
-            for lang, texts in pdf.groupby("lang")["text"]:
+            for (lang, fold), texts in pdf.assign(fold=pdf["fold"].fillna(FOLDS).astype(int)).groupby(["lang", "fold"])["text"]:
                 for a in range(0, len(texts), 1000):
-                    total[place[lang]] += np.bincount(_trigrams(texts.iloc[a : a + 1000].tolist())[0], minlength=BUCKETS)
-        lang, bucket = np.nonzero(total)
-        yield pd.DataFrame({"lang": lang, "bucket": bucket, "n": total[lang, bucket]})
+                    total[fold, place[lang]] += np.bincount(_trigrams(texts.iloc[a : a + 1000].tolist())[0], minlength=BUCKETS)
+        fold, lang, bucket = np.nonzero(total)
+        yield pd.DataFrame({"fold": fold, "lang": lang, "bucket": bucket, "n": total[fold, lang, bucket]})
 
-    counts = np.full((len(languages), BUCKETS), TRIGRAM_PRIOR)
-    got = rows.select("text", "lang").mapInPandas(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts[got["lang"].to_numpy(), got["bucket"].to_numpy()] += got["n"].to_numpy()
-    return languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    counts = np.zeros((FOLDS + 1, len(languages), BUCKETS))
+    got = rows.mapInPandas(run, "fold int, lang int, bucket int, n long").groupBy("fold", "lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[got["fold"].to_numpy(), got["lang"].to_numpy(), got["bucket"].to_numpy()] += got["n"].to_numpy()
+    whole = counts.sum(axis=0)
+    sets = np.stack([*(whole - counts[f] for f in range(FOLDS)), whole]) + TRIGRAM_PRIOR
+    return languages, np.log(sets / sets.sum(axis=2, keepdims=True)).astype(np.float32)
 
 
 def _likelihoods(records: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
@@ -94,20 +107,20 @@ def _likelihoods(records: DataFrame, model: tuple[list[str], np.ndarray]) -> Dat
         logs = shared.value
         for pdf in batches:
             out = []
+            folds = pdf["fold"].fillna(FOLDS).astype(int).to_numpy()
             for a in range(0, len(pdf), 500):
                 codes, ends = _trigrams(pdf["text"].iloc[a : a + 500].tolist())
                 begins = np.concatenate([[0], ends[:-1]])
                 n = np.maximum(ends - begins, 1)
-                sums = np.empty((len(ends), len(logs)))
-                for k in range(len(logs)):
-                    run_sum = np.concatenate([[0], np.cumsum(logs[k][codes], dtype=np.float64)])
+                of_code = np.repeat(folds[a : a + 500], ends - begins)
+                sums = np.empty((len(ends), logs.shape[1]))
+                for k in range(logs.shape[1]):
+                    run_sum = np.concatenate([[0], np.cumsum(logs[of_code, k, codes], dtype=np.float64)])
                     sums[:, k] = run_sum[ends] - run_sum[begins]
                 out.extend((sums * np.minimum(1, TEXT_WEIGHT / n)[:, None]).round(6))
             yield pd.DataFrame({"kind": pdf["kind"], "id": pdf["id"], "declared": pdf["declared"], "host": pdf["host"], "path": pdf["path"], "text_log": out})
 
-    text_id = records.withColumn("id", F.col("id").cast("string"))
-    out = text_id.select("kind", "id", "text", "declared", "host", "path").mapInPandas(run, "kind string, id string, declared string, host string, path string, text_log array<double>")
-    return out.withColumn("id", F.col("id").cast("long"))
+    return records.select("kind", "id", "text", "declared", "host", "path", "fold").mapInPandas(run, "kind string, id string, declared string, host string, path string, text_log array<double>")
 
 
 def _softmax(logs: Column) -> Column:
@@ -128,7 +141,8 @@ def _given_language(df: DataFrame, column: str, totals: list[float]) -> DataFram
 
 
 def identify(records: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """``records(kind, id, text, declared, host, path)`` -> ``kind, id, lang, confidence, text_lang``, a row per record.
+    """``records(kind, id, text, declared, host, path, fold)`` -> ``kind, id, lang, confidence, text_lang``, a row per
+    record, ids as text (null stays null; repeated rows each get their row and count each in their host's preference).
 
     Missing evidence (null or unseen tag, no host, empty text) says nothing; with none at all the corpus' commonest
     language comes out.  A record's own text does not count in what its host prefers.  Ties go to the lesser name.

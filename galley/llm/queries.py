@@ -63,9 +63,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
-    model = language_id.text_model(docs.select("text", "lang"))
+    model = language_id.text_model(docs.select("text", "lang", language_id.fold_of().alias("fold")))
     found = language_id.identify(language_id.document_records(docs).union(language_id.page_records(pages)), model)
-    of = lambda kind: F.when(F.col("kind") == kind, F.col("id"))
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("id").cast("long"))
     return found.select(of("document").alias("doc_id"), of("page").alias("page_id"), "lang", "confidence", "text_lang")
 
 
