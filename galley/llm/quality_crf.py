@@ -1,8 +1,11 @@
 """Quality rules with line sequence labelling.
 
 A linear-chain conditional random field labels every line of a document as content or boilerplate; Viterbi decoding
-finds the best labelling, and the share of content decides retention, after two fixed base rules.  The field is fitted
-by maximum likelihood on a bounded sample of documents with quality labels, whose label all lines take over.
+finds the best labelling, and the share of content decides retention, after two fixed base rules.  The labels of lines
+are latent: only documents have quality labels, and each line shows its own label through its document's with a known
+error.  The field is trained piecewise on a bounded sample of documents: first what a line's features say, by the
+likelihood of what the documents show, then the moves between neighbours, by expectations over whole documents.  So good
+documents may have boilerplate lines and bad ones content, and the moves between both are learned.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 #: the driver gets.  Content share that a document needs.
 SAMPLE_DOCS, SAMPLE_LINES = 1000, 100
 MIN_SHARE = 0.5
+#: Share of lines whose own label is taken to differ from their document's.
+LINE_NOISE = 0.15
 #: Characters that count as symbols, and ASCII white space.
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\r\x0b\x0c"
 #: What the line features count: A-Z, a-z, digits, symbols.
@@ -102,47 +107,53 @@ class Field:
         return np.array(out[::-1])
 
     @staticmethod
-    def fit(docs: list[np.ndarray], labels: list[int], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Field:
-        """Maximum likelihood by gradient steps with adapted rates; forward-backward runs over all documents at once."""
+    def fit(docs: list[np.ndarray], labels: list[int], rounds: int = 200, rate: float = 0.1, decay: float = 1e-3, noise: float = LINE_NOISE, passes: int = 5) -> Field:
+        """Piecewise: ``rounds`` gradient steps with adapted rates for the features, then ``passes`` of forward-backward
+        over all documents at once for the moves.  Without documents of both kinds all is content."""
         emit, move = np.zeros((2, len(FEATURES))), np.zeros((2, 2))
         if not docs or len(set(labels)) < 2:
-            emit[CONTENT, 0] = 1.0  # nothing to learn from: all is content
+            emit[CONTENT, 0] = 1.0
             return Field(emit, move)
+        lines, shown = np.concatenate(docs).astype(np.float64), np.repeat(labels, [len(d) for d in docs])
+        w, first, second = np.zeros(len(FEATURES)), np.zeros(len(FEATURES)), np.zeros(len(FEATURES))
+        for t in range(1, rounds + 1):
+            free = 1 / (1 + np.exp(-np.clip(lines @ w, -35, 35)))
+            right, wrong = np.where(shown == CONTENT, 1 - noise, noise), np.where(shown == CONTENT, noise, 1 - noise)
+            given = free * right / (free * right + (1 - free) * wrong)
+            g = (given - free) @ lines / len(lines) - decay * w
+            first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+            w += rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+        emit[CONTENT] = w
         most = max(map(len, docs))
-        x, on = np.zeros((len(docs), most, len(FEATURES))), np.zeros((len(docs), most), bool)
+        s, on = np.zeros((len(docs), most, 2)), np.zeros((len(docs), most), bool)
         for i, d in enumerate(docs):
-            x[i, : len(d)], on[i, : len(d)] = d, True
-        y = np.array(labels)
-        gold = np.zeros((len(docs), most, 2))
-        gold[np.arange(len(docs)), :, y] = 1
-        gold *= on[..., None]
-        steps = (on[:, 1:].sum(axis=1)).astype(float)
-        gold_moves = np.zeros((2, 2))
-        np.add.at(gold_moves, (y, y), steps)
-        first, second = [np.zeros_like(emit), np.zeros_like(move)], [np.zeros_like(emit), np.zeros_like(move)]
-        for t in range(1, rounds + 1):
-            s = x @ emit.T
-            ahead, behind = np.zeros_like(s), np.zeros_like(s)
-            ahead[:, 0] = s[:, 0]
-            for k in range(1, most):
-                new = np.logaddexp.reduce(ahead[:, k - 1, :, None] + move, axis=1) + s[:, k]
-                ahead[:, k] = np.where(on[:, k, None], new, ahead[:, k - 1])
-            total = np.logaddexp.reduce(ahead[:, -1], axis=1)
-            for k in range(most - 2, -1, -1):
-                new = np.logaddexp.reduce(move + (s[:, k + 1] + behind[:, k + 1])[:, None, :], axis=2)
-                behind[:, k] = np.where(on[:, k + 1, None], new, 0)
-            p = np.exp(ahead + behind - total[:, None, None]) * on[..., None]
-            both = ahead[:, :-1, :, None] + move + (s[:, 1:] + behind[:, 1:])[:, :, None, :] - total[:, None, None, None]
-            moves = (np.exp(np.minimum(both, 0)) * on[:, 1:, None, None]).sum(axis=(0, 1))
-            lines = on.sum()
-            grads = [np.einsum("dkl,dkf->lf", gold - p, x) / lines - decay * emit, (gold_moves - moves) / lines - decay * move]
-            for i, (w, g) in enumerate(zip((emit, move), grads, strict=True)):
-                first[i] = 0.9 * first[i] + 0.1 * g
-                second[i] = 0.999 * second[i] + 0.001 * g * g
-                w += rate * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
+            s[i, : len(d)], on[i, : len(d)] = d @ emit.T, True
+        for _ in range(passes):
+            _, pairs = expectations(s, move, on)
+            pairs = (pairs + 1) / (pairs + 1).sum()
+            # how much oftener neighbours have these labels than if they had nothing to do with each other
+            move = np.log(pairs / (pairs.sum(axis=1, keepdims=True) * pairs.sum(axis=0, keepdims=True)))
         return Field(emit, move)
 
 
+def expectations(s: np.ndarray, move: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over documents of scored lines: the labels' marginals, and the expected moves in all."""
+    most = s.shape[1]
+    ahead, behind = np.zeros(s.shape), np.zeros(s.shape)
+    ahead[:, 0] = s[:, 0]
+    for k in range(1, most):
+        new = np.logaddexp(ahead[:, k - 1, :1] + move[0], ahead[:, k - 1, 1:] + move[1]) + s[:, k]
+        ahead[:, k] = np.where(on[:, k, None], new, ahead[:, k - 1])
+    total = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
+    for k in range(most - 2, -1, -1):
+        after = s[:, k + 1] + behind[:, k + 1]
+        new = np.logaddexp(move[:, 0] + after[:, :1], move[:, 1] + after[:, 1:])
+        behind[:, k] = np.where(on[:, k + 1, None], new, 0)
+    p = np.exp(ahead + behind - total[:, None, None]) * on[..., None]
+    both = ahead[:, :-1, :, None] + move + (s[:, 1:] + behind[:, 1:])[:, :, None, :] - total[:, None, None, None]
+    return p, (np.exp(np.minimum(both, 0)) * on[:, 1:, None, None]).sum(axis=(0, 1))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
     """Fit on at most SAMPLE_DOCS documents of either quality, those of the least hash, of at most SAMPLE_LINES lines."""
     rated = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
@@ -166,7 +177,8 @@ def judge(docs: DataFrame, field: Field) -> DataFrame:
     content_share, kept``, a row per input row.
 
     base_failed: fewer than 50 words, or more than half of the words repeated in three-word windows.  Otherwise kept
-    says whether content lines hold at least MIN_SHARE of the characters.  Null counts as empty, which fails the base rules.
+    says whether content lines hold at least MIN_SHARE of the characters.  Null counts as empty, which fails the base rules;
+    repeated rows each get their row; on ties a line is content; other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast((field.emit, field.move))
 
