@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ ROLE_DATE_WORDS = rf"(?iuU)\b(?:del|desde|hasta|al)\b|\b(?:{DAYS})\b|\b(?:{MONTH
 BADGE_WORDS = r"(?iuU)\b(?:cmr|d[ée]bito|exclusivo\s+con|oportunidad\s+única|oportunidad\s+unica|falabella)\b"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often it is used; also keeps plans small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_accents(text: Column) -> Column:
     """Letters without their marks; loose combining marks go too."""
     return F.regexp_replace(F.translate(text, MARKED, PLAIN), r"\p{Mn}", "")
