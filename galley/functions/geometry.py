@@ -63,3 +63,25 @@ def overlap_ratio(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
     """Overlap of two intervals over the shorter one (at least 1)."""
     over = F.greatest(F.lit(0), F.least(a2, b2) - F.greatest(a1, b1))
     return over / F.greatest(F.lit(1), F.least(a2 - a1, b2 - b1)).cast("double")
+
+
+def _clamped(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Box:
+    x, y = F.greatest(F.lit(0), F.least(x, width - 1)), F.greatest(F.lit(0), F.least(y, height - 1))
+    return Box(x, y, F.greatest(F.lit(1), F.least(w, width - x)), F.greatest(F.lit(1), F.least(h, height - y)))
+
+
+def clamp(box: Box, width: Column, height: Column) -> Box:
+    """A box held inside an image; at least one pixel of it."""
+    return _clamped(box.x, box.y, box.w, box.h, width, height)
+
+
+def pad(box: Box, by: Column, width: Column, height: Column) -> Box:
+    """A box grown on all sides, held inside the image."""
+    x, y = F.greatest(F.lit(0), box.x - by), F.greatest(F.lit(0), box.y - by)
+    x2, y2 = F.least(width, box.x2 + by), F.least(height, box.y2 + by)
+    return _clamped(x, y, F.greatest(F.lit(1), x2 - x), F.greatest(F.lit(1), y2 - y), width, height)
+
+
+def union(a: Box, b: Box) -> Box:
+    x, y = F.least(a.x, b.x), F.least(a.y, b.y)
+    return Box(x, y, F.greatest(a.x2, b.x2) - x, F.greatest(a.y2, b.y2) - y)

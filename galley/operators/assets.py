@@ -11,9 +11,13 @@ LAYOUT_RULES = (
     ("1:1", 1080.0, 1080.0, 1000.0, 1000.0, 540.0, 540.0),
     ("ST", 1080.0, 1920.0, 960.0, 1360.0, 540.0, 831.0),
 )
+# Expected logo and its container on the canvas by piece type, as x, y, width, height.
+LOGOS = {"1:1": (989.0, 90.0, 71.0, 54.0), "ST": (946.0, 291.0, 71.0, 54.0)}
+CONTAINERS = {"1:1": (946.0, 291.0, 102.0, 101.0), "ST": (989.0, 90.0, 102.0, 101.0)}
+SIZE_TOLERANCE, POSITION_TOLERANCE = 0.10, 40.0
 RATIO_TOLERANCE = 0.03
 ALIASES = {"ST": "slideshow"}
-SUPPORTED = ("slideshow",)
+SUPPORTED = ("slideshow", "mtlk")
 
 
 def normalize_format(name: Column) -> Column:
@@ -115,3 +119,31 @@ def layout_score(checks: DataFrame) -> DataFrame:
         F.col("text_inside_safe_area"),
     )
     return checks.select("asset_id", (sum(r.cast("int") for r in rules) * 20).alias("layout_score"))
+
+
+def is_supported(piece_format: Column, supported: tuple[str, ...] = SUPPORTED) -> Column:
+    """Whether pieces of this format are compared with a catalog."""
+    return F.coalesce(piece_format.isin(*supported), F.lit(False))
+
+
+def excel_gate(has_catalog: Column, readable: Column, supported: Column) -> Column:
+    """Why a piece is not compared with its catalog: ``not_executed``, ``not_applicable`` or ``error``; null if it is."""
+    return F.when(~has_catalog, "not_executed").when(~supported, "not_applicable").when(~readable, "error")
+
+
+def logo_checks(found: DataFrame) -> DataFrame:
+    """``found(asset_id, piece_type, x, y, w, h, container_w, container_h)`` on the canvas -> ``asset_id, logo_size_valid,
+    logo_position_valid, logo_inside_safe_area, container_size_valid``; null without a rule for the piece type."""
+    table = lambda rules, i: F.create_map(*[F.lit(v) for k, box in rules.items() for v in (k, box[i])])
+    rule = lambda rules, i: F.try_element_at(table(rules, i), F.col("piece_type"))
+    near = lambda c, value: F.abs(F.col(c) - value) <= value * SIZE_TOLERANCE
+    at = lambda c, value: F.abs(F.col(c) - value) <= POSITION_TOLERANCE
+    safe = {k: (cx - sw / 2, cy - sh / 2, cx + sw / 2, cy + sh / 2) for k, _, _, sw, sh, cx, cy in LAYOUT_RULES}
+    inside = (F.col("x") >= rule(safe, 0)) & (F.col("y") >= rule(safe, 1)) & (F.col("x") + F.col("w") <= rule(safe, 2)) & (F.col("y") + F.col("h") <= rule(safe, 3))
+    return found.select(
+        "asset_id",
+        (near("w", rule(LOGOS, 2)) & near("h", rule(LOGOS, 3))).alias("logo_size_valid"),
+        (at("x", rule(LOGOS, 0)) & at("y", rule(LOGOS, 1))).alias("logo_position_valid"),
+        inside.alias("logo_inside_safe_area"),
+        (near("container_w", rule(CONTAINERS, 2)) & near("container_h", rule(CONTAINERS, 3))).alias("container_size_valid"),
+    )

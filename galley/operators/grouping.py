@@ -12,8 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import text_role
-from .layout import macro_zones
+from ..functions.text import BADGE_WORDS, text_role
 
 LINE_TYPE = "asset_id long, line int, text string, x int, y int, w int, h int, confidence double, words array<int>"
 MICRO_TYPE = "asset_id long, micro int, block int, zone string, role string, text string, x int, y int, w int, h int, confidence double, lines array<int>, words array<int>"
@@ -22,6 +21,9 @@ MICRO_TYPE = "asset_id long, micro int, block int, zone string, role string, tex
 SURE_OVERLAP, LIKELY_OVERLAP, COLUMN_GAP = 0.45, 0.25, 0.34
 MICRO_GAP, MICRO_OVERLAP, ALIGNED, ALIGNED_OVERLAP = 0.95, 0.32, 0.16, 0.18
 BLOCK_GAP, BLOCK_OVERLAP = 0.85, 0.30
+MACRO_SHARES, SUB_SHARES = (0.20, 0.22), (0.14, 0.18)
+# Gaps and overlaps of the simple grouping.
+SIMPLE_GAP, SIMPLE_LAST, SIMPLE_BLOCK, SIMPLE_APART = 1.55, 0.18, 0.22, (0.95, 0.10)
 ALONE = {"sku", "price_main", "price_secondary", "promo_badge"}
 JOINABLE = {"description", "date_range", "campaign"}
 
@@ -54,19 +56,6 @@ def _apart(a1: float, a2: float, b1: float, b2: float) -> float:
     return max(0.0, b1 - a2, a1 - b2)
 
 
-def _fit(line: _Frame, word) -> float | None:
-    """How well a word continues a line; None if it does not."""
-    if word.y >= line.y2 or word.y + word.h <= line.y1:
-        return None
-    height = max(1, line.h)
-    off = abs(word.y + word.h / 2 - (line.y1 + line.y2) / 2)
-    shared = max(0.0, min(line.y2, word.y + word.h) - max(line.y1, word.y)) / max(1.0, min(height, word.h))
-    reach = max(10.0, 2.8 * max(height, word.h))
-    gap = _apart(line.x1, line.x2, word.x, word.x + word.w)
-    near = shared >= SURE_OVERLAP or (shared >= LIKELY_OVERLAP and off <= max(3.0, 0.55 * max(height, word.h)))
-    return None if gap > reach or not near else 3 * shared - off / height - gap / reach
-
-
 def split_point(values: list[float], span: float, share: float) -> float | None:
     """Middle of the first largest gap of six or more values, if wide enough and with two values on both sides."""
     v = sorted(values)
@@ -98,27 +87,57 @@ def _badges(line: _Frame) -> list[_Frame]:
     return [a, b] if far else [line]
 
 
+def _place(words: list) -> list[list]:
+    """Words, in reading order, to the lines that they continue best; members of each line.
+
+    Plain numbers in the inner loop: a word is compared with the lines that overlap it in height only, and a line that
+    ends above all later words is closed.
+    """
+    tops = list(accumulate((w.y for w in reversed(words)), min))[::-1]
+    lines: list[list] = []  # x1, y1, x2, y2, members
+    still_open: list[list] = []
+    for word, top in zip(words, tops, strict=True):
+        x1, y1 = word.x, word.y
+        x2, y2, high, mid = x1 + word.w, y1 + word.h, word.h, y1 + word.h / 2
+        if any(line[3] <= top for line in still_open):
+            still_open = [line for line in still_open if line[3] > top]
+        best, chosen = None, None
+        for line in still_open:
+            over = min(line[3], y2) - max(line[1], y1)
+            if over <= 0:
+                continue
+            height = max(1, line[3] - line[1])
+            most = max(height, high)
+            gap = max(0.0, x1 - line[2], line[0] - x2)
+            reach = max(10.0, 2.8 * most)
+            if gap > reach:
+                continue
+            shared, off = over / max(1.0, min(height, high)), abs(mid - (line[1] + line[3]) / 2)
+            if shared >= SURE_OVERLAP or (shared >= LIKELY_OVERLAP and off <= max(3.0, 0.55 * most)):
+                score = 3 * shared - off / height - gap / reach
+                if best is None or score > best:
+                    best, chosen = score, line
+        if chosen is None:
+            chosen = [x1, y1, x2, y2, [word]]
+            lines.append(chosen)
+            still_open.append(chosen)
+        else:
+            chosen[0], chosen[1], chosen[2], chosen[3] = min(chosen[0], x1), min(chosen[1], y1), max(chosen[2], x2), max(chosen[3], y2)
+            chosen[4].append(word)
+    return [line[4] for line in lines]
+
+
 def _lines(pdf: pd.DataFrame) -> pd.DataFrame:
     words = sorted(pdf.itertuples(index=False), key=lambda t: (t.y + t.h / 2, t.x + t.w / 2, t.word_index))
-    # a line that ends above this and all later words takes no more of them
-    above = list(accumulate((word.y for word in reversed(words)), min))[::-1]
-    lines: list[_Frame] = []
-    still_open: list[int] = []
-    for word, top in zip(words, above, strict=True):
-        still_open = [i for i in still_open if lines[i].y2 > top]
-        fits = [(score, -i) for i in still_open if (score := _fit(lines[i], word)) is not None]
-        if fits:
-            lines[-max(fits)[1]].add(word)
-        else:
-            still_open.append(len(lines))
-            lines.append(_Frame([word]))
-    parts = [part for line in lines for column in _columns(line) for part in _badges(column)]
+    parts = [part for members in _place(words) for column in _columns(_Frame(members)) for part in _badges(column)]
     rows = []
     for n, line in enumerate(sorted(parts, key=_Frame.order), 1):
         members = sorted(line.members, key=lambda m: m.x)
         conf = sum(m.confidence for m in members) / len(members)
-        rows.append((pdf["asset_id"].iloc[0], n, " ".join(m.text for m in members).strip(), line.x1, line.y1, line.w, line.h, conf, [m.word_index for m in members]))
-    return pd.DataFrame(rows, columns=["asset_id", "line", "text", "x", "y", "w", "h", "confidence", "words"])
+        rows.append((n, " ".join(m.text for m in members).strip(), line.x1, line.y1, line.w, line.h, conf, [m.word_index for m in members]))
+    out = pd.DataFrame(rows, columns=["line", "text", "x", "y", "w", "h", "confidence", "words"])
+    out.insert(0, "asset_id", pdf["asset_id"].iloc[0])
+    return out
 
 
 def group_lines(words: DataFrame) -> DataFrame:
@@ -127,7 +146,9 @@ def group_lines(words: DataFrame) -> DataFrame:
     Words go, from the top, to the open line that they fit best; lines are parted at wide column gaps and before
     promotional words that stand apart.
     """
-    needed = words.select("asset_id", "word_index", "text", "x", "y", "w", "h", "confidence", text_role(F.col("text")).alias("role"))
+    # the role of a single word matters where it may be a badge only
+    role = F.when(F.col("text").rlike(BADGE_WORDS), text_role(F.col("text"))).otherwise("")
+    needed = words.select("asset_id", "word_index", "text", "x", "y", "w", "h", "confidence", role.alias("role"))
     return needed.groupBy("asset_id").applyInPandas(_lines, LINE_TYPE).withColumn("role", text_role(F.col("text")))
 
 
@@ -144,13 +165,36 @@ def _continues(block: _Frame, role: str, line, last) -> bool:
     return over >= MICRO_OVERLAP or (aligned and over >= ALIGNED_OVERLAP)
 
 
+def _zones(rows: list) -> dict[int, str]:
+    """Zone of each line: halves and quarters of the piece where lines leave wide gaps, and of these once more."""
+
+    def part(members: list, x_share: float, y_share: float, prefix: str) -> dict[int, str]:
+        box = _Frame(members)
+        sx = split_point([m.x + m.w / 2 for m in members], box.w, x_share)
+        sy = split_point([m.y + m.h / 2 for m in members], box.h, y_share)
+        if sx is None and sy is None:
+            return {m.line: f"{prefix}ALL" for m in members}
+        down = lambda m: "A" if sy is None else "T" if m.y + m.h / 2 < sy else "B"
+        across = lambda m: "A" if sx is None else "L" if m.x + m.w / 2 < sx else "R"
+        return {m.line: f"{prefix}{down(m)}{across(m)}" for m in members}
+
+    macro = part(rows, *MACRO_SHARES, "Z_")
+    by_macro: dict[str, list] = {}
+    for row in rows:
+        by_macro.setdefault(macro[row.line], []).append(row)
+    return {line: f"{big}|{small}" for big, members in by_macro.items() for line, small in part(members, *SUB_SHARES, "S_").items()}
+
+
 def _micro_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     micros: list[dict] = []
     rows = sorted(pdf.itertuples(index=False), key=lambda t: t.line)
-    zones = list(dict.fromkeys(r.zone for r in rows))
-    for zone in zones:
+    zone_of = _zones(rows)
+    by_zone: dict[str, list] = {}
+    for row in rows:
+        by_zone.setdefault(zone_of[row.line], []).append(row)
+    for zone, members in by_zone.items():
         current = None
-        for line in sorted((r for r in rows if r.zone == zone), key=lambda t: (t.y + t.h / 2, t.x)):
+        for line in sorted(members, key=lambda t: (t.y + t.h / 2, t.x)):
             if current and _continues(current["box"], current["role"], line, current["box"].members[-1]):
                 current["box"].add(line)
                 if current["role"] in ("unknown", "description") and line.role != "unknown":
@@ -180,10 +224,8 @@ def _micro_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def group_micro_blocks(lines: DataFrame) -> DataFrame:
     """Lines into micro-blocks inside zones of zones; ``block`` numbers the neighbours of one kind that belong together."""
-    big = macro_zones(lines).withColumnRenamed("zone", "macro")
-    small = macro_zones(big, ("asset_id", "macro"), 0.14, 0.18, "S_")
-    zoned = small.withColumn("zone", F.concat_ws("|", "macro", "zone")).select("asset_id", "line", "text", "x", "y", "w", "h", "confidence", "words", "role", "zone")
-    return zoned.groupBy("asset_id").applyInPandas(_micro_blocks, MICRO_TYPE)
+    needed = lines.select("asset_id", "line", "text", "x", "y", "w", "h", "confidence", "words", "role")
+    return needed.groupBy("asset_id").applyInPandas(_micro_blocks, MICRO_TYPE)
 
 
 def block_rollup(micros: DataFrame) -> DataFrame:
@@ -198,6 +240,34 @@ def block_rollup(micros: DataFrame) -> DataFrame:
     return out.withColumn("role", text_role(F.col("text")))
 
 
+def _simple_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    share = lambda a1, a2, b1, b2: max(0, min(a2, b2) - max(a1, b1)) / max(1, min(a2 - a1, b2 - b1))
+    blocks: list[_Frame] = []
+    for line in sorted(pdf.itertuples(index=False), key=lambda t: t.line):
+        for block in blocks:
+            last = block.members[-1]
+            close = line.y - (last.y + last.h) <= SIMPLE_GAP * max(8.0, (line.h + last.h) / 2)
+            by_last, by_block = share(last.x, last.x + last.w, line.x, line.x + line.w), share(block.x1, block.x2, line.x, line.x + line.w)
+            far = abs(line.x + line.w / 2 - last.x - last.w / 2) > max(last.w, line.w) * SIMPLE_APART[0] and max(by_last, by_block) < SIMPLE_APART[1]
+            if close and not far and (by_last >= SIMPLE_LAST or by_block >= SIMPLE_BLOCK):
+                block.add(line)
+                break
+        else:
+            blocks.append(_Frame([line]))
+    rows = []
+    for n, b in enumerate(blocks, 1):
+        text = "\n".join(m.text for m in b.members).strip()
+        rows.append((pdf["asset_id"].iloc[0], n, text, b.x1, b.y1, b.w, b.h, sum(m.confidence for m in b.members) / len(b.members), [m.line for m in b.members], [i for m in b.members for i in m.words]))
+    return pd.DataFrame(rows, columns=["asset_id", "block", "text", "x", "y", "w", "h", "confidence", "lines", "words"])
+
+
+def group_blocks_simple(lines: DataFrame) -> DataFrame:
+    """Lines, in order, to the first block that they follow closely enough: ``asset_id, block, text, x, y, w, h, confidence,
+    lines, words``; without roles or zones."""
+    needed = lines.select("asset_id", "line", "text", "x", "y", "w", "h", "confidence", "words")
+    return needed.groupBy("asset_id").applyInPandas(_simple_blocks, "asset_id long, block int, text string, x int, y int, w int, h int, confidence double, lines array<int>, words array<int>")
+
+
 def build_layout(words: DataFrame) -> DataFrame:
     """Words to blocks in one go."""
     return block_rollup(group_micro_blocks(group_lines(words)))

@@ -12,54 +12,37 @@ def confidence_metrics(words: DataFrame) -> DataFrame:
     return words.groupBy("asset_id").agg(F.avg("confidence").alias("avg_confidence"), F.min("confidence").alias("min_confidence"))
 
 
-def largest_gaps(keys: tuple[str, ...], value: str, span: str) -> Column:
-    """A value of a sorted group with its successor, its place, the group's size and span, as a window expression."""
-    group = W.partitionBy(*keys)
-    order = group.orderBy(value)
-    return F.struct(
-        F.col(value).cast("double").alias("v"),
-        F.lead(F.col(value).cast("double")).over(order).alias("next"),
-        F.row_number().over(order).alias("i"),
-        F.count("*").over(group).alias("n"),
-        F.col(span).cast("double").alias("span"),
-    )
-
+def split_points(placed: DataFrame, keys: tuple[str, ...], value: str, span: Column, share: float) -> DataFrame:
+    """``keys, split``: where the largest gap between the values of a group parts it; groups without a split are left out.
 
-def _split_of(gaps: Column, keys: tuple[str, ...], share: float) -> Column:
-    """The middle of the largest gap; null without a split.
-
-    There is a split only for six or more values, if the gap is at least ``share`` of the group's span and leaves two
-    values on both sides; of equal gaps the first counts.
+    ``span`` is an aggregate of the group.  There is a split only for six or more values, if the gap is at least
+    ``share`` of the span and leaves two values on both sides; of equal gaps the first counts.
     """
-    best = F.max(F.when(gaps["next"].isNotNull(), F.struct((gaps["next"] - gaps["v"]).alias("gap"), (-gaps["i"]).alias("i"), gaps.alias("g")))).over(W.partitionBy(*keys))
-    g = best["g"]
-    enough = (g["n"] >= 6) & (g["i"] >= 2) & (g["n"] - g["i"] >= 2) & (g["span"] > 1e-6)
-    wide = best["gap"] / F.nullif(g["span"], F.lit(0.0)) >= share
-    return F.when(enough & wide, (g["v"] + g["next"]) / 2.0)
+    order = W.partitionBy(*keys).orderBy("v", *([] if "word_index" not in placed.columns else ["word_index"]))
+    rows = placed.withColumn("v", F.col(value).cast("double"))
+    rows = rows.withColumns({"next": F.lead("v").over(order), "i": F.row_number().over(order)})
+    widest = F.max(F.when(F.col("next").isNotNull(), F.struct((F.col("next") - F.col("v")).alias("gap"), (-F.col("i")).alias("i"), "v", "next")))
+    found = rows.groupBy(*keys).agg(widest.alias("g"), F.count("*").alias("n"), span.cast("double").alias("span"))
+    at = -F.col("g.i")
+    enough = (F.col("n") >= 6) & (at >= 2) & (F.col("n") - at >= 2) & (F.col("span") > 1e-6)
+    return found.where(enough & (F.col("g.gap") / F.col("span") >= share)).select(*keys, ((F.col("g.v") + F.col("g.next")) / 2.0).alias("split"))
 
 
 def macro_zones(lines: DataFrame, keys: tuple[str, ...] = ("asset_id",), x_share: float = 0.20, y_share: float = 0.22, prefix: str = "Z_") -> DataFrame:
     """Boxes with ``zone``: T or B and L or R by the splits of their centres; A where an axis has none, ALL for both.
 
-    The spans are those of the group's common box.  All steps are windows over one partitioning: no join, so what
-    made the boxes runs once.
+    The spans are those of the group's common box.  Each axis is one sort within the group and one aggregate, whose few
+    rows are joined back.
     """
-    group = W.partitionBy(*keys)
-    placed = lines.withColumns(
-        {
-            "cx": F.col("x") + F.col("w") / F.lit(2.0),
-            "cy": F.col("y") + F.col("h") / F.lit(2.0),
-            "span_x": F.max(F.col("x") + F.col("w")).over(group) - F.min("x").over(group),
-            "span_y": F.max(F.col("y") + F.col("h")).over(group) - F.min("y").over(group),
-        }
-    )
-    gaps = placed.withColumns({"gap_x": largest_gaps(keys, "cx", "span_x"), "gap_y": largest_gaps(keys, "cy", "span_y")})
-    split = gaps.withColumns({"sx": _split_of(F.col("gap_x"), keys, x_share), "sy": _split_of(F.col("gap_y"), keys, y_share)})
+    placed = lines.withColumns({"cx": F.col("x") + F.col("w") / F.lit(2.0), "cy": F.col("y") + F.col("h") / F.lit(2.0)})
+    sx = split_points(placed, keys, "cx", F.max(F.col("x") + F.col("w")) - F.min("x"), x_share).withColumnRenamed("split", "sx")
+    sy = split_points(placed, keys, "cy", F.max(F.col("y") + F.col("h")) - F.min("y"), y_share).withColumnRenamed("split", "sy")
+    split = placed.join(sx, list(keys), "left").join(sy, list(keys), "left")
     v = F.when(F.col("sy").isNull(), "A").when(F.col("cy") < F.col("sy"), "T").otherwise("B")
     h = F.when(F.col("sx").isNull(), "A").when(F.col("cx") < F.col("sx"), "L").otherwise("R")
     none = F.col("sx").isNull() & F.col("sy").isNull()
     zone = F.when(none, f"{prefix}ALL").otherwise(F.concat(F.lit(prefix), v, h))
-    return split.withColumn("zone", zone).drop("gap_x", "gap_y", "sx", "sy", "span_x", "span_y")
+    return split.withColumn("zone", zone).drop("sx", "sy")
 
 
 def line_of_words(words: DataFrame, share: float = 0.6) -> DataFrame:

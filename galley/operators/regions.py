@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import Box
 
 #: Region classes whose words count, and those whose words do not.
-KEEP = ("info_card_area", "price_main_area", "price_secondary_area", "campaign_area", "date_area", "sku_area")
+KEEP = ("campaign_area", "date_area", "info_card_area", "price_main_area", "price_secondary_area", "sku_area", "promo_badge_area", "logo_area")
 EXCLUDE = ("product_photo_area",)
 MAX_INCIDENTAL = 3
 

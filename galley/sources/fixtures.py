@@ -148,6 +148,29 @@ SELECT CAST(floor(doc_id / 4.0E0) AS BIGINT) AS asset_id, CAST(doc_id % 4 AS INT
   CASE WHEN doc_id % 5 = 0 THEN NULL ELSE replace(text, 'er', 'cr') END AS ocr_text,
   (doc_id % 50) / 100.0E0 + 0.5E0 AS ocr_avg
 FROM documents
+""",
+    ),
+    "fx_raw_text": (
+        ('documents',),
+        r"""
+SELECT doc_id AS asset_id, CASE doc_id % 6
+  WHEN 0 THEN upper(t)
+  WHEN 1 THEN concat('TRIVIA PRO', chr(10), 'CUALES EL MARTILLOIDEAL', chr(10), 'PARA TRABAJOS DE CARPINTERIA', chr(10), replace(t, '. ', concat('?', chr(10))), chr(10), 'A) MARTILLO DE BOLA', chr(10), 'B) TIPO "UNA', chr(39))
+  WHEN 2 THEN replace(replace(t, '. ', concat(' .', chr(10), chr(10), chr(10))), ', ', ' ,')
+  WHEN 3 THEN replace(replace(t, 'o', '0'), 'l', '1')
+  WHEN 4 THEN replace(replace(replace(t, 'm', 'rn'), 'ñ', concat('n', chr(39))), ' de ', ' “de” ')
+  ELSE concat('como esta "', t) END AS text
+FROM (SELECT doc_id, replace(coalesce(text, ''), 'ß', 'ss') AS t FROM documents)
+""",
+        r"""
+SELECT doc_id AS asset_id, CASE doc_id % 6
+  WHEN 0 THEN upper(t)
+  WHEN 1 THEN concat('TRIVIA PRO', chr(10), 'CUALES EL MARTILLOIDEAL', chr(10), 'PARA TRABAJOS DE CARPINTERIA', chr(10), replace(t, '. ', concat('?', chr(10))), chr(10), 'A) MARTILLO DE BOLA', chr(10), 'B) TIPO "UNA', chr(39))
+  WHEN 2 THEN replace(replace(t, '. ', concat(' .', chr(10), chr(10), chr(10))), ', ', ' ,')
+  WHEN 3 THEN replace(replace(t, 'o', '0'), 'l', '1')
+  WHEN 4 THEN replace(replace(replace(t, 'm', 'rn'), 'ñ', concat('n', chr(39))), ' de ', ' “de” ')
+  ELSE concat('como esta "', t) END AS text
+FROM (SELECT doc_id, replace(coalesce(text, ''), 'ß', 'ss') AS t FROM documents)
 """,
     ),
     "fx_detections": (
