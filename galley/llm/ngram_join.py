@@ -21,13 +21,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, cut
+from .shared import connected_components, cut, stored
 
 #: Words of a shingle and least similarity, in hundredths.
 WORDS, PERCENT = 5, 80
 #: Coordinates of an embedding; coordinates that a node samples on average; levels; sets that brute force takes.
 COORDINATES, SAMPLED, LEVELS, BRUTE = 64, 2.0, 3, 64
 TARGET_RECALL = 0.999
+#: Leaders that a large bucket gets, one after another, each from the sets that no leader before is similar to.
+LEADERS = 6
 #: Rows of a block where large groups are compared in blocks.
 BLOCK = 512
 #: Rows of a block of a large bucket that a block of probes is compared with.
@@ -285,14 +287,23 @@ def candidate_links(sets: DataFrame, runs: int) -> DataFrame:
     large = cut(large)
     if large.isEmpty():
         return cut(links)
-    # similar sets stay together however deep: link what the least set of a bucket is similar to, then compare the
-    # buckets that still hold unlinked sets in blocks
-    first = large.groupBy("path").agg(F.min("node").alias("leader"))
-    pairs = large.join(first, "path").where("node <> leader").select("node", "leader").distinct()
+    # similar sets stay together however deep: all of a bucket is compared with a leader, again with one that the first is
+    # not similar to, and so on; then the buckets that still hold unlinked sets are compared in blocks
     other = sets.select(F.col("node").alias("leader"), F.col("embedding").alias("e"))
     same = F.size(F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.substring("embedding", i * 4 + 1, F.lit(4)) == F.substring("e", i * 4 + 1, F.lit(4))))
-    led = pairs.join(sets, "node").join(other, "leader").where(same >= AGREE * COORDINATES).select(F.col("node").alias("src"), F.col("leader").alias("dst"))
-    links = cut(links.union(led))
+    left = large.select("path", "node")
+    for _ in range(LEADERS):
+        first = left.groupBy("path").agg(F.min("node").alias("leader"))
+        # many buckets of one group have the same leader: a pair is compared once
+        pairs = large.join(first, "path").where("node <> leader").select("node", "leader").distinct()
+        led = stored(pairs.join(sets, "node").join(other, "leader").where(same >= AGREE * COORDINATES).select(F.col("node").alias("src"), F.col("leader").alias("dst")))
+        links = links.union(led)
+        near_leader = left.join(first, "path").join(led.select(F.col("src").alias("node"), F.col("dst").alias("leader")), ["node", "leader"], "left_semi")
+        gone = near_leader.select("path", "node").union(first.select("path", F.col("leader").alias("node")))
+        left = stored(left.join(gone, ["path", "node"], "left_anti"))
+        if left.isEmpty():
+            break
+    links = stored(links.distinct())
     groups = connected_components(links)
     placed = large.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     shares = placed.groupBy("path", "component").agg(F.count("*").alias("k"))
@@ -304,16 +315,21 @@ def candidate_links(sets: DataFrame, runs: int) -> DataFrame:
     return cut(links.union(rest))
 
 
-def near_duplicates(docs: DataFrame, runs: int | None = None) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``doc_id, class_id, n_links``, a row per document.
+def text_digest() -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
+def near_duplicates(docs: DataFrame, runs: int | None = None, mark: bool = False) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``doc_id, class_id, n_links``, a row per document; with ``mark`` also ``digest`` (see
+    ``text_digest``) and ``kept``, true for the rows of the least (doc_id, digest) of each class.
 
     A link joins two documents whose shingle sets have a Jaccard similarity of at least 0.8; class_id is the least
     doc_id that links lead to, n_links the number of other documents that a document is linked to itself, copies
     included.  Null texts and texts without words link to nothing and are classes of their own.  Repeated rows are
     copies of each other.  An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    docs = docs.withColumn("digest", F.xxhash64("doc_id", "text"))
+    docs = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("digest", text_digest())
     id_type = docs.schema["doc_id"].dataType.simpleString()
     embedded = cut(docs.select("doc_id", "digest", "text").mapInArrow(_embed, f"doc_id {id_type}, digest long, node long, embedding binary"))
     nodes = cut(embedded.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count("*").alias("weight"), F.min("doc_id").alias("least_doc"), F.first("embedding").alias("embedding")))
@@ -327,12 +343,14 @@ def near_duplicates(docs: DataFrame, runs: int | None = None) -> DataFrame:
     spread = sets.select("grp", "node", "weight", F.col("blocks.block").alias("block"), "tokens", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks.n") - 1), lambda k: F.struct(F.least("blocks.block", k).alias("x"), F.greatest("blocks.block", k).alias("y")))).alias("p"))
     checked = cut(spread.select("grp", "node", "weight", "block", "tokens", "p.x", "p.y").repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y").mapInArrow(_verify, "node long, links long, root long"))
     classes = connected_components(checked.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")))
-    linked = nodes.drop("embedding", "first").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = linked.groupBy("component").agg(F.min("least_doc").alias("class_id"))
+    linked = nodes.drop("embedding").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = linked.groupBy("component").agg(F.min("least_doc").alias("class_id"), F.min("first").alias("class_first"))
     counts = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    info = linked.join(least, "component").join(counts, "node", "left").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = embedded.select("doc_id", "node").join(info, "node", "left")
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    info = linked.join(least, "component").join(counts, "node", "left").select("node", "class_id", "class_first", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    out = embedded.select("doc_id", "digest", "node").join(info, "node", "left")
+    class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
+    extra = ["digest", (F.col("node").isNull() | F.struct("doc_id", "digest").eqNullSafe(F.col("class_first"))).alias("kept")] if mark else []
+    return out.select("doc_id", class_id, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *extra)
 
 
 ORACLE_SQL = r"""

@@ -59,6 +59,34 @@ def test_large_buckets_in_blocks(spark, monkeypatch):
     assert [rows[i] for i in range(len(texts))] == brute(texts)
 
 
+def test_recall_of_pairs_at_the_threshold(spark):
+    """Pairs of 0.80 to 0.85 of texts that share nothing else: at least nine in ten are linked."""
+    rng = random.Random(17)
+    texts, near = [], 0
+    for p in range(300):
+        base = [f"p{p}w{i}" for i in range(rng.randrange(60, 200))]
+        other = list(base)
+        while True:
+            trial = list(other)
+            trial[rng.randrange(len(trial))] = f"c{p}x{rng.random()}"
+            a, b = (set(J.shingles(" ".join(t), J._Hashes()).tolist()) for t in (base, trial))
+            if len(a & b) / len(a | b) < 0.80:
+                break
+            other = trial
+        texts += [" ".join(base), " ".join(other)]
+    rows = {r.doc_id: r.n_links for r in J.near_duplicates(table(spark, texts)).collect()}
+    want = [k for _, k in brute(texts)]
+    assert sum(want) >= 500 and sum(rows[i] for i in range(len(texts))) >= 0.99 * sum(want)
+
+
+def test_one_row_of_a_class_is_kept(spark):
+    long = " ".join(map(str, range(60)))
+    docs = spark.createDataFrame([(5, long), (5, long), (5, "other"), (7, long + " x"), (None, long), (None, "alone"), (8, None), (9, "")], "doc_id long, text string")
+    rows = J.near_duplicates(docs, mark=True).collect()
+    kept = sorted((r.doc_id or 0, r.class_id or 0) for r in rows if r.kept)
+    assert kept == [(0, 0), (0, 5), (5, 5), (8, 8), (9, 9)]
+
+
 def test_exact_links_by_matrix():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 50).astype(np.uint64)) for _ in range(25)]
