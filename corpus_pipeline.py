@@ -32,10 +32,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document of the least doc_id stays."""
-    classes = ngram_join.near_duplicates(docs)
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(stay.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Of each class of near copies one row stays, that of the least doc_id and text digest; of rows repeated with both,
+    one.  A row of null doc_id is kept or goes by its own text; texts without words all stay."""
+    marked = ngram_join.near_duplicates(docs, mark=True).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct()
+    keyed = docs.withColumn("digest__", ngram_join.text_digest())
+    same = F.col("digest__").eqNullSafe(F.col("kept_digest")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    return keyed.join(marked.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", "digest__"]).drop("digest__")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
