@@ -291,14 +291,19 @@ def candidate_links(sets: DataFrame, runs: int) -> DataFrame:
     # not similar to, and so on; then the buckets that still hold unlinked sets are compared in blocks
     other = sets.select(F.col("node").alias("leader"), F.col("embedding").alias("e"))
     same = F.size(F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.substring("embedding", i * 4 + 1, F.lit(4)) == F.substring("e", i * 4 + 1, F.lit(4))))
-    left = large.select("path", "node")
+    left, homes = large.select("path", "node"), None
     for _ in range(LEADERS):
         first = left.groupBy("path").agg(F.min("node").alias("leader"))
         # many buckets of one group have the same leader: a pair is compared once
         pairs = large.join(first, "path").where("node <> leader").select("node", "leader").distinct()
-        led = stored(pairs.join(sets, "node").join(other, "leader").where(same >= AGREE * COORDINATES).select(F.col("node").alias("src"), F.col("leader").alias("dst")))
-        links = links.union(led)
-        near_leader = left.join(first, "path").join(led.select(F.col("src").alias("node"), F.col("dst").alias("leader")), ["node", "leader"], "left_semi")
+        led = stored(pairs.join(sets, "node").join(other, "leader").where(same >= AGREE * COORDINATES).select("node", "leader"))
+        # a set is linked to the first leader it is similar to, its home, and homes to further leaders: no star is sent twice
+        fresh = led.groupBy("node").agg(F.min("leader").alias("home"))
+        fresh = stored(fresh if homes is None else fresh.join(homes.select("node"), "node", "left_anti"))
+        homes = fresh if homes is None else homes.union(fresh)
+        joined = led.join(homes, "node").where("home <> leader").select(F.col("home").alias("src"), F.col("leader").alias("dst")).distinct()
+        links = links.union(fresh.select(F.col("node").alias("src"), F.col("home").alias("dst"))).union(joined)
+        near_leader = left.join(first, "path").join(led, ["node", "leader"], "left_semi")
         gone = near_leader.select("path", "node").union(first.select("path", F.col("leader").alias("node")))
         left = stored(left.join(gone, ["path", "node"], "left_anti"))
         if left.isEmpty():
