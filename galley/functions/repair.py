@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import norm_text, strip_accents, upper_ratio
+from .text import compose, norm_text, strip_accents, upper_ratio
 
 # Doubly encoded letters and what they stand for.
 MOJIBAKE = (("Ã¡", "á"), ("Ã©", "é"), ("Ã­", "í"), ("Ã³", "ó"), ("Ãº", "ú"), ("Ã¼", "ü"), ("Ã±", "ñ"), ("Â¿", "¿"), ("Â¡", "¡"))
@@ -17,10 +17,11 @@ ASKING = r"(?i)\b(que|cual|cuales|como|donde|cuando|por\s+que|quien|quienes)\b"
 
 
 def fix_mojibake(text: Column) -> Column:
+    """Doubly encoded letters mended, letters with loose marks composed; null becomes empty."""
     out = F.coalesce(text, F.lit(""))
     for broken, fixed in MOJIBAKE:
         out = F.replace(out, F.lit(broken), F.lit(fixed))
-    return out
+    return compose(out)
 
 
 def tokens(text: Column) -> Column:

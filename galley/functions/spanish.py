@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .repair import LETTER, TOKEN, fix_mojibake
-from .text import MARKED, once, strip_accents, upper_ratio
+from .text import once, strip_accents, upper_ratio
 
 # Question words without and with their mark.
 QUESTION_WORDS = {
@@ -54,20 +52,13 @@ OPTION = r"^\s*([A-Z])\)\s*(.+?)\s*$"
 QUOTES, PLAIN_QUOTES = "“”«»‘’`´", "\"\"\"\"''''"
 
 
-def compose(text: Column) -> Column:
-    """Letters followed by a loose mark as one character, for the Latin letters of Spanish and its neighbours."""
-    pairs = [(unicodedata.normalize("NFD", c), c) for c in MARKED]
-    fixed = lambda text: reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, text)
-    return once(text, lambda t: F.when(t.rlike(r"\p{Mn}"), fixed(t)).otherwise(t))
-
-
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def normalize_text(text: Column) -> Column:
     """Mended letters, plain quotes, one blank at a time, blanks after but not before punctuation, at most one empty line."""
-    t = compose(fix_mojibake(text))
+    t = fix_mojibake(text)
     t = F.translate(F.regexp_replace(t, "\r\n?", "\n"), QUOTES, PLAIN_QUOTES)
     for pattern, to in (
         (r"[ \t]+", " "),
@@ -162,13 +153,13 @@ def restore_accents(text: Column, question: Column | bool = False) -> Column:
     return sub_tokens(text, change)
 
 
-def sentence_case(text: Column) -> Column:
-    """Small letters with a capital at the beginning and after ``. ! ?`` and inverted marks; abbreviations in capitals.
+def sentence_case(text: Column, begin: bool = True) -> Column:
+    """Small letters with a capital at the beginning (unless ``begin`` is false) and after ``. ! ?`` and inverted marks; abbreviations in capitals.
 
     Words with other characters than Spanish ones stay as they are.
     """
     word = rf"(?U)(?<!\w){LETTER.replace(']', '0-9]')}+(?!\w)"
-    capital = lambda i, gap: (i == 0) | gap.rlike(r"(?U)[¿¡]|[.!?]\s*(?:\w|$)")
+    capital = lambda i, gap: ((i == 0) & F.lit(begin)) | gap.rlike(r"(?U)[¿¡]|[.!?]\s*(?:\w|$)")
 
     def put(t: Column) -> Column:
         found = F.transform(F.regexp_extract_all(t, F.lit(word), F.lit(0)), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
@@ -179,6 +170,22 @@ def sentence_case(text: Column) -> Column:
     return once(text, put)
 
 
+# Words that stay small inside a title.
+SMALL_IN_TITLE = ("a", "al", "con", "de", "del", "e", "el", "en", "la", "las", "los", "o", "para", "por", "sin", "u", "un", "una", "unos", "unas", "y")
+
+
+def title_case(text: Column) -> Column:
+    """Words with a capital, small ones inside without, abbreviations in capitals; blanks stay as they are."""
+
+    def put(t: Column) -> Column:
+        words = F.transform(F.regexp_extract_all(t, F.lit(r"\S+"), F.lit(0)), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+        capital = lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1_000_000))
+        cased = F.transform(words, lambda s: F.when(F.upper(s["w"]).isin(*ACRONYMS), F.upper(s["w"])).when((s["i"] > 0) & s["w"].isin(*SMALL_IN_TITLE), s["w"]).otherwise(capital(s["w"])))
+        return F.array_join(F.zip_with(F.split(t, r"\S+", -1), F.array_append(cased, F.lit("")), lambda a, b: F.concat(a, b)), "")
+
+    return once(F.lower(text), put)
+
+
 def _cased(w: Column, capital: Column) -> Column:
     low = F.when(F.upper(w).isin(*ACRONYMS), F.upper(w)).otherwise(F.lower(w))
     return once(low, lambda v: F.when(capital, F.concat(F.upper(F.left(v, F.lit(1))), F.substring(v, 2, 1_000_000))).otherwise(v))

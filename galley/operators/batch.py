@@ -160,3 +160,25 @@ def sort_batch(items: DataFrame, order: str, name: str = "item_id") -> DataFrame
     rank = F.array_position(F.array(*map(F.lit, STATES)), F.col("state"))
     keys = {"estado": [rank], "nombre": [], "score_alto": [F.desc_nulls_last(score)], "score_bajo": [F.asc_nulls_last(score)]}[order]
     return rows.orderBy(*keys, name)
+
+
+# Labels and kinds that states are shown with.
+STATUS_LABELS = {
+    "overall": {"match": ("ok", "Coincide"), "partial_match": ("warning", "Parcial"), "ambiguous": ("warning", "Ambiguo"), "not_found": ("error", "No encontrada"), "not_executed": ("na", "No ejecutado"), "not_applicable": ("na", "No aplica"), "error": ("error", "Error")},
+    "comparison": {"match": ("ok", "Coincide"), "mismatch": ("error", "Diferente"), "not_detected": ("warning", "No detectado"), "valid_empty": ("na", "Vacío válido")},
+    "field": {"detected": ("ok", "Detectado"), "ambiguous": ("warning", "Ambiguo"), "not_applicable": ("na", "No aplica"), "not_detected": ("na", "No detectado")},
+    "state": {"pendiente": ("na", "Pendiente"), "subiendo": ("na", "Subiendo"), "analizando": ("na", "Analizando"), "listo": ("ok", "Completado"), "error": ("error", "Error")},
+}
+
+
+def status_label(kind: str, status: Column) -> Column:
+    """``(variant, label)`` of a status; unknown ones show themselves, empty ones a dash."""
+    table = F.create_map(*[x for k, (v, name) in STATUS_LABELS[kind].items() for x in (F.lit(k), F.struct(F.lit(v).alias("variant"), F.lit(name).alias("label")))])
+    other = F.struct(F.lit("na").alias("variant"), F.coalesce(F.nullif(status, F.lit("")), F.lit("—")).alias("label"))
+    return F.coalesce(F.try_element_at(table, F.coalesce(status, F.lit(""))), other)
+
+
+def validation_pass_count(*checks: Column) -> Column:
+    """``(passed, total)`` of technical checks; null counts as failed."""
+    passed = sum((F.coalesce(c, F.lit(False)).cast("int") for c in checks), F.lit(0))
+    return F.struct(passed.alias("passed"), F.lit(len(checks)).alias("total"))

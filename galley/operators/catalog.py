@@ -74,41 +74,53 @@ def match_by_text(detected: DataFrame, catalog: DataFrame, min_score: float = MI
     return asset.join(good, ["db", "dd"]).select("asset_id", "row_index", "score", "second_score")
 
 
-def compare_field(field: Column, expected: Column, detected: Column) -> Column:
-    """Status of one field: valid_empty, not_detected, match or mismatch."""
+def compare_field(rows: DataFrame) -> DataFrame:
+    """``rows(field, expected, detected, ...)`` with ``status``: valid_empty, not_detected, match or mismatch.
+
+    What is compared is normalised once, as a column, and only where the strings differ.
+    """
     blank = lambda c: c.isNull() | (F.trim(c) == "")
-    a, b = norm_text(expected), norm_text(detected)
-    e, d = price_parse(expected), price_parse(detected)
+    field, expected, detected = F.col("field"), F.col("expected"), F.col("detected")
+    differ = F.coalesce(expected != detected, F.lit(False))
+    price = field.startswith("price_")
+    staged = rows.withColumns({"e": F.when(differ & price, price_parse(expected)), "d": F.when(differ & price, price_parse(detected))})
+    worded = differ & ~(price & F.col("e").isNotNull() & F.col("d").isNotNull())
+    staged = staged.withColumns({"a": F.when(worded, norm_text(expected)), "b": F.when(worded, norm_text(detected))})
+    a, b = F.col("a"), F.col("b")
     longer = F.greatest(F.length(a), F.length(b))
     within = (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a)) & (F.least(F.length(a), F.length(b)) / longer.cast("double") >= CONTAINMENT)
-    same = (
-        F.when(field.startswith("price_") & e.isNotNull() & d.isNotNull(), F.abs(e - d) <= PRICE_TOLERANCE)
-        .when(a == b, True)
-        .when(field.isin("description", "campaign"), within)
-        .otherwise(False)
-    )
-    return F.when(blank(expected), "valid_empty").when(blank(detected), "not_detected").when(same, "match").otherwise("mismatch")
+    same = F.when(~differ, True).when(a.isNull(), F.abs(F.col("e") - F.col("d")) <= PRICE_TOLERANCE).when(a == b, True).when(field.isin("description", "campaign"), within).otherwise(False)
+    status = F.when(blank(expected), "valid_empty").when(blank(detected), "not_detected").when(same, "match").otherwise("mismatch")
+    return staged.withColumn("status", status).drop("e", "d", "a", "b")
+
+
+def settled_by_sku(detected: DataFrame, catalog: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """``asset_id, row_index`` of ``match_by_sku`` and ``match_by_sku_tiebreak`` in one join; only rows that share their
+    digits with others are scored."""
+    left = detected.select("asset_id", only_digits(F.col("sku")).alias("digits"), F.col("brand").alias("d_brand"), F.col("description").alias("d_text")).where("digits <> ''")
+    right = catalog.select("row_index", only_digits(F.col("sku")).alias("digits"), F.col("brand").alias("c_brand"), F.col("description").alias("c_text")).where("digits <> ''")
+    right = right.join(right.groupBy("digits").agg(F.count("*").alias("n")), "digits")
+    score = _score(token_set(F.col("c_brand")), token_set(F.col("d_brand")), token_set(F.col("c_text")), token_set(F.col("d_text")))
+    met = left.join(right, "digits").select("asset_id", "row_index", F.when(F.col("n") > 1, score).otherwise(F.lit(1.0)).alias("score"))
+    best = met.groupBy("asset_id").agg(F.max_by("row_index", F.struct("score", -F.col("row_index"))).alias("row_index"), F.max("score").alias("score"))
+    return best.where(F.col("score") >= min_score).select("asset_id", "row_index")
 
 
 def matches(detected: DataFrame, catalog: DataFrame) -> DataFrame:
     """``asset_id, row_index, strategy`` for every asset: by number, by number and text, by text, or none (ambiguous, not_found)."""
-    by_sku = match_by_sku(detected, catalog)
-    by_tie = match_by_sku_tiebreak(detected, catalog).select("asset_id", "row_index")
-    settled = by_sku.union(by_tie).withColumn("strategy", F.lit("sku"))
-    open_assets = detected.join(settled, "asset_id", "left_anti")
-    by_text = match_by_text(open_assets, catalog).select("asset_id", "row_index", F.lit("brand_description").alias("strategy"))
-    found = settled.union(by_text)
-    nothing = "not_found" if catalog.isEmpty() else "ambiguous"
-    return detected.select("asset_id").join(found, "asset_id", "left").select("asset_id", "row_index", F.coalesce("strategy", F.lit(nothing)).alias("strategy"))
+    tagged = detected.join(settled_by_sku(detected, catalog), "asset_id", "left")
+    by_text = match_by_text(tagged.where("row_index is null"), catalog).select("asset_id", F.col("row_index").alias("text_row"))
+    nothing = F.when(catalog.agg(F.count("*")).scalar() == 0, "not_found").otherwise("ambiguous")
+    strategy = F.when(F.col("row_index").isNotNull(), "sku").when(F.col("text_row").isNotNull(), "brand_description").otherwise(nothing)
+    return tagged.select("asset_id", "row_index").join(by_text, "asset_id", "left").select("asset_id", F.coalesce("row_index", "text_row").alias("row_index"), strategy.alias("strategy"))
 
 
 def compare_fields(detected: DataFrame, catalog: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Long table ``asset_id, field, expected, detected, status`` of all matched assets."""
     found = (matches(detected, catalog) if found is None else found).where("row_index is not null")
-    values = lambda prefix: F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{prefix}.{f}").alias("expected" if prefix == "c" else "detected")) for f in FIELDS])
-    wide = found.join(catalog.alias("c"), "row_index").join(detected.alias("d"), "asset_id")
-    long = wide.select("asset_id", F.explode(F.zip_with(values("c"), values("d"), lambda c, d: F.struct(c["field"].alias("field"), c["expected"].alias("expected"), d["detected"].alias("detected")))).alias("x")).select("asset_id", "x.*")
-    return long.withColumn("status", compare_field(F.col("field"), F.col("expected"), F.col("detected")))
+    wide = found.select("asset_id", "row_index").join(detected.alias("d"), "asset_id").join(catalog.alias("c"), "row_index")
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"c.{f}").alias("expected"), F.col(f"d.{f}").alias("detected")) for f in FIELDS])
+    return compare_field(wide.select("asset_id", F.explode(pairs).alias("x")).select("asset_id", "x.*"))
 
 
 def validate_catalog(detected: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import repair as R
 from ..functions import spanish as S
+from ..functions.text import upper_ratio
 
 
 def split_lines(texts: DataFrame) -> DataFrame:
@@ -121,3 +122,28 @@ def correct_text(texts: DataFrame, dictionary: tuple[str, ...] = S.DICTIONARY) -
     """
     done = block_spacing(corrected_lines(texts, dictionary)).withColumnRenamed("text", "corrected")
     return texts.select("asset_id").join(done, "asset_id", "left").select("asset_id", F.coalesce("corrected", F.lit("")).alias("text"))
+
+
+def normalize_case(lines: DataFrame) -> DataFrame:
+    """``lines(asset_id, line, text)`` with shouting and small lines in title or sentence case.
+
+    A line goes on with a sentence if the one before it, neither empty nor an option, has no end: that is all a line
+    needs to know of the others.
+    """
+    option = r"^\s*([A-Z])\)\s*(.+?)\s*$"
+    order = Window.partitionBy("asset_id").orderBy("line")
+    text, trimmed = F.col("text"), S.strip(F.col("text"))
+    listed, blank = text.rlike(option), trimmed == ""
+    unfinished = ~blank & ~listed & ~trimmed.rlike("[.?!:]$")
+    rows = lines.withColumn("goes_on", F.coalesce(F.lag(unfinished).over(order), F.lit(False)))
+    shouting, small = upper_ratio(text) >= 0.8, text == F.lower(text)
+    title = ~trimmed.rlike("^[¿¡]") & ~trimmed.rlike("[.?!:;]$") & (F.size(F.split(trimmed, r"\s+")) <= 4) & ~F.col("goes_on")
+    cased = F.when(F.col("goes_on"), S.sentence_case(text, False)).otherwise(S.sentence_case(text))
+    done = (
+        F.when(blank, "")
+        .when(listed, F.concat(F.regexp_extract(text, option, 1), F.lit(") "), S.sentence_case(F.regexp_extract(text, option, 2))))
+        .when(shouting, F.when(title, S.title_case(text)).otherwise(cased))
+        .when(small, cased)
+        .otherwise(text)
+    )
+    return rows.select("asset_id", "line", done.alias("text"))

@@ -36,7 +36,7 @@ def ingest_embedded_words(words: DataFrame) -> DataFrame:
 def pdf_page_meta(pages: DataFrame) -> DataFrame:
     """``pages(asset_id, page_index, width, height)`` in points -> ``asset_id, width, height, page_count``: the first page's
     size in pixels."""
-    size = lambda c: F.bround(F.min_by(c, "page_index") * F.lit(SIZE_DPI / POINTS)).cast("int").alias(c)
+    size = lambda c: F.bround(F.min_by(c, "page_index") * F.lit(SIZE_DPI) / F.lit(POINTS)).cast("int").alias(c)
     return pages.groupBy("asset_id").agg(size("width"), size("height"), F.count("*").alias("page_count"))
 
 

@@ -8,18 +8,40 @@ from pyspark.sql import functions as F
 from ..operators import assets, catalog, fields
 
 
+#: The fields of a result and their names in it.
+RESULT_FIELDS = {
+    "campaign": "campaign", "date_range": "dateRange", "brand": "brand", "description": "description", "sku": "sku", "price_cmr": "priceCmr",
+    "price_regular": "priceRegular", "price_before": "priceBefore", "price_main": "priceMain", "price_secondary": "priceSecondary",
+}
+
+
+def assemble_fields(blocks: DataFrame, colors: DataFrame, digits: int = 4) -> DataFrame:
+    """``asset_id, field, value, block_id, confidence, status`` of all ten fields of every asset: the extracted ones and
+    the three prices that the main block's colour assigns."""
+    extracted = fields.extract_fields(blocks, digits)
+    return extracted.unionByName(fields.assign_prices(extracted, colors))
+
+
 def piece_results(pieces: DataFrame, blocks: DataFrame, colors: DataFrame, rows: DataFrame) -> DataFrame:
-    """Technical checks, extracted fields (a map by field name) and the catalog's verdict of every piece."""
-    extracted = fields.extract_fields(blocks).where("field not in ('price_main', 'price_secondary')")
-    prices = fields.assign_prices(fields.extract_fields(blocks), colors)
-    long = extracted.unionByName(prices)
+    """Technical checks, the ten fields (a map by their names in results) and the catalog's verdict of every piece."""
+    long = assemble_fields(blocks, colors)
     value = lambda f: F.max(F.when(F.col("field") == f, F.col("value"))).alias(f)
-    detected = long.groupBy("asset_id").agg(*[value(f) for f in catalog.FIELDS])
-    as_map = long.groupBy("asset_id").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("value", "block_id", "confidence", "status")))).alias("fields"))
-    verdict = catalog.validate_catalog(detected, rows)
-    return assets.technical_validation(pieces).join(as_map, "asset_id", "left").join(verdict, "asset_id", "left")
+    name = F.create_map(*[F.lit(x) for pair in RESULT_FIELDS.items() for x in pair])
+    as_map = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.try_element_at(name, F.col("field")).alias("name"), F.struct("value", "block_id", "confidence", "status").alias("field"))))).alias("fields")
+    by_asset = long.groupBy("asset_id").agg(as_map, *[value(f) for f in catalog.FIELDS])
+    verdict = catalog.validate_catalog(by_asset.drop("fields"), rows)
+    return assets.technical_validation(pieces).join(by_asset.select("asset_id", "fields"), "asset_id", "left").join(verdict, "asset_id", "left")
 
 
 def write_results(results: DataFrame, path: str, by: str = "batch_id") -> None:
-    """Results as Parquet, one folder per batch."""
-    results.write.mode("overwrite").partitionBy(by).parquet(path)
+    """Results as Parquet, one folder per batch; batches that are not in ``results`` stay as they are."""
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def envelopes(results: DataFrame) -> DataFrame:
+    """``results(batch_id, asset_id, ...)`` as the nested records that are handed over: ``batch_id, asset_id, result`` with
+    the checks, fields and catalog verdict as JSON by their names there."""
+    checks = F.struct(F.col("format_allowed").alias("formatAllowed"), F.col("dimensions_valid").alias("dimensionsValid"), F.col("file_size_valid").alias("fileSizeValid"))
+    verdict = F.struct(F.col("overall_status").alias("overallStatus"), F.col("matched_row").alias("matchedRowIndex"), F.col("match_strategy").alias("matchStrategy"))
+    record = F.struct(checks.alias("technicalValidation"), F.col("fields").alias("structuredFields"), verdict.alias("excelValidation"))
+    return results.select("batch_id", "asset_id", F.to_json(record).alias("result"))

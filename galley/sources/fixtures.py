@@ -124,7 +124,7 @@ FROM part CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6), (7), (8)) AS v(b)
 SELECT asset_id, CAST(pos AS INT) AS word_index, word AS text,
   CAST(10 + (pos % 8) * 120 + asset_id % 5 AS INT) AS x, CAST(10 + floor(pos / 8) * 30 + pos % 3 AS INT) AS y,
   CAST(least(110, 12 * length(word)) AS INT) AS w, CAST(18 + pos % 4 AS INT) AS h,
-  (50 + (asset_id * 31 + pos * 17) % 50) / 100.0E0 AS confidence FROM (SELECT doc_id AS asset_id, posexplode(filter(split(text, '[ \\t\\n\\r]+'), t -> t <> '')) AS (pos, word) FROM documents)
+  (50 + (asset_id * 31 + pos * 17) % 50) / 100.0E0 AS confidence FROM (SELECT doc_id AS asset_id, posexplode(filter(split(text, '[ \\t\\n\\r]+'), t -> t <> '')) AS (pos, word) FROM (SELECT /*+ REPARTITION(doc_id) */ doc_id, text FROM documents))
 """,
         r"""
 SELECT asset_id, CAST(pos AS INT) AS word_index, word AS text,

@@ -110,3 +110,107 @@ def map_headers(grid: DataFrame, limit: int = 10, max_rows: int = 5000) -> DataF
         return F.nullif(F.trim(F.try_element_at(under, F.lit(-1))["c"]), F.lit("")).alias(field)
 
     return rows.select("row_index", *[cell(f) for f in HEADERS])
+
+
+def scan_uploads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Files under ``path`` in two tables: accepted ones with ``type`` (pdf or image), and rejected ones with ``reason``.
+
+    Spark's file readers leave empty files out of both.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    kind = file_type(F.col("content"), name)
+    reason = F.when(kind.isNull(), "unsupported file type")
+    rows = files.select("path", name.alias("filename"), F.round(F.col("length") / 1024.0, 2).alias("file_size_kb"), "content", kind.alias("type"), reason.alias("reason"))
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select("path", "filename", "file_size_kb", "reason")
+
+
+def scan_images(spark: SparkSession, path: str) -> DataFrame:
+    """Decoded images under ``path``: ``path, width, height, channels, data`` (rows of blue, green, red); what is none is dropped."""
+    images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").load(path)
+    return images.select(F.col("image.origin").alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data")
+
+
+def icc_present(content: Column) -> Column:
+    """``Embedded`` if an image's bytes hold a colour profile (PNG or JPEG marker), else null."""
+    return F.when(F.contains(content, F.lit(bytearray(b"iCCP"))) | F.contains(content, F.lit(bytearray(b"ICC_PROFILE"))), "Embedded")
+
+
+REQUIREMENTS = "min_width_px int, min_height_px int, allowed_formats array<string>, max_file_size_mb double, min_pages int, max_pages int, required_text string"
+
+
+def load_requirements(spark: SparkSession, path: str) -> dict:
+    """The technical rules of a JSON file; a missing or malformed file, or one without sizes and formats, is an error."""
+    rows = spark.read.schema(REQUIREMENTS).option("mode", "FAILFAST").option("multiLine", True).json(path).limit(2).collect()
+    if len(rows) != 1 or None in (rows[0].min_width_px, rows[0].min_height_px, rows[0].allowed_formats, rows[0].max_file_size_mb):
+        raise ValueError(f"no technical rules in {path}")
+    r = rows[0]
+    return {"min_width": r.min_width_px, "min_height": r.min_height_px, "formats": tuple(r.allowed_formats), "max_mb": r.max_file_size_mb, "min_pages": r.min_pages or 1, "max_pages": r.max_pages or 2**31 - 1, "required_text": r.required_text or ""}
+
+
+JOB = "supported_piece_formats array<string>, layout_piece_type_aliases map<string,string>, regional_ocr struct<max_regions int>, yolo struct<exclude_ocr_classes array<string>,allow_ocr_classes array<string>,min_regions_for_use int>, excel struct<header_row_search_limit int,max_rows int>, matching struct<min_score double,min_margin double>"
+
+
+def load_job_config(spark: SparkSession, path: str) -> dict:
+    """The job parameters of a JSON file, defaults for all it does not give; a missing file gives the defaults."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.schema(JOB).option("multiLine", True).json(path).limit(1).collect()
+    except AnalysisException:
+        rows = []
+    given = rows[0].asDict(True) if rows else {}
+    part = lambda key, name, default: ((given.get(key) or {}).get(name)) or default
+    return {
+        "supported": tuple(f.strip().lower() for f in given.get("supported_piece_formats") or () if f and f.strip()),
+        "aliases": dict(given.get("layout_piece_type_aliases") or {}),
+        "max_regions": part("regional_ocr", "max_regions", 8),
+        "exclude": tuple(part("yolo", "exclude_ocr_classes", ("product_photo_area",))),
+        "allow": tuple(part("yolo", "allow_ocr_classes", ())),
+        "min_regions": part("yolo", "min_regions_for_use", 2),
+        "header_rows": part("excel", "header_row_search_limit", 10),
+        "max_rows": part("excel", "max_rows", 5000),
+        "min_score": part("matching", "min_score", 0.55),
+        "min_margin": part("matching", "min_margin", 0.12),
+    }
+
+
+RESPONSE = (
+    "struct<meta struct<filename string,format string,width int,height int,aspectRatio string,fileSizeKb double>,"
+    "ocr struct<rawText string,correctedText string,words array<struct<text string,box array<double>,confidence double>>,confidence struct<avg double,min double>,score double,"
+    "lines array<struct<id string,text string,bbox array<double>,confidence double,wordIndexes array<int>>>,blocks array<struct<id string,type string,text string,bbox array<double>,confidence double>>>,"
+    "colorAnalysis array<struct<hex string,rgb array<int>,percentage double>>,visualAnalysis array<struct<hex string,rgb array<int>,percentage double>>,"
+    "structuredFields map<string,struct<value string,sourceBlockId string,confidence double,status string,message string>>,"
+    "excelValidation struct<enabled boolean,executed boolean,overallStatus string,matchedRowIndex int>>"
+)
+
+
+def read_response_json(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """JSON results, a row each, -> ``asset_id, meta, raw_text, corrected_text, words, lines, blocks, colors, fields,
+    overall_status, corrupt``.
+
+    Words, lines and blocks without text or a box of four go; lines without an id get ``line_n``; colours need a hex
+    value and fall back to the other list; fields without a status are not_detected.  What is no JSON is ``corrupt``.
+    """
+    r = F.from_json(F.col(column), RESPONSE)
+    rows = payloads.select("asset_id", r.alias("r"), (F.col(column).isNull() | F.get_json_object(column, "$").isNull()).alias("corrupt"))
+    none = lambda kind: F.array().cast(kind)
+    boxed = lambda b: b.isNotNull() & (F.size(b) == 4) & ~F.exists(b, lambda v: v.isNull())
+    whole = lambda name, box: F.filter(F.col(f"r.ocr.{name}"), lambda x: (F.trim(F.coalesce(x["text"], F.lit(""))) != "") & boxed(x[box]))
+    numbered = F.transform(whole("lines", "bbox"), lambda x, i: F.struct(F.coalesce(x["id"], F.concat(F.lit("line_"), (i + 1).cast("string"))).alias("id"), x["text"].alias("text"), x["bbox"].alias("bbox"), x["confidence"].alias("confidence"), x["wordIndexes"].alias("wordIndexes")))
+    good = lambda name: F.filter(F.col(f"r.{name}"), lambda c: F.coalesce(c["hex"].rlike("^#[0-9A-Fa-f]{6}$"), F.lit(False)))
+    colors = F.coalesce(good("colorAnalysis"), good("visualAnalysis"), none("array<struct<hex:string,rgb:array<int>,percentage:double>>"))
+    fields = F.transform_values("r.structuredFields", lambda _, v: F.struct(v["value"].alias("value"), v["sourceBlockId"].alias("sourceBlockId"), v["confidence"].alias("confidence"), F.coalesce(v["status"], F.lit("not_detected")).alias("status")))
+    return rows.select(
+        "asset_id",
+        F.col("r.meta").alias("meta"),
+        F.coalesce("r.ocr.rawText", F.lit("")).alias("raw_text"),
+        F.coalesce("r.ocr.correctedText", "r.ocr.rawText", F.lit("")).alias("corrected_text"),
+        whole("words", "box").alias("words"),
+        numbered.alias("lines"),
+        whole("blocks", "bbox").alias("blocks"),
+        colors.alias("colors"),
+        fields.alias("fields"),
+        F.coalesce("r.excelValidation.overallStatus", F.lit("not_executed")).alias("overall_status"),
+        "corrupt",
+    )

@@ -19,6 +19,14 @@ def latest_states(events: DataFrame) -> DataFrame:
     return events.groupBy("batch_id", "item_id").agg(last.alias("last")).select("batch_id", "item_id", "last.*")
 
 
+def recent_states(events: DataFrame, lateness: str = LATENESS, window: str = "1 day") -> DataFrame:
+    """``latest_states`` within each ``window`` of ``ts``, for streams without end: the state of a window goes once the
+    watermark has passed it, so what is held does not grow with the items ever seen."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    last = F.max_by(F.struct("state", "progress_percent", "ts"), F.struct("ts", "state"))
+    return timed.groupBy(F.window("ts", window).alias("w"), "batch_id", "item_id").agg(last.alias("last")).select(F.col("w.start").alias("day"), "batch_id", "item_id", "last.*")
+
+
 def status_summary(states: DataFrame) -> DataFrame:
     """Counts by state of every batch, from latest states (also inside foreachBatch)."""
     n = lambda *s: F.count_if(F.col("state").isin(*s))
@@ -28,12 +36,12 @@ def status_summary(states: DataFrame) -> DataFrame:
 def findings_per_hour(items: DataFrame, lateness: str | None = LATENESS) -> DataFrame:
     """``hour, key, severity, n``: findings of finished items in tumbling hours of ``ts``.
 
-    On a stream, ``lateness`` bounds the state: events later than that are dropped, as are repeats of an item within
-    it.  ``lateness=None`` is the batch form.
+    On a stream, ``lateness`` bounds the state: events later than that are dropped, as are repeats of an event within it
+    (by ``event_id`` where there is one, so that a retried item's second result counts).  ``lateness=None`` is the batch form.
     """
     timed = items.withColumn("ts", F.col("ts").cast("timestamp"))
     if lateness:
-        timed = timed.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["item_id"])
+        timed = timed.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"] if "event_id" in items.columns else ["item_id", "ts"])
     found = item_findings(timed)
     out = found.groupBy(F.window("ts", "1 hour").alias("w"), F.col("finding.key").alias("key"), F.col("finding.severity").alias("severity")).agg(F.count("*").alias("n"))
     return out.select(F.col("w.start").alias("hour"), "key", "severity", "n")

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from galley import queries_layout, queries_repair  # noqa: F401  (register their queries)
 from galley.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
