@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Strict patterns find seed entities in whole texts.  The two words to the left of an entity are a lexical pattern.
-Patterns and the number-like or address-like instances that they precede, over all documents, form a graph on which
+Strict patterns find seed entities in whole texts.  The two words to the left of an entity are a lexical pattern, and so
+are the word to its left with the word to its right.  Patterns and the number-like or address-like instances that they precede, over all documents, form a graph on which
 scores go back and forth: a pattern is as good as the share of its instances that are known, an instance as good as its
 best pattern.  Patterns of high confidence then name the kind of instances that no strict pattern covers.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import bound, cut
 
 KINDS = ("email", "ip", "card", "phone")
 #: The strict patterns.  Possessive quantifiers and the look-behinds change no match: an entity can only begin where a
@@ -26,27 +26,33 @@ PATTERNS = {
 HINTS = {"email": "@", "phone": "+", "ip": ".", "card": ""}
 #: What may be an identifier that no strict pattern covers: digits with separators, or a masked address.
 LOOSE = r"(?<![A-Za-z0-9@+])(?:[0-9](?:[\x20().-]{0,2}[0-9]){6,18}|[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]++)++)(?![A-Za-z0-9@])"
-#: Characters of left context kept with an instance; known instances that a pattern needs; confidence it needs; rounds.
+#: Characters of context kept on either side of an instance; known instances that a pattern needs; confidence it needs; rounds.
 CONTEXT, SUPPORT, CONFIDENCE, ROUNDS = 60, 4, 0.8, 3
 
 _OCTETS = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
 
 
 def occurrences(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as ``array<struct<start,end,value,left>>``; positions in code points.
+    """Leftmost non-overlapping matches as ``array<struct<start,end,value,left,right>>``; positions in code points.
 
     ``split`` has the texts between the matches, so running sums of lengths give the positions.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    pairs = F.zip_with(between, found, lambda s, m: F.struct(F.length(s).alias("gap"), m.alias("value"), F.right(s, F.lit(CONTEXT)).alias("left")))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string,left:string>>")
+
+    def with_context(parts: Column) -> Column:
+        n = F.size(parts) - 1
+        sides = F.zip_with(F.slice(parts, F.lit(1), n), F.slice(parts, F.lit(2), n), lambda a, b: F.struct(F.length(a).alias("gap"), F.right(a, F.lit(CONTEXT)).alias("left"), F.left(b, F.lit(CONTEXT)).alias("right")))
+        return F.zip_with(sides, found, lambda s, m: F.struct(s["gap"].alias("gap"), m.alias("value"), s["left"].alias("left"), s["right"].alias("right")))
+
+    empty = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["pos"] + p["gap"]
         end = start + F.length(p["value"])
-        return F.struct(end.alias("pos"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value"), p["left"].alias("left"))).alias("out"))
+        one = F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value"), p["left"].alias("left"), p["right"].alias("right"))
+        return F.struct(end.alias("pos"), F.array_append(acc["out"], one).alias("out"))
 
+    pairs = bound(F.split(text, pattern, -1), with_context)
     return F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
 
 
@@ -65,20 +71,23 @@ def valid(kind: str, value: Column) -> Column:
     return {"email": F.lit(True), "ip": value.rlike(_OCTETS), "card": F.when((n >= 12) & (n <= 19), luhn(_digits(value))).otherwise(False), "phone": (n >= 9) & (n <= 15)}[kind]
 
 
-def _context(left: Column) -> Column:
-    """The two words before an instance, in lower case; null where there are fewer."""
-    two = F.regexp_extract(F.lower(left), r"(\S+\s+\S+\s*)$", 1)
-    return F.when(two != "", F.regexp_replace(F.trim(two), r"\s+", " "))
+def contexts(o: Column) -> Column:
+    """The lexical patterns that an occurrence stands in, in lower case; none where there are too few words."""
+    two = F.regexp_extract(F.lower(o["left"]), r"(\S+\s+\S+\s*)$", 1)
+    before, after = F.regexp_extract(F.lower(o["left"]), r"(\S+)\s*$", 1), F.regexp_extract(F.lower(o["right"]), r"^\s*(\S+)", 1)
+    left = F.when(two != "", F.concat(F.regexp_replace(F.trim(two), r"\s+", " "), F.lit(" _")))
+    around = F.when((before != "") & (after != ""), F.concat(before, F.lit(" _ "), after))
+    return F.array_compact(F.array(left, around))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, digest, base, loose``: strict entities and further candidates of every text, without the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    kind_type = "array<struct<start:int,end:int,kind:int,value:string,left:string>>"
+    kind_type = "array<struct<start:int,end:int,kind:int,value:string,left:string,right:string>>"
 
     def entities(number: int, kind: str) -> Column:
         got = F.filter(occurrences(text, PATTERNS[kind]), lambda o: valid(kind, o["value"]))
-        tagged = F.transform(got, lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end"), F.lit(number).alias("kind"), o["value"].alias("value"), o["left"].alias("left")))
+        tagged = F.transform(got, lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end"), F.lit(number).alias("kind"), o["value"].alias("value"), o["left"].alias("left"), o["right"].alias("right")))
         return F.when(F.contains(text, F.lit(HINTS[kind])), tagged).otherwise(F.array().cast(kind_type))
 
     parts = [entities(number, kind) for number, kind in enumerate(KINDS)]
@@ -89,9 +98,11 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 def confident_patterns(found: DataFrame) -> DataFrame:
     """``(context, kind, score)`` of the patterns that the graph of all documents bears out."""
-    seeds = found.select(F.explode("base").alias("o")).select(_context(F.col("o.left")).alias("context"), F.lower("o.value").alias("instance"), F.col("o.kind").alias("kind"))
-    others = found.select(F.explode("loose").alias("o")).select(_context(F.col("o.left")).alias("context"), F.lower("o.value").alias("instance"))
-    edges = cut(seeds.select("context", "instance").union(others).where("context is not null").distinct())
+    seeds = found.select(F.explode("base").alias("o"))
+    others = found.select(F.explode("loose").alias("o"))
+    each = lambda rows: rows.select(F.explode(contexts(F.col("o"))).alias("context"), F.lower("o.value").alias("instance"))
+    edges = cut(each(seeds).union(each(others)).distinct())
+    seeds = seeds.select(F.lower("o.value").alias("instance"), F.col("o.kind").alias("kind"))
     known = cut(seeds.select("instance", "kind").distinct().withColumn("score", F.lit(1.0)))
     totals = edges.groupBy("context").agg(F.count("*").alias("total"))
     scores = known
@@ -114,7 +125,7 @@ def find(docs: DataFrame) -> DataFrame:
     found = cut(base_spans(docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))))
     patterns = confident_patterns(found)
     loose = found.where("size(loose) > 0").select("doc_id", "digest", F.explode("loose").alias("o"))
-    named = loose.withColumn("context", _context(F.col("o.left"))).join(patterns, "context")
+    named = loose.withColumn("context", F.explode(contexts(F.col("o")))).join(patterns, "context")
     best = named.groupBy(F.col("doc_id").alias("id"), F.col("digest").alias("dig"), "o").agg(F.min_by("kind", F.struct(-F.col("score"), "kind")).alias("kind"))
     per_doc = best.groupBy("id", "dig").agg(F.array_sort(F.collect_set(F.struct(F.col("o.start").alias("start"), F.col("o.end").alias("end"), "kind"))).alias("discovered"))
     joined = found.join(per_doc, F.col("digest").eqNullSafe(F.col("dig")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")

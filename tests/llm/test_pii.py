@@ -66,5 +66,17 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert all(rows[i].discovered == [] and len(rows[i].base) == 1 for i in range(12))
 
 
+def test_the_words_on_both_sides_discover_too(spark):
+    texts = [f"w{i} dial +1 (415) 555-26{i:02d} today" for i in range(12)] + ["x9 dial 415 555 9999 today", "x9 dial 415 555 8888 never"]
+    rows = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [tuple(s) for s in rows[12].discovered] == [(8, 20, pii.KINDS.index("phone"))] and rows[13].discovered == []
+
+
+def test_null_ids_repeated_rows_and_clashing_names(spark):
+    rows = [(None, "a@b.cc", 1), (None, "a@b.cc", 2), (1, None, 3), (1, "x a@b.cc", 4)]
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string, spans int")).collect()
+    assert sorted((r.doc_id or 0, len(r.base)) for r in got) == [(0, 1), (0, 1), (1, 0), (1, 1)]
+
+
 def test_empty_table(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
