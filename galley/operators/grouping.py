@@ -87,36 +87,40 @@ def _badges(line: _Frame) -> list[_Frame]:
     return [a, b] if far else [line]
 
 
+def _fit(line: list, x1: int, y1: int, x2: int, y2: int) -> float | None:
+    """How well a word continues a line (its edges first); None if it does not."""
+    over = min(line[3], y2) - max(line[1], y1)
+    if over <= 0:
+        return None
+    high, height = y2 - y1, max(1, line[3] - line[1])
+    most = max(height, high)
+    gap, reach = max(0.0, x1 - line[2], line[0] - x2), max(10.0, 2.8 * most)
+    if gap > reach:
+        return None
+    shared, off = over / max(1.0, min(height, high)), abs(y1 + high / 2 - (line[1] + line[3]) / 2)
+    if shared >= SURE_OVERLAP or (shared >= LIKELY_OVERLAP and off <= max(3.0, 0.55 * most)):
+        return 3 * shared - off / height - gap / reach
+    return None
+
+
 def _place(words: list) -> list[list]:
     """Words, in reading order, to the lines that they continue best; members of each line.
 
-    Plain numbers in the inner loop: a word is compared with the lines that overlap it in height only, and a line that
-    ends above all later words is closed.
+    A line is a plain list of its edges and members; one that ends above all later words is closed.
     """
     tops = list(accumulate((w.y for w in reversed(words)), min))[::-1]
-    lines: list[list] = []  # x1, y1, x2, y2, members
+    lines: list[list] = []
     still_open: list[list] = []
     for word, top in zip(words, tops, strict=True):
         x1, y1 = word.x, word.y
-        x2, y2, high, mid = x1 + word.w, y1 + word.h, word.h, y1 + word.h / 2
+        x2, y2 = x1 + word.w, y1 + word.h
         if any(line[3] <= top for line in still_open):
             still_open = [line for line in still_open if line[3] > top]
         best, chosen = None, None
         for line in still_open:
-            over = min(line[3], y2) - max(line[1], y1)
-            if over <= 0:
-                continue
-            height = max(1, line[3] - line[1])
-            most = max(height, high)
-            gap = max(0.0, x1 - line[2], line[0] - x2)
-            reach = max(10.0, 2.8 * most)
-            if gap > reach:
-                continue
-            shared, off = over / max(1.0, min(height, high)), abs(mid - (line[1] + line[3]) / 2)
-            if shared >= SURE_OVERLAP or (shared >= LIKELY_OVERLAP and off <= max(3.0, 0.55 * most)):
-                score = 3 * shared - off / height - gap / reach
-                if best is None or score > best:
-                    best, chosen = score, line
+            score = _fit(line, x1, y1, x2, y2)
+            if score is not None and (best is None or score > best):
+                best, chosen = score, line
         if chosen is None:
             chosen = [x1, y1, x2, y2, [word]]
             lines.append(chosen)

@@ -38,7 +38,7 @@ def piece(n):
 
 def test_words_of_a_long_piece_are_compared_with_near_lines_only(monkeypatch):
     calls, fit = [], G._fit
-    monkeypatch.setattr(G, "_fit", lambda line, word: calls.append(1) or fit(line, word))
+    monkeypatch.setattr(G, "_fit", lambda *a: calls.append(1) or fit(*a))
 
     def compared(n):
         calls.clear()
@@ -55,7 +55,8 @@ def test_a_tall_word_still_meets_lines_far_above_its_centre():
     words = sorted(pdf.itertuples(index=False), key=lambda t: (t.y + t.h / 2, t.x + t.w / 2, t.word_index))
     lines = []
     for word in words:
-        fits = [(score, -i) for i, line in enumerate(lines) if (score := G._fit(line, word)) is not None]
+        edges = (word.x, word.y, word.x + word.w, word.y + word.h)
+        fits = [(score, -i) for i, line in enumerate(lines) if (score := G._fit([line.x1, line.y1, line.x2, line.y2], *edges)) is not None]
         if fits:
             lines[-max(fits)[1]].add(word)
         else:
