@@ -28,8 +28,9 @@ WORDS, PERCENT = 5, 80
 #: Coordinates of an embedding; coordinates that a node samples on average; levels; sets that brute force takes.
 COORDINATES, SAMPLED, LEVELS, BRUTE = 64, 2.0, 3, 64
 TARGET_RECALL = 0.999
-#: Leaders that a large bucket gets, one after another, each from the sets that no leader before is similar to.
-LEADERS = 6
+#: Leaders that a large bucket gets, one after another, each from the sets that no leader before is similar to; sets of
+#: a bucket, about so many, that show whether a further leader belongs to an earlier one's.
+LEADERS, WITNESSES = 4, 32
 #: Rows of a block where large groups are compared in blocks.
 BLOCK = 512
 #: Rows of a block of a large bucket that a block of probes is compared with.
@@ -287,15 +288,17 @@ def candidate_links(sets: DataFrame, runs: int) -> DataFrame:
     large = cut(large)
     if large.isEmpty():
         return cut(links)
-    # similar sets stay together however deep: all of a bucket is compared with a leader, again with one that the first is
-    # not similar to, and so on; then the buckets that still hold unlinked sets are compared in blocks
+    # similar sets stay together however deep: all of a bucket is compared with a leader, then what is left and a few
+    # witnesses with one of those left, and so on; the buckets that still hold unlinked sets are compared in blocks
     other = sets.select(F.col("node").alias("leader"), F.col("embedding").alias("e"))
     same = F.size(F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.substring("embedding", i * 4 + 1, F.lit(4)) == F.substring("e", i * 4 + 1, F.lit(4))))
     left, homes = large.select("path", "node"), None
-    for _ in range(LEADERS):
+    witnesses = large.where(F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.floor(F.col("n") / WITNESSES))) == 0).select("path", "node")
+    for turn in range(LEADERS):
         first = left.groupBy("path").agg(F.min("node").alias("leader"))
+        met = left if turn == 0 else left.union(witnesses)
         # many buckets of one group have the same leader: a pair is compared once
-        pairs = large.join(first, "path").where("node <> leader").select("node", "leader").distinct()
+        pairs = met.join(first, "path").where("node <> leader").select("node", "leader").distinct()
         led = stored(pairs.join(sets, "node").join(other, "leader").where(same >= AGREE * COORDINATES).select("node", "leader"))
         # a set is linked to the first leader it is similar to, its home, and homes to further leaders: no star is sent twice
         fresh = led.groupBy("node").agg(F.min("leader").alias("home"))
