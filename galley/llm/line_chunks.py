@@ -42,10 +42,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     The first occurrence is the one of the least (doc_id, place in the document); repeats within a document count as
     well.  A text that loses everything becomes empty; a null text stays null.  Rows that share a doc_id count as one
-    document, and a null doc_id as an id of its own.  Other columns by the names used here (id, lost, left and the added ones) are dropped; an empty table stays empty.
+    document, and a null doc_id as an id of its own.  Other columns stay, but for those by the names of the added ones; an
+    empty table stays empty.
     """
     added = ("n_lines", "n_removed_lines", "n_removed_chunks")
-    docs = docs.drop(*added, "id", "lost", "left")
+    docs = docs.drop(*added)
     keyed = docs.select("doc_id", "text")
     hashed = F.filter(F.transform(chunks_of(F.col("text")), lambda c, i: F.struct(i.alias("at"), F.size(c).alias("n"), F.xxhash64(_text(c)).alias("hash"))), lambda s: s["n"] >= MIN_LINES)
     # hashes and places only, a few bytes a chunk: read twice below, so kept instead of hashing every text again
@@ -58,17 +59,18 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     parts = met.select("doc_id", F.explode(bound(chunks_of(F.col("text")), marked_parts)).alias("m")).select("doc_id", "m.*")
     firsts = parts.where("is_first").groupBy("hash").agg(F.min("part").alias("kept_part"))
     gone = parts.where("not is_first").join(firsts, "hash").where("part = kept_part")
-    lost = gone.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("at").alias("lost"))
-    out = docs.join(lost.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id")
+    # names that no table has by chance
+    lost = gone.groupBy(F.col("doc_id").alias("__lost_id")).agg(F.collect_set("at").alias("__lost"))
+    out = docs.join(lost.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__lost_id")), "left").drop("__lost_id")
     # chunks are made again only for documents that lose some
-    chunks, touched = chunks_of(F.col("text")), F.col("lost").isNotNull()
-    left = F.flatten(F.filter(chunks, lambda c, i: ~F.array_contains("lost", i)))
-    out = out.withColumn("left", F.when(touched, left)).withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long"))
+    chunks, touched = chunks_of(F.col("text")), F.col("__lost").isNotNull()
+    left = F.flatten(F.filter(chunks, lambda c, i: ~F.array_contains("__lost", i)))
+    out = out.withColumn("__left", F.when(touched, left)).withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long"))
     return out.select(
-        *[F.when(touched, _text(F.col("left"))).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        *[F.when(touched, _text(F.col("__left"))).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
         "n_lines",
-        F.when(touched, F.col("n_lines") - F.size("left")).otherwise(0).cast("long").alias("n_removed_lines"),
-        F.when(touched, F.size("lost")).otherwise(0).cast("long").alias("n_removed_chunks"),
+        F.when(touched, F.col("n_lines") - F.size("__left")).otherwise(0).cast("long").alias("n_removed_lines"),
+        F.when(touched, F.size("__lost")).otherwise(0).cast("long").alias("n_removed_chunks"),
     )
 
 

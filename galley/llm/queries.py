@@ -27,41 +27,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict, and its alias group.  Null urls and such without ``://`` have empty host and path
+    and are allowed; of rules of one length the lesser string wins; repeated pages each get their row.
+    """
     return url_redirects.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near copies and its number of links.  Null texts and such without words link to nothing;
+    repeated rows are copies of one another; class ids are the least doc_id, null only where all of a class are null.
+    """
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data.  Null counts as empty; spans are ordered by start, ties by kind; repeated rows each get
+    their row.
+    """
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [F.size(F.expr(f"filter(base, s -> s.kind = {i})")).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
 
 
 def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated chunks of lines.  A null text stays null here and is empty in the twin's sense;
+    of equal chunks the one of the least doc_id, then of the first place, stays; rows of one doc_id are one document.
+    """
     return line_chunks.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base counts and verdict.  Null and empty texts fail the base rules; on ties a line is content; repeated
+    rows each get their row.
+    """
     docs = table(spark, sf_dir, "documents")
     return quality_crf.judge(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids and decoded bytes, as digests.  Null counts as empty and has no ids; repeated rows and null
+    doc_ids each get their row.
+    """
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     ids = F.array_join("ids", " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score.  Null and empty texts have the bias only; a null doc_id is not held out; repeated rows each get
+    their row.
+    """
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document and page.  Missing evidence says nothing; ties go to the lesser name; null ids stay null;
+    repeated rows each get their row.
+    """
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     model = language_id.text_model(docs.select("text", "lang", language_id.fold_of().alias("fold")))
     found = language_id.identify(language_id.document_records(docs).union(language_id.page_records(pages)), model)
@@ -70,12 +94,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside windows of benchmark items.  Null has no words; item ids are sorted as strings, a null one
+    is not listed; repeated rows each get their row.
+    """
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("items", ","), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op10_runlength_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes under 400-byte strings that start elsewhere too.  Null counts as empty; repeated rows are copies of
+    one another.
+    """
     cleaned = runlength_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     n_removed = F.col("n_bytes") - F.octet_length("kept")
     return cleaned.select("doc_id", "n_bytes", n_removed.cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

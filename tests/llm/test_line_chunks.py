@@ -61,3 +61,12 @@ def test_nulls_and_empty(spark):
     assert L.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = L.deduplicate(spark.createDataFrame([(None, "p\nq\nr\ns\nt\nu\nv"), (1, "p\nq\nr\ns\nt\nu\nv")], "doc_id long, text string")).collect()
     assert len(rows) == 2
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    text = "\n".join(f"line {i}" for i in range(60))
+    rows = [(1, text, "i", "l", "t"), (1, text, "i", "l", "t"), (2, "x\n" + text, "j", "m", "u")]
+    got = L.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, id string, lost string, left string")).collect()
+    assert sorted((r.doc_id, r.id, r.lost, r.left) for r in got) == [(1, "i", "l", "t"), (1, "i", "l", "t"), (2, "j", "m", "u")]
+    second = next(r for r in got if r.doc_id == 2)
+    assert second.n_removed_lines > 30 and len(second.text) < len(text)
