@@ -294,9 +294,11 @@ def candidate_links(sets: DataFrame, runs: int) -> DataFrame:
     same = F.size(F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.substring("embedding", i * 4 + 1, F.lit(4)) == F.substring("e", i * 4 + 1, F.lit(4))))
     left, homes = large.select("path", "node"), None
     witnesses = large.where(F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.floor(F.col("n") / WITNESSES))) == 0).select("path", "node")
+    # a set that is in many large buckets agrees with most of its group: it leads first, and leaves the least to others
+    central = large.join(large.groupBy("node").agg(F.count("*").alias("k")), "node").groupBy("path").agg(F.max_by("node", F.struct("k", -F.col("node"))).alias("leader"))
     for turn in range(LEADERS):
-        first = left.groupBy("path").agg(F.min("node").alias("leader"))
-        met = left if turn == 0 else left.union(witnesses)
+        first = left.groupBy("path").agg(F.min("node").alias("leader")) if turn else central
+        met = left.union(witnesses) if turn else left
         # many buckets of one group have the same leader: a pair is compared once
         pairs = met.join(first, "path").where("node <> leader").select("node", "leader").distinct()
         led = stored(pairs.join(sets, "node").join(other, "leader").where(same >= AGREE * COORDINATES).select("node", "leader"))
