@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_chunks, ngram_join, pii, quality_crf, runlength_dedup, toxicity, url_redirects
+from . import bpe, conversation_trie, decontaminate, exact_dedup, language_id, line_chunks, ngram_join, periodic_runs, pii, quality_crf, runlength_dedup, toxicity, url_redirects
+from .shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,6 +112,37 @@ def op10_runlength_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_bytes", n_removed.cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations with shared heads.  Turns are ordered by number, null first, then by the digest of
+    role and text; null role and text are empty; rows without conv_id belong to no conversation.
+    """
+    turns = stored(conversation_trie.turns_of(table(spark, sf_dir, "conversations")))
+    length = turns.groupBy("conv_id").agg(F.count("*").alias("length"))
+    nodes = conversation_trie.prefix_trie(*conversation_trie.with_shared_heads(turns, length))
+    return nodes.withColumnRenamed("ends", "ends_sha256")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the copy that stays, the one of the largest doc_id.  Null counts as empty; a null doc_id stays only in a
+    group of such; of rows repeated with id and text one stays.
+    """
+    grouped = exact_dedup.group_copies(table(spark, sf_dir, "documents"), keep="greatest")
+    return grouped.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha256")).alias("text_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs of words, of one in ten made periodic first.  Null has no words; a null doc_id is never made
+    periodic; the greatest run is the longest, of equal ones the first, then that of the lesser period.
+    """
+    words = periodic_runs.planted_words(F.col("doc_id"), F.col("text"))
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), words)
+    greatest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), greatest.alias("g"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("g.length").cast("long"), (-F.col("g.period")).cast("long")
+    return told.select("doc_id", "n_runs", (-F.col("g.start")).cast("long").alias("start"), length.alias("length"), period.alias("period"), F.floor(length * 1000 / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_redirects": op1_url_redirects,
     "op2_ngram_join": op2_ngram_join,
@@ -122,10 +154,15 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate,
     "op10_runlength_dedup": op10_runlength_dedup,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_url_redirects": url_redirects.oracle_sql(URL_RULES),
     "op2_ngram_join": ngram_join.ORACLE_SQL,
     "op4_line_chunks": line_chunks.ORACLE_SQL,
     "op9_decontaminate": decontaminate.ORACLE_SQL,
+    "op11_conversation_trie": conversation_trie.ORACLE_SQL,
+    "op12_exact_dedup": exact_dedup.ORACLE_SQL,
 }
