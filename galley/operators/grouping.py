@@ -1,21 +1,36 @@
 """Words into lines, micro-blocks and blocks.
 
-Placing a word depends on the lines that earlier words have made, so this is one grouped pass over each piece; a piece
-must fit in one task, and pieces are independent.  Roles and zones stay column expressions.
+Placing a word depends on the lines that earlier words have made, but a word joins a line only where they overlap from
+top to bottom.  So a piece falls apart into strips, between which no word stands: strips are found by a running maximum
+of the words' lower edges, and dealt out over all tasks in bundles.  In a task one bundle at a time is placed in order.
+Zones are windows; micro-blocks and blocks follow one another, so a task reads a piece's lines as a sorted stream and
+remembers the open block only.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
+from collections.abc import Iterator
+from itertools import accumulate, chain, islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.text import BADGE_WORDS, text_role
+from ..functions.text import is_badge, text_role
+from .layout import macro_zones
 
-LINE_TYPE = "asset_id long, line int, text string, x int, y int, w int, h int, confidence double, words array<int>"
-MICRO_TYPE = "asset_id long, micro int, block int, zone string, role string, text string, x int, y int, w int, h int, confidence double, lines array<int>, words array<int>"
+KEYS = ("asset_id",)
+#: A bundle of strips closes once it has so many words.
+BUNDLE_WORDS = 2000
+#: Rows of a batch that a task hands on.
+BATCH_ROWS = 4000
+LINE_TYPE = "text string, x int, y int, w int, h int, confidence double, words array<int>"
+MICRO_TYPE = "zone string, role string, text string, x int, y int, w int, h int, confidence double, lines array<int>, words array<int>"
 
 # Least overlaps and gaps at which a word joins a line, and a line a block.
 SURE_OVERLAP, LIKELY_OVERLAP, COLUMN_GAP = 0.45, 0.25, 0.34
@@ -48,9 +63,6 @@ class _Frame:
     def h(self) -> int:
         return self.y2 - self.y1
 
-    def order(self) -> tuple[float, float]:
-        return ((self.y1 + self.y2) / 2, self.x1)
-
 
 def _apart(a1: float, a2: float, b1: float, b2: float) -> float:
     return max(0.0, b1 - a2, a1 - b2)
@@ -67,191 +79,292 @@ def split_point(values: list[float], span: float, share: float) -> float | None:
     return (v[at] + v[at + 1]) / 2 if wide else None
 
 
-def _columns(line: _Frame) -> list[_Frame]:
-    """A line that a wide gap parts into two columns."""
-    if len(line.members) < 4:
-        return [line]
-    cut = split_point([m.x + m.w / 2 for m in line.members], max(1, line.w), COLUMN_GAP)
-    sides = [[m for m in line.members if (m.x + m.w / 2 < cut) == left] for left in (True, False)] if cut is not None else [[]]
-    return [line] if min(map(len, sides)) < 2 else [_Frame(s) for s in sides]
+def _share(a1: int, a2: int, b1: int, b2: int) -> float:
+    """Overlap of two intervals over the shorter one."""
+    return max(0, min(a2, b2) - max(a1, b1)) / max(1, min(a2 - a1, b2 - b1))
+
+
+class _Words:
+    """The words of a bundle in reading order, as columns."""
+
+    def __init__(self, rows: dict[str, list]):
+        self.x, self.y, self.text, self.confidence, self.index, self.promo = (rows[c] for c in ("x", "y", "text", "confidence", "word_index", "promo"))
+        self.x2 = [x + w for x, w in zip(self.x, rows["w"], strict=True)]
+        self.y2 = [y + h for y, h in zip(self.y, rows["h"], strict=True)]
+
+    def box(self, members: list[int]) -> tuple[int, int, int, int]:
+        return min(self.x[m] for m in members), min(self.y[m] for m in members), max(self.x2[m] for m in members), max(self.y2[m] for m in members)
+
+    def place(self) -> list[list[int]]:
+        """Members of each line: every word goes to the open line that it continues best.
+
+        A line is its edges and members; one that ends above all later words is closed.
+        """
+        tops = list(accumulate(reversed(self.y), min))[::-1]
+        lines: list[list] = []
+        still_open: list[list] = []
+        for i, (x1, y1, x2, y2, top) in enumerate(zip(self.x, self.y, self.x2, self.y2, tops, strict=True)):
+            if still_open and min(line[3] for line in still_open) <= top:
+                still_open = [line for line in still_open if line[3] > top]
+            best, chosen, high = None, None, y2 - y1
+            for line in still_open:
+                over = min(line[3], y2) - max(line[1], y1)
+                if over <= 0:
+                    continue
+                height = max(1, line[3] - line[1])
+                most = max(height, high)
+                gap, reach = max(0.0, x1 - line[2], line[0] - x2), max(10.0, 2.8 * most)
+                if gap > reach:
+                    continue
+                shared, off = over / max(1.0, min(height, high)), abs(y1 + high / 2 - (line[1] + line[3]) / 2)
+                if shared >= SURE_OVERLAP or (shared >= LIKELY_OVERLAP and off <= max(3.0, 0.55 * most)):
+                    score = 3 * shared - off / height - gap / reach
+                    if best is None or score > best:
+                        best, chosen = score, line
+            if chosen is None:
+                chosen = [x1, y1, x2, y2, [i]]
+                lines.append(chosen)
+                still_open.append(chosen)
+            else:
+                chosen[0], chosen[1], chosen[2], chosen[3] = min(chosen[0], x1), min(chosen[1], y1), max(chosen[2], x2), max(chosen[3], y2)
+                chosen[4].append(i)
+        return [line[4] for line in lines]
+
+    def columns(self, members: list[int]) -> list[list[int]]:
+        """A line that a wide gap parts into two columns."""
+        if len(members) < 6:  # fewer have no split
+            return [members]
+        centre = lambda m: self.x[m] + (self.x2[m] - self.x[m]) / 2
+        x1, _, x2, _ = self.box(members)
+        cut = split_point([centre(m) for m in members], max(1, x2 - x1), COLUMN_GAP)
+        if cut is None:
+            return [members]
+        sides = [[m for m in members if (centre(m) < cut) == left] for left in (True, False)]
+        return [members] if min(map(len, sides)) < 2 else sides
+
+    def badges(self, members: list[int]) -> list[list[int]]:
+        """A line from which promotional words stand well apart."""
+        promo = [m for m in members if self.promo[m]]
+        if not promo or len(promo) == len(members):
+            return [members]
+        rest = [m for m in members if not self.promo[m]]
+        a, b = self.box(rest), self.box(promo)
+        far = _apart(a[0], a[2], b[0], b[2]) > max(12.0, 1.15 * max(8, min(a[3] - a[1], b[3] - b[1])))
+        return [rest, promo] if far else [members]
+
+    def lines(self) -> list[tuple]:
+        """Rows of LINE_TYPE, from the top and then from the left."""
+        parts = [part for members in self.place() for column in self.columns(members) for part in self.badges(column)]
+        boxed = sorted(((*self.box(p), p) for p in parts), key=lambda b: ((b[1] + b[3]) / 2, b[0]))
+        rows = []
+        for x1, y1, x2, y2, members in boxed:
+            members = sorted(members, key=self.x.__getitem__)
+            text = " ".join([self.text[m] for m in members]).strip()
+            rows.append((text, x1, y1, x2 - x1, y2 - y1, sum([self.confidence[m] for m in members]) / len(members), [self.index[m] for m in members]))
+        return rows
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, dict[str, list]]]:
+    """Runs of rows with the same keys in a sorted stream, as columns; one run is held at a time."""
+    key, held = None, None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        begins = np.zeros(n, bool)
+        begins[0] = True
+        for k in keys:
+            column = batch[k]
+            other = pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, n - 1)), True)
+            begins[1:] |= other.to_numpy(zero_copy_only=False)
+        columns = {c: batch[c].to_numpy().tolist() if pa.types.is_primitive(batch[c].type) and not batch[c].null_count and not pa.types.is_boolean(batch[c].type) else batch[c].to_pylist() for c in batch.schema.names}
+        cuts = [*np.flatnonzero(begins).tolist(), n]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            mark = tuple(columns[k][low] for k in keys)
+            if held is not None and mark == key:
+                for c, v in columns.items():
+                    held[c] += v[low:high]
+            else:
+                if held is not None:
+                    yield key, held
+                key, held = mark, {c: v[low:high] for c, v in columns.items()}
+    if held is not None:
+        yield key, held
 
 
-def _badges(line: _Frame) -> list[_Frame]:
-    """A line from which promotional words stand well apart."""
-    promo = [m for m in line.members if m.role == "promo_badge"]
-    rest = [m for m in line.members if m.role != "promo_badge"]
-    if not promo or not rest:
-        return [line]
-    a, b = _Frame(rest), _Frame(promo)
-    far = _apart(a.x1, a.x2, b.x1, b.x2) > max(12.0, 1.15 * max(8, min(a.h, b.h)))
-    return [a, b] if far else [line]
+def _array(values: tuple, type_: pa.DataType) -> pa.Array:
+    if pa.types.is_list(type_):
+        offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(list(chain.from_iterable(values)), type_.value_type), type=type_)
+    return pa.array(values, type_)
 
 
-def _fit(line: list, x1: int, y1: int, x2: int, y2: int) -> float | None:
-    """How well a word continues a line (its edges first); None if it does not."""
-    over = min(line[3], y2) - max(line[1], y1)
-    if over <= 0:
-        return None
-    high, height = y2 - y1, max(1, line[3] - line[1])
-    most = max(height, high)
-    gap, reach = max(0.0, x1 - line[2], line[0] - x2), max(10.0, 2.8 * most)
-    if gap > reach:
-        return None
-    shared, off = over / max(1.0, min(height, high)), abs(y1 + high / 2 - (line[1] + line[3]) / 2)
-    if shared >= SURE_OVERLAP or (shared >= LIKELY_OVERLAP and off <= max(3.0, 0.55 * most)):
-        return 3 * shared - off / height - gap / reach
-    return None
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of a bounded size."""
+    while part := list(islice(rows, BATCH_ROWS)):
+        yield pa.RecordBatch.from_arrays([_array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
 
-def _place(words: list) -> list[list]:
-    """Words, in reading order, to the lines that they continue best; members of each line.
+def _streamed(sorted_rows: DataFrame, work, type_: str) -> DataFrame:
+    """``work(batches)`` makes rows of ``type_`` out of a task's sorted batches."""
+    schema = to_arrow_schema(sorted_rows.sparkSession.createDataFrame([], type_).schema)
+    return sorted_rows.mapInArrow(lambda batches: _batches(iter(work(batches)), schema), type_)
 
-    A line is a plain list of its edges and members; one that ends above all later words is closed.
-    """
-    tops = list(accumulate((w.y for w in reversed(words)), min))[::-1]
-    lines: list[list] = []
-    still_open: list[list] = []
-    for word, top in zip(words, tops, strict=True):
-        x1, y1 = word.x, word.y
-        x2, y2 = x1 + word.w, y1 + word.h
-        if any(line[3] <= top for line in still_open):
-            still_open = [line for line in still_open if line[3] > top]
-        best, chosen = None, None
-        for line in still_open:
-            score = _fit(line, x1, y1, x2, y2)
-            if score is not None and (best is None or score > best):
-                best, chosen = score, line
-        if chosen is None:
-            chosen = [x1, y1, x2, y2, [word]]
-            lines.append(chosen)
-            still_open.append(chosen)
-        else:
-            chosen[0], chosen[1], chosen[2], chosen[3] = min(chosen[0], x1), min(chosen[1], y1), max(chosen[2], x2), max(chosen[3], y2)
-            chosen[4].append(word)
-    return [line[4] for line in lines]
 
+def _types(df: DataFrame, columns: tuple[str, ...]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
 
-def _lines(pdf: pd.DataFrame) -> pd.DataFrame:
-    words = sorted(pdf.itertuples(index=False), key=lambda t: (t.y + t.h / 2, t.x + t.w / 2, t.word_index))
-    parts = [part for members in _place(words) for column in _columns(_Frame(members)) for part in _badges(column)]
-    rows = []
-    for n, line in enumerate(sorted(parts, key=_Frame.order), 1):
-        members = sorted(line.members, key=lambda m: m.x)
-        conf = sum(m.confidence for m in members) / len(members)
-        rows.append((n, " ".join(m.text for m in members).strip(), line.x1, line.y1, line.w, line.h, conf, [m.word_index for m in members]))
-    out = pd.DataFrame(rows, columns=["line", "text", "x", "y", "w", "h", "confidence", "words"])
-    out.insert(0, "asset_id", pdf["asset_id"].iloc[0])
-    return out
+
+def bundles(words: DataFrame, keys: tuple[str, ...] = KEYS, size: int = BUNDLE_WORDS) -> DataFrame:
+    """Words with ``bundle``: strips of the piece, from the top, until they have ``size`` words.
+
+    A strip ends where no word reaches over the next one's top; a word without height counts as one high, so that words
+    of one centre never part.  Tops are counted before the window, and only the tops of pieces with several bundles
+    are joined back.
+    """
+    tops = words.groupBy(*keys, "y").agg(F.max(F.col("y") + F.greatest("h", F.lit(1))).alias("low"), F.count("*").alias("n"))
+    above = W.partitionBy(*keys).orderBy("y").rowsBetween(W.unboundedPreceding, -1)
+    upto = W.partitionBy(*keys).orderBy("y").rowsBetween(W.unboundedPreceding, 0)
+    counted = tops.withColumns({"reach": F.max("low").over(above), "before": F.coalesce(F.sum("n").over(above), F.lit(0))})
+    begin = F.when(F.col("reach").isNull() | (F.col("y") >= F.col("reach")), F.col("before"))
+    numbered = counted.withColumn("bundle", F.floor(F.max(begin).over(upto) / size).cast("int")).where("bundle > 0").select(*keys, "y", "bundle")
+    return words.join(numbered.hint("shuffle_hash"), [*keys, "y"], "left").withColumn("bundle", F.coalesce("bundle", F.lit(0)))
 
 
-def group_lines(words: DataFrame) -> DataFrame:
-    """``words(asset_id, word_index, text, x, y, w, h, confidence)`` -> ``asset_id, line, text, x, y, w, h, confidence, words, role``.
+def group_lines(words: DataFrame, keys: tuple[str, ...] = KEYS, size: int = BUNDLE_WORDS) -> DataFrame:
+    """``words(*keys, word_index, text, x, y, w, h, confidence)`` -> ``*keys, line, text, x, y, w, h, confidence, words, role``.
 
     Words go, from the top, to the open line that they fit best; lines are parted at wide column gaps and before
     promotional words that stand apart.
     """
+    needed = bundles(words.select(*keys, "word_index", "text", "x", "y", "w", "h", "confidence"), keys, size)
+    by = (*keys, "bundle")
+    placed = needed.repartition(*by).sortWithinPartitions(*by, F.col("y") + F.col("h") / F.lit(2.0), F.col("x") + F.col("w") / F.lit(2.0), "word_index")
     # the role of a single word matters where it may be a badge only
-    role = F.when(F.col("text").rlike(BADGE_WORDS), text_role(F.col("text"))).otherwise("")
-    needed = words.select("asset_id", "word_index", "text", "x", "y", "w", "h", "confidence", role.alias("role"))
-    return needed.groupBy("asset_id").applyInPandas(_lines, LINE_TYPE).withColumn("role", text_role(F.col("text")))
-
-
-def _continues(block: _Frame, role: str, line, last) -> bool:
-    """Whether a line goes on with an open micro-block."""
-    if role in ALONE or line.role in ALONE or {role, line.role} == {"campaign", "date_range"} or (role == "brand") != (line.role == "brand"):
-        return False
-    if (role == "description" and line.role not in ("description", "unknown")) or (line.role == "description" and role not in ("description", "unknown")):
-        return False
-    if line.y - (last.y + last.h) > MICRO_GAP * max(8.0, (line.h + last.h) / 2):
-        return False
-    over = max(0, min(block.x2, line.x + line.w) - max(block.x1, line.x)) / max(1, min(block.w, line.w))
-    aligned = abs(block.x1 - line.x) / max(1, min(block.w, line.w)) <= ALIGNED
-    return over >= MICRO_OVERLAP or (aligned and over >= ALIGNED_OVERLAP)
-
-
-def _zones(rows: list) -> dict[int, str]:
-    """Zone of each line: halves and quarters of the piece where lines leave wide gaps, and of these once more."""
-
-    def part(members: list, x_share: float, y_share: float, prefix: str) -> dict[int, str]:
-        box = _Frame(members)
-        sx = split_point([m.x + m.w / 2 for m in members], box.w, x_share)
-        sy = split_point([m.y + m.h / 2 for m in members], box.h, y_share)
-        if sx is None and sy is None:
-            return {m.line: f"{prefix}ALL" for m in members}
-        down = lambda m: "A" if sy is None else "T" if m.y + m.h / 2 < sy else "B"
-        across = lambda m: "A" if sx is None else "L" if m.x + m.w / 2 < sx else "R"
-        return {m.line: f"{prefix}{down(m)}{across(m)}" for m in members}
-
-    macro = part(rows, *MACRO_SHARES, "Z_")
-    by_macro: dict[str, list] = {}
-    for row in rows:
-        by_macro.setdefault(macro[row.line], []).append(row)
-    return {line: f"{big}|{small}" for big, members in by_macro.items() for line, small in part(members, *SUB_SHARES, "S_").items()}
-
-
-def _micro_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    micros: list[dict] = []
-    rows = sorted(pdf.itertuples(index=False), key=lambda t: t.line)
-    zone_of = _zones(rows)
-    by_zone: dict[str, list] = {}
-    for row in rows:
-        by_zone.setdefault(zone_of[row.line], []).append(row)
-    for zone, members in by_zone.items():
-        current = None
-        for line in sorted(members, key=lambda t: (t.y + t.h / 2, t.x)):
-            if current and _continues(current["box"], current["role"], line, current["box"].members[-1]):
-                current["box"].add(line)
-                if current["role"] in ("unknown", "description") and line.role != "unknown":
-                    current["role"] = line.role
-            else:
-                current = {"zone": zone, "role": line.role, "box": _Frame([line])}
-                micros.append(current)
-    micros.sort(key=lambda m: m["box"].order())
-    out, block, shape, conf = [], 0, None, 0.0
-    for n, m in enumerate(micros, 1):
-        box = m["box"]
-        confidence = sum(x.confidence for x in box.members) / len(box.members)
-        joins = shape is not None and m["zone"] == shape["zone"] and m["role"] == shape["role"] and m["role"] in JOINABLE
-        if joins:
-            x1, y1, x2, y2 = shape["xy"]
-            over = max(0, min(x2, box.x2) - max(x1, box.x1)) / max(1, min(x2 - x1, box.w))
-            joins = box.y1 - y2 <= BLOCK_GAP * max(8.0, (y2 - y1 + box.h) / 2) and over >= BLOCK_OVERLAP
-        if joins:
-            shape["xy"] = (min(x1, box.x1), min(y1, box.y1), max(x2, box.x2), max(y2, box.y2))
-        else:
-            block += 1
-            shape = {"zone": m["zone"], "role": m["role"], "xy": (box.x1, box.y1, box.x2, box.y2)}
-        text = "\n".join(x.text for x in box.members).strip()
-        out.append((pdf["asset_id"].iloc[0], n, block, m["zone"], m["role"], text, box.x1, box.y1, box.w, box.h, confidence, [x.line for x in box.members], [i for x in box.members for i in x.words]))
-    return pd.DataFrame(out, columns=["asset_id", "micro", "block", "zone", "role", "text", "x", "y", "w", "h", "confidence", "lines", "words"])
-
-
-def group_micro_blocks(lines: DataFrame) -> DataFrame:
-    """Lines into micro-blocks inside zones of zones; ``block`` numbers the neighbours of one kind that belong together."""
-    needed = lines.select("asset_id", "line", "text", "x", "y", "w", "h", "confidence", "words", "role")
-    return needed.groupBy("asset_id").applyInPandas(_micro_blocks, MICRO_TYPE)
-
-
-def block_rollup(micros: DataFrame) -> DataFrame:
-    """``asset_id, block, role, text, x, y, w, h, confidence, words``; confidence is the pairwise mean in order."""
+    placed = placed.withColumn("promo", is_badge(F.col("text")) & (text_role(F.col("text")) == "promo_badge"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for key, rows in _groups(batches, by):
+            for n, row in enumerate(_Words(rows).lines()):
+                yield (*key, n, *row)
+
+    made = _streamed(placed, work, f"{_types(words, keys)}, bundle int, place int, {LINE_TYPE}")
+    line = F.row_number().over(W.partitionBy(*keys).orderBy("bundle", "place"))
+    return made.select(*keys, line.alias("line"), "text", "x", "y", "w", "h", "confidence", "words", text_role(F.col("text")).alias("role"))
+
+
+class _Micro:
+    """A micro-block that lines may still join."""
+
+    def __init__(self, first: int, nth: int, line: int, text: str, x: int, y: int, w: int, h: int, confidence: float, words: list[int], role: str):
+        self.place, self.role = (first, nth), role
+        self.x1, self.y1, self.x2, self.y2, self.low, self.high = x, y, x + w, y + h, y + h, h
+        self.lines, self.texts, self.confidences, self.words = [line], [text], [confidence], list(words)
+
+    def add(self, line: int, text: str, x: int, y: int, w: int, h: int, confidence: float, words: list[int], role: str) -> bool:
+        """Takes a line that goes on with this micro-block."""
+        own = self.role
+        if own in ALONE or role in ALONE or {own, role} == {"campaign", "date_range"} or (own == "brand") != (role == "brand"):
+            return False
+        if (own == "description" and role not in ("description", "unknown")) or (role == "description" and own not in ("description", "unknown")):
+            return False
+        if y - self.low > MICRO_GAP * max(8.0, (h + self.high) / 2):
+            return False
+        over = _share(self.x1, self.x2, x, x + w)
+        if over < MICRO_OVERLAP and (over < ALIGNED_OVERLAP or abs(self.x1 - x) / max(1, min(self.x2 - self.x1, w)) > ALIGNED):
+            return False
+        self.lines.append(line)
+        self.texts.append(text)
+        self.confidences.append(confidence)
+        self.words += words
+        self.x1, self.y1, self.x2, self.y2 = min(self.x1, x), min(self.y1, y), max(self.x2, x + w), max(self.y2, y + h)
+        self.low, self.high = y + h, h
+        if own in ("unknown", "description") and role != "unknown":
+            self.role = role
+        return True
+
+    def row(self) -> tuple:
+        text = "\n".join(self.texts).strip() if len(self.texts) > 1 else self.texts[0].strip()
+        return self.role, text, self.x1, self.y1, self.x2 - self.x1, self.y2 - self.y1, sum(self.confidences) / len(self.confidences), self.lines, self.words
+
+
+def zoned(lines: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Lines with ``zone``: halves and quarters of the piece where lines leave wide gaps, and of these once more."""
+    macro = macro_zones(lines, keys, *MACRO_SHARES, "Z_").withColumnRenamed("zone", "macro")
+    return macro_zones(macro, (*keys, "macro"), *SUB_SHARES, "S_").withColumn("zone", F.concat_ws("|", "macro", "zone")).drop("macro")
+
+
+def group_micro_blocks(lines: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Lines into micro-blocks inside zones of zones; ``block`` numbers the neighbours of one kind that belong together.
+
+    Two streams: a zone's lines from the top, with the open micro-block, and a piece's micro-blocks from the top, with
+    the open block's edges.
+    """
+    needed = lines.select(*keys, "line", "text", "x", "y", "w", "h", "confidence", "words", "role").repartition(*keys)
+    zone = W.partitionBy(*keys, "zone")
+    ranked = zoned(needed, keys).withColumn("first", F.min("line").over(zone))
+    within = ranked.withColumn("nth", F.row_number().over(zone.orderBy("cy", "x", "line"))).sortWithinPartitions(*keys, "zone", "nth")
+
+    columns = ("line", "text", "x", "y", "w", "h", "confidence", "words", "role")
+
+    def micros(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        mark, held = None, None
+        for batch in batches:
+            marks, places = (zip(*(batch[c].to_pylist() for c in names), strict=True) for names in ((*keys, "zone"), ("first", "nth")))
+            for of, place, line in zip(marks, places, zip(*(batch[c].to_pylist() for c in columns), strict=True), strict=True):
+                if held is not None and of == mark and held.add(*line):
+                    continue
+                if held is not None:
+                    yield (*mark[:-1], *held.place, mark[-1], *held.row())
+                mark, held = of, _Micro(*place, *line)
+        if held is not None:
+            yield (*mark[:-1], *held.place, mark[-1], *held.row())
+
+    made = _streamed(within, micros, f"{_types(lines, keys)}, first int, nth int, {MICRO_TYPE}")
+    order = W.partitionBy(*keys).orderBy(F.col("y") + F.col("h") / F.lit(2.0), "x", "first", "nth")
+    numbered = made.repartition(*keys).withColumn("micro", F.row_number().over(order)).sortWithinPartitions(*keys, "micro").drop("first", "nth")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark, block, kind, box = None, 0, None, None
+        for batch in batches:
+            out = []
+            for of, own, x1, y1, w, h in zip(zip(*(batch[k].to_pylist() for k in keys), strict=True), zip(batch["zone"].to_pylist(), batch["role"].to_pylist(), strict=True), *(batch[c].to_pylist() for c in "xywh"), strict=True):
+                x2, y2 = x1 + w, y1 + h
+                if of != mark:
+                    mark, block, kind = of, 0, None
+                joins = own == kind and own[1] in JOINABLE
+                if joins:
+                    joins = y1 - box[3] <= BLOCK_GAP * max(8.0, (box[3] - box[1] + h) / 2) and _share(box[0], box[2], x1, x2) >= BLOCK_OVERLAP
+                if joins:
+                    box = (min(box[0], x1), min(box[1], y1), max(box[2], x2), max(box[3], y2))
+                else:
+                    block, kind, box = block + 1, own, (x1, y1, x2, y2)
+                out.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "block"])
+
+    told = numbered.mapInArrow(blocks, f"{_types(numbered, tuple(numbered.columns))}, block int")
+    return told.select(*keys, "micro", "block", *[part.split()[0] for part in MICRO_TYPE.split(", ")])
+
+
+def block_rollup(micros: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """``*keys, block, role, text, x, y, w, h, confidence, words``; confidence is the pairwise mean in order."""
     member = F.struct("micro", "text", "confidence", "words")
     parts = F.array_sort(F.collect_list(member))
-    out = micros.groupBy("asset_id", "block").agg(parts.alias("p"), F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"))
+    out = micros.groupBy(*keys, "block").agg(parts.alias("p"), F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"))
     text = F.array_join(F.transform("p", lambda m: m["text"]), "\n")
     rest = F.slice("p", F.lit(2), F.size("p"))
     conf = F.aggregate(rest, F.get("p", F.lit(0))["confidence"], lambda s, m: (s + m["confidence"]) / 2.0)
-    out = out.select("asset_id", "block", text.alias("text"), "x", "y", "w", "h", F.bround(conf, 4).alias("confidence"), F.flatten(F.transform("p", lambda m: m["words"])).alias("words"))
+    out = out.select(*keys, "block", text.alias("text"), "x", "y", "w", "h", F.bround(conf, 4).alias("confidence"), F.flatten(F.transform("p", lambda m: m["words"])).alias("words"))
     return out.withColumn("role", text_role(F.col("text")))
 
 
 def _simple_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    share = lambda a1, a2, b1, b2: max(0, min(a2, b2) - max(a1, b1)) / max(1, min(a2 - a1, b2 - b1))
     blocks: list[_Frame] = []
     for line in sorted(pdf.itertuples(index=False), key=lambda t: t.line):
         for block in blocks:
             last = block.members[-1]
             close = line.y - (last.y + last.h) <= SIMPLE_GAP * max(8.0, (line.h + last.h) / 2)
-            by_last, by_block = share(last.x, last.x + last.w, line.x, line.x + line.w), share(block.x1, block.x2, line.x, line.x + line.w)
+            by_last, by_block = _share(last.x, last.x + last.w, line.x, line.x + line.w), _share(block.x1, block.x2, line.x, line.x + line.w)
             far = abs(line.x + line.w / 2 - last.x - last.w / 2) > max(last.w, line.w) * SIMPLE_APART[0] and max(by_last, by_block) < SIMPLE_APART[1]
             if close and not far and (by_last >= SIMPLE_LAST or by_block >= SIMPLE_BLOCK):
                 block.add(line)
@@ -272,6 +385,6 @@ def group_blocks_simple(lines: DataFrame) -> DataFrame:
     return needed.groupBy("asset_id").applyInPandas(_simple_blocks, "asset_id long, block int, text string, x int, y int, w int, h int, confidence double, lines array<int>, words array<int>")
 
 
-def build_layout(words: DataFrame) -> DataFrame:
+def build_layout(words: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Words to blocks in one go."""
-    return block_rollup(group_micro_blocks(group_lines(words)))
+    return block_rollup(group_micro_blocks(group_lines(words, keys), keys), keys)

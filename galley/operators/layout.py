@@ -28,16 +28,25 @@ def split_points(placed: DataFrame, keys: tuple[str, ...], value: str, span: Col
     return found.where(enough & (F.col("g.gap") / F.col("span") >= share)).select(*keys, ((F.col("g.v") + F.col("g.next")) / 2.0).alias("split"))
 
 
+def _split(keys: tuple[str, ...], value: str, low: str, size: str, share: float) -> Column:
+    """The same split as a column of the group's own rows: windows over one exchange by the keys, no join.  Ties need no
+    further order, as only the values of the widest gap are used."""
+    group, order = W.partitionBy(*keys), W.partitionBy(*keys).orderBy(value)
+    after, i = F.lead(value).over(order), F.row_number().over(order)
+    g = F.max(F.when(after.isNotNull(), F.struct((after - F.col(value)).alias("gap"), (-i).alias("i"), F.col(value).alias("v"), after.alias("next")))).over(group)
+    n, span = F.count(F.lit(1)).over(group), F.max(F.col(low) + F.col(size)).over(group) - F.min(low).over(group)
+    at = -g["i"]
+    return F.when((n >= 6) & (at >= 2) & (n - at >= 2) & (span > 1e-6) & (g["gap"] / span >= share), (g["v"] + g["next"]) / 2.0)
+
+
 def macro_zones(lines: DataFrame, keys: tuple[str, ...] = ("asset_id",), x_share: float = 0.20, y_share: float = 0.22, prefix: str = "Z_") -> DataFrame:
-    """Boxes with ``zone``: T or B and L or R by the splits of their centres; A where an axis has none, ALL for both.
+    """Boxes with ``zone``: T or B and L or R by the splits of their centres; A where an axis has none, ALL for both; and their
+    centres ``cx``, ``cy``.
 
-    The spans are those of the group's common box.  Each axis is one sort within the group and one aggregate, whose few
-    rows are joined back.
+    The spans are those of the group's common box.  Both axes share one exchange by the keys and take a sort each.
     """
     placed = lines.withColumns({"cx": F.col("x") + F.col("w") / F.lit(2.0), "cy": F.col("y") + F.col("h") / F.lit(2.0)})
-    sx = split_points(placed, keys, "cx", F.max(F.col("x") + F.col("w")) - F.min("x"), x_share).withColumnRenamed("split", "sx")
-    sy = split_points(placed, keys, "cy", F.max(F.col("y") + F.col("h")) - F.min("y"), y_share).withColumnRenamed("split", "sy")
-    split = placed.join(sx, list(keys), "left").join(sy, list(keys), "left")
+    split = placed.withColumn("sx", _split(keys, "cx", "x", "w", x_share)).withColumn("sy", _split(keys, "cy", "y", "h", y_share))
     v = F.when(F.col("sy").isNull(), "A").when(F.col("cy") < F.col("sy"), "T").otherwise("B")
     h = F.when(F.col("sx").isNull(), "A").when(F.col("cx") < F.col("sx"), "L").otherwise("R")
     none = F.col("sx").isNull() & F.col("sy").isNull()

@@ -124,9 +124,7 @@ def region_words_union(words: DataFrame, plan: DataFrame) -> DataFrame:
 def hybrid_layout(region_words: DataFrame, what=build_layout) -> DataFrame:
     """Blocks (or lines, by ``what``) of each region by itself: ``asset_id, region_id, ..., reading``, reading being the
     place from the top, then from the left, among all of the asset's."""
-    keys = region_words.select("asset_id", "region_id").distinct().withColumn("key", F.xxhash64("asset_id", "region_id"))
-    single = region_words.withColumn("asset_id", F.xxhash64("asset_id", "region_id")).drop("region_id")
-    made = what(single).withColumnRenamed("asset_id", "key").join(keys, "key").drop("key")
+    made = what(region_words, ("asset_id", "region_id"))
     box = Box.of()
     number = "block" if "block" in made.columns else "line"
     return made.withColumn("reading", F.row_number().over(W.partitionBy("asset_id").orderBy(box.cy, box.cx, "region_id", number)))

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from galley.operators import grouping as G
@@ -41,3 +43,51 @@ def test_split_point_takes_the_first_of_equal_gaps():
 
 def test_no_words(spark):
     assert G.build_layout(spark.createDataFrame([], WORD)).count() == 0
+
+
+def long_piece(rng, n):
+    """Words of rows that overlap here and there, with empty gaps between; some have no height."""
+    out, y = [], 0
+    while len(out) < n:
+        y += rng.choice([3, 9, 14, 40])
+        out += [(7, len(out) + k, rng.choice(["ab", "CMR", "12.90", "precio"]), x + rng.randint(0, 30), y + rng.randint(-4, 4), rng.randint(5, 60), rng.choice([0, 8, 12, 20]), 0.5 + rng.random() / 2) for k, x in enumerate(range(0, rng.choice([120, 500]), 70))]
+    return out
+
+
+def test_bundles_of_strips_give_the_lines_of_the_whole_piece(spark):
+    rows = long_piece(random.Random(4), 1200)
+    piece = spark.createDataFrame(rows, WORD)
+    tall = spark.createDataFrame([*rows, (7, len(rows), "edge", 900, -50, 4, 10**6, 0.5)], WORD)
+    held = G.bundles(piece, size=50).select("asset_id", "bundle", "y", "h").collect()
+    assert len({r.bundle for r in held}) > 5
+    edges = {}
+    for r in held:
+        low, high = edges.get(r.bundle, (r.y, r.y))
+        edges[r.bundle] = (min(low, r.y), max(high, r.y + max(r.h, 1)))
+    ordered = [edges[b] for b in sorted(edges)]
+    assert all(a[1] <= b[0] for a, b in zip(ordered, ordered[1:]))
+    whole = sorted(map(str, G.group_lines(piece, size=10**9).collect()))
+    assert sorted(map(str, G.group_lines(piece, size=50).collect())) == whole
+    # a word as high as the piece holds all strips together
+    assert {r.bundle for r in G.bundles(tall, size=50).select("bundle").distinct().collect()} == {0}
+
+
+def test_a_very_long_piece_is_spread_over_all_tasks(spark):
+    n = 1_000_000
+    words = spark.range(n).select(
+        F.lit(1).cast("long").alias("asset_id"), F.col("id").cast("int").alias("word_index"), F.lit("a").alias("text"), ((F.col("id") % 8) * 120).cast("int").alias("x"),
+        (F.floor(F.col("id") / 8) * 30).cast("int").alias("y"), F.lit(20).alias("w"), F.lit(18).alias("h"), F.lit(0.5).alias("confidence"),
+    )
+    shares = G.bundles(words).groupBy("bundle").count().collect()
+    assert len(shares) == n // G.BUNDLE_WORDS and max(r["count"] for r in shares) == G.BUNDLE_WORDS
+    tasks = G.bundles(words).repartition(32, "asset_id", "bundle").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 32 and max(r["count"] for r in tasks) < 4 * n / 32
+
+
+def test_keys_of_several_columns(spark):
+    two = words(spark, 2).withColumn("region_id", F.when(F.col("y") < 200, "r1").otherwise("r2"))
+    made = G.build_layout(two, ("asset_id", "region_id"))
+    assert made.columns[:2] == ["asset_id", "region_id"]
+    one = G.build_layout(two.where("asset_id = 1 and region_id = 'r2'").drop("region_id"))
+    same = made.where("asset_id = 1 and region_id = 'r2'").drop("region_id")
+    assert sorted(map(str, same.collect())) == sorted(map(str, one.collect()))

@@ -46,9 +46,10 @@ def test_words_go_to_the_lines_that_a_naive_search_gives():
     rng = random.Random(5)
     for _ in range(40):
         words = [("w", rng.randrange(0, 600), rng.randrange(0, 120), rng.randrange(5, 90), rng.randrange(8, 40)) for _ in range(rng.randrange(1, 60))]
-        named = [G.pd.Series({"x": x, "y": y, "w": w, "h": h, "i": i}) for i, (_, x, y, w, h) in enumerate(words)]
-        named.sort(key=lambda t: (t.y + t.h / 2, t.x + t.w / 2, t.i))
-        assert sorted(sorted(int(m.i) for m in line) for line in G._place(named)) == naive_lines(words)
+        named = sorted(((x, y, w, h, i) for i, (_, x, y, w, h) in enumerate(words)), key=lambda t: (t[1] + t[3] / 2, t[0] + t[2] / 2, t[4]))
+        x, y, w, h, index = map(list, zip(*named))
+        placed = G._Words({"x": x, "y": y, "w": w, "h": h, "word_index": index, "text": index, "confidence": index, "promo": index})
+        assert sorted(sorted(index[m] for m in line) for line in placed.place()) == naive_lines(words)
 
 
 def test_first_piece_of_the_known_cases(spark):
