@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -10,7 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.geometry import Box, clamp, pad
 from .grouping import build_layout, group_lines
 from .layout import split_points
+from .lineage import written
 from .regions import areas_from_detections
+from .spatial import GRIDS, holding, overlapping
 
 # Share of a gap that splits a piece; shares and shapes of a panel; regions read and their least share.
 SPLIT_SHARE = 0.18
@@ -61,35 +65,105 @@ def filter_panel_rects(rects: DataFrame) -> DataFrame:
     return rects.where((F.col("w") * F.col("h") > 1) & share.between(*PANEL_AREA) & large & shape.between(*PANEL_ASPECT))
 
 
-def _grow(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    left = [tuple(r) for r in pdf.sort_values("ord")[["x", "y", "w", "h"]].itertuples(index=False)]
-    out = []
-    while left:
-        box, left = left[0], left[1:]
+def _grow(boxes: list[tuple], least: float) -> list[tuple]:
+    """``(ord, x1, y1, x2, y2)`` in order -> the boxes that they grow into, each with the ord of its first.
+
+    The first box left takes in, going through the others in order again and again, every one that overlaps it enough
+    as it is by then.  Others are found by the cells that the growing box touches: a pass holds those still ahead of
+    it in a heap, and what the box newly reaches joins them.
+    """
+    cell = max(1, sorted(max(b[3] - b[1], b[4] - b[2]) for b in boxes)[len(boxes) // 2])
+    span = lambda b: ((gx, gy) for gx in range(b[1] // cell, b[3] // cell + 1) for gy in range(b[2] // cell, b[4] // cell + 1))
+    huge = [i for i, b in enumerate(boxes) if (b[3] - b[1]) // cell * ((b[4] - b[2]) // cell) > 64]
+    by_cell: dict[tuple[int, int], list[int]] = {}
+    for i in set(range(len(boxes))).difference(huge):
+        for at in span(boxes[i]):
+            by_cell.setdefault(at, []).append(i)
+    gone, out = [False] * len(boxes), []
+    for first, seed in enumerate(boxes):
+        if gone[first]:
+            continue
+        gone[first] = True
+        _, x1, y1, x2, y2 = seed
+        seen_cells: set[tuple[int, int]] = set()
+        near = set(huge)
+
+        def reach() -> list[int]:
+            new = [at for at in span((0, x1, y1, x2, y2)) if at not in seen_cells and at in by_cell]
+            seen_cells.update(new)
+            for at in new:
+                by_cell[at] = [i for i in by_cell[at] if not gone[i]]
+            found = {i for at in new for i in by_cell[at]} - near
+            near.update(found)
+            return list(found)
+
+        reach()
         grown = True
         while grown:
-            grown, rest = False, []
-            for other in left:
-                ix = max(0, min(box[0] + box[2], other[0] + other[2]) - max(box[0], other[0]))
-                iy = max(0, min(box[1] + box[3], other[1] + other[3]) - max(box[1], other[1]))
-                whole = box[2] * box[3] + other[2] * other[3] - ix * iy
+            grown, ahead = False, [i for i in near if not gone[i]]
+            heapq.heapify(ahead)
+            while ahead:
+                i = heapq.heappop(ahead)
+                _, a1, b1, a2, b2 = boxes[i]
+                ix, iy = max(0, min(x2, a2) - max(x1, a1)), max(0, min(y2, b2) - max(y1, b1))
+                whole = (x2 - x1) * (y2 - y1) + (a2 - a1) * (b2 - b1) - ix * iy
                 if whole > 0 and ix * iy / whole >= least:
-                    x, y = min(box[0], other[0]), min(box[1], other[1])
-                    box = (x, y, max(1, max(box[0] + box[2], other[0] + other[2]) - x), max(1, max(box[1] + box[3], other[1] + other[3]) - y))
-                    grown = True
-                else:
-                    rest.append(other)
-            left = rest
-        out.append(box)
-    rows = [(pdf["asset_id"].iloc[0], i, *box) for i, box in enumerate(out, 1)]
-    return pd.DataFrame(rows, columns=["asset_id", "ord", "x", "y", "w", "h"])
+                    gone[i] = grown = True
+                    near.discard(i)
+                    x1, y1 = min(x1, a1), min(y1, b1)
+                    x2, y2 = max(x1 + 1, x2, a2), max(y1 + 1, y2, b2)
+                    for new in reach():
+                        if new > i:
+                            heapq.heappush(ahead, new)
+        out.append((seed[0], x1, y1, x2, y2))
+    return out
+
+
+def overlap_groups(regions: DataFrame) -> DataFrame:
+    """Regions with ``grp``: those of different groups can never meet, however they grow.
+
+    Every round joins the groups' common boxes by cells and lets each group take the least number of those that it
+    overlaps, with the pointers shortened; it ends when no two common boxes overlap.  A group's box is all that its
+    members can grow into.
+    """
+    held = regions.withColumn("grp", F.col("ord").cast("long"))
+    while True:
+        held = written(held)
+        box = [F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h")]
+        common = held.groupBy("asset_id", "grp").agg(*box)
+        met = overlapping(common, common, grids=GRIDS).select(F.col("a.asset_id").alias("asset_id"), F.col("a.grp").alias("grp"), F.col("b.grp").alias("other")).where("other < grp")
+        up = written(met.groupBy("asset_id", "grp").agg(F.min("other").alias("least")))
+        if up.isEmpty():
+            return held
+        for _ in range(3):
+            above = up.select("asset_id", F.col("grp").alias("least"), F.col("least").alias("higher"))
+            up = up.join(above, ["asset_id", "least"], "left").select("asset_id", "grp", F.coalesce("higher", "least").alias("least"))
+        held = held.join(up, ["asset_id", "grp"], "left").select(*regions.columns, F.coalesce("least", "grp").alias("grp"))
 
 
 def merge_overlapping_regions(regions: DataFrame, least: float = MERGE_IOU) -> DataFrame:
     """``regions(asset_id, ord, x, y, w, h)`` -> the same columns: each box, in order, grown by any other that overlaps it
-    enough until none does.  What a box becomes depends on those before, so a piece's regions, tens of them, go to one
-    call; pieces are independent."""
-    return regions.select("asset_id", "ord", "x", "y", "w", "h").groupBy("asset_id").applyInPandas(lambda pdf: _grow(pdf, least), "asset_id long, ord int, x int, y int, w int, h int")
+    enough until none does.
+
+    What a box becomes depends on those before it, but only within a group of boxes whose common boxes overlap: groups
+    are closed by joins over the cells of a grid, and each is one call, that finds neighbours by cells as well.
+    """
+    if least <= 0:
+        raise ValueError("boxes that do not overlap would merge")
+    grouped = overlap_groups(regions.select("asset_id", "ord", "x", "y", "w", "h"))
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("ord")
+        boxes = list(zip(rows["ord"], rows["x"], rows["y"], rows["x"] + rows["w"], rows["y"] + rows["h"], strict=True))
+        made = [(rows["asset_id"].iloc[0], o, x1, y1, x2 - x1, y2 - y1) for o, x1, y1, x2, y2 in _grow([tuple(map(int, b)) for b in boxes], least)]
+        return pd.DataFrame(made, columns=["asset_id", "first", "x", "y", "w", "h"])
+
+    single = F.count("*").over(W.partitionBy("asset_id", "grp")) == 1
+    marked = grouped.withColumn("single", single)
+    alone = marked.where("single").select("asset_id", F.col("ord").cast("long").alias("first"), "x", "y", "w", "h")
+    made = marked.where("not single").groupBy("asset_id", "grp").applyInPandas(grow, "asset_id long, first long, x int, y int, w int, h int")
+    number = F.row_number().over(W.partitionBy("asset_id").orderBy("first"))
+    return alone.union(made).select("asset_id", number.alias("ord"), "x", "y", "w", "h")
 
 
 def choose_regions(detections: DataFrame, proposals: DataFrame, least: int = LEAST_SEMANTIC) -> DataFrame:
@@ -114,11 +188,9 @@ def ocr_region_plan(regions: DataFrame, canvas: DataFrame, most: int = MAX_READ)
 
 
 def region_words_union(words: DataFrame, plan: DataFrame) -> DataFrame:
-    """Words with the ``region_id`` of every planned region that holds their centre; asset is the equi-key."""
-    w, r = words.alias("w"), plan.alias("r")
-    box, area = Box.of("w"), Box.of("r")
-    met = w.join(r, (F.col("w.asset_id") == F.col("r.asset_id")) & area.holds(box.cx, box.cy))
-    return met.select("w.*", "r.region_id")
+    """Words with the ``region_id`` of every planned region that holds their centre, by asset and cell."""
+    box = Box.of()
+    return holding(words, plan, box.cx, box.cy, {"region_id": "region_id"})
 
 
 def hybrid_layout(region_words: DataFrame, what=build_layout) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Joins of words, blocks and detected regions inside a piece; the asset is always an equi-key."""
+"""Joins of words, blocks and detected regions inside a piece, by asset and cell of a grid."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box
+from .spatial import holding
 
 #: Region classes whose words count, and those whose words do not.
 KEEP = ("campaign_area", "date_area", "info_card_area", "price_main_area", "price_secondary_area", "sku_area", "promo_badge_area", "logo_area")
@@ -28,10 +29,11 @@ def _held_by(words: DataFrame, areas: DataFrame, how: str) -> DataFrame:
 
 def mask_words(words: DataFrame, detections: DataFrame) -> DataFrame:
     """Words but for those whose centre lies in an excluded area and in no area to keep; words without a box go."""
-    areas = areas_from_detections(detections)
     whole = words.where("x is not null and y is not null and w is not null and h is not null")
-    excluded = _held_by(whole, areas.where("role = 'exclude'"), "left_semi")
-    lost = _held_by(excluded, areas.where("role = 'keep'"), "left_anti").select("asset_id", "word_index")
+    box = Box.of()
+    met = holding(whole.select("asset_id", "word_index", "x", "y", "w", "h"), areas_from_detections(detections), box.cx, box.cy, {"role": "role"})
+    # exclude before keep by name: a word that is in both stays
+    lost = met.groupBy("asset_id", "word_index").agg(F.max("role").alias("role")).where("role = 'exclude'")
     return whole.join(lost, ["asset_id", "word_index"], "left_anti")
 
 
@@ -43,10 +45,11 @@ def incidental_words(words: DataFrame, detections: DataFrame, most: int = MAX_IN
 
 def block_region_class(blocks: DataFrame, detections: DataFrame) -> DataFrame:
     """``asset_id, block_order, region_class``: the class of the smallest detection that holds the block's centre, else null."""
-    b, d = blocks.alias("b"), detections.alias("d")
-    box, area = Box.of("b"), Box.of("d")
-    met = b.join(d, (F.col("b.asset_id") == F.col("d.asset_id")) & area.holds(box.cx, box.cy), "left")
-    return met.groupBy("b.asset_id", "b.block_order").agg(F.min_by("d.class_name", F.struct(area.area, F.col("d.ord"))).alias("region_class"))
+    box = Box.of()
+    areas = detections.withColumn("area", box.area)
+    met = holding(blocks.select("asset_id", "block_order", "x", "y", "w", "h"), areas, box.cx, box.cy, {"class_name": "class_name", "area": "area", "ord": "ord"})
+    least = met.groupBy("asset_id", "block_order").agg(F.min_by("class_name", F.struct("area", "ord")).alias("region_class"))
+    return blocks.select("asset_id", "block_order").distinct().join(least, ["asset_id", "block_order"], "left")
 
 
 def rank_regions(regions: DataFrame, most: int = 10) -> DataFrame:

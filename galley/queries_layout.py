@@ -10,7 +10,7 @@ from .operators import assets, batch, colors, correction, dictionary, fields, gr
 from .plans import compliance
 from .queries import KIND, ORACLE_SQL, query
 from .sources import ingest
-from .sources.fixtures import fixture
+from .sources.fixtures import duck, fixture
 
 CANVAS = "(SELECT 1000 AS width, 600 AS height)"
 
@@ -171,7 +171,24 @@ def filter_panel_rects(spark, d):
     return proposals.filter_panel_rects(_detections(spark, d).withColumns({"width": F.lit(400), "height": F.lit(400)})).select("event_id")
 
 
-@query()
+# One round of the recursion is one pass of the growing box over those left; a pass is a fold over rows of its own type.
+SHARED = "(greatest(0, least(a.x2, e.x2) - greatest(a.x1, e.x1)) * greatest(0, least(a.y2, e.y2) - greatest(a.y1, e.y1)))"
+AREA = "(({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1))"
+GROWN = f"""WITH RECURSIVE seed AS (SELECT asset_id, list({{'x1': x, 'y1': y, 'x2': x + w, 'y2': y + h, 'left_over': CAST([] AS STRUCT(x1 INT, y1 INT, x2 INT, y2 INT)[]), 'grown': false}} ORDER BY ord) AS boxes FROM (FX) GROUP BY 1),
+state(asset_id, ord, box, boxes, made) AS (
+  SELECT asset_id, 1, boxes[1], boxes[2:], NULL::STRUCT(x1 INT, y1 INT, x2 INT, y2 INT) FROM seed
+  UNION ALL
+  SELECT asset_id, CASE WHEN p.grown THEN ord ELSE ord + 1 END, CASE WHEN p.grown THEN {{'x1': p.x1, 'y1': p.y1, 'x2': p.x2, 'y2': p.y2, 'left_over': CAST([] AS STRUCT(x1 INT, y1 INT, x2 INT, y2 INT)[]), 'grown': false}} ELSE rest[1] END,
+    CASE WHEN p.grown THEN rest ELSE rest[2:] END, CASE WHEN NOT p.grown THEN {{'x1': p.x1, 'y1': p.y1, 'x2': p.x2, 'y2': p.y2}} END
+  FROM (SELECT *, [{{'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2, 'left_over': CAST([] AS STRUCT(x1 INT, y1 INT, x2 INT, y2 INT)[]), 'grown': false}} for b in p.left_over] AS rest FROM (
+    SELECT asset_id, ord, list_reduce(list_prepend(box, boxes), lambda a, e: CASE WHEN {SHARED} / CAST({AREA.format('a')} + {AREA.format('e')} - {SHARED} AS DOUBLE) >= 0.3
+      THEN {{'x1': least(a.x1, e.x1), 'y1': least(a.y1, e.y1), 'x2': greatest(a.x2, e.x2), 'y2': greatest(a.y2, e.y2), 'left_over': a.left_over, 'grown': true}}
+      ELSE {{'x1': a.x1, 'y1': a.y1, 'x2': a.x2, 'y2': a.y2, 'left_over': list_append(a.left_over, {{'x1': e.x1, 'y1': e.y1, 'x2': e.x2, 'y2': e.y2}}), 'grown': a.grown}} END) AS p
+    FROM state WHERE box IS NOT NULL)))
+SELECT asset_id, CAST(ord - 1 AS INT) AS ord, made.x1 AS x, made.y1 AS y, made.x2 - made.x1 AS w, made.y2 - made.y1 AS h FROM state WHERE made IS NOT NULL"""
+
+
+@query(GROWN.replace("(FX)", f"({duck('fx_detections')} SELECT * FROM fx_detections)"))
 def merge_overlapping_regions(spark, d):
     return proposals.merge_overlapping_regions(_detections(spark, d), 0.3)
 
