@@ -50,22 +50,23 @@ FIXPOINT = STEPS + "SELECT piece, pos, id FROM state QUALIFY step = max(step) OV
 #: The same, but a round contracts every occurrence of the piece's least rank; where occurrences overlap (``aaa``),
 #: every second one from the left.  In a regular vocabulary a pair that a merge makes ranks after that merge, so the
 #: leftmost least pair stays one of these occurrences until all are contracted, and the result is the same.
+#: The state is keyed by place, so only the last round's tokens are held; a token that is merged into the one before it
+#: stays as a row without id.
 FIXPOINT_LONG = """
-WITH RECURSIVE state(step, piece, pos, id) AS (
-    SELECT 0, piece, pos, id FROM start
-  UNION ALL
-    SELECT step + 1, piece, pos, coalesce(merged, id) FROM (
+WITH RECURSIVE state(piece, pos, id) USING KEY (piece, pos) AS (
+    SELECT piece, pos, id FROM start
+  UNION
+    SELECT piece, pos, CASE WHEN before IS NULL THEN coalesce(merged, id) END FROM (
       SELECT *, lag(merged) OVER (PARTITION BY piece ORDER BY pos) AS before FROM (
         SELECT *, CASE WHEN hit AND (place - min(place) OVER (PARTITION BY piece, hit, island)) % 2 = 0 THEN made END AS merged FROM (
           SELECT *, place - row_number() OVER (PARTITION BY piece, hit ORDER BY place) AS island FROM (
             SELECT *, made IS NOT NULL AND made = best AS hit FROM (
               SELECT s.*, m.made, min(m.made) OVER (PARTITION BY s.piece) AS best
-              FROM (SELECT *, row_number() OVER w AS place, lead(id) OVER w AS next FROM state WINDOW w AS (PARTITION BY piece ORDER BY pos)) s
+              FROM (SELECT *, row_number() OVER w AS place, lead(id) OVER w AS next FROM recurring.state WHERE id IS NOT NULL WINDOW w AS (PARTITION BY piece ORDER BY pos)) s
               LEFT JOIN merges m ON m.l = s.id AND m.r = s.next)
-            WHERE best IS NOT NULL))))
-    WHERE before IS NULL
+            WHERE best IS NOT NULL)))) WHERE merged IS NOT NULL OR before IS NOT NULL
 )
-SELECT piece, pos, id FROM state QUALIFY step = max(step) OVER (PARTITION BY piece)
+SELECT piece, pos, id FROM state WHERE id IS NOT NULL
 """
 
 #: Ordered aggregation: a piece's ids, and the bytes that the vocabulary has for them.

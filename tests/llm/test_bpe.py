@@ -1,4 +1,5 @@
 import base64
+import random
 
 import numpy as np
 import public_tokenizers as P
@@ -62,3 +63,15 @@ def test_null_keys_and_repeated_rows(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, None)], "doc_id long, text string")
     rows = bpe.encode_decode(docs, PATH, P.PATTERN).collect()
     assert [(r.doc_id, bytes(r.decoded)) for r in sorted(rows, key=lambda r: r.doc_id or 0)] == [(None, b"a b"), (None, b"a b"), (3, b"")]
+
+
+def test_long_pieces_stay_in_memory_and_have_the_library_s_ids():
+
+
+    ranks = [(base64.b64decode(line.split()[0]), int(line.split()[1])) for line in open(P.path("byte_bpe_50k.tiktoken"), "rb") if line.strip()]
+    library = tiktoken.Encoding("long", pat_str=P.PATTERN, mergeable_ranks=dict(ranks), special_tokens={})
+    coder = bpe.Coder(ranks, P.PATTERN)
+    rng = random.Random(3)
+    for text in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), "ab" * 200_000, "-" * 300_000):
+        ids, decoded = coder.round_trip([text])[0]
+        assert decoded == text.encode() and np.frombuffer(ids, np.int32).tolist() == library.encode(text)
