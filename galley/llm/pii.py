@@ -25,7 +25,8 @@ PATTERNS = {
 #: Cheap tests that a text with a match must pass.
 HINTS = {"email": "@", "phone": "+", "ip": ".", "card": ""}
 #: What may be an identifier that no strict pattern covers: digits with separators, or a masked address.
-LOOSE = r"(?<![A-Za-z0-9@+])(?:[0-9](?:[\x20().-]{0,2}[0-9]){6,18}|[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]++)++)(?![A-Za-z0-9@])"
+#: An address starts where its run of characters does, else every character of a long run would be a start.
+LOOSE = r"(?:(?<![A-Za-z0-9@+])[0-9](?:[\x20().-]{0,2}[0-9]){6,18}|(?:(?<![A-Za-z0-9._%+@-])|\G)[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]++)++)(?![A-Za-z0-9@])"
 #: Characters of context kept on either side of an instance; known instances that a pattern needs; confidence it needs; rounds.
 CONTEXT, SUPPORT, CONFIDENCE, ROUNDS = 60, 4, 0.8, 3
 

@@ -1,7 +1,9 @@
 import re
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from galley.llm import pii
 
@@ -80,3 +82,13 @@ def test_null_ids_repeated_rows_and_clashing_names(spark):
 
 def test_empty_table(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_runs_are_read_once(spark):
+    n = 300_000
+    runs = ["-" * n, "." * n, "_" * n, "%" * n, " " * n, "a" * n, "a." * n, "-a" * n, "@" * n]
+    docs = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string").repartition(len(runs))
+    began = time.perf_counter()
+    for pattern in [*pii.PATTERNS.values(), pii.LOOSE]:
+        docs.select(F.size(pii.occurrences(F.col("text"), pattern))).write.format("noop").mode("overwrite").save()
+    assert time.perf_counter() - began < 120
