@@ -41,12 +41,12 @@ def group_copies(docs: DataFrame, keep: str = "least", digest: Callable[[Column]
         texts = texts.join(F.broadcast(shared), "hash", "left_semi")
     classes = texts.groupBy("hash", "text").agg(F.count("*").alias("n"), chosen("doc_id").alias("keep"))
     classes = stored(classes.where("n > 1").select("hash", F.unhex(F.sha2("text", 256)).alias("sha256"), "n", "keep"))
-    grouped = keyed.join(classes, ["hash", "sha256"], "left").select(*keyed.columns, F.coalesce("n", F.lit(1)).alias("group_size"), F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"))
-    # rows that repeat the kept one: all but the first go
-    again = grouped.where("group_size > 1 and doc_id <=> keep_id").groupBy("hash", "sha256").agg(F.count("*").alias("times"), F.min("row").alias("first")).where("times > 1").select("hash", "sha256", "first")
-    told = grouped.join(again, ["hash", "sha256"], "left")
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("first").isNull() | (F.col("row") == F.col("first")))
-    return told.select("doc_id", "hash", "sha256", "keep_id", "group_size", kept.alias("kept"))
+    # rows repeated with id and text: all but the first go; counted by id as well, so that a large group is no single key
+    again = keyed.groupBy("doc_id", "hash", "sha256").agg(F.count("*").alias("times"), F.min("row").alias("first")).where("times > 1").select(F.col("doc_id").alias("id"), F.col("hash").alias("h"), F.col("sha256").alias("s"), "first")
+    told = keyed.join(again, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")) & (F.col("sha256") == F.col("s")), "left")
+    keep_id = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
+    kept = F.col("doc_id").eqNullSafe(keep_id) & (F.col("first").isNull() | (F.col("row") == F.col("first")))
+    return told.join(classes, ["hash", "sha256"], "left").select("doc_id", "hash", "sha256", keep_id.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), kept.alias("kept"))
 
 
 def deduplicate(docs: DataFrame, keep: str = "least", **how) -> DataFrame:
