@@ -26,11 +26,10 @@ from .shared import connected_components, cut, stored
 #: Words of a shingle and least similarity, in hundredths.
 WORDS, PERCENT = 5, 80
 #: Coordinates of an embedding; coordinates that a node samples on average; levels; sets that brute force takes.
-COORDINATES, SAMPLED, LEVELS, BRUTE = 64, 2.0, 3, 64
+COORDINATES, SAMPLED, LEVELS, BRUTE = 64, 2.0, 3, 512
 TARGET_RECALL = 0.999
-#: Leaders that a large bucket gets, one after another, each from the sets that no leader before is similar to; sets of
-#: a bucket, about so many, that show whether a further leader belongs to an earlier one's.
-LEADERS, WITNESSES = 4, 32
+#: Turns in which the sets of large buckets meet leaders.
+LEADERS = 2
 #: Rows of a block where large groups are compared in blocks.
 BLOCK = 512
 #: Rows of a block of a large bucket that a block of probes is compared with.
@@ -270,8 +269,56 @@ def _probe_blocks(mixed: DataFrame) -> DataFrame:
     return mixed.select("path", "node", "component", F.explode(both).alias("p")).select("path", "p.*", "node", "component")
 
 
+def _placed(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """``members(path, node)`` with the ``component`` of each set; a set that nothing links is its own."""
+    return members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _majors(placed: DataFrame, *more: Column) -> DataFrame:
+    """``path, major, n, k`` of the buckets with more than one component: the largest one's name, all sets and its sets;
+    ``more`` are aggregates of that component."""
+    names = [f"more{i}" for i in range(len(more))]
+    shares = placed.groupBy("path", "component").agg(F.count("*").alias("k"), *[m.alias(x) for m, x in zip(more, names, strict=True)])
+    largest = F.max_by(F.struct(F.col("component").alias("major"), *names), F.struct("k", "component")).alias("largest")
+    return shares.groupBy("path").agg(largest, F.sum("k").alias("n"), F.max("k").alias("k")).where("k < n").select("path", "largest.*", "n", "k")
+
+
+def _led(large: DataFrame, sets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``links`` with those of the sets of large buckets ``large(path, node)`` to leaders, and the components of all.
+
+    A set is compared with one leader, not with one of each of its buckets: first with the leader of its most central
+    bucket (a set that is in many buckets agrees with most of its group, so it leads), then, as long as it is outside
+    the largest component of a bucket, with a member of that component and with a leader of those outside.
+    """
+    other = sets.select(F.col("node").alias("leader"), F.col("embedding").alias("e"))
+    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.substring("embedding", i * 4 + 1, F.lit(4)) == F.substring("e", i * 4 + 1, F.lit(4))))
+    ranked = stored(large.join(large.groupBy("node").agg(F.count("*").alias("rank")), "node"))
+    left, groups = ranked, None
+    for turn in range(LEADERS):
+        if turn:
+            # other members of the largest component in each turn
+            placed = stored(_placed(ranked, groups))
+            majors = stored(_majors(placed, F.max_by(F.struct("rank", "node"), F.xxhash64("node", F.lit(turn)))))
+            left = stored(placed.join(majors.withColumnRenamed("more0", "member"), "path").where("component <> major").select("path", "node", "rank", "member"))
+            if left.isEmpty():
+                break
+        leaders = left.groupBy("path").agg(F.max(F.struct("rank", "node")).alias("at"))
+        wanted = left.join(leaders, "path").where("node <> at.node").groupBy("node").agg(F.max("at").alias("at"))
+        if turn:
+            wanted = wanted.union(left.groupBy("node").agg(F.max("member").alias("at")))
+        pairs = wanted.select("node", F.col("at.node").alias("leader")).distinct()
+        near = pairs.join(sets, "node").join(other, "leader").where(same >= AGREE * COORDINATES)
+        links = stored(links.union(near.select(F.col("node").alias("src"), F.col("leader").alias("dst"))).distinct())
+        groups = connected_components(links)
+    return links, groups
+
+
 def candidate_links(sets: DataFrame, runs: int) -> DataFrame:
-    """``sets(node, embedding)`` -> links ``(src, dst)`` that join all candidates of a group."""
+    """``sets(node, embedding)`` -> links ``(src, dst)`` that join all candidates of a group.
+
+    Buckets that similarity keeps large stay so however deep: at the last level their sets are linked to leaders first,
+    and what that leaves unlinked is compared in blocks.
+    """
     roots = F.array(*[F.lit(r).cast("long") for r in range(1, runs + 1)])
     frontier = sets.select("node", F.explode(F.flatten(F.transform(roots, lambda r: _children(r, F.col("embedding"))))).alias("path"))
     leaves, large = None, None
@@ -279,47 +326,19 @@ def candidate_links(sets: DataFrame, runs: int) -> DataFrame:
         frontier = cut(frontier)  # a set reaches a path once: its parent and the sampled coordinate are part of it
         counts = frontier.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         met = frontier.join(counts, "path")
-        small, large = met.where(F.col("n") <= BRUTE).select("path", "node"), met.where(F.col("n") > BRUTE)
+        small, large = met.where(F.col("n") <= BRUTE).select("path", "node"), met.where(F.col("n") > BRUTE).select("path", "node")
         leaves = small if leaves is None else leaves.union(small)
         if level < LEVELS - 1:
             frontier = large.join(sets, "node").select("node", F.explode(_children(F.col("path"), F.col("embedding"))).alias("path"))
     near = "src long, dst long"
-    links = leaves.join(sets, "node").select("path", "node", "embedding").repartition("path").sortWithinPartitions("path").mapInArrow(_brute_force, near).distinct()
+    links = stored(leaves.join(sets, "node").select("path", "node", "embedding").repartition("path").sortWithinPartitions("path").mapInArrow(_brute_force, near).distinct())
     large = cut(large)
     if large.isEmpty():
-        return cut(links)
-    # similar sets stay together however deep: all of a bucket is compared with a leader, then what is left and a few
-    # witnesses with one of those left, and so on; the buckets that still hold unlinked sets are compared in blocks
-    other = sets.select(F.col("node").alias("leader"), F.col("embedding").alias("e"))
-    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.substring("embedding", i * 4 + 1, F.lit(4)) == F.substring("e", i * 4 + 1, F.lit(4))))
-    left, homes = large.select("path", "node"), None
-    witnesses = large.where(F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.floor(F.col("n") / WITNESSES))) == 0).select("path", "node")
-    # a set that is in many large buckets agrees with most of its group: it leads first, and leaves the least to others
-    central = large.join(large.groupBy("node").agg(F.count("*").alias("k")), "node").groupBy("path").agg(F.max_by("node", F.struct("k", -F.col("node"))).alias("leader"))
-    for turn in range(LEADERS):
-        first = left.groupBy("path").agg(F.min("node").alias("leader")) if turn else central
-        met = left.union(witnesses) if turn else left
-        # many buckets of one group have the same leader: a pair is compared once
-        pairs = met.join(first, "path").where("node <> leader").select("node", "leader").distinct()
-        led = stored(pairs.join(sets, "node").join(other, "leader").where(same >= AGREE * COORDINATES).select("node", "leader"))
-        # a set is linked to the first leader it is similar to, its home, and homes to further leaders: no star is sent twice
-        fresh = led.groupBy("node").agg(F.min("leader").alias("home"))
-        fresh = stored(fresh if homes is None else fresh.join(homes.select("node"), "node", "left_anti"))
-        homes = fresh if homes is None else homes.union(fresh)
-        joined = led.join(homes, "node").where("home <> leader").select(F.col("home").alias("src"), F.col("leader").alias("dst")).distinct()
-        links = links.union(fresh.select(F.col("node").alias("src"), F.col("home").alias("dst"))).union(joined)
-        near_leader = left.join(first, "path").join(led, ["node", "leader"], "left_semi")
-        gone = near_leader.select("path", "node").union(first.select("path", F.col("leader").alias("node")))
-        left = stored(left.join(gone, ["path", "node"], "left_anti"))
-        if left.isEmpty():
-            break
-    links = stored(links.distinct())
-    groups = connected_components(links)
-    placed = large.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    shares = placed.groupBy("path", "component").agg(F.count("*").alias("k"))
-    majors = shares.groupBy("path").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.sum("k").alias("n"), F.max("k").alias("k")).where("k < n")
+        return links
+    links, groups = _led(large, sets, links)
+    placed = stored(_placed(large, groups))
     # the sets outside a bucket's largest component probe all of it; pairs inside that component are linked already
-    mixed = placed.drop("n").join(majors, "path").select("path", "node", "component", (F.col("component") != F.col("major")).alias("other"), "n", "k")
+    mixed = placed.join(_majors(placed), "path").select("path", "node", "component", (F.col("component") != F.col("major")).alias("other"), "n", "k")
     probes = _probe_blocks(mixed).join(sets, "node").select("path", "x", "y", "probe", "node", "component", "embedding")
     rest = probes.repartition("path", "x", "y").sortWithinPartitions("path", "x", "y").mapInArrow(_probe, near)
     return cut(links.union(rest))
