@@ -5,14 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder of ``spark.checkpoint.dir``, which all executors share: a plan never holds more than
-    one round, and a lost executor costs no recomputation of earlier ones.  Only a session on one machine that names no
-    such folder gets one of its own."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``, which all executors share.  Only a session on one machine that
+    names no such folder gets one of its own."""
     folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -20,6 +18,13 @@ def written(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/round-{uuid.uuid4()}"
+    return f"{folder}/{name}-{uuid.uuid4()}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: a plan never holds more than one round, and a lost executor costs no
+    recomputation of earlier ones."""
+    spark = df.sparkSession
+    path = shared_path(spark, "round")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ from .functions import repair as R
 from .functions import text as T
 from .functions.geometry import Box, iou, overlap_ratio
 from .operators import assets, batch, catalog, colors, fields, grouping, layout, regions
+from .operators.lineage import shared_path
 from .operators.spatial import overlapping
 from .plans import compliance
 from .sources import ingest
@@ -544,13 +545,26 @@ def build_layout(spark, d):
     return grouping.build_layout(fixture(spark, d, "fx_words")).withColumn("words", F.array_join(F.col("words").cast("array<string>"), ","))
 
 
+def _streamed(items, what, keys):
+    """``what`` over a file stream of all ``items`` that ends and is taken up again: half of them are there at the first
+    start, the others come before the second."""
+    folder = shared_path(items.sparkSession, "stream")
+    half = F.pmod(F.xxhash64("item_id"), F.lit(2))
+    for part in (0, 1):
+        items.where(half == part).write.mode("append").parquet(f"{folder}/items")
+        stream = what(items.sparkSession.readStream.schema(items.schema).option("maxFilesPerTrigger", 64).parquet(f"{folder}/items"))
+        status.start_updates(stream, folder).awaitTermination()
+    return status.current_rows(stream, folder, keys)
+
+
 @query(
     FOUND.replace("SELECT unnest(", "SELECT date_trunc('hour', ts) AS hour, unnest(").replace("SELECT key, count(*) AS n FROM f WHERE key IS NOT NULL GROUP BY key", "SELECT hour, key, count(*) AS n FROM f WHERE key IS NOT NULL GROUP BY hour, key")
     + " SELECT CAST(epoch(hour) AS BIGINT) AS hour, key, n FROM counted",
     "fx_items",
 )
 def stream_findings(spark, d):
-    return status.findings_per_hour(fixture(spark, d, "fx_items"), None).select(F.unix_timestamp("hour").alias("hour"), "key", "n")
+    hours = _streamed(fixture(spark, d, "fx_items"), lambda items: status.findings_per_hour(items, "10000 days"), ["hour", "key", "severity"])
+    return hours.select(F.unix_timestamp("hour").alias("hour"), "key", "n")
 
 
 @query(
@@ -559,7 +573,7 @@ def stream_findings(spark, d):
     "fx_items",
 )
 def stream_batch_status(spark, d):
-    return status.status_summary(status.latest_states(fixture(spark, d, "fx_items")))
+    return status.status_summary(_streamed(fixture(spark, d, "fx_items"), status.latest_states, ["batch_id", "item_id"]))
 
 
 @query()

@@ -39,17 +39,18 @@ def pdf_page_meta(spark, d):
 
 
 @query(
-    """, p AS (SELECT asset_id, page_index, trim(CASE WHEN (asset_id + page_index) % 3 = 0 THEN embedded_text[:30] ELSE embedded_text END) AS a, 0.4::DOUBLE + (asset_id % 5) / 10.0 AS x, trim(coalesce(CASE WHEN asset_id % 2 = 0 THEN ocr_text[:20] ELSE ocr_text END, '')) AS b, ocr_avg::DOUBLE AS y FROM fx_pages),
+    """, p AS (SELECT asset_id, page_index, trim(CASE WHEN (asset_id + page_index) % 3 = 0 THEN 'Pagina ' || page_index || ' de la pieza ' || asset_id ELSE embedded_text END) AS a, 0.4::DOUBLE + (asset_id % 5) / 10.0 AS x, trim(CASE WHEN ocr_text IS NULL THEN '' WHEN asset_id % 4 = 2 THEN 'PIEZA ' || asset_id WHEN asset_id % 4 = 0 THEN 'oferta ' || page_index ELSE ocr_text END) AS b, ocr_avg::DOUBLE AS y FROM fx_pages),
     c AS (SELECT *, CASE WHEN b = '' THEN 'embedded' WHEN a = '' THEN 'ocr' WHEN length(a) < 40 THEN CASE WHEN length(b) > length(a) OR y >= x THEN 'ocr' ELSE 'merged' END WHEN x >= y THEN 'embedded' ELSE 'ocr' END AS choice,
       lower(trim(regexp_replace(a, '\\s+', ' ', 'g'))) AS na, lower(trim(regexp_replace(b, '\\s+', ' ', 'g'))) AS nb FROM p)
     SELECT asset_id, page_index, choice, CASE choice WHEN 'embedded' THEN a WHEN 'ocr' THEN b ELSE CASE WHEN na = nb THEN CASE WHEN length(a) >= length(b) THEN a ELSE b END WHEN contains(nb, na) THEN b WHEN contains(na, nb) THEN a ELSE a || chr(10) || b END END AS text FROM c""",
     "fx_pages",
 )
 def select_page_payload(spark, d):
+    # whole texts; some pages hold only a label of their own, as short pages do
     p = fixture(spark, d, "fx_pages")
     a, i = F.col("asset_id"), F.col("page_index")
-    embedded = p.select("asset_id", "page_index", F.when((a + i) % 3 == 0, F.left("embedded_text", F.lit(30))).otherwise(F.col("embedded_text")).alias("text"), (0.4 + (a % 5) / 10.0).alias("score"))
-    recognised = p.where("ocr_text is not null").select("asset_id", "page_index", F.when(a % 2 == 0, F.left("ocr_text", F.lit(20))).otherwise(F.col("ocr_text")).alias("text"), F.col("ocr_avg").cast("double").alias("score"))
+    embedded = p.select("asset_id", "page_index", F.when((a + i) % 3 == 0, F.format_string("Pagina %s de la pieza %s", i, a)).otherwise(F.col("embedded_text")).alias("text"), (0.4 + (a % 5) / 10.0).alias("score"))
+    recognised = p.where("ocr_text is not null").select("asset_id", "page_index", F.when(a % 4 == 2, F.format_string("PIEZA %s", a)).when(a % 4 == 0, F.format_string("oferta %s", i)).otherwise(F.col("ocr_text")).alias("text"), F.col("ocr_avg").cast("double").alias("score"))
     return pages.select_page_payload(embedded, recognised)
 
 

@@ -22,21 +22,28 @@ HEADERS = {
 }
 
 
+# First bytes, extensions and content types of what is taken.
+PDF_MAGIC, IMAGE_MAGIC = b"%PDF-", (b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff")
+IMAGE_EXTENSIONS, IMAGE_TYPES, PDF_TYPE = ("jpg", "jpeg", "png"), ("image/jpeg", "image/png"), "application/pdf"
+
+
 def scan_assets(spark: SparkSession, path: str) -> DataFrame:
-    """Files under ``path``: ``path, filename, file_size_kb, content``; empty files are left out."""
+    """Files under ``path``: ``path, filename, file_size_kb, content``; empty files are left out (``scan_uploads`` names them)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.where("length > 0").select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.round(F.col("length") / 1024.0, 2).alias("file_size_kb"), "content")
 
 
-def file_type(content: Column, filename: Column) -> Column:
-    """pdf or image by the first bytes, else by the extension, else null."""
+def file_type(content: Column, filename: Column, content_type: Column | None = None) -> Column:
+    """pdf or image, else null: a PDF's first bytes, then an image's, then an image by extension or declared type, then a
+    PDF by these.  Images of other formats count only if they are declared as one that is taken."""
     starts = lambda *magic: _any([F.substring(content, 1, len(m)) == F.lit(bytearray(m)) for m in magic])
     extension = F.lower(F.regexp_extract(filename, r"\.([A-Za-z0-9]+)$", 1))
+    declared = F.lower(F.coalesce(content_type, F.lit(""))) if content_type is not None else F.lit("")
     return (
-        F.when(starts(b"%PDF"), "pdf")
-        .when(starts(b"\x89PNG", b"\xff\xd8\xff", b"GIF8", b"BM"), "image")
-        .when(extension.isin("jpg", "jpeg", "png"), "image")
-        .when(extension == "pdf", "pdf")
+        F.when(starts(PDF_MAGIC), "pdf")
+        .when(starts(*IMAGE_MAGIC), "image")
+        .when(extension.isin(*IMAGE_EXTENSIONS) | declared.isin(*IMAGE_TYPES), "image")
+        .when((extension == "pdf") | (declared == PDF_TYPE), "pdf")
     )
 
 
@@ -115,14 +122,20 @@ def map_headers(grid: DataFrame, limit: int = 10, max_rows: int = 5000) -> DataF
 def scan_uploads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Files under ``path`` in two tables: accepted ones with ``type`` (pdf or image), and rejected ones with ``reason``.
 
-    Spark's file readers leave empty files out of both.
+    Spark's readers make no row of an empty file; those are the listed files that have none.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     kind = file_type(F.col("content"), name)
     reason = F.when(kind.isNull(), "unsupported file type")
     rows = files.select("path", name.alias("filename"), F.round(F.col("length") / 1024.0, 2).alias("file_size_kb"), "content", kind.alias("type"), reason.alias("reason"))
-    return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select("path", "filename", "file_size_kb", "reason")
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "uri string")
+    # the list is of escaped addresses, the rows have plain paths; both write the slashes of a scheme in their own way
+    plain = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
+    key = lambda c: F.regexp_replace(c, "^([A-Za-z0-9+.-]+):/+", "$1:/").alias("key")
+    empty = listed.select(plain.alias("path"), key(plain)).join(files.select(key(F.col("path"))), "key", "left_anti")
+    rejected = empty.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit(0.0).alias("file_size_kb"), F.lit("empty file").alias("reason"))
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select(rejected.columns).union(rejected)
 
 
 def scan_images(spark: SparkSession, path: str) -> DataFrame:
@@ -131,9 +144,33 @@ def scan_images(spark: SparkSession, path: str) -> DataFrame:
     return images.select(F.col("image.origin").alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data")
 
 
+def _number(content: Column, at: Column, size: int) -> Column:
+    """The unsigned big-endian number of ``size`` bytes from byte ``at`` (from 0) on; null past the end."""
+    raw = F.substring(content, at + 1, F.lit(size))
+    return F.when(F.octet_length(raw) == size, F.conv(F.hex(raw), 16, 10).cast("long"))
+
+
+def _walk(content: Column, start: int, least: int, found, ends, length) -> Column:
+    """Whether ``found`` holds at some part of a file: parts begin at ``start``, each ``length(at)`` (at least ``least``)
+    bytes long, until ``ends`` or the end of the file.  The state is the next part's place, -1 once found, null at the end."""
+    step = lambda at, _: F.when(at.isNull() | (at < 0), at).when(found(at), F.lit(-1).cast("long")).when(ends(at), F.lit(None).cast("long")).otherwise(at + length(at))
+    parts = F.sequence(F.lit(0), F.floor(F.octet_length(content) / least).cast("int"))
+    return F.coalesce(F.aggregate(parts, F.lit(start).cast("long"), step) == -1, F.lit(False))
+
+
 def icc_present(content: Column) -> Column:
-    """``Embedded`` if an image's bytes hold a colour profile (PNG or JPEG marker), else null."""
-    return F.when(F.contains(content, F.lit(bytearray(b"iCCP"))) | F.contains(content, F.lit(bytearray(b"ICC_PROFILE"))), "Embedded")
+    """``Embedded`` if an image carries a colour profile, else null: a PNG's ``iCCP`` chunk ahead of its pixels, or an
+    ``ICC_PROFILE`` application segment of a JPEG ahead of its scan.  The same letters in a comment or in pixels are none."""
+    part = lambda at, size: F.substring(content, at + 1, F.lit(size))
+    is_ = lambda at, raw: part(at, len(raw)) == F.lit(bytearray(raw))
+    png = _walk(content, 8, 12, lambda at: is_(at + 4, b"iCCP"), lambda at: is_(at + 4, b"IDAT") | is_(at + 4, b"IEND"), lambda at: _number(content, at, 4) + 12)
+    profile = lambda at: is_(at, b"\xff\xe2") & is_(at + 4, b"ICC_PROFILE\x00")
+    # a marker may be led by fill bytes, which are one byte long each
+    jpeg = _walk(content, 2, 1, profile, lambda at: is_(at, b"\xff\xda") | is_(at, b"\xff\xd9") | ~is_(at, b"\xff"), lambda at: F.when(is_(at + 1, b"\xff"), F.lit(1).cast("long")).otherwise(_number(content, at + 2, 2) + 2))
+    holds = lambda raw: F.contains(content, F.lit(bytearray(raw)))
+    starts = lambda raw: F.substring(content, 1, len(raw)) == F.lit(bytearray(raw))
+    # the letters are looked for first: only files that hold them somewhere are walked
+    return F.when(starts(IMAGE_MAGIC[0]) & holds(b"iCCP"), F.when(png, "Embedded")).when(starts(IMAGE_MAGIC[1]) & holds(b"ICC_PROFILE"), F.when(jpeg, "Embedded"))
 
 
 REQUIREMENTS = "min_width_px int, min_height_px int, allowed_formats array<string>, max_file_size_mb double, min_pages int, max_pages int, required_text string"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.batch import item_findings
 
@@ -45,3 +46,30 @@ def findings_per_hour(items: DataFrame, lateness: str | None = LATENESS) -> Data
     found = item_findings(timed)
     out = found.groupBy(F.window("ts", "1 hour").alias("w"), F.col("finding.key").alias("key"), F.col("finding.severity").alias("severity")).agg(F.count("*").alias("n"))
     return out.select(F.col("w.start").alias("hour"), "key", "severity", "n")
+
+
+def start_updates(stream: DataFrame, folder: str, available_now: bool = True) -> StreamingQuery:
+    """Start a stream that keeps state, in update mode: the changed rows of each micro-batch go to ``folder``/updates.
+
+    A micro-batch has a folder of its own, written whole or again: one that ran before the query was stopped, and runs
+    once more after it, leaves the same rows.  ``folder``/checkpoint holds offsets and state, so that a later start goes
+    on where this one ended.  Both must be where driver and executors see them.
+    """
+
+    def put(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/updates/micro_batch={batch}")
+
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(put)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def current_rows(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """The rows of a stream started by ``start_updates`` as they are now: of each key those of its last micro-batch."""
+    changed = stream.sparkSession.read.schema(f"{_ddl(stream)}, micro_batch long").parquet(f"{folder}/updates")
+    rest = [c for c in stream.columns if c not in keys]
+    last = F.max_by(F.struct(*rest), "micro_batch").alias("last")
+    return changed.groupBy(*keys).agg(last).select(*keys, "last.*")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -1,17 +1,69 @@
+import struct
+
 from pyspark.sql import functions as F
 
 from galley.sources import ingest as I
 
 
+PNG, JPEG = b"\x89PNG\r\n\x1a\n", b"\xff\xd8"
+
+
+def chunk(name, data):
+    return struct.pack(">I", len(data)) + name + data + b"crc!"
+
+
+def segment(marker, data):
+    return b"\xff" + marker + struct.pack(">H", len(data) + 2) + data
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"%PDF-1.7 rest")
-    (tmp_path / "b.txt").write_bytes(b"\x89PNG rest")
+    (tmp_path / "b.txt").write_bytes(PNG + b"rest")
     (tmp_path / "c.JPG").write_bytes(b"junk")
     (tmp_path / "d.txt").write_bytes(b"junk")
     (tmp_path / "e.pdf").write_bytes(b"")
+    (tmp_path / "f.gif").write_bytes(b"GIF89a rest")
+    (tmp_path / "g.bmp").write_bytes(b"BM rest")
+    (tmp_path / "h.txt").write_bytes(b"%PDF 1")
+    (tmp_path / "i.pdf").write_bytes(b"junk")
     files = I.scan_assets(spark, str(tmp_path))
     rows = {r.filename: r.kind for r in files.select("filename", I.file_type(F.col("content"), F.col("filename")).alias("kind")).collect()}
-    assert rows == {"a.bin": "pdf", "b.txt": "image", "c.JPG": "image", "d.txt": None}
+    assert rows == {"a.bin": "pdf", "b.txt": "image", "c.JPG": "image", "d.txt": None, "f.gif": None, "g.bmp": None, "h.txt": None, "i.pdf": "pdf"}
+
+
+def test_declared_types_come_after_the_bytes(spark):
+    rows = [(b"junk", "a", "image/PNG"), (b"junk", "b.txt", "application/pdf"), (b"%PDF-1", "c.png", "image/png"), (b"junk", "d.pdf", "image/jpeg"), (b"GIF8", "e", "image/gif"), (None, None, None)]
+    df = spark.createDataFrame(rows, "content binary, filename string, type string")
+    assert [r[0] for r in df.select(I.file_type(F.col("content"), F.col("filename"), F.col("type"))).collect()] == ["image", "pdf", "pdf", "image", None, None]
+
+
+def test_rejected_uploads_have_reasons(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7")
+    (tmp_path / "in" / "b c+d.png").write_bytes(b"")
+    (tmp_path / "in" / "e.txt").write_bytes(b"junk" * 512)
+    taken, rejected = I.scan_uploads(spark, str(tmp_path))
+    assert [(r.filename, r.type) for r in taken.collect()] == [("a.pdf", "pdf")]
+    assert sorted((r.filename, r.file_size_kb, r.reason) for r in rejected.collect()) == [("b c+d.png", 0.0, "empty file"), ("e.txt", 2.0, "unsupported file type")]
+
+
+def test_profiles_are_found_by_their_place(spark):
+    comment = b"about iCCP and ICC_PROFILE\x00"
+    head = chunk(b"IHDR", b"x" * 13)
+    cases = [
+        (PNG + head + chunk(b"tEXt", comment) + chunk(b"iCCP", b"icc") + chunk(b"IDAT", b"pixels"), "Embedded"),
+        (PNG + head + chunk(b"tEXt", comment) + chunk(b"IDAT", b"iCCP"), None),
+        (PNG + head + chunk(b"IDAT", b"p") + chunk(b"iCCP", b"late"), None),
+        (PNG + head + b"\x00\x00", None),
+        (JPEG + segment(b"\xe1", comment) + b"\xff" + segment(b"\xe2", b"ICC_PROFILE\x00\x01\x01icc") + segment(b"\xda", b"s"), "Embedded"),
+        (JPEG + segment(b"\xfe", comment) + segment(b"\xda", b"s") + segment(b"\xe2", b"ICC_PROFILE\x00"), None),
+        (JPEG + segment(b"\xe1", b"ICC_PROFILE\x00"), None),
+        (comment, None),
+        (b"", None),
+        (None, None),
+    ]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, content binary")
+    assert [r[1] for r in sorted(df.select("i", I.icc_present(F.col("content"))).collect())] == [want for _, want in cases]
 
 
 def test_words_with_bad_items(spark):
