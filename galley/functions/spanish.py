@@ -26,24 +26,22 @@ ACCENTS = {
 }
 # Abbreviations that stay in capitals.
 ACRONYMS = ("API", "CMYK", "CPU", "DPI", "GPU", "HDMI", "LED", "NFC", "OCR", "PDF", "RAM", "RGB", "SKU", "TV", "USB")
-# The default dictionary, common words and words of the trade; a larger one is a parameter.
-COMMON_WORDS = """
-a al algo algun alguna algunas alguno algunos ante antes aqui asi baja bajo bola caoba carpinteria carpintero carpinteros
-catalogo categoria como con contra cual cuales cuando de del donde el en es esta este goma ideal imagen la las los manual
-madera martillo mundo no o para por pro pregunta preguntas que quien quienes se sin sobre son su sus tal tipo trabajos
-trivia u una unas uno unos uso y ya japones japonesa japoneses
-"""
-TRADE_WORDS = """
-acero adhesivo ajuste aluminio anclaje andamio arena armario armazon atornillador barra broca brochas cable cables caja
-cajas calibre canal canto carretilla cemento ceramica cierre clavo clavos cola color colores compra compras concreto
-construccion corte cortar cubierta cuchilla cuchillas decoracion destornillador disco discos diseno electricidad embalaje
-empaque enchufe enchufes energia equipo equipos escala escuadra estructura exterior ferreteria fijacion fijaciones
-herramienta herramientas instalacion lampara linea medicion modulo numero pagina promocion proteccion seccion sierra
-soporte soportes tabla tablas taladro tecnica tensor tornillo tornillos trabajo venta vidrio
-"""
-# Marked words that no run of letters is cut at.
-WHOLE_ONLY = ("analisis", "coleccion", "conexion", "configuracion", "descripcion", "habitacion", "mas")
-DICTIONARY = tuple(dict.fromkeys([*COMMON_WORDS.split(), *TRADE_WORDS.split(), *(w for w in ACCENTS if w not in WHOLE_ONLY)]))
+# The default dictionary, in alphabetical order; a larger one is a parameter.
+DICTIONARY = tuple(
+    """
+a acero adhesivo ajuste al algo algun alguna algunas alguno algunos aluminio anclaje andamio ante antes aqui arena
+armario armazon asi atornillador baja bajo barra bola broca brochas cable cables caja cajas calibre canal canto caoba
+carpinteria carpintero carpinteros carretilla catalogo categoria cemento ceramica cierre clavo clavos cola color
+colores como compra compras con concreto construccion contra cortar corte cual cuales cuando cubierta cuchilla
+cuchillas de decoracion del destornillador dimension disco discos diseno donde el electricidad embalaje empaque en
+enchufe enchufes energia equipo equipos es escala escuadra especificacion esta este estructura exterior ferreteria
+fijacion fijaciones garantia goma herramienta herramientas ideal imagen imagenes informacion instalacion japones
+japonesa japoneses la lampara las linea los madera manual martillo medicion modulo mundo no numero o pagina para por
+pregunta preguntas pro promocion proteccion que quien quienes se seccion sierra sin sobre son soporte soportes su sus
+tabla tablas tal taladro tecnica tecnicas tecnologia tensor tipo tornillo tornillos trabajo trabajos trafico trivia u
+ubicacion una unas uno unos uso valido venta vidrio y ya
+""".split()
+)
 VALID = tuple(dict.fromkeys([*DICTIONARY, *ACCENTS]))
 #: Longer tokens of letters only may be words that lost their blanks.
 LONG_TOKEN = 12

@@ -17,6 +17,8 @@ FIELDS = ("campaign", "brand", "description", "sku", "price_cmr", "price_regular
 BRAND_WEIGHT, DESCRIPTION_WEIGHT = 0.6, 0.4
 MIN_SCORE, MIN_MARGIN = 0.55, 0.12
 PRICE_TOLERANCE, CONTAINMENT = 0.01, 0.8
+#: Description tokens that more rows of a brand have are not looked up row by row.
+HOT_ROWS = 500
 
 
 def _score(left_brand: Column, right_brand: Column, left_text: Column, right_text: Column) -> Column:
@@ -47,30 +49,78 @@ def match_by_sku_tiebreak(detected: DataFrame, catalog: DataFrame, min_score: fl
     return scored.withColumn("rank", best).where("rank = 1").where(F.col("score") >= min_score).select("asset_id", "row_index", "score")
 
 
-def match_by_text(detected: DataFrame, catalog: DataFrame, min_score: float = MIN_SCORE, min_margin: float = MIN_MARGIN) -> DataFrame:
+def _brand_bases(left: DataFrame, rows: DataFrame) -> DataFrame:
+    """``db, cb, base`` of the catalog brands that can give one of the two best rows of a detected brand.
+
+    base is the brand's part of the score.  Once brands of at least two rows reach a base, no brand counts whose base
+    stays below it by the description's whole weight.
+    """
+    brands = rows.groupBy("cb").agg(F.count("*").alias("n"))
+    met = left.select("db").distinct().withColumn("token", F.explode("db")).join(brands.withColumn("token", F.explode("cb")), "token")
+    met = met.where(F.get(F.array_intersect("db", "cb"), F.lit(0)) == F.col("token"))
+    met = met.select("db", "cb", "n", (BRAND_WEIGHT * jaccard(F.col("cb"), F.col("db"))).alias("base"))
+    whole = W.partitionBy("db")
+    upto = met.withColumn("upto", F.sum("n").over(whole.orderBy(F.desc("base"), "cb").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    second = F.max(F.when(F.col("upto") >= 2, F.col("base"))).over(whole)
+    return upto.withColumn("second", F.coalesce(second, F.lit(-1.0))).where(F.col("base") + DESCRIPTION_WEIGHT > F.col("second") + 1e-9).select("db", "cb", "base")
+
+
+def text_candidates(left: DataFrame, rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``left(db, dd)``, ``rows(cb, cd, row_index, times)`` of token sets -> ``db, dd, row_index, times, score``: candidates that
+    hold the best row and the greatest score of any other, of all rows with a common brand token.
+
+    Rows meet by brand and a description token that at most ``hot_rows`` rows of the brand have.  What rows share in
+    frequent tokens alone depends on these tokens and the sizes only, so it is found once per such set: its two rows of
+    the fewest tokens stand for all.  They are rated too low if they share a rare token as well, but then they have also met.
+    """
+    none = F.array().cast("array<string>")
+    frequent = rows.select("cb", F.explode("cd").alias("token")).groupBy("cb", "token").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
+    frequent = frequent.groupBy("cb").agg(F.collect_set("token").alias("frequent"))
+    parted = lambda df, words, rare, hot: df.join(frequent, "cb", "left").withColumns(
+        {rare: F.array_except(words, F.coalesce("frequent", none)), hot: F.array_intersect(words, F.coalesce("frequent", none))}
+    )
+    entries = parted(rows, "cd", "c_rare", "c_hot")
+    sides = parted(left.join(_brand_bases(left, rows), "db"), "dd", "rare", "hot").withColumn("d_size", F.size("dd"))
+
+    index = entries.select("cb", "cd", "row_index", "times", "c_rare", F.explode("c_rare").alias("token"))
+    met = sides.select("db", "dd", "cb", "base", "rare", F.explode("rare").alias("token")).join(index, ["cb", "token"])
+    met = met.where(F.get(F.array_intersect("rare", "c_rare"), F.lit(0)) == F.col("token"))
+    near = met.select("db", "dd", "row_index", "times", (F.col("base") + DESCRIPTION_WEIGHT * jaccard(F.col("cd"), F.col("dd"))).alias("score"))
+
+    fewest = F.row_number().over(W.partitionBy("cb", "c_hot").orderBy("c_size", "row_index"))
+    groups = entries.select("cb", "c_hot", F.size("cd").alias("c_size"), "row_index", "times").withColumn("rank", fewest).where("rank <= 2").drop("rank")
+    shared = F.size(F.array_intersect("hot", "c_hot"))
+    alike = F.when(F.col("shared") > 0, F.col("shared") / (F.col("d_size") + F.col("c_size") - F.col("shared")).cast("double")).otherwise(F.lit(0.0))
+    best = F.row_number().over(W.partitionBy("cb", "hot", "d_size").orderBy(F.desc("alike"), "row_index"))
+    two = sides.select("cb", "hot", "d_size").distinct().join(groups, "cb").withColumn("shared", shared).withColumn("alike", alike).withColumn("rank", best).where("rank <= 2")
+    far = sides.join(two.select("cb", "hot", "d_size", "row_index", "times", "alike"), ["cb", "hot", "d_size"])
+    return near.union(far.select("db", "dd", "row_index", "times", (F.col("base") + DESCRIPTION_WEIGHT * F.col("alike")).alias("score")))
+
+
+def match_by_text(detected: DataFrame, catalog: DataFrame, min_score: float = MIN_SCORE, min_margin: float = MIN_MARGIN, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``asset_id, row_index, score, second_score`` where one row is similar enough and clearly ahead of all others.
 
     Equal token sets are scored once on either side.  Scores up to DESCRIPTION_WEIGHT need no common brand token; a
-    match, and a second best that could endanger it, lie above that as long as ``min_score - min_margin`` does.
+    match, and a second best that could endanger it, lie above that as long as ``min_score - min_margin`` does.  Rows
+    without a common brand token do not count for second_score.  Null and empty brands match nothing; null descriptions
+    are empty; a row that stands twice is its own second best, so it never matches.
     """
     if min_score - min_margin < DESCRIPTION_WEIGHT:
         raise ValueError("the brand index is exact only for min_score - min_margin >= the description's weight")
-    asset = detected.select("asset_id", F.array_sort(token_set(F.col("brand"))).alias("db"), F.array_sort(token_set(F.col("description"))).alias("dd"))
-    rows = catalog.select("row_index", F.array_sort(token_set(F.col("brand"))).alias("cb"), F.array_sort(token_set(F.col("description"))).alias("cd"))
-    left = asset.select("db", "dd").distinct()
-    right = rows.groupBy("cb", "cd").agg(F.min("row_index").alias("row_index"), F.count("*").alias("times"))
-    pairs = left.withColumn("token", F.explode("db")).join(right.withColumn("token", F.explode("cb")), "token").drop("token").dropDuplicates(["db", "dd", "row_index"])
-    scored = pairs.withColumn("score", _score(F.col("cb"), F.col("db"), F.col("cd"), F.col("dd")))
-    order = W.partitionBy("db", "dd").orderBy(F.desc("score"), "row_index")
-    two = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 2")
-    first = two.groupBy("db", "dd").agg(
-        F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("score"),
-        F.max(F.when(F.col("rank") == 1, F.col("row_index"))).alias("row_index"),
-        F.max(F.when(F.col("rank") == 1, F.col("times"))).alias("times"),
-        F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("other"),
-    )
-    second = F.when(F.col("times") > 1, F.col("score")).otherwise(F.coalesce("other", F.lit(0.0)))
-    good = first.withColumn("second_score", second).where((F.col("score") >= min_score) & (F.col("score") - F.col("second_score") >= min_margin))
+    if min_margin <= 0:
+        raise ValueError("a match must be ahead of all others: min_margin > 0")
+    tokens = lambda c: F.coalesce(F.array_sort(token_set(F.col(c))), F.array().cast("array<string>"))
+    asset = detected.select("asset_id", tokens("brand").alias("db"), tokens("description").alias("dd"))
+    rows = catalog.select("row_index", tokens("brand").alias("cb"), tokens("description").alias("cd"))
+    rows = rows.groupBy("cb", "cd").agg(F.min("row_index").alias("row_index"), F.count("*").alias("times"))
+    found = text_candidates(asset.select("db", "dd").distinct(), rows, hot_rows)
+    # a row comes as a candidate twice at most, so the best row and the best other are among the first three
+    three = found.withColumn("rank", F.row_number().over(W.partitionBy("db", "dd").orderBy(F.desc("score"), "row_index"))).where("rank <= 3")
+    first = three.groupBy("db", "dd").agg(F.min_by(F.struct("row_index", "score", "times"), "rank").alias("top"), F.collect_list(F.struct("row_index", "score")).alias("three"))
+    other = F.array_max(F.transform(F.filter("three", lambda c: c["row_index"] != F.col("top.row_index")), lambda c: c["score"]))
+    second = F.when(F.col("top.times") > 1, F.col("top.score")).otherwise(F.coalesce(other, F.lit(0.0)))
+    good = first.select("db", "dd", "top.row_index", "top.score", second.alias("second_score"))
+    good = good.where((F.col("score") >= min_score) & (F.col("score") - F.col("second_score") >= min_margin))
     return asset.join(good, ["db", "dd"]).select("asset_id", "row_index", "score", "second_score")
 
 
