@@ -15,8 +15,10 @@ from .shared import bound, lower_ascii, stored
 
 #: Words of an item's window.
 WINDOW = 10
-#: Up to this many benchmark shingles or windows are broadcast; more are joined by a shuffle.
+#: Up to this many benchmark shingles are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Windows are broadcast only if their words take up to this many bytes.
+BROADCAST_BYTES = 64_000_000
 #: Everything but digits, lower-case letters and characters beyond ASCII parts words (capitals are lowered before).
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -26,12 +28,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), GAP), "")
 
 
-def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct windows ``(words, items)``; an item shorter than a window, but not empty, is one window."""
+def item_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows ``(window, words)`` with a number each, and ``(window, item)``, the items that hold them; an item
+    shorter than a window, but not empty, is one window.  Both are written tables."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("all")).where("size(all) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("all") - window + 1, F.lit(1)))
-    cuts = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("all", i, window))).alias("words"))
-    return cuts.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    cuts = stored(items.select("item", F.explode(F.transform(starts, lambda i: F.slice("all", i, window))).alias("words")).distinct())
+    windows = stored(cuts.select("words").distinct().select(F.monotonically_increasing_id().alias("window"), "words"))
+    return windows, stored(cuts.where("item is not null").join(windows, "words").select("window", "item"))
 
 
 def shingles(words: Column, singles: bool) -> Column:
@@ -48,15 +52,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     spans are the (start, length) of occurring windows in words; n_hit counts the words inside any of them; items are
     the ids, as strings in order, of items with occurring windows.  Null and empty texts have no words.  A null item_id
     counts for hits but is not listed.  Repeated rows each get their row; an empty benchmark hits nothing; other columns
-    are not looked at.  Shingles of up to ``broadcast_rows`` are broadcast; beyond, the corpus' counts are added up
-    before they move, and only the rarest shingle of each window is joined by a shuffle.
+    are not looked at.  Shingles of up to ``broadcast_rows`` and windows of as many rows and BROADCAST_BYTES are broadcast;
+    beyond, the corpus' counts are added up before they move, and only the rarest shingle of each window is joined by a
+    shuffle.  Items of a window join once, after the exact check, per set of windows that a document holds.
     """
     docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-    windows = stored(item_windows(benchmark, window))
-    n_windows = windows.count()
+    windows, holders = item_windows(benchmark, window)
+    n_windows, n_bytes = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("words", " ")).cast("long")), F.lit(0))).first()
     singles = not windows.where("size(words) = 1").isEmpty()
     inner = F.slice(shingles(F.col("words"), False), F.lit(1), F.greatest(F.size("words") - 1, F.lit(1)))
-    placed = windows.select("words", "items", F.explode(inner).alias("s")).select("words", "items", F.col("s.pos").alias("offset"), "s.token")
+    placed = windows.select("window", F.explode(inner).alias("s")).select("window", F.col("s.pos").alias("offset"), "s.token")
     vocabulary = placed.select("token").distinct()
     tokens = docs.select(F.explode(shingles(words_of(F.col("text")), singles)).alias("s")).select("s.token")
     if n_windows * window <= broadcast_rows:
@@ -64,25 +69,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     else:
         counts = tokens.groupBy("token").agg(F.count("*").alias("n")).join(vocabulary, "token")
     # a shingle that no document has keeps its windows from occurring at all: those drop out
-    rarest = placed.join(counts, "token", "left").groupBy("words").agg(F.first("items").alias("items"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "token")).alias("least"))
-    prefix = stored(rarest.where("least.n > 0").select("least.token", "least.offset", "words", "items"))
-    places = docs.select("doc_id", F.explode(shingles(words_of(F.col("text")), singles)).alias("s")).select("doc_id", "s.pos", "s.token")
-    met = places.join(F.broadcast(prefix) if n_windows <= broadcast_rows else prefix, "token").where("pos >= offset")
-    candidates = met.groupBy("doc_id").agg(F.collect_set(F.struct((F.col("pos") - F.col("offset")).alias("start"), "words", "items")).alias("candidates"))
+    rarest = placed.join(counts, "token", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "token")).alias("least"))
+    prefix = stored(rarest.where("least.n > 0").join(windows, "window").select("least.token", "least.offset", "window", "words"))
+    split = docs.select("doc_id", words_of(F.col("text")).alias("all"))
+    places = split.select("doc_id", F.size("all").alias("n_words"), F.explode(shingles(F.col("all"), singles)).alias("s")).select("doc_id", "n_words", "s.pos", "s.token")
+    small = n_windows <= broadcast_rows and n_bytes <= BROADCAST_BYTES
+    met = places.join(F.broadcast(prefix) if small else prefix, "token").where("pos >= offset and pos - offset + size(words) <= n_words")
+    candidates = met.groupBy("doc_id").agg(F.collect_set(F.struct((F.col("pos") - F.col("offset")).alias("start"), "words", "window")).alias("candidates"))
     candidates = candidates.withColumnRenamed("doc_id", "id").hint("shuffle_hash")
     joined = docs.join(candidates, F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    none = F.array().cast(candidates.schema["candidates"].dataType)
+    none = F.array().cast("array<struct<start:int,length:int,window:bigint>>")
     exact = lambda all_: F.filter("candidates", lambda c: F.slice(all_, c["start"] + 1, F.size(c["words"])) == c["words"])
-    checked = bound(words_of(F.col("text")), lambda all_: F.struct(F.size(all_).cast("long").alias("n"), F.coalesce(exact(all_), none).alias("hits")))
+    short = lambda hits: F.transform(hits, lambda h: F.struct(h["start"].alias("start"), F.size(h["words"]).alias("length"), h["window"].alias("window")))
+    checked = bound(words_of(F.col("text")), lambda all_: F.struct(F.size(all_).cast("long").alias("n"), F.coalesce(short(exact(all_)), none).alias("hits")))
     hit = joined.select("doc_id", checked.alias("checked")).select("doc_id", F.col("checked.n").alias("n_words"), F.col("checked.hits").alias("hits"))
-    covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + F.size(h["words"]) - 1))))
-    return hit.select(
-        "doc_id",
-        "n_words",
-        F.size(covered).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))).alias("items"),
-        F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.struct(h["start"].alias("start"), F.size(h["words"]).alias("length"))))).alias("spans"),
+    covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))
+    found = stored(
+        hit.select(
+            "doc_id",
+            "n_words",
+            F.size(covered).cast("long").alias("n_hit"),
+            F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["window"]))).alias("windows"),
+            F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["length"].alias("length"))))).alias("spans"),
+        )
     )
+    sets = found.where("n_hit > 0").select("windows").distinct()
+    named = sets.select("windows", F.explode("windows").alias("window")).join(holders, "window").groupBy("windows").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    # documents that hold nothing stay where they are: only those with hits meet the sets
+    hits, rest = found.where("n_hit > 0"), found.where("n_hit = 0")
+    listed = hits.join(named, "windows", "left").union(rest.select("windows", "doc_id", "n_words", "n_hit", "spans", F.lit(None).cast("array<string>").alias("items")))
+    return listed.select("doc_id", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
 
 
 ORACLE_SQL = r"""

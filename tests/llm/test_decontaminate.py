@@ -63,3 +63,17 @@ def test_null_and_repeated_ids(spark):
     d = spark.createDataFrame([(None, "one two three"), (1, "one two three"), (1, "one two three"), (1, "else")], "doc_id long, text string")
     rows = sorted((r.n_words, r.n_hit) for r in D.contamination(d, spark.createDataFrame([(9, "two three")], "item_id long, text string")).collect())
     assert rows == [(1, 0), (3, 2), (3, 2), (3, 2)]
+
+
+def test_a_window_of_very_many_items(spark):
+    """The items of a window stay out of candidates and broadcasts: one boilerplate sentence in 20 000 items."""
+    n = 20_000
+    line = "this is the same line of ten words in all"
+    items = spark.range(n).selectExpr("id as item_id", f"'{line}' as text").union(spark.createDataFrame([(n, "x y z")], "item_id long, text string"))
+    d = spark.createDataFrame([(i, line + (" x y z" if i == 5 else f" {i}")) for i in range(20)] + [(20, "x y")], "doc_id long, text string")
+    rows = {r.doc_id: (r.n_hit, r.n) for r in D.contamination(d, items).selectExpr("doc_id", "n_hit", "size(items) as n").collect()}
+    assert rows == {**{i: (10, n) for i in range(20)}, 5: (13, n + 1), 20: (0, 0)}
+
+
+def test_windows_that_start_before_or_end_after_a_text(spark):
+    assert run(spark, ["b c", "a b", "a b c", "c"], [(1, "a b c")]) == {0: (2, 0, []), 1: (2, 0, []), 2: (3, 3, ["1"]), 3: (1, 0, [])}
