@@ -71,8 +71,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     # a shingle that no document has keeps its windows from occurring at all: those drop out
     rarest = placed.join(counts, "token", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "token")).alias("least"))
     prefix = stored(rarest.where("least.n > 0").join(windows, "window").select("least.token", "least.offset", "window", "words"))
-    split = docs.select("doc_id", words_of(F.col("text")).alias("all"))
-    places = split.select("doc_id", F.size("all").alias("n_words"), F.explode(shingles(F.col("all"), singles)).alias("s")).select("doc_id", "n_words", "s.pos", "s.token")
+    # the number of words is a column before the shingles are exploded, so no row of them carries the words
+    sized = docs.select("doc_id", bound(words_of(F.col("text")), lambda all_: F.struct(F.size(all_).alias("n"), shingles(all_, singles).alias("all"))).alias("s"))
+    places = sized.select("doc_id", F.col("s.n").alias("n_words"), F.col("s.all").alias("all")).select("doc_id", "n_words", F.explode("all").alias("s")).select("doc_id", "n_words", "s.pos", "s.token")
     small = n_windows <= broadcast_rows and n_bytes <= BROADCAST_BYTES
     met = places.join(F.broadcast(prefix) if small else prefix, "token").where("pos >= offset and pos - offset + size(words) <= n_words")
     candidates = met.groupBy("doc_id").agg(F.collect_set(F.struct((F.col("pos") - F.col("offset")).alias("start"), "words", "window")).alias("candidates"))
