@@ -10,7 +10,6 @@ from galley.functions.text import text_role
 from galley.operators import dictionary as D
 from galley.operators import grouping as G
 from galley.operators import pages, proposals
-from galley.plans import compliance
 from galley.sources import ingest
 
 WORD = "asset_id long, word_index int, text string, x int, y int, w int, h int, confidence double"
@@ -177,14 +176,6 @@ def test_malformed_responses(spark):
     assert got[3].corrected_text == "a" and got[3].overall_status == "not_executed"
 
 
-def test_results_of_one_batch_leave_the_others(spark, tmp_path):
-    path = str(tmp_path / "out")
-    frame = spark.createDataFrame([(1, 10), (2, 20)], "batch_id int, asset_id int")
-    compliance.write_results(frame, path)
-    compliance.write_results(frame.where("batch_id = 2").withColumn("asset_id", F.lit(21)), path)
-    assert {(r.batch_id, r.asset_id) for r in spark.read.parquet(path).collect()} == {(1, 10), (2, 21)}
-
-
 def test_roles_of_short_texts(spark):
     frame = spark.createDataFrame([("CMR",), ("S/ 25.90",), ("SKU: 12345",)], "t string")
     assert [r[0] for r in frame.select(text_role(F.col("t"))).collect()] == ["promo_badge", "price_main", "sku"]
