@@ -4,6 +4,7 @@ import duckdb
 
 from galley.llm import shared
 from galley.llm import url_redirects as U
+from galley.llm.queries import QUERIES
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "bad.org", "/")]
 
@@ -94,3 +95,11 @@ def test_a_long_path_of_ordered_or_mixed_ids_takes_few_rounds(spark):
         rows = shared.connected_components(edges).collect()
         assert len(rows) == n + 1 and {r.component for r in rows} == {min(name(i) for i in range(n + 1))}
     assert time.monotonic() - began < 240
+
+
+def test_the_querys_rules_are_those_of_its_contract(spark, tmp_path):
+    urls = ["https://www.example.net/de/1", "http://example.net/de/8", "http://b.org/es/x", "http://a.com/en/7", "http://m.example.com/en/7", "http://a.net/fr/"]
+    spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in QUERIES["op1_url_redirects"](spark, str(tmp_path)).collect()}
+    want = [("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"), ("com/en/", "block"), ("example.com/en/7", "allow"), (None, "allow")]
+    assert [got[i] for i in range(len(urls))] == want
