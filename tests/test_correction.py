@@ -3,6 +3,7 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from galley.functions import spanish as S
 from galley.operators import correction as C
@@ -75,3 +76,9 @@ def test_single_steps(spark):
     assert one(lambda c: S.restore_accents(c, True), "COMO Mas que") == "CÓMO Más qué"
     assert one(S.normalize_text, "“a” ,b\r\n\n\n\n c !d") == '"a", b\n\nc! d'
     assert re.fullmatch("uña", one(S.fix_ocr_token, "un'a"))
+
+
+def test_question_grammar_ends_words_as_the_twin_does(spark):
+    lines = ["que esíñ arga", "Cual laá casa", "cuales lasñ", "cual el fin", "cual la_ casa", "que es", "cual\u00a0el fin"]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in lines], "t string").select(S.repair_question_grammar(F.col("t")).alias("t")).collect()]
+    assert got == ["Qué esíñ arga", "Cuál es laá casa", "Cuáles son lasñ", "Cuál es el fin", "cual la_ casa", "Qué es", "cual\u00a0el fin"]
