@@ -17,6 +17,8 @@ from ..functions.geometry import Box
 KEYS = ("asset_id",)
 #: Widths of the grids' cells, each for boxes of at most that size; the last one holds any box.
 GRIDS = (128, 1024, 8192, 65536, 2**31)
+#: Boxes of a piece that meet one another in one go, where all pairs are wanted.
+BLOCK = 2048
 
 
 def grid_of(box: Box) -> Column:
@@ -74,3 +76,20 @@ def overlapping(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = KEYS,
     met = ours.where("a_grid = grid").join(theirs, on).unionByName(ours.where("a_grid < grid").join(theirs.where("b_grid = grid"), on))
     here = (F.floor(x / F.col("grid")) == F.col("gx")) & (F.floor(y / F.col("grid")) == F.col("gy"))
     return met.where(here & (x < F.least(a.x2, b.x2)) & (y < F.least(a.y2, b.y2))).select("a", "b")
+
+
+def piece_pairs(boxes: DataFrame, order: str, keys: tuple[str, ...] = KEYS, size: int = BLOCK) -> DataFrame:
+    """``a, b``: all pairs, as structs of all columns, of boxes of the same keys, the lesser ``order`` first.
+
+    The pairs grow with the square of a piece's boxes; a large piece is dealt to blocks that meet two by two, so that no
+    task holds more of it than two of them.
+    """
+    blocks = boxes.groupBy(*keys).agg(F.ceil(F.count("*") / size).alias("__n"))
+    own = boxes.join(blocks, [*keys]).withColumn("own", F.pmod(F.xxhash64(order), F.col("__n")))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+
+    def side(name: str) -> DataFrame:
+        return met.select(*keys, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.col("own").alias(f"{name}_own"), F.struct(*[F.col(c) for c in boxes.columns]).alias(name))
+
+    pairs = side("a").join(side("b"), [*keys, "low", "high"]).where(F.col(f"a.{order}") < F.col(f"b.{order}"))
+    return pairs.where((F.least("a_own", "b_own") == F.col("low")) & (F.greatest("a_own", "b_own") == F.col("high"))).select("a", "b")

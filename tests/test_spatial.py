@@ -79,3 +79,10 @@ def test_very_many_regions_of_one_piece(spark):
     rows = spark.range(n).select(F.lit(1).cast("long").alias("asset_id"), F.col("id").alias("ord"), at("x", 33_000).alias("x"), at("y", 33_000).alias("y"), (20 + at("w", 60)).alias("w"), (20 + at("h", 60)).alias("h"))
     made = proposals.merge_overlapping_regions(rows, 0.3)
     assert 0.5 * n < made.count() < n
+
+
+@pytest.mark.parametrize("size", [7, 2048])
+def test_all_pairs_of_a_piece_come_once(spark, size):
+    rows = boxes(random.Random(5), 90) + [(None, 900, 1, 1, 5, 5, "e"), (0, 901, None, 1, 5, 5, "e")]
+    got = spatial.piece_pairs(spark.createDataFrame(rows, BOX), "ord", size=size).select("a.ord", "b.ord").collect()
+    assert sorted(map(tuple, got)) == sorted((a[1], b[1]) for a in rows for b in rows if a[0] is not None and a[0] == b[0] and a[1] < b[1])
