@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from itertools import accumulate, chain, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -43,27 +42,6 @@ ALONE = {"sku", "price_main", "price_secondary", "promo_badge"}
 JOINABLE = {"description", "date_range", "campaign"}
 
 
-class _Frame:
-    """A growing box over members."""
-
-    def __init__(self, members: list):
-        self.members = members
-        self.x1, self.y1 = min(m.x for m in members), min(m.y for m in members)
-        self.x2, self.y2 = max(m.x + m.w for m in members), max(m.y + m.h for m in members)
-
-    def add(self, m) -> None:
-        self.members.append(m)
-        self.x1, self.y1, self.x2, self.y2 = min(self.x1, m.x), min(self.y1, m.y), max(self.x2, m.x + m.w), max(self.y2, m.y + m.h)
-
-    @property
-    def w(self) -> int:
-        return self.x2 - self.x1
-
-    @property
-    def h(self) -> int:
-        return self.y2 - self.y1
-
-
 def _apart(a1: float, a2: float, b1: float, b2: float) -> float:
     return max(0.0, b1 - a2, a1 - b2)
 
@@ -358,31 +336,72 @@ def block_rollup(micros: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return out.withColumn("role", text_role(F.col("text")))
 
 
-def _simple_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    blocks: list[_Frame] = []
-    for line in sorted(pdf.itertuples(index=False), key=lambda t: t.line):
-        for block in blocks:
-            last = block.members[-1]
-            close = line.y - (last.y + last.h) <= SIMPLE_GAP * max(8.0, (line.h + last.h) / 2)
-            by_last, by_block = _share(last.x, last.x + last.w, line.x, line.x + line.w), _share(block.x1, block.x2, line.x, line.x + line.w)
-            far = abs(line.x + line.w / 2 - last.x - last.w / 2) > max(last.w, line.w) * SIMPLE_APART[0] and max(by_last, by_block) < SIMPLE_APART[1]
-            if close and not far and (by_last >= SIMPLE_LAST or by_block >= SIMPLE_BLOCK):
-                block.add(line)
-                break
-        else:
-            blocks.append(_Frame([line]))
-    rows = []
-    for n, b in enumerate(blocks, 1):
-        text = "\n".join(m.text for m in b.members).strip()
-        rows.append((pdf["asset_id"].iloc[0], n, text, b.x1, b.y1, b.w, b.h, sum(m.confidence for m in b.members) / len(b.members), [m.line for m in b.members], [i for m in b.members for i in m.words]))
-    return pd.DataFrame(rows, columns=["asset_id", "block", "text", "x", "y", "w", "h", "confidence", "lines", "words"])
+class _Simple:
+    """A block that lines may still join."""
+
+    def __init__(self, block: int):
+        self.block, self.texts, self.confidences, self.lines, self.words = block, [], [], [], []
+        self.x1 = self.y1 = float("inf")
+        self.x2 = self.y2 = float("-inf")
+
+    def add(self, line: int, text: str, x: int, y: int, w: int, h: int, confidence: float, words: list[int]) -> None:
+        self.texts.append(text)
+        self.confidences.append(confidence)
+        self.lines.append(line)
+        self.words += words
+        self.x1, self.y1, self.x2, self.y2 = min(self.x1, x), min(self.y1, y), max(self.x2, x + w), max(self.y2, y + h)
+        self.last, self.low, self.high = (x, w), y + h, h
+
+    def takes(self, x: int, y: int, w: int, h: int) -> bool:
+        if y - self.low > SIMPLE_GAP * max(8.0, (h + self.high) / 2):
+            return False
+        lx, lw = self.last
+        by_last, by_block = _share(lx, lx + lw, x, x + w), _share(self.x1, self.x2, x, x + w)
+        far = abs(x + w / 2 - lx - lw / 2) > max(lw, w) * SIMPLE_APART[0] and max(by_last, by_block) < SIMPLE_APART[1]
+        return not far and (by_last >= SIMPLE_LAST or by_block >= SIMPLE_BLOCK)
+
+    def closed(self, top: int | None, lift: float | None) -> bool:
+        """No later line stands near enough: all begin at ``top`` or below, and none reaches above ``lift`` by its height."""
+        return top is None or (top - self.low > SIMPLE_GAP * 8 + 1 and lift - self.low - SIMPLE_GAP / 2 * self.high > 1)
+
+    def row(self) -> tuple:
+        mean = sum(self.confidences) / len(self.confidences)
+        return self.block, "\n".join(self.texts).strip(), self.x1, self.y1, self.x2 - self.x1, self.y2 - self.y1, mean, self.lines, self.words
 
 
 def group_blocks_simple(lines: DataFrame) -> DataFrame:
     """Lines, in order, to the first block that they follow closely enough: ``asset_id, block, text, x, y, w, h, confidence,
-    lines, words``; without roles or zones."""
-    needed = lines.select("asset_id", "line", "text", "x", "y", "w", "h", "confidence", "words")
-    return needed.groupBy("asset_id").applyInPandas(_simple_blocks, "asset_id long, block int, text string, x int, y int, w int, h int, confidence double, lines array<int>, words array<int>")
+    lines, words``; without roles or zones.
+
+    A stream of a piece's lines, with the blocks that a later line may still join: what later lines reach is known from
+    running minima, so a line is compared with near blocks only.
+    """
+    later = W.partitionBy("asset_id").orderBy(F.desc("line")).rowsBetween(W.unboundedPreceding, -1)
+    needed = lines.select("asset_id", "line", "text", "x", "y", "w", "h", "confidence", "words").repartition("asset_id")
+    bounded = needed.withColumns({"top": F.min("y").over(later), "lift": F.min(F.col("y") - F.lit(SIMPLE_GAP / 2) * F.col("h")).over(later)}).sortWithinPartitions("asset_id", "line")
+    columns = ("line", "text", "x", "y", "w", "h", "confidence", "words")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        piece, n, still_open = None, 0, []
+        for batch in batches:
+            for of, top, lift, line in zip(*(batch[c].to_pylist() for c in ("asset_id", "top", "lift")), zip(*(batch[c].to_pylist() for c in columns), strict=True), strict=True):
+                if of != piece:
+                    piece, n = of, 0
+                taker = next((b for b in still_open if b.takes(*line[2:6])), None)
+                if taker is None:
+                    n += 1
+                    taker = _Simple(n)
+                    still_open.append(taker)
+                taker.add(*line)
+                left = []
+                for b in still_open:
+                    if b.closed(top, lift):
+                        yield (of, *b.row())
+                    else:
+                        left.append(b)
+                still_open = left
+
+    return _streamed(bounded, work, f"{_types(lines, KEYS)}, block int, text string, x int, y int, w int, h int, confidence double, lines array<int>, words array<int>")
 
 
 def build_layout(words: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -91,3 +91,42 @@ def test_keys_of_several_columns(spark):
     one = G.build_layout(two.where("asset_id = 1 and region_id = 'r2'").drop("region_id"))
     same = made.where("asset_id = 1 and region_id = 'r2'").drop("region_id")
     assert sorted(map(str, same.collect())) == sorted(map(str, one.collect()))
+
+
+def plain_simple(lines):
+    """Each line against all blocks so far."""
+    blocks = []
+    for line in lines:
+        for b in blocks:
+            last = b[-1]
+            x1, x2 = min(m[3] for m in b), max(m[3] + m[5] for m in b)
+            by_last, by_block = G._share(last[3], last[3] + last[5], line[3], line[3] + line[5]), G._share(x1, x2, line[3], line[3] + line[5])
+            far = abs(line[3] + line[5] / 2 - last[3] - last[5] / 2) > max(last[5], line[5]) * 0.95 and max(by_last, by_block) < 0.10
+            if line[4] - last[4] - last[6] <= 1.55 * max(8.0, (line[6] + last[6]) / 2) and not far and (by_last >= 0.18 or by_block >= 0.22):
+                b.append(line)
+                break
+        else:
+            blocks.append([line])
+    return [(n, [m[1] for m in b]) for n, b in enumerate(blocks, 1)]
+
+
+def test_simple_blocks_are_those_of_all_comparisons(spark):
+    rng = random.Random(8)
+    lines, y = {}, 0
+    for a in range(4):
+        lines[a], y = [], 0
+        for n in range(1, 150):
+            y += rng.choice([-6, 0, 9, 25, 60])
+            lines[a].append((a, n, f"l{n}", rng.randint(0, 400), y, rng.randint(10, 300), rng.choice([0, 8, 20, 20, 20, 400]), 0.8, [n]))
+    frame = spark.createDataFrame([r for rows in lines.values() for r in rows], "asset_id long, line int, text string, x int, y int, w int, h int, confidence double, words array<int>")
+    got = {}
+    for r in G.group_blocks_simple(frame).orderBy("asset_id", "block").collect():
+        got.setdefault(r.asset_id, []).append((r.block, r.lines))
+    assert got == {a: plain_simple(rows) for a, rows in lines.items()}
+
+
+def test_few_blocks_are_open_at_a_time():
+    block = G._Simple(1)
+    block.add(1, "a", 0, 0, 50, 20, 0.9, [1])
+    assert block.closed(None, None) and block.closed(60, 45.0)
+    assert not block.closed(60, 35.0) and not block.closed(30, 30.0)  # a tall line, or a near one, may still come
