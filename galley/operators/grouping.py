@@ -22,10 +22,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import is_badge, text_role
 from .layout import macro_zones
+from .lineage import written
 
 KEYS = ("asset_id",)
 #: A bundle of strips closes once it has so many words.
 BUNDLE_WORDS = 2000
+#: Pieces of more words are dealt out in bundles; others are a bundle of their own, and their words move once.
+LONG_PIECE = 50_000
 #: Rows of a batch that a task hands on.
 BATCH_ROWS = 4000
 LINE_TYPE = "text string, x int, y int, w int, h int, confidence double, words array<int>"
@@ -209,24 +212,43 @@ def bundles(words: DataFrame, keys: tuple[str, ...] = KEYS, size: int = BUNDLE_W
     return words.join(numbered.hint("shuffle_hash"), [*keys, "y"], "left").withColumn("bundle", F.coalesce("bundle", F.lit(0)))
 
 
-def group_lines(words: DataFrame, keys: tuple[str, ...] = KEYS, size: int = BUNDLE_WORDS) -> DataFrame:
+def group_lines(words: DataFrame, keys: tuple[str, ...] = KEYS, size: int = BUNDLE_WORDS, most: int = LONG_PIECE) -> DataFrame:
     """``words(*keys, word_index, text, x, y, w, h, confidence)`` -> ``*keys, line, text, x, y, w, h, confidence, words, role``.
 
     Words go, from the top, to the open line that they fit best; lines are parted at wide column gaps and before
-    promotional words that stand apart.
+    promotional words that stand apart.  Pieces of more than ``most`` words are placed in bundles of ``size``.
     """
-    needed = bundles(words.select(*keys, "word_index", "text", "x", "y", "w", "h", "confidence"), keys, size)
-    by = (*keys, "bundle")
-    placed = needed.repartition(*by).sortWithinPartitions(*by, F.col("y") + F.col("h") / F.lit(2.0), F.col("x") + F.col("w") / F.lit(2.0), "word_index")
+    needed = words.select(*keys, "word_index", "text", "x", "y", "w", "h", "confidence")
+    # fewer than one in LONG_PIECE words, so their keys may be broadcast
+    long = written(needed.groupBy(*keys).count().where(F.col("count") > most).select(*keys))
+    if long.isEmpty():
+        return _lines_of_pieces(needed, keys)
+    return _lines_of_pieces(needed.join(F.broadcast(long), [*keys], "left_anti"), keys).unionByName(_lines_of_bundles(needed.join(F.broadcast(long), [*keys], "left_semi"), keys, size))
+
+
+def _placed(dealt: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    placed = dealt.repartition(*by).sortWithinPartitions(*by, F.col("y") + F.col("h") / F.lit(2.0), F.col("x") + F.col("w") / F.lit(2.0), "word_index")
     # the role of a single word matters where it may be a badge only
-    placed = placed.withColumn("promo", is_badge(F.col("text")) & (text_role(F.col("text")) == "promo_badge"))
+    return placed.withColumn("promo", is_badge(F.col("text")) & (text_role(F.col("text")) == "promo_badge"))
+
+
+def _placed_lines(dealt: DataFrame, by: tuple[str, ...], number: str) -> DataFrame:
+    """The lines of each group of words, numbered from 1."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for key, rows in _groups(batches, by):
-            for n, row in enumerate(_Words(rows).lines()):
+            for n, row in enumerate(_Words(rows).lines(), 1):
                 yield (*key, n, *row)
 
-    made = _streamed(placed, work, f"{_types(words, keys)}, bundle int, place int, {LINE_TYPE}")
+    return _streamed(_placed(dealt, by), work, f"{_types(dealt, by)}, {number} int, {LINE_TYPE}")
+
+
+def _lines_of_pieces(words: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return _placed_lines(words, keys, "line").withColumn("role", text_role(F.col("text")))
+
+
+def _lines_of_bundles(words: DataFrame, keys: tuple[str, ...], size: int) -> DataFrame:
+    made = _placed_lines(bundles(words, keys, size), (*keys, "bundle"), "place")
     line = F.row_number().over(W.partitionBy(*keys).orderBy("bundle", "place"))
     return made.select(*keys, line.alias("line"), "text", "x", "y", "w", "h", "confidence", "words", text_role(F.col("text")).alias("role"))
 

@@ -130,3 +130,18 @@ def test_few_blocks_are_open_at_a_time():
     block.add(1, "a", 0, 0, 50, 20, 0.9, [1])
     assert block.closed(None, None) and block.closed(60, 45.0)
     assert not block.closed(60, 35.0) and not block.closed(30, 30.0)  # a tall line, or a near one, may still come
+
+
+def test_long_and_short_pieces_have_the_lines_of_whole_ones(spark):
+    rng = random.Random(9)
+    rows = [(a, *r[1:]) for a, n in ((1, 300), (2, 30), (3, 700)) for r in long_piece(rng, n)]
+    frame = spark.createDataFrame(rows, WORD)
+    both = G.group_lines(frame, size=40, most=100)
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan  # some pieces in bundles, one as it is
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, G.group_lines(frame).collect()))
+
+
+def test_words_of_short_pieces_move_once(spark):
+    plan = G.group_lines(words(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
