@@ -426,6 +426,34 @@ def group_blocks_simple(lines: DataFrame) -> DataFrame:
     return _streamed(bounded, work, f"{_types(lines, KEYS)}, block int, text string, x int, y int, w int, h int, confidence double, lines array<int>, words array<int>")
 
 
+def _rolled(micros: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``block_rollup`` of micro-blocks as ``group_micro_blocks`` leaves them, a piece's in one task and in order: a stream with
+    the open block, no exchange."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held = None
+        for batch in batches:
+            marks = zip(*(batch[k].to_pylist() for k in (*keys, "block")), strict=True)
+            for mark, text, confidence, own, x, y, w, h in zip(marks, *(batch[c].to_pylist() for c in ("text", "confidence", "words", *"xywh")), strict=True):
+                if held is not None and mark == held[0]:
+                    _, texts, mean, words, x1, y1, x2, y2 = held
+                    texts.append(text)
+                    words += own
+                    held = mark, texts, (mean + confidence) / 2.0, words, min(x1, x), min(y1, y), max(x2, x + w), max(y2, y + h)
+                else:
+                    if held is not None:
+                        yield row(*held)
+                    held = mark, [text], confidence, own, x, y, x + w, y + h
+        if held is not None:
+            yield row(*held)
+
+    def row(mark, texts, mean, words, x1, y1, x2, y2) -> tuple:
+        return (*mark, "\n".join(texts), x1, y1, x2 - x1, y2 - y1, mean, words)
+
+    made = _streamed(micros, work, f"{_types(micros, keys)}, block int, text string, x int, y int, w int, h int, confidence double, words array<int>")
+    return made.withColumn("confidence", F.bround("confidence", 4)).withColumn("role", text_role(F.col("text")))
+
+
 def build_layout(words: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Words to blocks in one go."""
-    return block_rollup(group_micro_blocks(group_lines(words, keys), keys), keys)
+    return _rolled(group_micro_blocks(group_lines(words, keys), keys), keys)

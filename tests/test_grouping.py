@@ -145,3 +145,11 @@ def test_long_and_short_pieces_have_the_lines_of_whole_ones(spark):
 def test_words_of_short_pieces_move_once(spark):
     plan = G.group_lines(words(spark))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_blocks_of_a_stream_are_those_of_the_grouping(spark):
+    rng = random.Random(10)
+    frame = spark.createDataFrame([(a, *r[1:]) for a in range(3) for r in long_piece(rng, 150)], WORD)
+    micros = G.group_micro_blocks(G.group_lines(frame))
+    got, want = G.build_layout(frame), G.block_rollup(micros)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
