@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box
+from .lineage import written
 
 KEYS = ("asset_id",)
 #: Widths of the grids' cells, each for boxes of at most that size; the last one holds any box.
 GRIDS = (128, 1024, 8192, 65536, 2**31)
+#: Pieces whose common boxes are broadcast (a row of six numbers each); more of them are joined by a shuffle.
+BROADCAST_PIECES = 1_000_000
 #: Boxes of a piece that meet one another in one go, where all pairs are wanted.
 BLOCK = 2048
 
@@ -40,6 +43,20 @@ def _grids(*boxes: DataFrame) -> list[int]:
     return sorted(r.g for r in used.where("g is not null").distinct().collect()) or [GRIDS[0]]
 
 
+def near(points: DataFrame, boxes: DataFrame, x: Column, y: Column, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Points with ``near``: whether ``(x, y)`` lies in the common box of all boxes of its keys.
+
+    Others meet no box at all, and need not move: joins of many points with few boxes begin here.
+    """
+    whole = boxes.where("x is not null and y is not null and w is not null and h is not null")
+    edges = [F.min("x").alias("__x1"), F.min("y").alias("__y1"), F.max(F.col("x") + F.col("w")).alias("__x2"), F.max(F.col("y") + F.col("h")).alias("__y2")]
+    common = written(whole.groupBy(*keys).agg(*edges))
+    if common.limit(BROADCAST_PIECES + 1).count() <= BROADCAST_PIECES:
+        common = F.broadcast(common)
+    inside = x.between(F.col("__x1"), F.col("__x2")) & y.between(F.col("__y1"), F.col("__y2"))
+    return points.join(common, [*keys], "left").select(*[points[c] for c in points.columns], F.coalesce(inside, F.lit(False)).alias("near"))
+
+
 def holding(points: DataFrame, boxes: DataFrame, x: Column, y: Column, take: dict[str, str], keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Every point ``(x, y)`` with every box of the same keys that holds it, edges included: the points' columns and the
     boxes' columns ``take`` under their new names.  Points or boxes with nulls meet nothing."""
@@ -47,10 +64,10 @@ def holding(points: DataFrame, boxes: DataFrame, x: Column, y: Column, take: dic
     box = Box(*(F.col(f"__box_{c}") for c in "xywh"))
     held = given.withColumn("__cell", F.explode(_cells(box, grid_of(box))))
     own = [F.struct(F.lit(g).cast("long").alias("grid"), F.floor(x / g).alias("gx"), F.floor(y / g).alias("gy")) for g in _grids(boxes)]
-    near = points.withColumns({"__x": x, "__y": y, "__at": F.explode(F.array(*own))})
+    placed = near(points, boxes, x, y, keys).where("near").drop("near").withColumns({"__x": x, "__y": y, "__at": F.explode(F.array(*own))})
     same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__{k}") for k in keys])
     same = same & reduce(lambda a, b: a & b, [F.col(f"__at.{c}") == F.col(f"__cell.{c}") for c in ("grid", "gx", "gy")])
-    met = near.join(held, same & box.holds(F.col("__x"), F.col("__y")))
+    met = placed.join(held, same & box.holds(F.col("__x"), F.col("__y")))
     return met.select(*[F.col(f"`{c}`") for c in points.columns], *take.values())
 
 

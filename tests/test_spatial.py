@@ -86,3 +86,20 @@ def test_all_pairs_of_a_piece_come_once(spark, size):
     rows = boxes(random.Random(5), 90) + [(None, 900, 1, 1, 5, 5, "e"), (0, 901, None, 1, 5, 5, "e")]
     got = spatial.piece_pairs(spark.createDataFrame(rows, BOX), "ord", size=size).select("a.ord", "b.ord").collect()
     assert sorted(map(tuple, got)) == sorted((a[1], b[1]) for a in rows for b in rows if a[0] is not None and a[0] == b[0] and a[1] < b[1])
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_near_points_are_those_in_the_common_box_of_their_piece(spark, monkeypatch, most):
+    monkeypatch.setattr(spatial, "BROADCAST_PIECES", most)
+    rng = random.Random(6)
+    points = boxes(rng, 200) + [(None, 900, 1, 1, 5, 5, "e"), (0, 901, None, 1, 5, 5, "e"), (77, 902, 1, 1, 5, 5, "e")]
+    areas = boxes(rng, 6, 200, (40, 90)) + [(0, 903, None, 1, 5, 5, "e")]
+    box = Box.of()
+    got = spatial.near(spark.createDataFrame(points, BOX), spark.createDataFrame(areas, BOX), box.cx, box.cy).collect()
+
+    def inside(p):
+        own = [a for a in areas if a[0] == p[0] and a[2] is not None]
+        return bool(own) and p[2] is not None and all(min(a[k] for a in own) <= p[k] + p[k + 2] / 2 <= max(a[k] + a[k + 2] for a in own) for k in (2, 3))
+
+    assert sorted((r.ord, r.near) for r in got) == sorted((p[1], inside(p)) for p in points)
+    assert {r.near for r in got} == {True, False}
