@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box
-from .spatial import holding
+from .spatial import holding, near
 
 #: Region classes whose words count, and those whose words do not.
 KEEP = ("campaign_area", "date_area", "info_card_area", "price_main_area", "price_secondary_area", "sku_area", "promo_badge_area", "logo_area")
@@ -22,7 +22,8 @@ def areas_from_detections(detections: DataFrame) -> DataFrame:
 
 
 def _held_by(words: DataFrame, areas: DataFrame, how: str) -> DataFrame:
-    w, a = words.alias("w"), areas.select("asset_id", "x", "y", "w", "h").alias("a")
+    box = Box.of()
+    w, a = near(words, areas, box.cx, box.cy).where("near").drop("near").alias("w"), areas.select("asset_id", "x", "y", "w", "h").alias("a")
     box, area = Box.of("w"), Box.of("a")
     return w.join(a, (F.col("w.asset_id") == F.col("a.asset_id")) & area.holds(box.cx, box.cy), how)
 
