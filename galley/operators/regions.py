@@ -31,11 +31,13 @@ def _held_by(words: DataFrame, areas: DataFrame, how: str) -> DataFrame:
 def mask_words(words: DataFrame, detections: DataFrame) -> DataFrame:
     """Words but for those whose centre lies in an excluded area and in no area to keep; words without a box go."""
     whole = words.where("x is not null and y is not null and w is not null and h is not null")
-    box = Box.of()
-    met = holding(whole.select("asset_id", "word_index", "x", "y", "w", "h"), areas_from_detections(detections), box.cx, box.cy, {"role": "role"})
+    box, areas = Box.of(), areas_from_detections(detections)
+    seen = near(whole, areas.where("role = 'exclude'"), box.cx, box.cy)
+    doubtful = seen.where("near").drop("near")
+    met = holding(doubtful.select("asset_id", "word_index", "x", "y", "w", "h"), areas, box.cx, box.cy, {"role": "role"})
     # exclude before keep by name: a word that is in both stays
     lost = met.groupBy("asset_id", "word_index").agg(F.max("role").alias("role")).where("role = 'exclude'")
-    return whole.join(lost, ["asset_id", "word_index"], "left_anti")
+    return seen.where("not near").drop("near").unionByName(doubtful.join(lost, ["asset_id", "word_index"], "left_anti"))
 
 
 def incidental_words(words: DataFrame, detections: DataFrame, most: int = MAX_INCIDENTAL) -> DataFrame:

@@ -29,3 +29,11 @@ def test_incidental_words(spark):
     first = {p: sorted(x for x in areas if x[0] == p and x[2] == "product_photo_area")[:3] for p in range(4)}
     assert sorted(r.word_index for r in got.collect()) == sorted(x[1] for x in words if any(holds(f, x) for f in first.get(x[0], [])))
     assert moved(got)
+
+
+def test_masked_words(spark):
+    words, areas, w, a = tables(spark, random.Random(2))
+    got = regions.mask_words(w, a)
+    lost = lambda x: any(holds(f, x) for f in areas if f[2] == "product_photo_area") and not any(holds(f, x) for f in areas if f[2] == "sku_area")
+    assert sorted(r.word_index for r in got.collect()) == sorted(x[1] for x in words if not lost(x))
+    assert moved(got)
