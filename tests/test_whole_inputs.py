@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from galley.operators import grouping as G
+from galley.queries import QUERIES
 from galley.sources.fixtures import duck, fixture
 
 
@@ -80,3 +81,10 @@ def test_pages_have_whole_texts(spark, tables):
     got = spark.sql(f"{query} {{pages}}", pages=fixture(spark, d, "fx_pages")).collect()
     assert sorted(map(tuple, got)) == sorted(want)
     assert sorted(twin(d, "documents", "fx_pages", f"{query} fx_pages")) == sorted(want)
+
+
+def test_recognised_words_are_read_without_an_exchange(spark, tables):
+    d, texts = tables
+    got = QUERIES["ingest_ocr_words"](spark, d)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.asset_id, r.word_index, r.text) for r in got.collect()) == sorted((i, k, w) for i, t in enumerate(texts) for k, w in enumerate((t or "").split()))
