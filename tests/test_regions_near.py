@@ -18,8 +18,8 @@ def holds(a, w):
     return a[0] == w[0] and all(a[k + 3] <= w[k + 3] + w[k + 5] / 2 <= a[k + 3] + a[k + 5] for k in (0, 1))
 
 
-def moved(frame, column="word_index"):
-    """Exchanges over all words: those with no filter by the common boxes below them."""
+def moved(frame):
+    """Lines of the plan that look at the common boxes."""
     return [line for line in frame._jdf.queryExecution().optimizedPlan().toString().split("\n") if "__y2" in line]
 
 
