@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,25 @@ def common_subsequence(a: str, b: str) -> int:
     return row[-1]
 
 
+def common_subsequences(keys: list[str], term: str) -> np.ndarray:
+    """``common_subsequence`` of each key and one term of at most 64 characters, a bit a character: all keys take one
+    character at a time, so the work is that of the longest key, whatever the term's length."""
+    place = {c: i for i, c in enumerate(dict.fromkeys(term), 1)}
+    masks = np.zeros(len(place) + 1, np.uint64)
+    for i, c in enumerate(term):
+        masks[place[c]] |= np.uint64(1 << i)
+    table = np.zeros(max(map(ord, term), default=0) + 2, np.intp)
+    for c, i in place.items():
+        table[ord(c)] = i
+    codes = np.array(keys, dtype=f"<U{max(1, max(map(len, keys), default=1))}").view(np.uint32).reshape(len(keys), -1)
+    at = table[np.minimum(codes, len(table) - 1)]
+    row = np.full(len(keys), 2**64 - 1, np.uint64)
+    for j in range(at.shape[1]):
+        same = row & masks[at[:, j]]
+        row = (row + same) | (row - same)
+    return np.bitwise_count(~row & np.uint64((1 << len(term)) - 1)).astype(np.int64)
+
+
 def fuzzy_dictionary(tokens: DataFrame, dictionaries: tuple[tuple[str, ...], ...] = DICTIONARIES, threshold: float = THRESHOLD) -> DataFrame:
     """``tokens(token)`` -> ``token, term, score`` of the tokens that a term resembles, for distinct tokens.
 
@@ -49,19 +70,19 @@ def fuzzy_dictionary(tokens: DataFrame, dictionaries: tuple[tuple[str, ...], ...
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = []
-            for token, key in zip(pdf["token"], pdf["key"], strict=True):
-                best, score = None, 0.0
-                for d in terms:
-                    for k, term in d:
-                        if 200.0 * min(len(k), len(key)) < threshold * (len(k) + len(key)):
-                            continue
-                        s = 200.0 * common_subsequence(key, k) / (len(k) + len(key))
-                        if s >= threshold and s > score:
-                            best, score = term, s
-                if best is not None:
-                    found.append((token, best, score))
-            yield pd.DataFrame(found, columns=["token", "term", "score"])
+            keys, lengths = pdf["key"].to_numpy(object), pdf["key"].str.len().to_numpy(np.int64)
+            best, score = np.full(len(pdf), None, object), np.zeros(len(pdf))
+            for k, term in chain.from_iterable(terms):
+                whole = lengths + len(k)
+                near = np.flatnonzero(200.0 * np.minimum(lengths, len(k)) >= threshold * whole)
+                if not len(near):
+                    continue
+                common = common_subsequences(keys[near].tolist(), k) if len(k) <= 64 else np.array([common_subsequence(key, k) for key in keys[near]])
+                s = 200.0 * common / whole[near]
+                better = (s >= threshold) & (s > score[near])
+                best[near[better]], score[near[better]] = term, s[better]
+            found = np.flatnonzero(score > 0)
+            yield pd.DataFrame({"token": pdf["token"].to_numpy(object)[found], "term": best[found], "score": score[found]})
 
     keyed = tokens.where(F.col("token").rlike(r"\p{L}")).select("token", fuzzy_key(F.col("token")).alias("key"))
     return keyed.mapInPandas(run, "token string, term string, score double")

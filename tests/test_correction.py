@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from galley.functions import spanish as S
 from galley.operators import correction as C
+from galley.operators import dictionary
 
 CASES = {
     "CUALES EL MARTILLOIDEAL\nPARA TRABAJOS DE CARPINTERIA\nEN CAOBA?": "¿Cuál es el martillo ideal para trabajos de carpintería en caoba?",
@@ -82,3 +83,10 @@ def test_question_grammar_ends_words_as_the_twin_does(spark):
     lines = ["que esíñ arga", "Cual laá casa", "cuales lasñ", "cual el fin", "cual la_ casa", "que es", "cual\u00a0el fin"]
     got = [r.t for r in spark.createDataFrame([(t,) for t in lines], "t string").select(S.repair_question_grammar(F.col("t")).alias("t")).collect()]
     assert got == ["Qué esíñ arga", "Cuál es laá casa", "Cuáles son lasñ", "Cuál es el fin", "cual la_ casa", "Qué es", "cual\u00a0el fin"]
+
+
+def test_common_subsequences_of_a_batch_are_those_of_one_key():
+    draw = random.Random(3)
+    keys = ["", "Ñ", "MAESTRO", "M\0A", *("".join(draw.choice("ABCÑ\U0001f600") for _ in range(draw.randint(0, 90))) for _ in range(200))]
+    for term in ("", "A", "ABC", "SAN ISIDRO", "CBAÑ" * 16):
+        assert dictionary.common_subsequences(keys, term).tolist() == [dictionary.common_subsequence(k, term) for k in keys]
