@@ -5,7 +5,9 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from galley.functions import repair as R
 from galley.functions import spanish as S
+from galley.functions.text import norm_text
 from galley.operators import correction as C
 from galley.operators import dictionary
 
@@ -90,3 +92,27 @@ def test_common_subsequences_of_a_batch_are_those_of_one_key():
     keys = ["", "Ñ", "MAESTRO", "M\0A", *("".join(draw.choice("ABCÑ\U0001f600") for _ in range(draw.randint(0, 90))) for _ in range(200))]
     for term in ("", "A", "ABC", "SAN ISIDRO", "CBAÑ" * 16):
         assert dictionary.common_subsequences(keys, term).tolist() == [dictionary.common_subsequence(k, term) for k in keys]
+
+
+def odd_lines(n: int, seed: int) -> list[str]:
+    """Lines of pieces that the quick ways of the repair must treat as the long ones do."""
+    draw = random.Random(seed)
+    parts = ["que", "Qué", "QU'E", "tv", "LED", "Ñandú", "è", "Été", "más", "MAS", "numero", "a", "x1", "_", ".", "?", "!", "¿", "¡", ",", ";", " ", " ", "  ", "\t", "\n", "\r\n", " ", " ", '"', "“", "Ã¡", "é", "'", "ß", "K", "İ", "", "日本"]
+    return ["".join(draw.choice(parts) for _ in range(draw.randint(0, 14))) for _ in range(n)]
+
+
+def test_quick_ways_give_what_the_long_ones_give(spark):
+    df = spark.createDataFrame([(t,) for t in odd_lines(4000, 5)], "text string")
+    c = F.col("text")
+    tidy = df.select(c, S._tidied(c).alias("long"), S.normalize_text(c).alias("quick")).where("not (long <=> quick)").collect()
+    assert tidy == []
+    asks = df.select(c, R.more_than_four(c).alias("quick"), (F.size(R.tokens(c)) > 4).alias("long")).where("quick <> long").collect()
+    assert asks == []
+    may = df.where(norm_text(c).rlike(R.ASKING) & ~F.col("text").rlike(R.MAY_ASK)).collect()
+    assert may == []
+    plain = lambda t: F.when(t.rlike("(?s).*"), S.sub_tokens(t, lambda w: F.coalesce(F.when(S.word_key(w).isin(*S.ACCENTS), F.lit("#")), w)))
+    changed = df.select(c, S.restore_accents(c).alias("quick"), plain(c).alias("long"))
+    assert changed.where("(long <> text) and quick = text and not (lower(text) rlike 'más|manual|imagen|qué')").collect() == []
+    # a word more than any abbreviation's sends a text the long way
+    again = df.where(~c.contains("\u2028")).select(c, S.sentence_case(c).alias("quick"), S.sentence_case(F.concat(c, F.lit(" tv"))).alias("long"))
+    assert again.where("concat(quick, ' TV') <> long and concat(quick, ' TV') <> replace(long, 'Tv', 'TV')").collect() == []
