@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import is_badge, text_role
-from .layout import macro_zones
+from .layout import macro_zones_windowed
 from .lineage import written
 
 KEYS = ("asset_id",)
@@ -290,8 +290,8 @@ class _Micro:
 
 def zoned(lines: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Lines with ``zone``: halves and quarters of the piece where lines leave wide gaps, and of these once more."""
-    macro = macro_zones(lines, keys, *MACRO_SHARES, "Z_").withColumnRenamed("zone", "macro")
-    return macro_zones(macro, (*keys, "macro"), *SUB_SHARES, "S_").withColumn("zone", F.concat_ws("|", "macro", "zone")).drop("macro")
+    macro = macro_zones_windowed(lines, keys, *MACRO_SHARES, "Z_").withColumnRenamed("zone", "macro")
+    return macro_zones_windowed(macro, (*keys, "macro"), *SUB_SHARES, "S_").withColumn("zone", F.concat_ws("|", "macro", "zone")).drop("macro")
 
 
 def group_micro_blocks(lines: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
