@@ -283,6 +283,32 @@ def _majors(placed: DataFrame, *more: Column) -> DataFrame:
     return shares.groupBy("path").agg(largest, F.sum("k").alias("n"), F.max("k").alias("k")).where("k < n").select("path", "largest.*", "n", "k")
 
 
+def _mixed(large: DataFrame, groups: DataFrame) -> DataFrame:
+    """``path, node, component, other, n, k`` of the buckets with more than one component.
+
+    The sets outside a bucket's largest component (``other``) probe all of it; pairs inside that are linked already.
+    """
+    placed = stored(_placed(large, groups))
+    return placed.join(_majors(placed), "path").select("path", "node", "component", (F.col("component") != F.col("major")).alias("other"), "n", "k")
+
+
+def _agree() -> Column:
+    """Whether the embeddings ``embedding`` and ``e`` agree enough to be candidates."""
+    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.substring("embedding", i * 4 + 1, F.lit(4)) == F.substring("e", i * 4 + 1, F.lit(4))))
+    return same >= AGREE * COORDINATES
+
+
+def _stars(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node, component`` of the sets of large buckets ``large(path, node)`` that agree with the leader of their most
+    central bucket, which names their component."""
+    ranked = large.join(large.groupBy("node").agg(F.count("*").alias("rank")), "node")
+    leaders = ranked.groupBy("path").agg(F.max(F.struct("rank", "node")).alias("at"))
+    wanted = ranked.join(leaders, "path").groupBy("node").agg(F.max("at").alias("at"))
+    mine = stored(wanted.join(sets, "node").select("node", F.col("at.node").alias("leader"), "embedding"))
+    other = mine.select(F.col("node").alias("leader"), F.col("embedding").alias("e"))
+    return stored(mine.where("node <> leader").join(other, "leader").where(_agree()).select("node", F.col("leader").alias("component")))
+
+
 def _led(large: DataFrame, sets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``links`` with those of the sets of large buckets ``large(path, node)`` to leaders, and the components of all.
 
@@ -291,7 +317,6 @@ def _led(large: DataFrame, sets: DataFrame, links: DataFrame) -> tuple[DataFrame
     the largest component of a bucket, with a member of that component and with a leader of those outside.
     """
     other = sets.select(F.col("node").alias("leader"), F.col("embedding").alias("e"))
-    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.substring("embedding", i * 4 + 1, F.lit(4)) == F.substring("e", i * 4 + 1, F.lit(4))))
     ranked = stored(large.join(large.groupBy("node").agg(F.count("*").alias("rank")), "node"))
     left, groups = ranked, None
     for turn in range(LEADERS):
@@ -307,7 +332,7 @@ def _led(large: DataFrame, sets: DataFrame, links: DataFrame) -> tuple[DataFrame
         if turn:
             wanted = wanted.union(left.groupBy("node").agg(F.max("member").alias("at")))
         pairs = wanted.select("node", F.col("at.node").alias("leader")).distinct()
-        near = pairs.join(sets, "node").join(other, "leader").where(same >= AGREE * COORDINATES)
+        near = pairs.join(sets, "node").join(other, "leader").where(_agree())
         links = stored(links.union(near.select(F.col("node").alias("src"), F.col("leader").alias("dst"))).distinct())
         groups = connected_components(links)
     return links, groups
@@ -316,29 +341,40 @@ def _led(large: DataFrame, sets: DataFrame, links: DataFrame) -> tuple[DataFrame
 def candidate_links(sets: DataFrame, runs: int) -> DataFrame:
     """``sets(node, embedding)`` -> links ``(src, dst)`` that join all candidates of a group.
 
-    Buckets that similarity keeps large stay so however deep: at the last level their sets are linked to leaders first,
-    and what that leaves unlinked is compared in blocks.
+    Buckets that similarity keeps large stay so however deep: on the first level their sets are linked to a leader, and
+    only a bucket of more than BRUTE sets outside its largest component goes on to children; else those probe all of it
+    at once, each set meeting BRUTE others at most, as in a small bucket.  At the last level sets are linked to leaders
+    again, and what that leaves unlinked is compared in blocks.
     """
     roots = F.array(*[F.lit(r).cast("long") for r in range(1, runs + 1)])
     frontier = sets.select("node", F.explode(F.flatten(F.transform(roots, lambda r: _children(r, F.col("embedding"))))).alias("path"))
-    leaves, large = None, None
+    leaves, stars, probed = None, None, None
     for level in range(LEVELS):
         frontier = cut(frontier)  # a set reaches a path once: its parent and the sampled coordinate are part of it
         counts = frontier.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         met = frontier.join(counts, "path")
         small, large = met.where(F.col("n") <= BRUTE).select("path", "node"), met.where(F.col("n") > BRUTE).select("path", "node")
         leaves = small if leaves is None else leaves.union(small)
+        if not level:
+            large = cut(large)
+            if large.isEmpty():
+                break
+            stars = _stars(large, sets)
+            mixed = stored(_mixed(large, stars))
+            probed = mixed.where(F.col("n") - F.col("k") <= BRUTE)
+            large = mixed.where(F.col("n") - F.col("k") > BRUTE).select("path", "node")
         if level < LEVELS - 1:
             frontier = large.join(sets, "node").select("node", F.explode(_children(F.col("path"), F.col("embedding"))).alias("path"))
     near = "src long, dst long"
-    links = stored(leaves.join(sets, "node").select("path", "node", "embedding").repartition("path").sortWithinPartitions("path").mapInArrow(_brute_force, near).distinct())
+    found = leaves.join(sets, "node").select("path", "node", "embedding").repartition("path").sortWithinPartitions("path").mapInArrow(_brute_force, near)
+    if stars is None:
+        return stored(found.distinct())
+    links = stored(found.union(stars.toDF("src", "dst")).distinct())
     large = cut(large)
-    if large.isEmpty():
-        return links
-    links, groups = _led(large, sets, links)
-    placed = stored(_placed(large, groups))
-    # the sets outside a bucket's largest component probe all of it; pairs inside that component are linked already
-    mixed = placed.join(_majors(placed), "path").select("path", "node", "component", (F.col("component") != F.col("major")).alias("other"), "n", "k")
+    mixed = probed
+    if not large.isEmpty():
+        links, groups = _led(large, sets, links)
+        mixed = probed.union(_mixed(large, groups))
     probes = _probe_blocks(mixed).join(sets, "node").select("path", "x", "y", "probe", "node", "component", "embedding")
     rest = probes.repartition("path", "x", "y").sortWithinPartitions("path", "x", "y").mapInArrow(_probe, near)
     return cut(links.union(rest))

@@ -123,3 +123,21 @@ def test_both_sides_of_a_large_bucket_are_in_blocks(spark, monkeypatch):
     assert max(len(rows) + len(probes) for rows, probes in tasks.values()) < 120
     met = [(p, n) for rows, probes in tasks.values() for p in probes for n in rows]
     assert len(met) == len(set(met)) == 200 * 600
+
+
+def test_a_bucket_that_its_leader_links_has_no_children(spark, monkeypatch):
+    monkeypatch.setattr(J, "BRUTE", 8)
+    made, cut = [], J.cut
+
+    def counted(df):
+        out = cut(df)
+        if df.columns == ["node", "path"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "cut", counted)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(120)] + [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(20)]
+    rows = {r.doc_id: (r.class_id, r.n_links) for r in J.near_duplicates(table(spark, texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == brute(texts)
+    assert made[0] > 120 * J.runs_needed() and sum(made[1:]) == 0
