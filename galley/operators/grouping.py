@@ -5,6 +5,9 @@ top to bottom.  So a piece falls apart into strips, between which no word stands
 of the words' lower edges, and dealt out over all tasks in bundles.  In a task one bundle at a time is placed in order.
 Zones are windows; micro-blocks and blocks follow one another, so a task reads a piece's lines as a sorted stream and
 remembers the open block only.
+
+Lines and blocks of pieces that lie whole in one task are made in columns, many pieces at a time: what depends on earlier
+words or lines is done for all strips in step, or only where neighbours belong together at all.
 """
 
 from __future__ import annotations
@@ -31,6 +34,10 @@ BUNDLE_WORDS = 2000
 LONG_PIECE = 50_000
 #: Rows of a batch that a task hands on.
 BATCH_ROWS = 4000
+#: Words or lines, at least, of the whole pieces that are looked at together.
+BATCH_WORDS = 50_000
+#: So many strips of similar sizes are placed in step, if they have less than twice so many words.
+IN_STEP, LONGEST_IN_STEP = 16, 128
 LINE_TYPE = "text string, x int, y int, w int, h int, confidence double, words array<int>"
 MICRO_TYPE = "zone string, role string, text string, x int, y int, w int, h int, confidence double, lines array<int>, words array<int>"
 
@@ -66,16 +73,13 @@ def _share(a1: int, a2: int, b1: int, b2: int) -> float:
 
 
 class _Words:
-    """The words of a bundle in reading order, as columns."""
+    """The words of a strip in reading order, as columns."""
 
     def __init__(self, rows: dict[str, list]):
-        self.x, self.y, self.text, self.confidence, self.index, self.promo = (rows[c] for c in ("x", "y", "text", "confidence", "word_index", "promo"))
+        self.x, self.y = rows["x"], rows["y"]
         self.x2 = [x + w for x, w in zip(self.x, rows["w"], strict=True)]
         self.y2 = [y + h for y, h in zip(self.y, rows["h"], strict=True)]
 
-    def box(self, members: list[int]) -> tuple[int, int, int, int]:
-        return min(self.x[m] for m in members), min(self.y[m] for m in members), max(self.x2[m] for m in members), max(self.y2[m] for m in members)
-
     def place(self) -> list[list[int]]:
         """Members of each line: every word goes to the open line that it continues best.
 
@@ -111,38 +115,225 @@ class _Words:
                 chosen[4].append(i)
         return [line[4] for line in lines]
 
-    def columns(self, members: list[int]) -> list[list[int]]:
-        """A line that a wide gap parts into two columns."""
-        if len(members) < 6:  # fewer have no split
-            return [members]
-        centre = lambda m: self.x[m] + (self.x2[m] - self.x[m]) / 2
-        x1, _, x2, _ = self.box(members)
-        cut = split_point([centre(m) for m in members], max(1, x2 - x1), COLUMN_GAP)
-        if cut is None:
-            return [members]
-        sides = [[m for m in members if (centre(m) < cut) == left] for left in (True, False)]
-        return [members] if min(map(len, sides)) < 2 else sides
-
-    def badges(self, members: list[int]) -> list[list[int]]:
-        """A line from which promotional words stand well apart."""
-        promo = [m for m in members if self.promo[m]]
-        if not promo or len(promo) == len(members):
-            return [members]
-        rest = [m for m in members if not self.promo[m]]
-        a, b = self.box(rest), self.box(promo)
-        far = _apart(a[0], a[2], b[0], b[2]) > max(12.0, 1.15 * max(8, min(a[3] - a[1], b[3] - b[1])))
-        return [rest, promo] if far else [members]
-
-    def lines(self) -> list[tuple]:
-        """Rows of LINE_TYPE, from the top and then from the left."""
-        parts = [part for members in self.place() for column in self.columns(members) for part in self.badges(column)]
-        boxed = sorted(((*self.box(p), p) for p in parts), key=lambda b: ((b[1] + b[3]) / 2, b[0]))
-        rows = []
-        for x1, y1, x2, y2, members in boxed:
-            members = sorted(members, key=self.x.__getitem__)
-            text = " ".join([self.text[m] for m in members]).strip()
-            rows.append((text, x1, y1, x2 - x1, y2 - y1, sum([self.confidence[m] for m in members]) / len(members), [self.index[m] for m in members]))
-        return rows
+
+def _place_in_step(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The number of each word's line, as ``_Words.place`` has it, for strips of similar sizes, longest first: the k-th words of all
+    of them are placed at once."""
+    far = 2**40
+    edges = np.zeros((4, len(sizes), int(sizes[0])), np.int64)
+    edges[1], edges[3] = far, -far  # no word overlaps a line that is not there yet
+    made = np.zeros(len(sizes), np.int64)
+    placed = np.zeros(len(x1), np.int64)
+    for k in range(int(sizes[0])):
+        n = int(np.searchsorted(-sizes, -k))  # strips of more than k words
+        at, rows = starts[:n] + k, np.arange(n)
+        word = [e[at][:, None] for e in (x1, y1, x2, y2)]
+        lx1, ly1, lx2, ly2 = edges[:, :n, : int(made[:n].max()) + 1]
+        high = word[3] - word[1]
+        over = np.minimum(ly2, word[3]) - np.maximum(ly1, word[1])
+        height = np.maximum(1, ly2 - ly1)
+        most = np.maximum(height, high)
+        gap, reach = np.maximum(0.0, np.maximum(word[0] - lx2, lx1 - word[2])), np.maximum(10.0, 2.8 * most)
+        shared, off = over / np.maximum(1.0, np.minimum(height, high)), np.abs(word[1] + high / 2 - (ly1 + ly2) / 2)
+        fits = (over > 0) & (gap <= reach) & ((shared >= SURE_OVERLAP) | ((shared >= LIKELY_OVERLAP) & (off <= np.maximum(3.0, 0.55 * most))))
+        score = np.where(fits, 3 * shared - off / height - gap / reach, -np.inf)
+        best = score.argmax(1)
+        joins = score[rows, best] > -np.inf
+        line = np.where(joins, best, made[:n])
+        made[:n] += ~joins
+        for i, (e, wider) in enumerate(zip((x1, y1, x2, y2), (np.minimum, np.minimum, np.maximum, np.maximum), strict=True)):
+            edges[i, rows, line] = np.where(joins, wider(edges[i, rows, line], e[at]), e[at])
+        placed[at] = line
+    return placed
+
+
+def _placed_words(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Line of each word in its strip.  Strips are taken by classes of sizes; the few of a size, and very long ones, one by one."""
+    placed = np.zeros(len(x1), np.int64)
+    least = 2
+    while (rest := sizes >= least).any():
+        own = np.flatnonzero(rest & (sizes < 2 * least))
+        if len(own) >= IN_STEP and least <= LONGEST_IN_STEP:
+            own = own[np.argsort(-sizes[own], kind="stable")]
+            at = np.repeat(starts[own], sizes[own]) + _within(sizes[own])
+            placed[at] = _place_in_step(*(e[at] for e in (x1, y1, x2, y2)), np.cumsum(sizes[own]) - sizes[own], sizes[own])
+        else:
+            for i in own:
+                part = slice(starts[i], starts[i] + sizes[i])
+                strip = {"x": x1[part], "y": y1[part], "w": x2[part] - x1[part], "h": y2[part] - y1[part]}
+                for line, members in enumerate(_Words({c: v.tolist() for c, v in strip.items()}).place()):
+                    placed[starts[i] + np.array(members)] = line
+        least *= 2
+    return placed
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... in each of groups that follow one another."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _first(marks: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    begins = np.ones(len(marks), bool)
+    np.not_equal(marks[1:], marks[:-1], out=begins[1:])
+    return begins
+
+
+def _sizes(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(starts, n))
+
+
+def _means(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``sum(group) / len(group)`` to the last bit: Python's sum of floats is Neumaier's."""
+    total, lost = values[starts].copy(), np.zeros(len(starts))
+    longer = np.flatnonzero(sizes > 1)
+    for i in longer[sizes[longer] > LONGEST_IN_STEP]:
+        total[i] = sum(values[starts[i] : starts[i] + sizes[i]].tolist())
+    longer = longer[sizes[longer] <= LONGEST_IN_STEP]
+    k = 1
+    while len(longer):
+        t, v = total[longer], values[starts[longer] + k]
+        both = t + v
+        lost[longer] += np.where(np.abs(t) >= np.abs(v), (t - both) + v, (v - both) + t)
+        total[longer] = both
+        k += 1
+        longer = longer[sizes[longer] > k]
+    return np.where((lost != 0) & np.isfinite(lost), total + lost, total) / sizes
+
+
+def _joined(texts: pa.Array, rows: np.ndarray, starts: np.ndarray, mark: str) -> pa.Array:
+    """Texts of groups of ``rows``, joined and without white space at the ends."""
+    made = pc.binary_join(_lists(texts.cast(pa.string()).take(pa.array(rows)), starts), mark)
+    ends = np.frombuffer(made.buffers()[1], np.int32, len(made) + 1, made.offset * 4)
+    filled = np.flatnonzero(ends[1:] > ends[:-1])
+    if not len(filled):
+        return made
+    data = np.frombuffer(made.buffers()[2], np.uint8)
+    edge = np.stack([data[ends[filled]], data[ends[filled + 1] - 1]])
+    doubtful = filled[((edge <= 32) | (edge >= 127)).any(0)]
+    return _replaced(made, doubtful, [t.strip() for t in made.take(pa.array(doubtful)).to_pylist()])
+
+
+def _replaced(values: pa.Array, at: np.ndarray, by: list) -> pa.Array:
+    mask = np.zeros(len(values), bool)
+    mask[at] = True
+    return pc.replace_with_mask(values, pa.array(mask), pa.array(by, values.type)) if len(at) else values
+
+
+def _lists(values: pa.Array, starts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
+
+
+def _columns_of(centres: list[float], x1: int, x2: int) -> list[bool] | None:
+    """Which words of a line that a wide gap parts into two columns are left of it."""
+    cut = split_point(centres, max(1, x2 - x1), COLUMN_GAP)
+    left = [c < cut for c in centres] if cut is not None else []
+    return left if min(sum(left), len(left) - sum(left)) >= 2 else None
+
+
+def _badges_apart(box: np.ndarray, promo: np.ndarray) -> bool:
+    """Whether the promotional words of a line (columns x1, y1, x2, y2) stand well apart."""
+    a, b = ([*m[:, :2].min(0).tolist(), *m[:, 2:].max(0).tolist()] for m in (box[~promo], box[promo]))
+    return _apart(a[0], a[2], b[0], b[2]) > max(12.0, 1.15 * max(8, min(a[3] - a[1], b[3] - b[1])))
+
+
+def _line_columns(piece: np.ndarray, words: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    """Of whole pieces (numbered 0, 1, ... by ``piece``): each line's piece, its number from 1 and LINE_TYPE's columns, from the top
+    and then from the left."""
+    x, y, w, h, index = (words[c].to_numpy() for c in ("x", "y", "w", "h", "word_index"))
+    x, y, w, h = (c.astype(np.int64) if c.dtype.kind in "iu" else c for c in (x, y, w, h))
+    order = np.lexsort((index, x + w / 2, y + h / 2, piece))
+    piece, x, y, h = piece[order], x[order], y[order], h[order]
+    x2, y2, centre = x + w[order], y + h, x + w[order] / 2
+    n = len(order)
+    # strips: no word reaches over the next one's top
+    low, least = y + np.maximum(h, 1), y.min()
+    base = piece * (low.max() - least + 1) - least
+    down = np.lexsort((y, piece))
+    begins = np.ones(n, bool)
+    begins[1:] = (y + base)[down][1:] >= np.maximum.accumulate((low + base)[down])[:-1]
+    strip = np.empty(n, np.int64)
+    strip[down] = np.cumsum(begins) - 1
+    rows = np.argsort(strip, kind="stable")
+    starts = np.flatnonzero(_first(strip[rows]))
+    sizes = _sizes(starts, n)
+    placed = _placed_words(x[rows], y[rows], x2[rows], y2[rows], starts, sizes)
+    # a line goes by the place of its first word, its parts by that and which part they are
+    line = np.repeat(starts, sizes) + placed
+    members = np.argsort(line, kind="stable")
+    starts = np.flatnonzero(_first(line[members]))
+    sizes = _sizes(starts, n)
+    members = rows[members]
+    part = np.repeat(4 * members[starts], sizes)
+    promo = pc.fill_null(words["promo"], False).to_numpy(zero_copy_only=False)[order][members]
+    many = np.flatnonzero(sizes >= 6)  # fewer have no split
+    for i in many:
+        own = slice(starts[i], starts[i] + sizes[i])
+        m = members[own]
+        left = _columns_of(centre[m].tolist(), int(x[m].min()), int(x2[m].max()))
+        if left is not None:
+            part[own] += 2 * ~np.array(left)
+    if promo.any():
+        shown = np.zeros(n + 1, np.int64)
+        np.cumsum(promo, out=shown[1:])
+        held = shown[starts + sizes] - shown[starts]
+        for i in np.flatnonzero((held > 0) & (held < sizes)):
+            own = np.arange(starts[i], starts[i] + sizes[i])
+            for side in (own[part[own] % 4 == 0], own[part[own] % 4 == 2]):
+                is_promo, m = promo[side], members[side]
+                if is_promo.any() and not is_promo.all() and _badges_apart(np.stack([x[m], y[m], x2[m], y2[m]], 1), is_promo):
+                    part[side] += is_promo
+    arranged = np.lexsort((members, x[members], part))
+    members, part = members[arranged], part[arranged]
+    starts = np.flatnonzero(_first(part))
+    sizes = _sizes(starts, n)
+    x1, y1, x2, y2 = np.minimum.reduceat(x[members], starts), np.minimum.reduceat(y[members], starts), np.maximum.reduceat(x2[members], starts), np.maximum.reduceat(y2[members], starts)
+    piece = piece[members[starts]]
+    by = np.lexsort((part[starts], x1, (y1 + y2) / 2, piece))
+    piece, x1, y1, x2, y2, starts, sizes = (c[by] for c in (piece, x1, y1, x2, y2, starts, sizes))
+    members = order[members[np.repeat(starts, sizes) + _within(sizes)]]
+    starts = np.cumsum(sizes) - sizes
+    number = _within(_sizes(np.flatnonzero(_first(piece)), len(piece))) + 1
+    text = _joined(words["text"], members, starts, " ")
+    mean = _means(words["confidence"].to_numpy()[members], starts, sizes)
+    box = [pa.array(c, pa.int32()) for c in (x1, y1, x2 - x1, y2 - y1)]
+    return piece, number, [text, *box, pa.array(mean, pa.float64()), _lists(words["word_index"].take(pa.array(members)).cast(pa.int32()), starts)]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], least: int = BATCH_WORDS) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Whole pieces of a stream in which their rows follow one another, ``least`` rows or more at a time, and where they begin."""
+    held, n, enough = [], 0, least
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= enough:
+            whole = _one(held)
+            begins = _begins(whole, keys)
+            last = int(begins[-1])
+            if last:
+                yield whole.slice(0, last), begins[:-1]
+                whole = whole.slice(last)
+            held, n = [whole], whole.num_rows
+            enough = max(least, 2 * n)
+    if held:
+        whole = _one(held)
+        yield whole, _begins(whole, keys)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in batches]) for i in range(batches[0].num_columns)], schema=batches[0].schema)
+
+
+def _begins(rows: pa.RecordBatch, keys: tuple[str, ...]) -> np.ndarray:
+    n = rows.num_rows
+    begins = np.zeros(n, bool)
+    begins[0] = True
+    for k in keys:
+        other = pc.fill_null(pc.not_equal(rows[k].slice(1), rows[k].slice(0, n - 1)), True)
+        begins[1:] |= other.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(begins)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, dict[str, list]]]:
@@ -152,14 +343,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         n = batch.num_rows
         if not n:
             continue
-        begins = np.zeros(n, bool)
-        begins[0] = True
-        for k in keys:
-            column = batch[k]
-            other = pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, n - 1)), True)
-            begins[1:] |= other.to_numpy(zero_copy_only=False)
         columns = {c: batch[c].to_numpy().tolist() if pa.types.is_primitive(batch[c].type) and not batch[c].null_count and not pa.types.is_boolean(batch[c].type) else batch[c].to_pylist() for c in batch.schema.names}
-        cuts = [*np.flatnonzero(begins).tolist(), n]
+        cuts = [*_begins(batch, keys).tolist(), n]
         for low, high in zip(cuts, cuts[1:], strict=False):
             mark = tuple(columns[k][low] for k in keys)
             if held is not None and mark == key:
@@ -192,6 +377,18 @@ def _streamed(sorted_rows: DataFrame, work, type_: str) -> DataFrame:
     return sorted_rows.mapInArrow(lambda batches: _batches(iter(work(batches)), schema), type_)
 
 
+def _by_piece(rows: DataFrame, keys: tuple[str, ...], work, type_: str) -> DataFrame:
+    """``work(rows, begins)`` makes columns of ``type_`` out of whole pieces; rows of a piece follow one another in one task."""
+    schema = to_arrow_schema(rows.sparkSession.createDataFrame([], type_).schema)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, begins in _pieces(batches, keys):
+            out = pa.RecordBatch.from_arrays(work(whole, begins), schema=schema)
+            yield from (out.slice(at, BATCH_ROWS) for at in range(0, out.num_rows, BATCH_ROWS))
+
+    return rows.mapInArrow(made, type_)
+
+
 def _types(df: DataFrame, columns: tuple[str, ...]) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
 
@@ -212,39 +409,45 @@ def bundles(words: DataFrame, keys: tuple[str, ...] = KEYS, size: int = BUNDLE_W
     return words.join(numbered.hint("shuffle_hash"), [*keys, "y"], "left").withColumn("bundle", F.coalesce("bundle", F.lit(0)))
 
 
-def group_lines(words: DataFrame, keys: tuple[str, ...] = KEYS, size: int = BUNDLE_WORDS, most: int = LONG_PIECE) -> DataFrame:
+def group_lines(words: DataFrame, keys: tuple[str, ...] = KEYS, size: int = BUNDLE_WORDS, most: int = LONG_PIECE, together: bool = False) -> DataFrame:
     """``words(*keys, word_index, text, x, y, w, h, confidence)`` -> ``*keys, line, text, x, y, w, h, confidence, words, role``.
 
     Words go, from the top, to the open line that they fit best; lines are parted at wide column gaps and before
-    promotional words that stand apart.  Pieces of more than ``most`` words are placed in bundles of ``size``.
+    promotional words that stand apart.  Pieces of more than ``most`` words are placed in bundles of ``size``.  Words of
+    which a piece's follow one another in one task (``together``, for pieces of up to ``most``) do not move.
     """
+    short, long = _short_and_long(words, keys, most, together)
+    made = _lines_of_pieces(short, keys, together)
+    return made if long is None else made.unionByName(_lines_of_bundles(long, keys, size))
+
+
+def _short_and_long(words: DataFrame, keys: tuple[str, ...], most: int, together: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Words of pieces of up to ``most`` words, and of others if there are any."""
     needed = words.select(*keys, "word_index", "text", "x", "y", "w", "h", "confidence")
+    if together:
+        return needed, None
     # fewer than one in LONG_PIECE words, so their keys may be broadcast
     long = written(needed.groupBy(*keys).count().where(F.col("count") > most).select(*keys))
     if long.isEmpty():
-        return _lines_of_pieces(needed, keys)
-    return _lines_of_pieces(needed.join(F.broadcast(long), [*keys], "left_anti"), keys).unionByName(_lines_of_bundles(needed.join(F.broadcast(long), [*keys], "left_semi"), keys, size))
+        return needed, None
+    return needed.join(F.broadcast(long), [*keys], "left_anti"), needed.join(F.broadcast(long), [*keys], "left_semi")
 
 
-def _placed(dealt: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    placed = dealt.repartition(*by).sortWithinPartitions(*by, F.col("y") + F.col("h") / F.lit(2.0), F.col("x") + F.col("w") / F.lit(2.0), "word_index")
+def _placed_lines(dealt: DataFrame, by: tuple[str, ...], number: str, together: bool = False) -> DataFrame:
+    """The lines of each group of words, numbered from 1; words that lie ``together`` by their group stay where they are."""
+    placed = dealt if together else dealt.repartition(*by).sortWithinPartitions(*by)
     # the role of a single word matters where it may be a badge only
-    return placed.withColumn("promo", is_badge(F.col("text")) & (text_role(F.col("text")) == "promo_badge"))
-
+    placed = placed.withColumn("promo", is_badge(F.col("text")) & (text_role(F.col("text")) == "promo_badge"))
 
-def _placed_lines(dealt: DataFrame, by: tuple[str, ...], number: str) -> DataFrame:
-    """The lines of each group of words, numbered from 1."""
+    def work(rows: pa.RecordBatch, begins: np.ndarray) -> list[pa.Array]:
+        piece, numbers, made = _line_columns(np.repeat(np.arange(len(begins)), _sizes(begins, rows.num_rows)), rows)
+        return [*(rows[k].take(pa.array(begins[piece])) for k in by), pa.array(numbers, pa.int32()), *made]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for key, rows in _groups(batches, by):
-            for n, row in enumerate(_Words(rows).lines(), 1):
-                yield (*key, n, *row)
+    return _by_piece(placed, by, work, f"{_types(dealt, by)}, {number} int, {LINE_TYPE}")
 
-    return _streamed(_placed(dealt, by), work, f"{_types(dealt, by)}, {number} int, {LINE_TYPE}")
 
-
-def _lines_of_pieces(words: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    return _placed_lines(words, keys, "line").withColumn("role", text_role(F.col("text")))
+def _lines_of_pieces(words: DataFrame, keys: tuple[str, ...], together: bool = False) -> DataFrame:
+    return _placed_lines(words, keys, "line", together).withColumn("role", text_role(F.col("text")))
 
 
 def _lines_of_bundles(words: DataFrame, keys: tuple[str, ...], size: int) -> DataFrame:
@@ -253,6 +456,13 @@ def _lines_of_bundles(words: DataFrame, keys: tuple[str, ...], size: int) -> Dat
     return made.select(*keys, line.alias("line"), "text", "x", "y", "w", "h", "confidence", "words", text_role(F.col("text")).alias("role"))
 
 
+def _akin(own: str, role: str) -> bool:
+    """Whether a line of ``role`` may go on with a micro-block of ``own``."""
+    if own in ALONE or role in ALONE or {own, role} == {"campaign", "date_range"} or (own == "brand") != (role == "brand"):
+        return False
+    return (own != "description" or role in ("description", "unknown")) and (role != "description" or own in ("description", "unknown"))
+
+
 class _Micro:
     """A micro-block that lines may still join."""
 
@@ -264,11 +474,7 @@ class _Micro:
     def add(self, line: int, text: str, x: int, y: int, w: int, h: int, confidence: float, words: list[int], role: str) -> bool:
         """Takes a line that goes on with this micro-block."""
         own = self.role
-        if own in ALONE or role in ALONE or {own, role} == {"campaign", "date_range"} or (own == "brand") != (role == "brand"):
-            return False
-        if (own == "description" and role not in ("description", "unknown")) or (role == "description" and own not in ("description", "unknown")):
-            return False
-        if y - self.low > MICRO_GAP * max(8.0, (h + self.high) / 2):
+        if not _akin(own, role) or y - self.low > MICRO_GAP * max(8.0, (h + self.high) / 2):
             return False
         over = _share(self.x1, self.x2, x, x + w)
         if over < MICRO_OVERLAP and (over < ALIGNED_OVERLAP or abs(self.x1 - x) / max(1, min(self.x2 - self.x1, w)) > ALIGNED):
@@ -426,6 +632,155 @@ def group_blocks_simple(lines: DataFrame) -> DataFrame:
     return _streamed(bounded, work, f"{_types(lines, KEYS)}, block int, text string, x int, y int, w int, h int, confidence double, lines array<int>, words array<int>")
 
 
+def _shares(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> np.ndarray:
+    """``_share`` in columns."""
+    return np.maximum(0, np.minimum(a2, b2) - np.maximum(a1, b1)) / np.maximum(1, np.minimum(a2 - a1, b2 - b1))
+
+
+def _split_side(group: np.ndarray, v: np.ndarray, low: np.ndarray, high: np.ndarray, share: float) -> np.ndarray:
+    """Of values in groups (0, 1, ...): 0 where the group's widest gap is no split, 1 before it, 2 after it; as ``split_point``
+    over the span from the lowest ``low`` to the highest ``high``."""
+    order = np.lexsort((v, group))
+    g, s = group[order], v[order]
+    starts = np.flatnonzero(_first(g))
+    sizes = _sizes(starts, len(g))
+    gap = np.append(np.where(g[1:] == g[:-1], s[1:] - s[:-1], -1.0), -1.0)
+    widest = np.maximum.reduceat(gap, starts)
+    span = np.maximum.reduceat(high[order], starts) - np.minimum.reduceat(low[order], starts)
+    own = np.repeat(np.arange(len(starts)), sizes)
+    found = np.flatnonzero(gap == widest[own])
+    at = found[_first(own[found])]
+    upto = at - starts + 1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cut = (sizes >= 6) & (upto >= 2) & (sizes - upto >= 2) & (span > 1e-6) & (widest / span >= share)
+    middle = np.where(cut, (s[at] + s[np.minimum(at + 1, len(s) - 1)]) / 2.0, np.nan)
+    side = np.empty(len(g), np.int64)
+    side[order] = np.where(np.isnan(middle)[own], 0, np.where(s < middle[own], 1, 2))
+    return side
+
+
+def _zones(piece: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The zones of ``zoned`` of whole pieces, as numbers."""
+    zone = piece
+    for of_x, of_y in (MACRO_SHARES, SUB_SHARES):
+        sides = 3 * _split_side(zone, y + h / 2.0, y, y + h, of_y) + _split_side(zone, x + w / 2.0, x, x + w, of_x)
+        zone = np.unique(9 * zone + sides, return_inverse=True)[1]
+    return zone
+
+
+def _runs(near: np.ndarray, start, grow) -> np.ndarray:
+    """Where groups of neighbours begin.  ``near[i]`` tells whether i goes on with i - 1 alone; from there ``grow(start(i - 1), j)``
+    tells whether i, i + 1, ... go on with all before."""
+    begins = np.ones(len(near), bool)
+    after = 0
+    for i in np.flatnonzero(near).tolist():
+        if i < after:
+            continue
+        group, after = start(i - 1), i
+        while after < len(near) and grow(group, after):
+            begins[after] = False
+            after += 1
+        after += 1  # what did not go on is alone: the next is told by ``near``
+    return begins
+
+
+def _block_columns(piece: np.ndarray, lines: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    """Of whole pieces' lines: each block's piece, its number from 1, the columns of ``block_rollup`` and the role of its line, if it
+    has one only: as ``group_micro_blocks`` has them."""
+    number, x, y, w, h = (lines[c].to_numpy().astype(np.int64) for c in ("line", "x", "y", "w", "h"))
+    zone = _zones(piece, x, y, w, h)
+    order = np.lexsort((number, x, y + h / 2.0, zone))
+    zone, piece, number, x, y, w, h = (c[order] for c in (zone, piece, number, x, y, w, h))
+    x2, y2, n = x + w, y + h, len(order)
+    named = lines["role"].dictionary_encode()
+    roles, role = named.dictionary.to_pylist(), named.indices.to_numpy()[order]
+    confidence = lines["confidence"].to_numpy()[order]
+    # micro-blocks: neighbours in a zone
+    zones = np.flatnonzero(_first(zone))
+    of_zone = np.repeat(np.arange(len(zones)), _sizes(zones, n))
+    akin = np.array([[_akin(a, b) for b in roles] for a in roles])
+    before, after = slice(0, n - 1), slice(1, n)
+    over = _shares(x[before], x2[before], x[after], x2[after])
+    near = np.zeros(n, bool)
+    near[1:] = (zone[1:] == zone[:-1]) & akin[role[before], role[after]] & (y[after] - y2[before] <= MICRO_GAP * np.maximum(8.0, (h[after] + h[before]) / 2))
+    near[1:] &= (over >= MICRO_OVERLAP) | ((over >= ALIGNED_OVERLAP) & (np.abs(x[before] - x[after]) / np.maximum(1, np.minimum(w[before], w[after])) <= ALIGNED))
+    line = lambda i: (0, "", int(x[i]), int(y[i]), int(w[i]), int(h[i]), 0.0, [], roles[role[i]])
+    changed = {}
+
+    def start(i: int) -> _Micro:
+        changed[i] = _Micro(0, 0, *line(i))
+        return changed[i]
+
+    begins = np.flatnonzero(_runs(near, start, lambda micro, j: zone[j] == zone[j - 1] and micro.add(*line(j))))
+    sizes = _sizes(begins, n)
+    kinds = {r: i for i, r in enumerate(roles)}
+    kind = role.astype(np.int64)
+    for i, micro in changed.items():
+        kind[i] = kinds[micro.role]
+    mean = _means(confidence, begins, sizes)
+    edges = [f.reduceat(c, begins) for f, c in ((np.minimum, x), (np.minimum, y), (np.maximum, x2), (np.maximum, y2))]
+    # blocks: neighbours of one zone and role in a piece
+    first, nth = np.minimum.reduceat(number, zones)[of_zone[begins]], begins - zones[of_zone[begins]]
+    by = np.lexsort((nth, first, edges[0], edges[1] + (edges[3] - edges[1]) / 2.0, piece[begins]))
+    begins, sizes, mean = begins[by], sizes[by], mean[by]
+    x1, y1, x2, y2 = (e[by] for e in edges)
+    own, kind = zone[begins], kind[begins]
+    joinable = np.array([r in JOINABLE for r in roles])[kind]
+    near = np.zeros(len(by), bool)
+    near[1:] = (own[1:] == own[:-1]) & (kind[1:] == kind[:-1]) & joinable[1:] & (y1[1:] - y2[:-1] <= BLOCK_GAP * np.maximum(8.0, (y2[:-1] - y1[:-1] + y2[1:] - y1[1:]) / 2))
+    near[1:] &= _shares(x1[:-1], x2[:-1], x1[1:], x2[1:]) >= BLOCK_OVERLAP
+    grown = lambda j: [int(x1[j]), int(y1[j]), int(x2[j]), int(y2[j])]
+
+    def grow(box: list[int], j: int) -> bool:
+        if own[j] != own[j - 1] or kind[j] != kind[j - 1]:
+            return False
+        a1, b1, a2, b2 = grown(j)
+        if b1 - box[3] > BLOCK_GAP * max(8.0, (box[3] - box[1] + b2 - b1) / 2) or _share(box[0], box[2], a1, a2) < BLOCK_OVERLAP:
+            return False
+        box[:] = min(box[0], a1), min(box[1], b1), max(box[2], a2), max(box[3], b2)
+        return True
+
+    micros = np.flatnonzero(_runs(near, grown, grow))
+    held = _sizes(micros, len(by))
+    rows = order[np.repeat(begins, sizes) + _within(sizes)]
+    of_micro = np.cumsum(sizes) - sizes
+    at = of_micro[micros]
+    many = np.flatnonzero(_sizes(at, n) > 1)
+    text, role_of = lines["text"].take(pa.array(rows[at])), lines["role"].take(pa.array(rows[at]))
+    whole, confidences = [], mean[micros]
+    for b in many.tolist():
+        parts = range(micros[b], micros[b] + held[b])
+        texts = ["\n".join(lines["text"].take(pa.array(rows[of_micro[m] : of_micro[m] + sizes[m]])).to_pylist()).strip() for m in parts]
+        whole.append("\n".join(texts))
+        for m in parts[1:]:
+            confidences[b] = (confidences[b] + mean[m]) / 2.0
+    text, role_of = _replaced(text, many, whole), _replaced(role_of, many, [None] * len(many))
+    box = [f.reduceat(c, micros) for f, c in ((np.minimum, x1), (np.minimum, y1), (np.maximum, x2), (np.maximum, y2))]
+    of = piece[begins[micros]]
+    number = _within(_sizes(np.flatnonzero(_first(of)), len(of))) + 1
+    size = [pa.array(c, pa.int32()) for c in (box[0], box[1], box[2] - box[0], box[3] - box[1])]
+    return of, number, [text, *size, pa.array(confidences, pa.float64()), _taken(lines["words"], rows, at), role_of]
+
+
+def _taken(lists: pa.Array, rows: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The lists of groups of ``rows``, one after another."""
+    taken = lists.take(pa.array(rows))
+    ends = taken.offsets.to_numpy()
+    return _lists(taken.flatten(), (ends - ends[0])[starts])
+
+
+def _blocks_of_pieces(lines: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``build_layout`` of lines as ``_lines_of_pieces`` leaves them, a piece's in one task and in order: no exchange."""
+
+    def work(rows: pa.RecordBatch, begins: np.ndarray) -> list[pa.Array]:
+        piece, numbers, made = _block_columns(np.repeat(np.arange(len(begins)), _sizes(begins, rows.num_rows)), rows)
+        return [*(rows[k].take(pa.array(begins[piece])) for k in keys), pa.array(numbers, pa.int32()), *made]
+
+    columns = f"{_types(lines, keys)}, block int, text string, x int, y int, w int, h int, confidence double, words array<int>, own string"
+    made = _by_piece(lines, keys, work, columns).withColumn("confidence", F.bround("confidence", 4))
+    return made.withColumn("role", F.coalesce("own", text_role(F.col("text")))).drop("own")
+
+
 def _rolled(micros: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """``block_rollup`` of micro-blocks as ``group_micro_blocks`` leaves them, a piece's in one task and in order: a stream with
     the open block, no exchange."""
@@ -454,6 +809,8 @@ def _rolled(micros: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return made.withColumn("confidence", F.bround("confidence", 4)).withColumn("role", text_role(F.col("text")))
 
 
-def build_layout(words: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Words to blocks in one go."""
-    return _rolled(group_micro_blocks(group_lines(words, keys), keys), keys)
+def build_layout(words: DataFrame, keys: tuple[str, ...] = KEYS, most: int = LONG_PIECE, together: bool = False) -> DataFrame:
+    """Words to blocks in one go; ``most`` and ``together`` as in ``group_lines``.  Pieces of up to ``most`` words move once at most."""
+    short, long = _short_and_long(words, keys, most, together)
+    made = _blocks_of_pieces(_lines_of_pieces(short, keys, together), keys)
+    return made if long is None else made.unionByName(_rolled(group_micro_blocks(_lines_of_bundles(long, keys, BUNDLE_WORDS), keys), keys))

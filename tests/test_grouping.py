@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from galley.operators import grouping as G
@@ -153,3 +155,55 @@ def test_blocks_of_a_stream_are_those_of_the_grouping(spark):
     micros = G.group_micro_blocks(G.group_lines(frame))
     got, want = G.build_layout(frame), G.block_rollup(micros)
     assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_strips_in_step_are_placed_like_one_by_one(monkeypatch):
+    rng = np.random.default_rng(11)
+    sizes = rng.integers(1, 40, 400)
+    starts, n = np.cumsum(sizes) - sizes, int(sizes.sum())
+    x1, y1 = rng.integers(0, 400, n), rng.integers(0, 60, n)
+    x2, y2 = x1 + rng.integers(0, 90, n), y1 + rng.integers(0, 40, n)
+    in_step = G._placed_words(x1, y1, x2, y2, starts, sizes)
+    monkeypatch.setattr(G, "IN_STEP", n)
+    assert (in_step == G._placed_words(x1, y1, x2, y2, starts, sizes)).all()
+
+
+def test_few_words_of_a_page_are_looked_at_one_by_one(monkeypatch):
+    """Strips of similar sizes are placed in step: 50 000 words of short rows without a pass for each strip."""
+    n = 50_000
+    i = np.arange(n)
+    words = {"word_index": i, "text": ["casa"] * n, "x": i % 8 * 120, "y": i // 8 * 30, "w": np.full(n, 60), "h": np.full(n, 18), "confidence": np.full(n, 0.5), "promo": np.zeros(n, bool)}
+    placed, place = [], G._Words.place
+    monkeypatch.setattr(G._Words, "place", lambda self: placed.append(len(self.x)) or place(self))
+    piece, number, made = G._line_columns(np.zeros(n, int), pa.RecordBatch.from_pydict(words))
+    assert sum(placed) < 100 and sorted(made[-1].flatten().to_pylist()) == list(range(n)) and number[-1] == len(number)
+
+
+def test_means_are_those_of_pythons_sum():
+    rng = random.Random(12)
+    groups = [[rng.choice([rng.random(), 1e16 * rng.random(), -rng.random()]) for _ in range(rng.choice([1, 2, 5, 200]))] for _ in range(300)]
+    sizes = np.array(list(map(len, groups)))
+    assert G._means(np.concatenate(groups), np.cumsum(sizes) - sizes, sizes).tolist() == [sum(g) / len(g) for g in groups]
+
+
+def test_pieces_whose_words_lie_together_do_not_move(spark):
+    rng = random.Random(13)
+    rows = [(a, *r[1:]) for a in range(5) for r in long_piece(rng, 120)]
+    frame = spark.createDataFrame(rows, WORD).repartition(3, "asset_id").sortWithinPartitions("asset_id")
+    exchanges = frame._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    for what in (G.group_lines, G.build_layout):
+        near = what(frame, together=True)
+        assert near._jdf.queryExecution().executedPlan().toString().count("Exchange") == exchanges
+        assert sorted(map(repr, near.collect())) == sorted(map(repr, what(frame.repartition(4)).collect()))
+
+
+def test_words_move_once_on_their_way_to_blocks(spark):
+    assert G.build_layout(words(spark))._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_long_pieces_have_the_blocks_of_whole_ones(spark):
+    rng = random.Random(14)
+    frame = spark.createDataFrame([(a, *r[1:]) for a, n in ((1, 400), (2, 30)) for r in long_piece(rng, n)], WORD)
+    both = G.build_layout(frame, most=100)
+    assert "Union" in both._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, G.build_layout(frame).collect()))
