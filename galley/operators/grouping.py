@@ -597,13 +597,64 @@ class _Simple:
         return self.block, "\n".join(self.texts).strip(), self.x1, self.y1, self.x2 - self.x1, self.y2 - self.y1, mean, self.lines, self.words
 
 
-def group_blocks_simple(lines: DataFrame) -> DataFrame:
+def _simple_blocks(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The number, from 0, of each line's block in a piece: as ``_Simple`` takes lines, where a share that is enough is never far."""
+    lift = y - SIMPLE_GAP / 2 * h
+    tops, lifts = (np.append(np.minimum.accumulate(c[::-1])[::-1], np.inf)[1:].tolist() for c in (y, lift))
+    numbers: list[int] = []
+    still_open: list[list] = []
+    made = 0
+    for x1, y1, wide, high, top, lift in zip(x.tolist(), y.tolist(), w.tolist(), h.tolist(), tops, lifts, strict=True):
+        x2 = x1 + wide
+        for block in still_open:
+            a1, a2, low, last_high, l1, l2, number = block
+            if y1 - low > SIMPLE_GAP * max(8.0, (high + last_high) / 2):
+                continue
+            if (min(l2, x2) - max(l1, x1)) / max(1, min(l2 - l1, wide)) >= SIMPLE_LAST or (min(a2, x2) - max(a1, x1)) / max(1, min(a2 - a1, wide)) >= SIMPLE_BLOCK:
+                block[:6] = a1 if a1 < x1 else x1, a2 if a2 > x2 else x2, y1 + high, high, x1, x2
+                break
+        else:
+            number = made
+            made += 1
+            still_open.append([x1, x2, y1 + high, high, x1, x2, number])
+            # blocks that no later line stands near
+            still_open = [b for b in still_open if top - b[2] <= SIMPLE_GAP * 8 + 1 or lift - b[2] - SIMPLE_GAP / 2 * b[3] <= 1]
+        numbers.append(number)
+    return np.array(numbers)
+
+
+def _simple_columns(begins: np.ndarray, lines: pa.RecordBatch) -> tuple[np.ndarray, list[pa.Array]]:
+    """Of whole pieces' lines, in order: each simple block's piece and its columns."""
+    x, y, w, h = (lines[c].to_numpy().astype(np.int64) for c in "xywh")
+    n = len(x)
+    sizes = _sizes(begins, n)
+    number = np.concatenate([_simple_blocks(*(c[b : b + k] for c in (x, y, w, h))) for b, k in zip(begins.tolist(), sizes.tolist(), strict=True)])
+    piece = np.repeat(np.arange(len(begins)), sizes)
+    rows = np.lexsort((number, piece))
+    starts = np.flatnonzero(_first(piece[rows]) | _first(number[rows]))
+    x1, y1, x2, y2 = (f.reduceat(c[rows], starts) for f, c in ((np.minimum, x), (np.minimum, y), (np.maximum, x + w), (np.maximum, y + h)))
+    mean = _means(lines["confidence"].to_numpy()[rows], starts, _sizes(starts, n))
+    numbers = [pa.array(c, pa.int32()) for c in (number[rows[starts]] + 1, x1, y1, x2 - x1, y2 - y1)]
+    members = _lists(lines["line"].take(pa.array(rows)), starts)
+    return piece[rows[starts]], [numbers[0], _joined(lines["text"], rows, starts, "\n"), *numbers[1:], pa.array(mean, pa.float64()), members, _taken(lines["words"], rows, starts)]
+
+
+def group_blocks_simple(lines: DataFrame, together: bool = False) -> DataFrame:
     """Lines, in order, to the first block that they follow closely enough: ``asset_id, block, text, x, y, w, h, confidence,
     lines, words``; without roles or zones.
 
     A stream of a piece's lines, with the blocks that a later line may still join: what later lines reach is known from
-    running minima, so a line is compared with near blocks only.
+    running minima, so a line is compared with near blocks only.  Lines that lie ``together``, as ``group_lines`` leaves
+    those of such words, do not move.
     """
+    type_ = f"{_types(lines, KEYS)}, block int, text string, x int, y int, w int, h int, confidence double, lines array<int>, words array<int>"
+    if together:
+
+        def columns_of(rows: pa.RecordBatch, begins: np.ndarray) -> list[pa.Array]:
+            piece, made = _simple_columns(begins, rows)
+            return [rows["asset_id"].take(pa.array(begins[piece])), *made]
+
+        return _by_piece(lines.select("asset_id", "line", "text", "x", "y", "w", "h", "confidence", "words"), KEYS, columns_of, type_)
     later = W.partitionBy("asset_id").orderBy(F.desc("line")).rowsBetween(W.unboundedPreceding, -1)
     needed = lines.select("asset_id", "line", "text", "x", "y", "w", "h", "confidence", "words").repartition("asset_id")
     bounded = needed.withColumns({"top": F.min("y").over(later), "lift": F.min(F.col("y") - F.lit(SIMPLE_GAP / 2) * F.col("h")).over(later)}).sortWithinPartitions("asset_id", "line")
@@ -629,7 +680,7 @@ def group_blocks_simple(lines: DataFrame) -> DataFrame:
                         left.append(b)
                 still_open = left
 
-    return _streamed(bounded, work, f"{_types(lines, KEYS)}, block int, text string, x int, y int, w int, h int, confidence double, lines array<int>, words array<int>")
+    return _streamed(bounded, work, type_)
 
 
 def _shares(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> np.ndarray:

@@ -207,3 +207,23 @@ def test_long_pieces_have_the_blocks_of_whole_ones(spark):
     both = G.build_layout(frame, most=100)
     assert "Union" in both._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(repr, both.collect())) == sorted(map(repr, G.build_layout(frame).collect()))
+
+
+def test_simple_blocks_of_lines_that_lie_together_do_not_move(spark):
+    rng = random.Random(15)
+    frame = spark.createDataFrame([(a, *r[1:]) for a in range(5) for r in long_piece(rng, 200)], WORD).repartition(3, "asset_id").sortWithinPartitions("asset_id")
+    near = G.group_blocks_simple(G.group_lines(frame, together=True), together=True)
+    count = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert count(near) == count(frame)
+    assert sorted(map(repr, near.collect())) == sorted(map(repr, G.group_blocks_simple(G.group_lines(frame.repartition(4))).collect()))
+
+
+def test_simple_blocks_in_columns_are_those_of_all_comparisons():
+    rng = random.Random(16)
+    for _ in range(30):
+        y, lines = 0, []
+        for n in range(1, 120):
+            y += rng.choice([-6, 0, 9, 25, 60])
+            lines.append((1, n, "l", rng.randint(0, 400), y, rng.randint(0, 300), rng.choice([0, 8, 20, 20, 400]), 0.8, [n]))
+        numbers = G._simple_blocks(*(np.array([line[i] for line in lines]) for i in range(3, 7))).tolist()
+        assert [(b + 1, [n for n, of in enumerate(numbers, 1) if of == b]) for b in range(max(numbers) + 1)] == plain_simple(lines)
