@@ -128,7 +128,7 @@ def _place_in_step(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarra
         n = int(np.searchsorted(-sizes, -k))  # strips of more than k words
         at, rows = starts[:n] + k, np.arange(n)
         word = [e[at][:, None] for e in (x1, y1, x2, y2)]
-        lx1, ly1, lx2, ly2 = edges[:, :n, : int(made[:n].max()) + 1]
+        lx1, ly1, lx2, ly2 = edges[:, :n, : max(1, int(made[:n].max()))]
         high = word[3] - word[1]
         over = np.minimum(ly2, word[3]) - np.maximum(ly1, word[1])
         height = np.maximum(1, ly2 - ly1)
@@ -437,7 +437,7 @@ def _placed_lines(dealt: DataFrame, by: tuple[str, ...], number: str, together:
     """The lines of each group of words, numbered from 1; words that lie ``together`` by their group stay where they are."""
     placed = dealt if together else dealt.repartition(*by).sortWithinPartitions(*by)
     # the role of a single word matters where it may be a badge only
-    placed = placed.withColumn("promo", is_badge(F.col("text")) & (text_role(F.col("text")) == "promo_badge"))
+    placed = placed.withColumn("promo", F.when(is_badge(F.col("text")), text_role(F.col("text")) == "promo_badge").otherwise(False))
 
     def work(rows: pa.RecordBatch, begins: np.ndarray) -> list[pa.Array]:
         piece, numbers, made = _line_columns(np.repeat(np.arange(len(begins)), _sizes(begins, rows.num_rows)), rows)

@@ -4,7 +4,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from galley.operators import grouping as G
+from galley.sources.fixtures import fixture
+
+QUERIES = queries()
 
 WORD = "asset_id long, word_index int, text string, x int, y int, w int, h int, confidence double"
 PIECE = [
@@ -227,3 +231,25 @@ def test_simple_blocks_in_columns_are_those_of_all_comparisons():
             lines.append((1, n, "l", rng.randint(0, 400), y, rng.randint(0, 300), rng.choice([0, 8, 20, 20, 400]), 0.8, [n]))
         numbers = G._simple_blocks(*(np.array([line[i] for line in lines]) for i in range(3, 7))).tolist()
         assert [(b + 1, [n for n, of in enumerate(numbers, 1) if of == b]) for b in range(max(numbers) + 1)] == plain_simple(lines)
+
+
+def test_texts_are_dealt_out_before_they_become_words(spark, tmp_path, monkeypatch):
+    """The queries move documents, not words; one id in two rows is one piece, and very long texts go by bundles."""
+    rng = random.Random(17)
+    text = lambda n: " ".join(rng.choice(["casa", "de", "CMR", "12.90", "Oferta"]) for _ in range(n))
+    rows = [(i, text(rng.choice([1, 20, 60]))) for i in range(30)] + [(3, text(40)), (40, None), (41, ""), (42, text(900))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    d = str(tmp_path)
+    lines = G.group_lines(fixture(spark, d, "fx_words"))
+    joined = F.array_join(F.col("words").cast("array<string>"), ",")
+    wants = {"group_lines": lines.withColumn("words", joined), "build_layout": G.build_layout(fixture(spark, d, "fx_words")).withColumn("words", joined), "group_blocks_simple": G.group_blocks_simple(lines)}
+    for name, want in wants.items():
+        # words of one number in one place of a piece have no order of their own: the two rows of id 3 are compared by count
+        rest = lambda df: sorted(repr(r) for r in df.collect() if r.asset_id != 3)
+        plan = QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+        assert rest(QUERIES[name](spark, d)) == rest(want)
+        assert QUERIES[name](spark, d).where("asset_id = 3").count() == want.where("asset_id = 3").count()
+        with monkeypatch.context() as m:
+            m.setattr(G, "LONG_PIECE", 500)
+            assert rest(QUERIES[name](spark, d)) == rest(want)

@@ -6,6 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from galley.functions import text as T
 from galley.functions.text import text_role
 from galley.operators import dictionary as D
 from galley.operators import grouping as G
@@ -179,3 +180,16 @@ def test_malformed_responses(spark):
 def test_roles_of_short_texts(spark):
     frame = spark.createDataFrame([("CMR",), ("S/ 25.90",), ("SKU: 12345",)], "t string")
     assert [r[0] for r in frame.select(text_role(F.col("t"))).collect()] == ["promo_badge", "price_main", "sku"]
+
+
+def test_plain_texts_have_the_roles_of_the_rules(spark, monkeypatch):
+    """Texts at the edges of the short way: capitals, letters that are one of ASCII where case does not count, white space."""
+    rng = random.Random(6)
+    bits = ["sku", "ſku", "SKU", "s\u212au", "precıo", "PRECİO", "regular", "cmr", "DÉBITO", "exclusİvo con", "oportunidad", "A", "Ab", "aB", "ABC", "ABCd", "É", "é", "ß", "ǅ", "中", "a", "casa", "Haus", "  ", "\n", "\x0b", "\xa0", "-", "🎉", "lunes", "3", "10,50", "S/"]
+    texts = [None, "", *("".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.choice([1, 2, 3, 6]))) for _ in range(3000))]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    short = frame.select(text_role(F.col("t"))).collect()
+    plan = frame.select(text_role(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(T, "PLAIN_ROLE", "(?!)")  # no text is plain
+    assert short == frame.select(text_role(F.col("t"))).collect()
+    assert "Lu}0-9" in plan and len({r[0] for r in short}) == 9
